@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import substring_dedup
+from cinderlake.llm import simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +30,15 @@ FROM d LEFT JOIN k ON d.rid = k.rid
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_dedup.as_hex(found.fp).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op6_simhash": op6_simhash,
     }
 
 
