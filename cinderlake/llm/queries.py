@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import simhash_dedup, substring_dedup
+from cinderlake.llm import byte_bpe, simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,13 @@ FROM d LEFT JOIN k ON d.rid = k.rid
 """
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_dedup.as_hex(found.fp).alias("fingerprint"), "component_id")
@@ -38,6 +45,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
     }
 
