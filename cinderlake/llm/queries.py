@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import byte_bpe, simhash_dedup, substring_dedup
+from cinderlake.llm import byte_bpe, simhash_dedup, source_mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,25 @@ FROM d LEFT JOIN k ON d.rid = k.rid
 """
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w FROM d GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(cap) OVER f - cap)) / (sum(w) OVER () - (sum(w) OVER f - w)) AS lvl
+      FROM c WINDOW f AS (ORDER BY cap / w, source ASC NULLS LAST)),
+t AS (SELECT source, source_size, least(cap, max(lvl) OVER () * w) AS target FROM l),
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+      row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS k,
+      ('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (least(floor(k * rate + u) - floor((k - 1) * rate + u), 2) * size)::BIGINT AS taken FROM r
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +64,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op4_source_mixing": op4_source_mixing,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
     }
@@ -53,4 +73,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": OP2_SQL,
+        "op4_source_mixing": OP4_SQL,
     }
