@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import byte_bpe, fingerprints, simhash_dedup, source_mixing, substring_dedup
+from cinderlake.llm import ann_search, byte_bpe, fingerprints, simhash_dedup, source_mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_search.search(vectors, vectors.where("vec_id % 20 = 0"), nearest=20)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -67,6 +72,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann_search": op1_ann_search,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_fingerprints": op3_fingerprints,
         "op4_source_mixing": op4_source_mixing,
