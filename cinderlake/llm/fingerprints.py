@@ -142,7 +142,7 @@ def next_links(light: DataFrame, per_bucket: int = 1_000_000) -> DataFrame:
     chain = Window.partitionBy(F.lit(1)).orderBy(F.desc("bucket"))  # one row per range
     first = first.select("bucket", F.coalesce(F.lead("head").over(chain), F.first("head").over(chain)).alias("head"))
     linked = dealt.join(F.broadcast(first), "bucket").withColumn("after", F.coalesce("after", "head"))
-    return linked.select("k1", "k2", "k4", "n", F.col("after.k1").alias("m1"), F.col("after.k2").alias("m2"), F.col("after.k4").alias("m4"))
+    return linked.select("doc_id", "k1", "k2", "k4", "n", F.col("after.k1").alias("m1"), F.col("after.k2").alias("m2"), F.col("after.k4").alias("m4"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -153,11 +153,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
     light = staged(src.select("doc_id", "k1", "k2", F.char_length("text").cast("long").alias("n")).withColumn("k4", nth), "ids")
     links = next_links(light)
-    keyed = src.withColumn("k4", nth)
+    # both sides below take the same columns, so the texts are shuffled once and read twice
+    keyed = src.select("text", "k1", "k2").withColumn("k4", nth)
     ahead = keyed.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("k4").alias("n4"), F.col("text").alias("next_text"))
     take = F.floor(F.col("n") / 3).cast("int")
     given = links.join(ahead, ["m1", "m2"]).where("m4 - n4 = 0")
-    given = given.select("k1", "k2", F.col("k4").alias("g4"), F.substring("next_text", F.lit(1), take).alias("head"), digests(F.col("next_text")).alias("next_digests"))
+    given = given.select("doc_id", "k1", "k2", F.col("k4").alias("g4"), F.substring("next_text", F.lit(1), take).alias("head"), digests(F.col("next_text")).alias("next_digests"))
     whole = keyed.join(given, ["k1", "k2"]).where("k4 - g4 = 0")
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head"))
