@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake.llm import ann_search, byte_bpe, fingerprints, html_extraction, simhash_dedup, source_mixing, substring_dedup
+from cinderlake.llm import ann_search, byte_bpe, fingerprints, html_extraction, language_id, simhash_dedup, source_mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.as_hex(found.fp).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mixing": op4_source_mixing,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
+        "op9_language_id": op9_language_id,
         "op10_html_extraction": op10_html_extraction,
     }
 
