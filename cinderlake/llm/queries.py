@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm import ann_search, byte_bpe, fingerprints, html_extraction, language_id, quality, simhash_dedup, source_mixing, substring_dedup
+from cinderlake.llm import ann_search, byte_bpe, fingerprints, hmm_lm, html_extraction, language_id, quality, simhash_dedup, source_mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.as_hex(found.fp).alias("fingerprint"), "component_id")
 
 
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.classify(docs, _table(spark, sf_dir, "labels"))
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mixing": op4_source_mixing,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_simhash": op6_simhash,
+        "op7_hmm_lm": op7_hmm_lm,
         "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_html_extraction": op10_html_extraction,
