@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, slices, staged
+from cinderlake.llm.common import Words, row_keys, slices, staged
 from cinderlake.llm.graph import components
 
 RADIUS = 4
@@ -159,14 +159,29 @@ def close_links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(_compare(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """Rows (doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable."""
-    own = staged(fingerprints(docs.select("doc_id", "text"), shingle, seed), "simhash")
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, columns of `keep`, fp, root, component_id) for each row of docs.
+
+    component_id is the smallest doc_id reachable; root is the component's smallest fingerprint."""
+    own = staged(fingerprints(docs.select("doc_id", *keep, "text"), shingle, seed), "simhash")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(close_links(classes, radius, tile))
     member = classes.join(roots, classes.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(member.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(member.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", *keep, "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without near copies: of each group, the row with the smallest doc_id stays."""
+    k1, k2 = row_keys()
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    found = near_duplicates(keyed, keep=("_k1", "_k2"), **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first"))
+    chosen = first.select("first._k1", "first._k2")
+    rows = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
+    # repeated rows agree in their keys; any one of them stays
+    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(1)))
+    return rows.withColumn("_k4", nth).where("_k4 = 1").select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
