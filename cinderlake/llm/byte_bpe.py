@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split by the tokenizer's pattern. Words are counted over all texts, and Spark higher-order functions
-encode each distinct word: the word's bytes become an array of ids, and a fold merges the leftmost pair of lowest
+encode each distinct word: the word's bytes become an array of pieces, and a fold merges the leftmost pair of lowest
 rank until none is left. The ranks are a literal: an array of small maps, indexed by the pair, so that a lookup
 costs the same for any vocabulary. The `codebook` most frequent words with their ids are a broadcast of bounded
 size; any other word is folded where it stands. Texts never move between machines. Decoding concatenates the
 ids' byte pieces.
 
 Edge cases: null text is the empty text; repeated rows are encoded each; special tokens are ordinary text; an
-input column named like a result column is replaced. White space is that of Unicode, as in the pattern's own
-library; letters and digits are those of the Java runtime's Unicode tables.
+input column named like a result column is replaced. Words are counted with the Java runtime's Unicode tables and
+encoded with those of the `regex` library; where these differ, only the codebook's choice of words does. A fold takes
+a word of up to 8 million bytes.
 """
 
 from __future__ import annotations
@@ -21,18 +22,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlake.llm.common import slices
+
 #: Words whose encoding is broadcast: 40 MB at most, as longer words than LONGEST bytes are left out.
 CODEBOOK = 1 << 19
 LONGEST = 48
 #: Tokens that one vectorised step takes.
-STEP = 1_000_000
+STEP = 250_000
+#: Bytes of text that one look-up takes.
+SLICE = 1 << 20
 
 _BUCKETS = 1 << 16
-_NONE = 2**31 - 1
+#: A packed piece: 20 bits of rank, 23 of place and 20 of id.
+_RANK_AT, _PLACE_AT = 43, 20
+_NONE = (1 << 20) - 1
+_ID = (1 << _PLACE_AT) - 1
+_PLACE = (1 << _RANK_AT) - (1 << _PLACE_AT)
 _SPACE = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
@@ -65,42 +74,46 @@ class RankMap:
             for cut in range(1, len(piece)):
                 a, b = rank.get(piece[:cut]), rank.get(piece[cut:])
                 if a is not None and b is not None:
-                    buckets[(a * 40503 + b) % _BUCKETS][a << 32 | b] = k
+                    buckets[(a * 40503 + b) & (_BUCKETS - 1)][a << 32 | b] = k
         self._merges = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>")
-        self._bytes = F.from_json(F.lit(json.dumps([rank[bytes([k])] for k in range(256)])), "array<int>")
-
-    def _rank(self, a: Column, b: Column) -> Column:
-        """The id of a pair's merge, which is its rank too."""
-        small = F.get(self._merges, ((a.cast("long") * 40503 + b) % _BUCKETS).cast("int"))
-        return F.coalesce(F.element_at(small, F.shiftleft(a.cast("long"), 32) + b), F.lit(_NONE))
-
-    def encode(self, word: Column) -> Column:
-        """The ids of one word: a fold over its bytes."""
-
-        def let(value: Column, body) -> Column:
-            return F.get(F.transform(F.array(value), body), F.lit(0))
-
-        def start(chars: Column) -> Column:
-            ids = F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: F.get(self._bytes, F.ascii(F.substr(chars, i, F.lit(1)))))
-            return let(ids, lambda x: F.struct(x.alias("ids"), F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda a, i: self._rank(a, F.get(x, i + 1))).alias("ranks")))
-
-        def merge(state: Column, _: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
-            done = lambda m, p: F.struct(
-                F.concat(F.slice(ids, F.lit(1), p), F.array(m), F.slice(ids, p + 3, F.size(ids))).alias("ids"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), F.greatest(p - 1, F.lit(0))),
-                    F.when(p > 0, F.array(self._rank(F.get(ids, p - 1), m))).otherwise(F.array().cast("array<int>")),
-                    F.when(p + 2 < F.size(ids), F.array(self._rank(m, F.get(ids, p + 2)))).otherwise(F.array().cast("array<int>")),
-                    F.slice(ranks, p + 3, F.size(ids)),
-                ).alias("ranks"),
-            )
-            one = let(F.array_min(ranks), lambda m: F.when(m == _NONE, state).otherwise(let((F.array_position(ranks, m) - 1).cast("int"), lambda p: done(m, p))))
-            return F.when(F.size(ranks) == 0, state).otherwise(one)
-
-        chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        folded = let(chars, lambda c: F.aggregate(F.sequence(F.lit(1), F.length(c)), start(c), merge))
-        return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(folded["ids"])
+        self._bytes = F.from_json(F.lit(json.dumps([rank[bytes([k])] for k in range(256)])), "array<bigint>")
+
+    def encode(self, words: Column) -> Column:
+        """The ids of each word of an array: a fold over the word's bytes.
+
+        The state is an array of longs, one per piece: the rank of the merge with the next piece, the place of the
+        piece's first byte and its id. So the least element is the leftmost pair of lowest rank. Both tables are
+        bound once, so that a task gets one copy of them."""
+        return _let(self._merges, lambda merges: _let(self._bytes, lambda first: F.transform(words, lambda w: _fold(w, merges, first))))
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold(word: Column, merges: Column, first: Column) -> Column:
+    def rank(a: Column, b: Column) -> Column:
+        """The id of a pair's merge, which is its rank too, in the place of a packed piece's rank."""
+        small = F.get(merges, (a * 40503 + b).bitwiseAND(_BUCKETS - 1).cast("int"))
+        return F.shiftleft(F.coalesce(F.element_at(small, F.shiftleft(a, 32) + b), F.lit(_NONE)).cast("long"), _RANK_AT)
+
+    def start(chars: Column) -> Column:
+        ids = F.transform(F.sequence(F.lit(1), F.length(chars)), lambda i: F.get(first, F.ascii(F.substr(chars, i, F.lit(1)))))
+        return _let(ids, lambda x: F.transform(x, lambda a, i: rank(a, F.get(x, i + 1)) + F.shiftleft(i.cast("long"), _PLACE_AT) + a))
+
+    def merge(state: Column, _: Column) -> Column:
+        def done(least: Column, p: Column) -> Column:
+            made, before = F.shiftright(least, _RANK_AT), F.get(state, p - 2)
+            rest = rank(made, F.get(state, p + 1).bitwiseAND(_ID)) + least.bitwiseAND(_PLACE) + made
+            last = rank(before.bitwiseAND(_ID), made) + before.bitwiseAND(_PLACE + _ID)
+            return F.when(p == 1, F.concat(F.array(rest), F.slice(state, 3, F.size(state)))).otherwise(F.concat(F.slice(state, F.lit(1), p - 2), F.array(last, rest), F.slice(state, p + 2, F.size(state))))
+
+        one = lambda least: F.when(least >= _NONE << _RANK_AT, state).otherwise(_let(F.array_position(state, least).cast("int"), lambda p: done(least, p)))
+        return _let(F.array_min(state), one)
+
+    chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    folded = _let(chars, lambda c: F.aggregate(F.slice(F.sequence(F.lit(1), F.length(c)), F.lit(2), F.length(c)), start(c), merge))
+    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.transform(folded, lambda e: e.bitwiseAND(_ID).cast("int")))
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -111,7 +124,7 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 def codebook(docs: DataFrame, ranks: RankMap, pattern: str, size: int = CODEBOOK) -> pa.Table:
     """The most frequent words and their ids; bounded by `size` words of LONGEST bytes."""
     top = word_counts(docs, pattern).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size).select("word")
-    coded = top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4).select("word", ranks.encode(F.col("word")).alias("ids"))
+    coded = top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4).select("word", F.get(ranks.encode(F.array("word")), F.lit(0)).alias("ids"))
     return coded.toArrow()
 
 
@@ -130,26 +143,30 @@ def _steps(lists: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _look_up(shared, others: list[str]):
-    """Each word's place in the codebook; other words get the next places and are listed."""
+def _look_up(shared, others: list[str], pattern: str):
+    """Each word's place in the codebook; other words get -1 and are listed."""
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             if not state:
-                state["words"] = pa.ipc.open_stream(shared.value[0]).read_all().column("word").combine_chunks()
-            for at, n in _steps(whole.column("words")):
-                b = whole.slice(at, n)
-                lists = b.column("words")
-                flat, size = lists.flatten(), lists.value_lengths().to_numpy()
-                place = pc.index_in(flat, value_set=state["words"])
-                rare = pc.is_null(place).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(b.num_rows), size)
-                n_rare = np.bincount(row[rare], minlength=b.num_rows)
-                place = pc.fill_null(place, -1).to_numpy()
-                edges = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+                words = pa.ipc.open_stream(shared.value[0]).read_all().column("word").to_pylist()
+                state["place"] = dict(zip(words, range(len(words)), strict=True)).get
+                state["find"] = regex.compile(pattern).findall
+            place, find = state["place"], state["find"]
+            for b in slices(whole, "text", SLICE):
+                flat, size, rare, n_rare = [], [0], [], [0]
+                for text in b.column("text").to_pylist():
+                    words = find(text or "")
+                    own = np.array([place(w, -1) for w in words], np.int32)
+                    far = np.flatnonzero(own < 0)
+                    rare += [words[k] for k in far]
+                    flat.append(own)
+                    size.append(len(own))
+                    n_rare.append(len(far))
+                edges = lambda x: pa.array(np.cumsum(x).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c) for c in others], pa.ListArray.from_arrays(edges(size), pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(edges(n_rare), flat.filter(pa.array(rare)))],
+                    [*[b.column(c) for c in others], pa.ListArray.from_arrays(edges(size), pa.array(np.concatenate(flat))), pa.ListArray.from_arrays(edges(n_rare), pa.array(rare, pa.string()))],
                     names=[*others, "places", "rare"],
                 )
 
@@ -224,9 +241,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, size: int = CODEBOOK,
     kept = [f for f in src.schema if not (digests and f.name == "text")]
     others = [f.name for f in kept]
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    words = src.select(*others, split_words(F.col("text"), pattern).alias("words"))
-    found = words.mapInArrow(_look_up(shared, others), f"{ddl}places array<int>, rare array<string>")
-    coded = found.select(*others, "places", F.transform("rare", ranks.encode).alias("coded"))
+    found = src.mapInArrow(_look_up(shared, others, pattern), f"{ddl}places array<int>, rare array<string>")
+    coded = found.select(*others, "places", ranks.encode(F.col("rare")).alias("coded"))
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     return coded.mapInArrow(_assemble(shared, others, pieces, digests), ddl + result)
 
