@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cinderlake.functions import geo
 from cinderlake.operators.graph import components
@@ -68,7 +69,7 @@ def event_members(detections: DataFrame, rules: EventRules = EventRules()) -> Da
     return detections.join(roots, detections.ordinal == roots.u, "left").withColumn("event_root", F.coalesce("root", "ordinal")).drop("u", "root")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def event_id(lat: pd.Series, lon: pd.Series, at: pd.Series) -> pd.Series:
     """FIRE- and twelve digits of the hash of an event's earliest detection; the text is Python's formatting."""
 
