@@ -19,6 +19,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import slices
+from cinderlake.llm.common import released, slices, staged
 
 #: Words whose encoding is broadcast: 40 MB at most, as longer words than LONGEST bytes are left out.
 CODEBOOK = 1 << 19
@@ -69,13 +70,16 @@ class RankMap:
 
     def __init__(self, pieces: list[bytes]):
         rank = {p: k for k, p in enumerate(pieces)}
-        buckets: list[dict[int, int]] = [{} for _ in range(_BUCKETS)]
+        # the buckets as text from the start: as many small dicts would weigh tens of MB
+        buckets = [""] * _BUCKETS
         for piece, k in rank.items():
             for cut in range(1, len(piece)):
                 a, b = rank.get(piece[:cut]), rank.get(piece[cut:])
                 if a is not None and b is not None:
-                    buckets[(a * 40503 + b) & (_BUCKETS - 1)][a << 32 | b] = k
-        self._merges = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>")
+                    at = (a * 40503 + b) & (_BUCKETS - 1)
+                    buckets[at] += f',"{a << 32 | b}":{k}'
+        text = ",".join(["{" + x[1:] + "}" for x in buckets])
+        self._merges = F.from_json(F.lit(f"[{text}]"), "array<map<string,int>>").cast("array<map<bigint,int>>")
         self._bytes = F.from_json(F.lit(json.dumps([rank[bytes([k])] for k in range(256)])), "array<bigint>")
 
     def encode(self, words: Column) -> Column:
@@ -121,17 +125,31 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select(F.explode(split_words(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def codebook(docs: DataFrame, ranks: RankMap, pattern: str, size: int = CODEBOOK) -> pa.Table:
-    """The most frequent words and their ids; bounded by `size` words of LONGEST bytes."""
+def frequent_words(docs: DataFrame, pattern: str, size: int = CODEBOOK) -> DataFrame:
+    """The most frequent words of LONGEST bytes at most, as a table: so plans with the rank map stay of one stage."""
     top = word_counts(docs, pattern).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size).select("word")
-    coded = top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4).select("word", F.get(ranks.encode(F.array("word")), F.lit(0)).alias("ids"))
-    return coded.toArrow()
+    return staged(top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4), "words")
+
+
+def _stream(column: pa.ChunkedArray) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.table({"x": column.combine_chunks()})
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def codebook(words: DataFrame, ranks: RankMap) -> tuple[bytes, bytes]:
+    """Words and their ids as Arrow streams; bounded by the number of words and by LONGEST bytes of each."""
+    book = words.select("word", F.get(ranks.encode(F.array("word")), F.lit(0)).alias("ids")).toArrow()
+    return _stream(book.column("word")), _stream(book.column("ids"))
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of start[k] .. start[k] + size[k] for all k, one after another."""
-    first = np.cumsum(size) - size
-    return np.repeat(start - first, size) + np.arange(int(size.sum()))
+    size = size.astype(np.int32)
+    first = np.cumsum(size, dtype=np.int32) - size
+    return np.repeat(start.astype(np.int32) - first, size) + np.arange(int(size.sum()), dtype=np.int32)
 
 
 def _steps(lists: pa.Array) -> Iterator[tuple[int, int]]:
@@ -150,7 +168,7 @@ def _look_up(shared, others: list[str], pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             if not state:
-                words = pa.ipc.open_stream(shared.value[0]).read_all().column("word").to_pylist()
+                words = pa.ipc.open_stream(shared.value[0]).read_all().column("x").to_pylist()
                 state["place"] = dict(zip(words, range(len(words)), strict=True)).get
                 state["find"] = regex.compile(pattern).findall
             place, find = state["place"], state["find"]
@@ -158,7 +176,7 @@ def _look_up(shared, others: list[str], pattern: str):
                 flat, size, rare, n_rare = [], [0], [], [0]
                 for text in b.column("text").to_pylist():
                     words = find(text or "")
-                    own = np.array([place(w, -1) for w in words], np.int32)
+                    own = np.fromiter(map(place, words, repeat(-1)), np.int32, len(words))
                     far = np.flatnonzero(own < 0)
                     rare += [words[k] for k in far]
                     flat.append(own)
@@ -177,7 +195,7 @@ def _assemble(shared, others: list[str], pieces: list[bytes], digests: bool):
     state: dict = {}
 
     def set_up() -> None:
-        t = pa.ipc.open_stream(shared.value[0]).read_all().column("ids").combine_chunks()
+        t = pa.ipc.open_stream(shared.value[0]).read_all().column("x").combine_chunks()
         state["ids"], state["size"] = t.flatten().to_numpy(), t.value_lengths().to_numpy().astype(np.int64)
         digits = [f"{k} ".encode() for k in range(len(pieces))]
         for name, table in (("text", digits), ("piece", pieces)):
@@ -204,7 +222,7 @@ def _assemble(shared, others: list[str], pieces: list[bytes], digests: bool):
                 size = np.concatenate([state["size"], rare.value_lengths().to_numpy()])
                 ids = np.concatenate([state["ids"], rare.flatten().to_numpy()])
                 start = np.cumsum(size) - size
-                flat = ids[_ragged(start[place], size[place])].astype(np.int64)
+                flat = ids[_ragged(start[place], size[place])]
                 per_word = np.concatenate([[0], np.cumsum(size[place])])
                 first = per_word[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
                 out = [b.column(c) for c in others]
@@ -231,20 +249,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, size: int = CODEBOOK,
     spark = docs.sparkSession
     made = {"words", "places", "rare", "coded", "ids", "n_tokens", "ids_sha256", "decoded_sha256"}
     src = docs.select(*[c for c in docs.columns if c not in made])
+    words = frequent_words(src.select("text"), pattern, size)
     pieces = read_ranks(ranks_path)
     ranks = RankMap(pieces)
-    book = codebook(src.select("text"), ranks, pattern, size)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, book.schema) as w:
-        w.write_table(book.combine_chunks())
-    shared = spark.sparkContext.broadcast([sink.getvalue().to_pybytes()])
+    book, ids = (spark.sparkContext.broadcast([x]) for x in codebook(words, ranks))
     kept = [f for f in src.schema if not (digests and f.name == "text")]
     others = [f.name for f in kept]
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    found = src.mapInArrow(_look_up(shared, others, pattern), f"{ddl}places array<int>, rare array<string>")
+    found = src.mapInArrow(released(_look_up(book, others, pattern)), f"{ddl}places array<int>, rare array<string>")
     coded = found.select(*others, "places", ranks.encode(F.col("rare")).alias("coded"))
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return coded.mapInArrow(_assemble(shared, others, pieces, digests), ddl + result)
+    return coded.mapInArrow(released(_assemble(ids, others, pieces, digests)), ddl + result)
 
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

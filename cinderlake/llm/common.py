@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[ \t-\r]+"
 
 #: Bytes of text that one vectorised step takes; bounds the memory of a Python worker.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 3 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +60,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back at the end of a task: Python workers wait for further tasks, and would keep it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, gram_hashes, mixed, slices
+from cinderlake.llm.common import Words, gram_hashes, mixed, released, slices
 
 BUCKETS = 1 << 14
 DIM = 64
@@ -99,7 +99,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of all buckets, from the words around them in all documents."""
-    parts = docs.select("text").mapInArrow(_contexts, "block int, sums binary")
+    parts = docs.select("text").mapInArrow(released(_contexts), "block int, sums binary")
     rows = parts.repartition(8, "block").mapInArrow(_add_up, "block int, sums binary").toArrow().to_pydict()
     sums = np.zeros((BUCKETS // BLOCK, BLOCK * DIM), np.float32)
     for k, s in zip(rows["block"], rows["sums"], strict=True):
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
                 x = features(b.column("text"), vectors)
                 yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), b.column("_quality")], names=["x", "y"])
 
-    found = rows.mapInArrow(run, "x binary, y int").toArrow()
+    found = rows.mapInArrow(released(run), "x binary, y int").toArrow()
     if not found.num_rows:
         return None
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(found.num_rows, -1)
@@ -200,7 +200,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, out: st
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, out])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema)
-    return src.mapInArrow(run, f"{fields}{out} double")
+    return src.mapInArrow(released(run), f"{fields}{out} double")
 
 
 def held_out(doc_id, folds: int, out: int):

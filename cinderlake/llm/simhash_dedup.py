@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, row_keys, slices, staged
+from cinderlake.llm.common import Words, released, row_keys, slices, staged
 from cinderlake.llm.graph import components
 
 RADIUS = 4
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, out:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(simhashes(b.column("text"), shingle, seed))], names=[*[c for c in names if c != "text"], out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text")
-    return src.mapInArrow(run, f"{fields}, {out} long")
+    return src.mapInArrow(released(run), f"{fields}, {out} long")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, gram_hashes, row_keys, slices, staged
+from cinderlake.llm.common import Words, gram_hashes, released, row_keys, slices, staged
 
 WINDOW = 35
 #: Words of a gram; windows of 35 words then have 24 grams to choose the anchor from.
@@ -205,7 +205,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
 
     docs: doc_id, text and the keys k1, k2 of `row_keys`."""
     src = docs.select("doc_id", "text", "k1", "k2")
-    anchors = src.mapInArrow(_find_anchors(window, gram), _ANCHOR)
+    anchors = src.mapInArrow(released(_find_anchors(window, gram)), _ANCHOR)
     twice = anchors.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     found = staged(anchors.join(twice, "gram").select("gram", "ctx", "k1", "k2", "pos", "lo", "cnt"), "anchors")
     contexts = found.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "cnt")).alias("rep"))
@@ -219,9 +219,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
         .agg(F.collect_list("rep").alias("reps"))
     )
     one_each = src.join(listed, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    cut = staged(one_each.mapInArrow(_cut_contexts(window), "gram long, ctx long, n long, lo int, cnt int, nctx long, words binary"), "cut")
+    cut = staged(one_each.mapInArrow(released(_cut_contexts(window)), "gram long, ctx long, n long, lo int, cnt int, nctx long, words binary"), "cut")
     small = cut.where(F.col("nctx") <= group_limit).repartition("gram").sortWithinPartitions("gram")
-    trees = small.mapInArrow(_grow_trees(window), "gram long, ctx long, mask long")
+    trees = small.mapInArrow(released(_grow_trees(window)), "gram long, ctx long, mask long")
     split = cut.where(F.col("nctx") > group_limit).mapInArrow(_split_windows(window), "gram long, ctx long, step int, n long, prefix long")
     again = split.groupBy("prefix").agg(F.sum("n").alias("c")).where("c > 1").select("prefix")
     large = split.join(again, "prefix").groupBy("gram", "ctx").agg(F.expr("bit_or(shiftleft(1L, step))").alias("mask"))
@@ -279,4 +279,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "hits" and (keep_text or f.name != "text")]
     ddl = ", ".join([*fields, "n_words long", "n_removed long", "kept string" if keep_text else "kept_sha256 string"])
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
-    return joined.mapInArrow(_apply_removal(arrow, window, keep_text), ddl)
+    return joined.mapInArrow(released(_apply_removal(arrow, window, keep_text)), ddl)
