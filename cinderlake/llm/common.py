@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[ \t-\r]+"
 
 #: Bytes of text that one vectorised step takes; bounds the memory of a Python worker.
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 3 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
