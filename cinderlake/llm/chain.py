@@ -2,7 +2,8 @@
 
 Sequences are cut into blocks. The product of a block's transfer matrices is the same whatever stands before it,
 so all blocks are multiplied out side by side; a short pass over each sequence's blocks gives the state at the
-blocks' borders, and a second pass inside all blocks gives every position. Vectors are scaled at each step."""
+blocks' borders, and a second pass inside all blocks gives every position. Vectors are scaled at each step, matrices
+every few steps."""
 
 from __future__ import annotations
 
@@ -34,13 +35,17 @@ class Chain:
         m = np.broadcast_to(np.eye(k, dtype=self.e.dtype), (nb, k, k)).copy()
         scale = np.zeros(nb)
         at = self.at[self.order]
+        every = 8 if self.e.itemsize == 8 else 2  # steps that can't underflow
         for t, left in enumerate(self.left):
             if not left:
                 break
-            new = (m[:left].reshape(-1, k) @ self.a).reshape(left, k, k) * self.e[at[:left] + t][:, None, :]
-            top = new.max((1, 2))
-            m[:left] = new / top[:, None, None]
-            scale[:left] += np.log(top)
+            new = (m[:left].reshape(-1, k) @ self.a).reshape(left, k, k)
+            new *= self.e[at[:left] + t][:, None, :]
+            if t % every == every - 1:
+                top = new.max((1, 2))
+                new /= top[:, None, None]
+                scale[:left] += np.log(top)
+            m[:left] = new
         self.m = np.empty_like(m)
         self.m[self.order] = m
         self.scale = np.empty(nb)
