@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, released, row_keys, slices, staged
+from cinderlake.llm.common import Words, gram_hashes, mixed, released, row_keys, slices, staged
 from cinderlake.llm.graph import components
 
 RADIUS = 4
@@ -171,6 +171,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return own.join(member.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
+def _rows(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    rows = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
+    # repeated rows agree in their keys; any one of them stays
+    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(1)))
+    return rows.withColumn("_k4", nth).where("_k4 = 1")
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near copies: of each group, the row with the smallest doc_id stays."""
     k1, k2 = row_keys()
@@ -178,11 +185,159 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(keyed, keep=("_k1", "_k2"), **options)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first"))
     chosen = first.select("first._k1", "first._k2")
-    rows = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
-    # repeated rows agree in their keys; any one of them stays
-    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(1)))
-    return rows.withColumn("_k4", nth).where("_k4 = 1").select(*docs.columns)
+    return _rows(keyed, chosen).select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# --- near copies by similarity of word shingles ---------------------------------------------------------------------
+
+#: Words of 64 bits in a wide fingerprint, and the radii of the first and of all: at a similarity of 0.8 a bit differs
+#: with probability 0.15 (0.19 between sets of four and five shingles), so both lie nearly four deviations out or more.
+WIDE = 4
+FIRST_RADIUS = 24
+WIDE_RADIUS = 76
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct word shingles of each text, in order, and where each text's begin, with one entry more."""
+    w = Words(texts)
+    low = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER[w.buf]]
+    words = np.diff(w.first)
+    count = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
+    doc = np.repeat(np.arange(len(words)), count)
+    left = np.repeat(w.first[:-1] - (np.cumsum(count) - count), count) + np.arange(len(doc))
+    size = np.minimum(shingle, np.repeat(w.first[1:], count) - left)
+    own = gram_hashes(gram_hashes(low, w.start, w.end - w.start), left, size)
+    order = np.lexsort((own, doc))
+    own, doc = own[order], doc[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+    return own[new], np.searchsorted(doc[new], np.arange(len(words) + 1))
+
+
+def wide_fingerprints(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each text's set of shingles, the size of the set, and WIDE words of SimHash over it."""
+    own, first = shingle_sets(texts, shingle)
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    sets, bits = np.zeros(len(size), np.uint64), np.zeros((len(size), WIDE), np.uint64)
+    if len(some):
+        sets[some] = np.add.reduceat(mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[some])
+        for k in range(WIDE):
+            flat = np.unpackbits(mixed(own + np.uint64(k + 1) * np.uint64(0xD1342543DE82EF95)).view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(flat, first[some], axis=0, dtype=np.int32)
+            bits[some, k] = np.packbits(2 * ones > size[some, None], axis=1).view(np.uint64).ravel()
+    return sets.view(np.int64), size.astype(np.int64), bits
+
+
+def _compare_wide(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Stars (u, v) over the sets of two tiles whose wide fingerprints are within both radii."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    for b in batches:
+        for k in range(b.num_rows):
+            x, y = (np.frombuffer(b.column(c)[k].as_buffer(), np.uint64).reshape(-1, 1 + WIDE) if b.column(c)[k].is_valid else None for c in ("a", "b"))
+            both = x if y is None else np.concatenate([x, y])
+            other, shift = (x, 0) if y is None else (y, len(x))
+            right = np.ascontiguousarray(other[:, 1])
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            held = 0
+            for at in range(0, len(x), rows):
+                i, j = np.nonzero(np.bitwise_count(x[at : at + rows, 1, None] ^ right[None, :]) <= FIRST_RADIUS)
+                i += at
+                if y is None:
+                    i, j = i[i < j], j[i < j]
+                near = np.bitwise_count(x[i, 1:] ^ other[j, 1:]).sum(1) <= WIDE_RADIUS
+                found.append((i[near], j[near] + shift))
+                held += int(near.sum())
+                if held > 500_000:
+                    found = [_spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))]
+                    held = len(found[0][0])
+            node, root = _spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))
+            if len(node):
+                yield pa.record_batch([both[node, 0].view(np.int64), both[root, 0].view(np.int64)], schema=schema)
+
+
+def wide_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFrame:
+    """Links (u, v) whose components hold all pairs of sets that may have the similarity `least`.
+
+    classes: set_id, size, bits. Similar sets have similar sizes, so a tile meets tiles of its own and the next band of sizes only."""
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / least)) + 1e-9).cast("int")
+    keyed = classes.select("set_id", "bits", band.alias("band"))
+    # as many bands as the logarithm of the longest text, whatever the input
+    parts = keyed.groupBy("band").agg(F.ceil(F.count("*") / tile).cast("long").alias("parts"))
+    keyed = keyed.join(F.broadcast(parts), "band").select("set_id", "bits", "band", F.expr("cast(pmod(xxhash64(set_id, 7), parts) as int)").alias("sub"))
+
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        x = np.empty((t.num_rows, 1 + WIDE), np.uint64)
+        x[:, 0] = t.column("set_id").to_numpy().view(np.uint64)
+        x[:, 1:] = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, WIDE)
+        return pa.table({"band": pa.array([key[0].as_py()], pa.int32()), "sub": pa.array([key[1].as_py()], pa.int32()), "sets": pa.array([x.tobytes()], pa.binary())})
+
+    tiles = staged(keyed.groupBy("band", "sub").applyInArrow(pack, "band int, sub int, sets binary"), "tiles")
+    left = tiles.select("band", F.col("sub").alias("sub_a"), F.col("sets").alias("a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("band", F.expr("band + step"))
+    right = tiles.select("band", F.col("sub").alias("sub_b"), F.col("sets").alias("b"))
+    pairs = left.join(right, "band").where("step = 1 or sub_a <= sub_b")
+    pairs = pairs.select("a", F.expr("CASE WHEN step = 1 OR sub_a < sub_b THEN b END AS b"))
+    return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(released(_compare_wide), "u long, v long")
+
+
+def _confirm(least: float, shingle: int):
+    """Within a group of candidates, components of the pairs whose similarity is `least` or more, exactly."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        ids, at = np.unique(t.column("set_id").to_numpy(), return_index=True)
+        own, first = shingle_sets(t.column("text").combine_chunks().take(pa.array(at)), shingle)
+        size = np.diff(first)
+        doc = np.repeat(np.arange(len(ids)), size)
+        root = np.full(len(ids), -1)
+        left = np.ones(len(ids), bool)
+        for start in range(len(ids)):
+            if not left[start]:
+                continue
+            left[start], root[start] = False, start
+            reached = [start]
+            while reached and left.any():
+                k = reached.pop()
+                mine = own[first[k] : first[k + 1]]
+                rest = left[doc]
+                own_left, doc_left = own[rest], doc[rest]
+                place = np.minimum(np.searchsorted(mine, own_left), len(mine) - 1)
+                common = np.bincount(doc_left[mine[place] == own_left], minlength=len(ids))
+                new = np.flatnonzero(left & (common >= least * (size + size[k] - common) - 1e-9))
+                left[new], root[new] = False, start
+                reached += new.tolist()
+        return pa.table({"set_id": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())})
+
+    return run
+
+
+def one_of_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
+    """docs without near copies: of each component of texts whose sets of word shingles have the Jaccard similarity
+    `least` or more, the row with the smallest doc_id stays. Texts without words are copies of each other.
+
+    Wide fingerprints propose groups, by the tiled comparison; sets of shingles confirm each pair."""
+    k1, k2 = row_keys()
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    schema = pa.schema([("doc_id", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                sets, size, bits = wide_fingerprints(b.column("text"), shingle)
+                yield pa.record_batch([*(b.column(c) for c in ("doc_id", "_k1", "_k2")), sets, size, pa.array([x.tobytes() for x in bits], pa.binary())], schema=schema)
+
+    src = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_k1", "_k2", "text")
+    own = src.mapInArrow(released(run), "doc_id long, _k1 long, _k2 long, set_id long, size long, bits binary")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first")
+    classes = staged(own.groupBy("set_id", "size", "bits").agg(first), "sets")
+    loose = components(wide_links(classes.where("size > 0"), least, tile))
+    loose = loose.select(F.col("u").alias("set_id"), F.col("root").alias("loose")).union(loose.select("root", "root").distinct())
+    named = classes.join(loose, "set_id").select("set_id", "loose", "first._k1", "first._k2")
+    texts = keyed.select("_k1", "_k2", "text").join(named, ["_k1", "_k2"]).select("loose", "set_id", "text")
+    exact = texts.groupBy("loose").applyInArrow(_confirm(least, shingle), "set_id long, root long")
+    member = classes.join(exact, "set_id", "left").select(F.coalesce("root", "set_id").alias("root"), "first")
+    chosen = member.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2")
+    return _rows(keyed, chosen).select(*docs.columns)

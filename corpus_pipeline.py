@@ -23,8 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash_dedup.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash_dedup.one_of_similar(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

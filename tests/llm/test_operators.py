@@ -181,6 +181,51 @@ def test_simhash_components(docs, empty):
     assert simhash_dedup.near_duplicates(empty).count() == 0
 
 
+def plain_shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("tile", [8, 4096])
+def test_near_copies_of_the_pipeline(spark, empty, tile):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = corpus()
+    for k in range(60):
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([8, 9, 69, 120, 246]))]
+        rows.append((1000 + 10 * k, " ".join(w), "en", "a", 1))
+        for c in range(1, 5):
+            # edits that leave similarities on both sides of 0.8
+            e = list(w)
+            for i in rng.sample(range(len(w)), max(1, len(w) * c // 75)):
+                e[i] = f"new{rng.randrange(10**6)}"
+            rows.append((1000 + 10 * k + c, " ".join(e if len(w) > 9 else w[: len(w) - c]), "en", "a", 1))
+    sets = [plain_shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    narrow = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, any_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not any_ or both >= 0.8 * any_:
+                root[find(i)] = find(j)
+                narrow += bool(any_) and both < 0.85 * any_
+    assert narrow > 20
+    want = {}
+    for k, r in enumerate(rows):
+        want[find(k)] = min(want.get(find(k), r[0]), r[0])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = simhash_dedup.one_of_similar(docs, tile=tile).collect() if tile < 4096 else corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(want.values())
+    assert simhash_dedup.one_of_similar(empty).count() == 0
+
+
 def test_language_model(docs, empty):
     got = {r.doc_id: r for r in hmm_lm.score(docs, frequent=100).collect()}
     rows = corpus()
