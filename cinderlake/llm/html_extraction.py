@@ -2,9 +2,9 @@
 
 Each page's containers are scored by the text they hold outside links; a container is told by its path, the tags
 from the root down, with their classes generalised (digits and case dropped). The best containers of each page
-vote for their paths; votes are summed by host in Spark, and each page is extracted again below the path of its
-host that won, if the page has it, else by its own best container. A host's votes and its winners are spread over
-salts, so a host with a third of all pages doesn't land in one task.
+vote for their paths; votes are averaged in Spark over the pages of a host that have the path, and each page is
+extracted again below that of its own paths which has the highest average, else by its own best container. All paths
+that were voted for count; pages meet them by a join of path keys, so that no host's paths are gathered in one row.
 
 Below the chosen container, boilerplate elements (by tag, role, class or id) are left out, character references
 are decoded, white space within a block becomes one space and blocks are joined by one space, in page order.
@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinderlake.llm.common import staged
+
 #: Containers of a page that vote.
 VOTES = 3
-SALTS = 32
 
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,6 +87,8 @@ def parse(page: str) -> Iterator[tuple[Node, str | None]]:
     root = Node("", "", False, None)
     at, now = 0, root
     depth = 0
+    # elements too deep to be opened, whose end tags close nothing
+    unopened: dict[str, int] = {}
     search = _TAG.search
     while True:
         m = search(page, at)
@@ -102,6 +106,9 @@ def parse(page: str) -> Iterator[tuple[Node, str | None]]:
         if tag not in INLINE:
             yield now, None
         if m[1]:
+            if unopened.get(tag):
+                unopened[tag] -= 1
+                continue
             up = now
             while up is not root and up.tag != tag:
                 up = up.parent
@@ -109,6 +116,7 @@ def parse(page: str) -> Iterator[tuple[Node, str | None]]:
                 while now is not up:
                     now, depth = now.parent, depth - 1
                 now, depth = up.parent, depth - 1
+                unopened.clear()
             continue
         if tag in VOID:
             continue
@@ -122,15 +130,18 @@ def parse(page: str) -> Iterator[tuple[Node, str | None]]:
             if up.tag in shut and up is not root:
                 while now is not up.parent:
                     now, depth = now.parent, depth - 1
-        if depth > 400:
-            continue
-        node = _open(tag, m[3].rstrip("/") if m[3] else "", now)
         end = _RAW_END.get(tag)
         if end is not None:
             m = end.search(page, at)
             at = m.end() if m else len(page)
             continue
-        if not (m[3] or "").endswith("/") or tag in CONTAINERS or tag in INLINE or tag == "p":
+        shuts = not (m[3] or "").endswith("/") or tag in CONTAINERS or tag in INLINE or tag == "p"
+        if depth > 400:
+            if shuts:
+                unopened[tag] = unopened.get(tag, 0) + 1
+            continue
+        node = _open(tag, m[3].rstrip("/") if m[3] else "", now)
+        if shuts:
             now, depth = node, depth + 1
 
 
@@ -156,10 +167,27 @@ def _weigh(page: str) -> dict[str, float]:
     return score
 
 
+def _best(score: dict[str, float], most: int = VOTES) -> list[tuple[str, float]]:
+    return [(p, v) for p, v in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most] if v > 0]
+
+
 def best_paths(page: str | None, most: int = VOTES) -> list[tuple[str, float]]:
     score = _weigh(page) if page else {}
     total = sum(v for v in score.values() if v > 0) or 1.0
-    return [(p, v / total) for p, v in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most] if v > 0]
+    return [(p, v / total) for p, v in _best(score, most)]
+
+
+def _path_of(page: str, key: int) -> str | None:
+    """The page's container path with that key."""
+    seen: set[str] = set()
+    for node, text in parse(page):
+        up = node if text is not None and not node.dropped else None
+        while up is not None and up.parent is not None and up.path not in seen:
+            seen.add(up.path)
+            if up.tag in CONTAINERS and path_key(up.path) == key:
+                return up.path
+            up = up.parent
+    return None
 
 
 def main_text(page: str | None, path: str | None) -> str:
@@ -190,51 +218,59 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.float64()), ("votes", pa.int64())])
-    for b in batches:
-        sums: dict[tuple[str, str], list[float]] = {}
-        for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            for path, score in best_paths(page):
-                s = sums.setdefault((host, path), [0.0, 0])
-                s[0] += score
-                s[1] += 1
-        yield pa.record_batch([[k[0] for k in sums], [k[1] for k in sums], [float(v[0]) for v in sums.values()], [int(v[1]) for v in sums.values()]], schema=schema)
-
+def path_key(path: str) -> int:
+    """A path's 64-bit hash, as a signed number."""
+    return int.from_bytes(xxhash.xxh3_64_digest(path.encode("utf-8", "surrogatepass")), "big", signed=True)
 
-def winning_paths(pages: DataFrame) -> DataFrame:
-    """Rows (host, paths): each host's paths that at least a twentieth of the best path's score went to, best first."""
-    votes = pages.select("host", "html").mapInArrow(_vote, "host string, path string, score double, votes long")
-    sums = votes.groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
-    order = Window.partitionBy("host").orderBy(F.desc("score"), "path")
-    ranked = sums.withColumn("place", F.row_number().over(order)).where("place <= 8")
-    best = ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path", "score"))).alias("w"))
-    return best.select("host", F.transform(F.filter("w", lambda x: x["score"] * 20 >= F.get("w", F.lit(0))["score"]), lambda x: x["path"]).alias("paths"))
 
-
-def _paths_of(page: str) -> set[str]:
-    return {node.path for node, text in parse(page) if text is not None and not node.dropped and not text.isspace()}
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's containers: the path's key, its score on the page and, for the best VOTES, its vote."""
+    schema = pa.schema([("host", pa.string()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("path", pa.int64()), ("score", pa.float64()), ("vote", pa.float64())])
+    for b in batches:
+        place, keys, scores, votes = [], [], [], []
+        for k, page in enumerate(b.column("html").to_pylist()):
+            score = _weigh(page) if page else {}
+            total = sum(v for v in score.values() if v > 0) or 1.0
+            best = {p for p, _ in _best(score)}
+            for path, v in score.items():
+                place.append(k)
+                keys.append(path_key(path))
+                scores.append(v / total)
+                votes.append(v / total if path in best else 0.0)
+        at = pa.array(place, pa.int64())
+        own = [b.column(c).take(at) for c in ("host", "_k1", "_k2")]
+        yield pa.record_batch([*own, pa.array(keys, pa.int64()), pa.array(scores, pa.float64()), pa.array(votes, pa.float64())], schema=schema)
+
+
+def chosen_paths(pages: DataFrame) -> DataFrame:
+    """Rows (_k1, _k2, path): of the paths that a page has and its host voted for, the one with the most votes by page that has it.
+
+    A vote is compared with the pages that could give it: a common ancestor of several layouts doesn't beat each layout's own
+    container by being on every page, and a rare layout isn't lost to common ones."""
+    weights = staged(pages.select("host", "_k1", "_k2", "html").mapInArrow(_weights, "host string, _k1 long, _k2 long, path long, score double, vote double"), "paths")
+    voted = weights.groupBy("host", "path").agg((F.sum("vote") / F.count("*")).alias("mean")).where("mean > 0").select("host", "path", F.round("mean", 6).alias("mean"))
+    met = weights.where("score > 0").join(voted, ["host", "path"])
+    return met.groupBy("_k1", "_k2").agg(F.max(F.struct("mean", "score", "path")).alias("best")).select("_k1", "_k2", "best.path")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for b in batches:
         out = []
-        for page, paths in zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), strict=True):
-            there = _paths_of(page) if page and paths else set()
-            path = next((p for p in paths or () if any(f"{t}/".startswith(f"{p}/") for t in there)), None)
-            text = main_text(page, path)
-            if not text and path is None and page:
-                text = main_text(page, next((p for p, _ in best_paths(page)), None))
-            out.append(text)
+        for page, key in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True):
+            path = _path_of(page, key) if page and key is not None else None
+            if path is None:
+                path = next((p for p, _ in best_paths(page)), None)
+            out.append(main_text(page, path))
         n = np.array([len(t) for t in out], np.int64)
         yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), n], schema=schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each row of pages (page_id, url, html)."""
-    src = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    winners = winning_paths(src).select("host", "paths", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = src.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int"))
-    joined = salted.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
+    host = host_of(F.col("url"))
+    src = pages.select("page_id", "url", "html", host.alias("host"))
+    # rows with the same keys have the same host and page, and so the same path
+    src = src.withColumns({"_k1": F.coalesce(F.col("page_id").cast("long"), F.lit(0)), "_k2": F.xxhash64("host", "html")})
+    joined = src.join(chosen_paths(src), ["_k1", "_k2"], "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

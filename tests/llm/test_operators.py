@@ -294,6 +294,30 @@ def test_extraction(spark):
     assert got[7].text == got[8].text == "" and got[9].text == "only this"
 
 
+def test_extraction_of_many_layouts(spark):
+    """A host of many layouts, common ones and one of a single page: each page's text is that of its own container."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(200)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+    layouts = ["alpha", "beta"] * 40 + [f"lay{'abcdefghij'[k]}" for k in range(10)] * 3 + ["lonely"]
+    for k, name in enumerate(layouts):
+        text = say(80)
+        rows.append((k, f"http://many.org/{k}", f"<html><body><div class='wrap{name}'><div class='top{name}'>{say(6)}</div><div class='content{name}'><p>{text}</p></div></div></body></html>"))
+        want[k] = text
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_deep_pages():
+    deep = "<div>" * 450
+    page = f"<html><body>{deep}<script>if (a < b) x('</div><p>bad</p>')</script><div>inner</div> still{'</div>' * 450}<nav>no</nav>after</body></html>"
+    assert html_extraction.main_text(page, None) == "inner still after"
+    # end tags of elements that weren't opened don't close others
+    page = f"<html><body><div class='top'>{'<div>' * 450}x{'</div>' * 450} last</div></body></html>"
+    assert html_extraction.main_text(page, "/html/body/div.top") == "x last"
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, name):
     a, b, mine, theirs = both(spark, queries.queries()[name], queries.oracle_sql()[name], DATA)
