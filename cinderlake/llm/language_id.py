@@ -5,8 +5,8 @@ the word itself (the lexicon), hashed into one table of weights for each languag
 are learned too. Forward-backward labels every word of a text, so text that switches between languages keeps both;
 a document's language is the one with most of its words' probability, and that share is its score.
 
-The field is trained on a bounded sample of labelled rows: SAMPLE of them with LONGEST characters at most. All
-documents are labelled over their whole texts.
+The field is trained on a bounded sample of labelled rows: SAMPLE distinct ones with LONGEST characters at most, the
+same choice at every size. All documents are labelled over their whole texts.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; if there is nothing to learn from, all
 texts are `und`; rows with a null id are learned from; repeated rows are labelled each; extra columns are left out.
@@ -128,11 +128,12 @@ class Field:
 def train(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Field | None:
     """docs: text, lang. None if there is no labelled row."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= longest))
-    # of many rows, only those of small hashes are put in order; the first `sample` are the same
     h = F.xxhash64("text", "lang")
-    n = usable.count()
-    drawn = usable if n <= 8 * sample else usable.where(F.pmod(F.xxhash64(h), F.lit(n)) < 4 * sample)
-    rows = drawn.select("text", "lang").orderBy(F.xxhash64(h), h).limit(sample).toArrow()
+    # the smallest hashes of distinct rows, at any size; texts are met afterwards
+    keys = usable.select(h.alias("h")).distinct().orderBy(F.xxhash64("h"), "h").limit(sample)
+    # as many rows as the sample has
+    met = usable.select(h.alias("h"), "text", "lang").join(F.broadcast(keys), "h", "left_semi")
+    rows = met.groupBy("h").agg(F.min(F.struct("lang", "text")).alias("row")).orderBy(F.xxhash64("h"), "h").select("row.text", "row.lang").toArrow()
     if not rows.num_rows:
         return None
     return Field.fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())

@@ -284,6 +284,16 @@ def test_languages(spark, empty):
     assert {r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
+def test_copies_do_not_fill_the_language_sample(spark, monkeypatch):
+    """The sample is the same distinct rows, however often each occurs."""
+    seen = []
+    monkeypatch.setattr(language_id.Field, "fit", classmethod(lambda cls, texts, labels: seen.append(list(zip(texts, labels, strict=True)))))
+    rows = [(f"text {k} of its language", "en" if k % 2 else "de") for k in range(30)]
+    for many in (rows, rows * 40, rows + rows[:1] * 3000, rows * 2 + rows[1:2] * 3000):
+        language_id.train(spark.createDataFrame(many, "text string, lang string"), sample=12)
+    assert len(set(seen[0])) == 12 and all(x == seen[0] for x in seen)
+
+
 def test_extraction(spark):
     body = "<p>First &amp; long paragraph of the article, with several words.</p><p>Second  one\n here with <b>bold</b> text.</p>"
     page = f"<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='post-12'>{body}</div><div id='comments'>bad</div><script>x</script><footer>foot</footer></body></html>"
