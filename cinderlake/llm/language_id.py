@@ -28,7 +28,7 @@ SAMPLE = 2_500
 LONGEST = 20_000
 BUCKETS = 1 << 18
 EPOCHS = 4
-#: Longest word, in bytes, whose n-grams all count; of longer ones those of the first bytes do.
+#: Longest word, in bytes, that is one position of the chain; longer ones are runs of so many bytes, each a position.
 WORD_BYTES = 64
 
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -48,7 +48,7 @@ def _features(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole = np.stack([(h * np.uint64(64) + kind) for h, kind in found], 1)
     parts = [(whole.ravel(), np.repeat(np.arange(len(at)), whole.shape[1]))]
     for n in (2, 3):
-        count = np.maximum(np.minimum(size, WORD_BYTES) - n + 1, 0)
+        count = np.maximum(size - n + 1, 0)
         row = np.repeat(np.arange(len(at)), count)
         place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + start[row]
         parts.append((gram_hashes(data, place, n) * np.uint64(64) + np.uint64(40 + n), row))
@@ -59,6 +59,18 @@ def _features(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.searchsorted(row[order], np.arange(len(at)))
 
 
+def _runs(texts: pa.Array) -> Words:
+    """The words, long ones (text without spaces) as runs of WORD_BYTES bytes; runs share two bytes, so no n-gram is lost."""
+    w = Words(texts)
+    step = WORD_BYTES - 2
+    count = np.maximum(-(-(w.end - w.start - 2) // step), 1)
+    if (count > 1).any():
+        total = np.concatenate([[0], np.cumsum(count)])
+        start = np.repeat(w.start, count) + step * (np.arange(total[-1]) - np.repeat(total[:-1], count))
+        w.start, w.end, w.first = start, np.minimum(start + WORD_BYTES, np.repeat(w.end, count)), total[w.first]
+    return w
+
+
 def _distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct word, and the number of the distinct word at each place."""
     _, at, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
@@ -99,7 +111,7 @@ class Field:
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
                 pick = order[i : i + batch]
-                w = Words(pa.array([texts[j] for j in pick], pa.large_string()))
+                w = _runs(pa.array([texts[j] for j in pick], pa.large_string()))
                 if not len(w):
                     continue
                 at, inverse = _distinct(w)
@@ -149,7 +161,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                share = field.shares(Words(b.column("text")))
+                share = field.shares(_runs(b.column("text")))
                 total = share.sum(1)
                 there = b.column("letters").to_numpy(zero_copy_only=False) & (total > 0)
                 best = share.argmax(1)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -294,6 +295,17 @@ def test_copies_do_not_fill_the_language_sample(spark, monkeypatch):
     assert len(set(seen[0])) == 12 and all(x == seen[0] for x in seen)
 
 
+def test_text_without_spaces_is_read_to_its_end():
+    rng = random.Random(5)
+    words = {"en": "the and of house river with that they".split(), "de": "und das nicht haus fluss mit dass sie".split()}
+    say = lambda lang, n, gap="": gap.join(rng.choice(words[lang]) for _ in range(n))
+    langs = ["en", "de"] * 60
+    field = language_id.Field.fit([say(x, rng.randint(3, 40), rng.choice(["", " "])) for x in langs], langs)
+    texts = [say("en", 30) + say("de", 400), say("de", 30) + say("en", 400), say("en", 400) + " und das nicht", say("de", 400) + " the and of"]
+    got = field.shares(language_id._runs(pa.array(texts))) if hasattr(language_id, "_runs") else field.shares(language_id.Words(pa.array(texts)))
+    assert [field.langs[k] for k in got.argmax(1)] == ["de", "en", "en", "de"]
+
+
 def test_extraction(spark):
     body = "<p>First &amp; long paragraph of the article, with several words.</p><p>Second  one\n here with <b>bold</b> text.</p>"
     page = f"<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class='post-12'>{body}</div><div id='comments'>bad</div><script>x</script><footer>foot</footer></body></html>"
