@@ -37,7 +37,7 @@ BOXES = """
 SELECT o_orderkey AS id, CAST(o_custkey * 37 % 300 AS DOUBLE) / 10 AS w, CAST(o_orderkey * 61 % 300 AS DOUBLE) / 10 AS s,
   CAST(o_custkey * 37 % 300 + 5 + o_orderkey % 9 AS DOUBLE) / 10 AS e, CAST(o_orderkey * 61 % 300 + 4 + o_custkey % 7 AS DOUBLE) / 10 AS n,
   CASE WHEN o_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS partition
-FROM {orders} WHERE o_orderkey % 5 = 0
+FROM {orders}
 """
 
 # the pixels' form in SQL; in Spark the vectors are paired before they are spread

@@ -441,7 +441,7 @@ def a27_group_sums(t: Tables) -> DataFrame:
 
 @query()
 def a28_paired_bootstrap(t: Tables) -> DataFrame:
-    return evaluation.paired_bootstrap(t.counts(), "first", "second", draws=400)
+    return evaluation.paired_bootstrap(t.counts(), "first", "second", draws=2000)
 
 
 @query(f"""WITH {N}, s AS (SELECT model, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (tp = 0 AND fn > 0) AS missed_samples FROM n GROUP BY model),

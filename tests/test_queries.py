@@ -22,3 +22,16 @@ def test_query_without_sql_runs(spark, name):
 
 def test_flagship(spark):
     assert core.flagship(spark, str(DATA)).count() > 0
+
+
+def test_boxes_take_all_orders(spark):
+    t = core.Tables(spark, str(DATA))
+    assert t.boxes().count() == t.read("orders").count()
+    for name in ("j10_overlapping", "j11_leaks"):
+        assert core.queries()[name](spark, str(DATA)).where("a_id % 5 != 0 and b_id % 5 != 0").limit(1).count() == 1
+
+
+def test_bootstrap_takes_2000_draws(spark):
+    t = core.Tables(spark, str(DATA))
+    want = core.evaluation.paired_bootstrap(t.counts(), "first", "second", draws=2000).first()
+    assert core.queries()["a28_paired_bootstrap"](spark, str(DATA)).first() == want
