@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.operators.numbering import numbered
+
 
 def ratio_or_zero(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
@@ -66,40 +65,39 @@ def group_sums(rows: DataFrame, group: str, model: str = "model") -> DataFrame:
     return rows.groupBy(group, model).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
-def _percentile(values: list[float], q: float) -> float:
-    order = sorted(values)
-    at = q * (len(order) - 1)
-    low = int(at)
-    high = min(low + 1, len(order) - 1)
-    return order[low] + (order[high] - order[low]) * (at - low)
+def draw(kind: str, number: Column, place: Column, n: Column) -> Column:
+    """A place from 1 to n, drawn with replacement: the remainder of a hash, so that reruns and other engines agree."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(kind), number.cast("string"), place.cast("string"))), 1, 12)
+    return F.conv(digits, 16, 10).cast("long") % n + 1
+
+
+def drawn_groups(groups: DataFrame, draws: int, kind: str) -> DataFrame:
+    """Rows (draw, place): for each draw as many places, from 1, as there are groups.
+
+    groups: one row per group. The places of all draws are made in parallel, draws x groups rows."""
+    n = groups.agg(F.count("*").alias("n"))  # one row
+    spread = groups.sparkSession.range(1, draws + 1).select(F.col("id").alias("draw")).join(F.broadcast(n))
+    picks = spread.select("draw", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("pick"))
+    return picks.select("draw", draw(kind, F.col("draw"), F.col("pick"), F.col("n")).alias("place"))
 
 
-def paired_bootstrap(rows: DataFrame, first: str, second: str, group: str = "group_id", draws: int = 1000, seed: int = 7) -> DataFrame:
+def paired_bootstrap(rows: DataFrame, first: str, second: str, group: str = "group_id", draws: int = 1000, kind: str = "pairs") -> DataFrame:
     """IoU of `second` less that of `first`, with a 95 % interval over resampled groups, and a verdict.
 
-    Sums per group are made in Spark; the draws need one table of a row per group, in a single task."""
-    sums = group_sums(rows.where(F.col("model").isin(first, second)), group).withColumn("one", F.lit(1))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {(g, m): (tp, fp, fn) for g, m, tp, fp, fn in zip(pdf[group], pdf["model"], pdf["tp"], pdf["fp"], pdf["fn"], strict=True)}
-        groups = sorted({g for g, _ in table})
-        if len(groups) < 2:
-            raise ValueError("a comparison needs at least two groups")
-
-        def delta(picked: list) -> float:
-            out = []
-            for m in (first, second):
-                s = [sum(table.get((g, m), (0, 0, 0))[k] for g in picked) for k in range(3)]
-                out.append(s[0] / sum(s) if sum(s) else 0.0)
-            return out[1] - out[0]
-
-        rng = random.Random(seed)
-        drawn = [delta(rng.choices(groups, k=len(groups))) for _ in range(draws)]
-        low, high = _percentile(drawn, 0.025), _percentile(drawn, 0.975)
-        verdict = "better" if low > 0 else "worse" if high < 0 else "inconclusive"
-        return pd.DataFrame({"groups": [len(groups)], "delta": [delta(groups)], "low": [low], "high": [high], "verdict": [verdict]})
-
-    return sums.groupBy("one").applyInPandas(run, "groups long, delta double, low double, high double, verdict string")
+    Groups are drawn with replacement; a draw's counts are the sums of its groups', and each draw is an aggregate of its
+    own, so no table of groups or draws is in one task."""
+    total = lambda model, c: F.sum(F.when(F.col("model") == model, F.col(c)).otherwise(0)).alias(f"{c}_{'ab'[model == second]}")
+    names = [f"{c}_{k}" for k in "ab" for c in ("tp", "fp", "fn")]
+    own = rows.where(F.col("model").isin(first, second)).groupBy(group).agg(*[total(m, c) for m in (first, second) for c in ("tp", "fp", "fn")])
+    own = numbered(own, group, out="place")
+    gated(own.agg(F.count("*").alias("n")), F.col("n") < 2, "a comparison needs at least two groups")
+    ratio = lambda k: ratio_or_zero(F.col(f"tp_{k}"), F.col(f"tp_{k}") + F.col(f"fp_{k}") + F.col(f"fn_{k}"))
+    sums = [F.sum(c).alias(c) for c in names]
+    each = drawn_groups(own, draws, kind).join(own, "place").groupBy("draw").agg(*sums).select((ratio("b") - ratio("a")).alias("d"))
+    ends = each.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
+    whole = own.agg(F.count("*").alias("groups"), *sums).select("groups", (ratio("b") - ratio("a")).alias("delta"))
+    verdict = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("inconclusive")
+    return whole.crossJoin(F.broadcast(ends)).withColumn("verdict", verdict)  # one row each
 
 
 def group_influence(rows: DataFrame, group: str = "group_id") -> DataFrame:

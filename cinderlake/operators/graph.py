@@ -1,37 +1,117 @@
-"""Connected components of an edge table, as alternating star joins."""
+"""Connected components of an edge table, by contraction.
+
+Every partition first replaces its edges by spanning stars, which join the same nodes with fewer edges than nodes.
+While there are more than STEP edges, each node goes, round by round, into the one of its neighbours and itself that has
+the smallest hash of that round, and edges are told between what nodes went into; edges within one node vanish. A round
+leaves a fraction of the nodes, whatever the graph's shape. What nodes went into is one table a round, and its joins
+have one row per node on one side and plain rows on the other, so a hub's edges can be split among tasks. The last
+edges, STEP at most, are one partition, whose stars are the components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cinderlake.staging import staged
+from cinderlake.staging import discard, staged
+
+#: Edges that a partition replaces at once: some 100 MB of a worker.
+STEP = 1_000_000
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the edges a-b over n nodes: nodes and their roots, by hooking and jumping."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    node = np.flatnonzero(root != np.arange(n))
+    return node, root[node]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+    rows = 0
+
+    def contracted() -> np.ndarray:
+        nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        node, root = spanning(*ends.reshape(2, -1), len(nodes))
+        return np.stack([nodes[node], nodes[root]])
+
+    for b in batches:
+        held.append(np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()]))
+        rows += b.num_rows
+        if rows >= STEP:
+            # the stars stay for the next step, unless they are too many themselves
+            held = [contracted()]
+            rows = held[0].shape[1]
+            if rows >= STEP // 2:
+                yield pa.record_batch(list(held[0]), names=["u", "v"])
+                held, rows = [], 0
+    if rows:
+        yield pa.record_batch(list(contracted()), names=["u", "v"])
+
+
+def _labelled(edges: DataFrame, most_rounds: int) -> tuple[DataFrame, bool]:
+    """Rows (u, root), and whether the root is the component's smallest node."""
+    long = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u != v")
+
+    def contracted(links: DataFrame) -> tuple[DataFrame, int]:
+        told = Observation()
+        out = staged(links.mapInArrow(_stars, "u long, v long"), "links", told, F.count(F.lit(1)).alias("n"))
+        return out, told.get["n"]
 
+    now, n = contracted(long)
+    rounds: list[DataFrame] = []
+    while n > STEP:
+        if len(rounds) == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        rank = F.xxhash64("v", F.lit(len(rounds)))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        into = both.groupBy("u").agg(F.min(F.struct(rank.alias("h"), "v")).alias("best"))
+        own = F.struct(F.xxhash64("u", F.lit(len(rounds))).alias("h"), F.col("u").alias("v"))
+        at = staged(into.select("u", F.least("best", own)["v"].alias("root")), "into")
+        rounds.append(at)
+        ends = now.join(at.select("u", F.col("root").alias("a")).hint("merge"), "u").join(at.select(F.col("u").alias("v"), F.col("root").alias("b")).hint("merge"), "v")
+        last = now
+        now, n = contracted(ends.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        discard(last)
+    # STEP edges at most, so one task holds them
+    stars = now.coalesce(1).mapInArrow(_stars, "u long, v long")
+    rounds.append(staged(stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct()).select("u", F.col("v").alias("root")), "into"))
+    discard(now)
+    out = rounds[0]
+    for further in rounds[1:]:
+        step = further.select(F.col("u").alias("root"), F.col("root").alias("to")).hint("merge")
+        joined = staged(out.join(step, "root", "left").select("u", F.coalesce("to", "root").alias("root")), "roots")
+        discard(further)
+        discard(out)
+        out = joined
+    # a star's root is its smallest node
+    return out, len(rounds) == 1
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u != v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
+def representatives(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """Rows (u, root): for each node that has an edge to another, a node of its component, the same for all of it.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    kept = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return kept.union(least.select("u", F.col("m").alias("v"))).distinct()
+    edges: columns u, v (longs). Null ends and loops tell nothing."""
+    return _labelled(edges, most_rounds)[0]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Rows (u, root): the smallest node reachable from each node that has an edge, the roots themselves left out.
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """Rows (u, root): the smallest node reachable from each node that has an edge to another, that node itself included.
 
-    edges: columns u, v of one orderable type. Every round is written to the shared folder, so lineage stays
-    short; edges between rounds never exceed the input's. Nothing but two sums per round reaches the driver."""
-    now = staged(edges.select("u", "v").where("u != v"), "links")
-    last = None
-    for _ in range(most_rounds):
-        now = staged(_small_star(_large_star(now)), "links")
-        sign = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if sign == last:
-            return now.select("u", F.col("v").alias("root"))
-        last = sign
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    edges: columns u, v (longs)."""
+    found, smallest = _labelled(edges, most_rounds)
+    if smallest:
+        return found
+    least = staged(found.groupBy("root").agg(F.min("u").alias("least")), "least")
+    return found.join(least.hint("merge"), "root").select("u", F.col("least").alias("root"))

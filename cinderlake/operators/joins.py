@@ -72,11 +72,20 @@ def first_after(left: DataFrame, right: DataFrame, key: list[str], at: str, take
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: list[str], id_: str, at: str, other: str, other_at: str) -> DataFrame:
-    """left's ids with the id of right's row nearest in time; of equal ones the smaller id."""
-    met = left.join(right, key)
-    gap = F.abs(F.unix_micros(at) - F.unix_micros(other_at))
-    w = Window.partitionBy(id_).orderBy("_gap", other)
-    return met.withColumn("_gap", gap).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(id_, other, F.col("_gap").alias("gap_us"))
+    """left's ids with the id of right's row nearest in time; of equal ones the smaller id. Rows without any are left out.
+
+    Both sides are put in one order by time, and each row of left takes the last row of right that isn't later and the
+    first that isn't earlier: no row of left meets more than two."""
+    per_time = right.groupBy(*key, F.col(other_at).alias("_t")).agg(F.min(other).alias("_id"))
+    right_rows = per_time.withColumn("_r", F.struct("_t", "_id")).drop("_id")
+    left_rows = left.select(*key, id_, F.col(at).alias("_t"))
+    both = left_rows.withColumn("_left", F.lit(1)).unionByName(right_rows.withColumn("_left", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*key)
+    before = F.last("_r", ignorenulls=True).over(w.orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_t"), "_left").rowsBetween(Window.unboundedPreceding, 0))
+    gap = lambda r: F.when(r.isNotNull(), F.struct(F.abs(F.unix_micros(r["_t"]) - F.unix_micros("_t")).alias("gap"), r["_id"].alias("id")))
+    met = both.withColumns({"_b": before, "_a": after}).where("_left = 1").withColumn("_n", F.least(gap(F.col("_b")), gap(F.col("_a"))))
+    return met.where("_n is not null").select(id_, F.col("_n.id").alias(other), F.col("_n.gap").alias("gap_us"))
 
 
 def violations(pairs: DataFrame) -> DataFrame:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import hashlib
-import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from cinderlake.functions import geo
 from cinderlake.operators.graph import components
+from cinderlake.staging import staged
 
 
 @dataclass(frozen=True)
@@ -45,39 +45,101 @@ def last_of_key(rows: DataFrame, key: tuple[str, ...], order: str = "ordinal") -
     return first_of_key(rows.withColumn("_o", -F.col(order)), key, "_o").drop("_o")
 
 
-def near_pairs(detections: DataFrame, radius_m: float, gap_hours: float) -> DataFrame:
-    """Pairs (u, v), u < v, of detections within the radius and the gap in time.
+def _half_neighbours(row: Column, lon: Column, period: Column, size_m: float) -> Column:
+    """Of the nine cells and three periods around a point, those that come after its own in order, and its own.
 
-    Points are keyed by cell and by period of one gap; each point looks in the nine cells and the two neighbouring
-    periods, so only nearby candidates meet, never all pairs."""
-    gap_us = int(gap_hours * 3_600_000_000)
-    us = F.unix_micros(F.col("acquired_at"))
-    points = geo.with_cell(detections.select("ordinal", "latitude", "longitude", "acquired_at"), radius_m)
-    points = points.withColumn("us", us).withColumn("period", F.floor(us / F.lit(gap_us)))
-    left = points.withColumn("cell", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), radius_m)))
-    left = left.withColumn("p", F.explode(F.array(F.col("period") - 1, F.col("period"), F.col("period") + 1)))
-    left = left.select(F.col("ordinal").alias("a"), F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"), F.col("us").alias("us_a"), F.col("cell.cell_row").alias("cell_row"), F.col("cell.cell_col").alias("cell_col"), F.col("p").alias("period"))
-    right = points.select(F.col("ordinal").alias("b"), "latitude", "longitude", "us", "cell_row", "cell_col", "period")
-    met = left.join(right, ["cell_row", "cell_col", "period"]).where("a < b")
-    close = (F.abs(F.col("us_a") - F.col("us")) <= gap_us) & (geo.distance_m(F.col("lat_a"), F.col("lon_a"), F.col("latitude"), F.col("longitude")) <= radius_m)
-    return met.where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    Two neighbours see each other in one direction only: by row, then column, then period."""
+    place = lambda dy, dx, dt: F.struct((row + dy).alias("cell_row"), (geo.cell_col(lon, row + dy, size_m) + dx).alias("cell_col"), (period + dt).alias("period"))
+    cells = [place(0, 0, dt) for dt in (0, 1)] + [place(0, dx, dt) for dx in (1, 2) for dt in (-1, 0, 1)] + [place(1, dx, dt) for dx in (-2, -1, 0, 1, 2) for dt in (-1, 0, 1)]
+    return F.array(*cells)
 
 
-def event_members(detections: DataFrame, rules: EventRules = EventRules()) -> DataFrame:
-    """detections with event_root, the smallest ordinal of its component of near pairs."""
-    roots = components(near_pairs(detections, rules.radius_m, rules.gap_hours))
-    return detections.join(roots, detections.ordinal == roots.u, "left").withColumn("event_root", F.coalesce("root", "ordinal")).drop("u", "root")
+def _met(points: DataFrame, carried: list[str], size_m: float) -> DataFrame:
+    """Pairs of neighbours, each once: columns a_* and b_* of what is carried, and whether both share cell and period.
+
+    points: cell_row, cell_col, period, longitude. A row's columns are as wide as its own latitude says, so two points
+    within a cell's size may be two columns apart."""
+    left = points.select(*[F.col(c).alias(f"a_{c}") for c in carried], "cell_row", "cell_col", "period", F.explode(_half_neighbours(F.col("cell_row"), F.col("longitude"), F.col("period"), size_m)).alias("n"))
+    same = (F.col("cell_row") == F.col("n.cell_row")) & (F.col("cell_col") == F.col("n.cell_col")) & (F.col("period") == F.col("n.period"))
+    left = left.select(*[f"a_{c}" for c in carried], same.alias("same"), "n.cell_row", "n.cell_col", "n.period")
+    right = points.select(*[F.col(c).alias(f"b_{c}") for c in carried], "cell_row", "cell_col", "period")
+    return left.join(right.hint("merge"), ["cell_row", "cell_col", "period"])
 
 
-@F.pandas_udf(StringType())
-def event_id(lat: pd.Series, lon: pd.Series, at: pd.Series) -> pd.Series:
-    """FIRE- and twelve digits of the hash of an event's earliest detection; the text is Python's formatting."""
+def near_pairs(detections: DataFrame, radius_m: float, gap_hours: float) -> DataFrame:
+    """Pairs (u, v), u < v, of detections within the radius and the gap in time: as many as there are.
+
+    Points are keyed by cell and by period of one gap; each meets the later half of the cells and periods around it."""
+    gap_us = int(gap_hours * 3_600_000_000)
+    points = geo.with_cell(detections.select("ordinal", "latitude", "longitude", F.unix_micros("acquired_at").alias("us")), radius_m)
+    points = points.withColumn("period", F.floor(F.col("us") / F.lit(gap_us)))
+    met = _met(points, ["ordinal", "latitude", "longitude", "us"], radius_m).where("not same or a_ordinal < b_ordinal")
+    close = (F.abs(F.col("a_us") - F.col("b_us")) <= gap_us) & (geo.distance_m(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= radius_m)
+    return met.where(close).select(F.least("a_ordinal", "b_ordinal").alias("u"), F.greatest("a_ordinal", "b_ordinal").alias("v"))
 
-    def one(a: float, b: float, t: pd.Timestamp) -> str:
-        when = t.to_pydatetime().replace(tzinfo=dt.timezone.utc).isoformat()
-        return "FIRE-" + hashlib.sha256(f"{a:.4f}|{b:.4f}|{when}".encode()).hexdigest()[:12]
 
-    return pd.Series([one(*x) for x in zip(lat, lon, at, strict=True)])
+def _block(row: Column, lat: Column, lon: Column, size_m: float) -> tuple[Column, Column]:
+    """Cell of at most size_m by size_m at any of its latitudes: columns are measured at the row's edge next the equator."""
+    step = size_m / geo.METRES
+    widest = F.when((row < 0) & (row + 1 > 0), F.lit(0.0)).otherwise(F.least(F.abs(row * step), F.abs((row + 1) * step)))
+    return row, F.floor(lon * geo.METRES * F.greatest(F.cos(F.radians(widest)), F.lit(1e-6)) / size_m)
+
+
+def event_members(detections: DataFrame, rules: EventRules = EventRules()) -> DataFrame:
+    """detections with event_root, the smallest ordinal of its component of near pairs.
+
+    Pairs aren't listed. Detections of one place and one period of a gap's length are one unit with its first and last
+    time, which say all that time can about its neighbours. Units of one block, half a radius wide, and one period are near
+    each other whatever their places, so a block is one node, named by its smallest ordinal; only units of different
+    blocks are compared, and what comes of it is links of blocks."""
+    gap_us = int(rules.gap_hours * 3_600_000_000)
+    us = F.unix_micros("acquired_at")
+    keyed = detections.select("ordinal", "latitude", "longitude", us.alias("us"), F.floor(us / F.lit(gap_us)).alias("period"))
+    units = keyed.groupBy("latitude", "longitude", "period").agg(F.min("us").alias("from"), F.max("us").alias("to"), F.min("ordinal").alias("least"))
+    half = rules.radius_m / 2
+    b_row, b_col = _block(geo.cell_row(F.col("latitude"), half), F.col("latitude"), F.col("longitude"), half)
+    node = F.min("least").over(Window.partitionBy("b_row", "b_col", "period"))
+    units = staged(units.withColumns({"b_row": b_row, "b_col": b_col}).withColumn("node", node).drop("b_row", "b_col", "least"), "units")
+    met = _met(geo.with_cell(units, rules.radius_m), ["latitude", "longitude", "from", "to", "period", "node"], rules.radius_m).where("a_node != b_node")
+    # within one period all times are within a gap; of two periods in a row, the earlier's last and the later's first count
+    apart = F.when(F.col("a_period") < F.col("b_period"), F.col("b_from") - F.col("a_to")).when(F.col("a_period") > F.col("b_period"), F.col("a_from") - F.col("b_to")).otherwise(F.lit(0))
+    close = (apart <= gap_us) & (geo.distance_m(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude")) <= rules.radius_m)
+    links = met.where(close).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
+    roots = components(links)
+    named = units.join(roots, units.node == roots.u, "left").select("latitude", "longitude", "period", F.coalesce("root", "node").alias("event_root"))
+    dealt = detections.withColumn("_period", F.floor(us / F.lit(gap_us)))
+    return dealt.join(named.withColumnRenamed("period", "_period").hint("merge"), ["latitude", "longitude", "_period"]).select(*detections.columns, "event_root")
+
+
+def four_decimals(x: Column) -> Column:
+    """A number with four decimals, rounded by its exact value (ties to even), as printf in C or Python does.
+
+    The fraction is taken in two parts of few bits, whose products with 10 000 are exact."""
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole
+    head = F.floor(part * (1 << 26)) / F.lit(float(1 << 26))
+    up = F.floor(head * 10_000)
+    rest = (head * 10_000 - up) + (part - head) * 10_000
+    n = (up + F.floor(rest)).cast("long")
+    rest = rest - F.floor(rest)
+    n = n + F.when((rest > 0.5) | ((rest == 0.5) & (n % 2 == 1)), 1).otherwise(0)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    return F.concat(sign, (whole + F.when(n == 10_000, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0"))
+
+
+def iso_utc(at: Column) -> Column:
+    """A time as ISO 8601 in UTC, with microseconds if there are any; whatever the session's time zone."""
+    us = F.unix_micros(at)
+    day = F.floor(us / 86_400_000_000).cast("int")
+    second, micros = F.pmod(F.floor(us / 1_000_000), F.lit(86_400)), F.pmod(us, F.lit(1_000_000))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    tail = F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), F.lit("T"), two(second / 3600), F.lit(":"), two(second % 3600 / 60), F.lit(":"), two(second % 60), tail, F.lit("+00:00"))
+
+
+def event_id(lat: Column, lon: Column, at: Column) -> Column:
+    """FIRE- and twelve digits of the hash of an event's earliest detection: its place to four decimals and its time."""
+    return F.concat(F.lit("FIRE-"), F.substring(F.sha2(F.concat_ws("|", four_decimals(lat), four_decimals(lon), iso_utc(at)), 256), 1, 12))
 
 
 def events(members: DataFrame) -> DataFrame:
@@ -91,7 +153,7 @@ def events(members: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("sensor")).alias("sensors"), first.alias("_first"),
     )
     days = (F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 86_400_000_000
-    return rows.withColumn("duration_days", days).withColumn("event_id", event_id("_first.latitude", "_first.longitude", "_first.acquired_at")).drop("_first")
+    return rows.withColumn("duration_days", days).withColumn("event_id", event_id(F.col("_first.latitude"), F.col("_first.longitude"), F.col("_first.acquired_at"))).drop("_first")
 
 
 def history(members: DataFrame) -> DataFrame:
@@ -106,58 +168,74 @@ def history_depth(detections: DataFrame, window_days: int) -> DataFrame:
 
 
 def _leaders(radius_m: float):
-    """Clusters of one block of cells, by one pass in order of time: the nearest running centroid within the radius."""
+    """One pass over each block of cells in order of time: a detection joins the nearest running centroid within the
+    radius, or opens a cluster in its own cell. Clusters are found by the cell that they were opened in, in three
+    runs of cells (codes that follow each other). What is held is the clusters of one block.
+
+    Rows come sorted by block, time and ordinal, in batches that may cut a block."""
     step = radius_m / geo.METRES
 
-    def lon_step(row: int) -> float:
-        return radius_m / (geo.METRES * max(math.cos(math.radians(row * step)), 1e-6))
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        rows = block.sort_values(["acquired_at", "ordinal"], kind="stable")
-        seeds: dict[tuple[int, int], list[int]] = {}
-        lat_sum, lon_sum, count, leader = [], [], [], []
-        mine = []
-        for lat, lon, ordinal in zip(rows.latitude, rows.longitude, rows.ordinal, strict=True):
-            row = math.floor(lat / step)
-            best, nearest = -1, radius_m
-            for r in (row - 1, row, row + 1):
-                col = math.floor(lon / lon_step(r))
-                for c in (col - 1, col, col + 1):
-                    for k in seeds.get((r, c), ()):
-                        y, x = lat_sum[k] / count[k], lon_sum[k] / count[k]
-                        d = math.hypot((x - lon) * geo.METRES * math.cos(math.radians((y + lat) / 2)), (y - lat) * geo.METRES)
-                        if d <= nearest:
-                            best, nearest = k, d
-            if best < 0:
-                best = len(count)
-                seeds.setdefault((row, math.floor(lon / lon_step(row))), []).append(best)
-                lat_sum.append(0.0)
-                lon_sum.append(0.0)
-                count.append(0)
-                leader.append(ordinal)
-            lat_sum[best] += lat
-            lon_sum[best] += lon
-            count[best] += 1
-            mine.append(best)
-        return pd.DataFrame({"ordinal": rows.ordinal.to_numpy(), "cluster": [leader[k] for k in mine]})
+    def code(row: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        width = step / np.maximum(np.cos(np.radians(row * step)), 1e-6)
+        return row * _ROW + np.floor(lon / width).astype(np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = None
+        for rows in batches:
+            lat, lon, ordinal = rows.latitude.to_numpy(), rows.longitude.to_numpy(), rows.ordinal.to_numpy()
+            row = np.floor(lat / step).astype(np.int64)
+            codes = np.stack([code(row + k, lon) for k in (-1, 0, 1)], 1)
+            out = np.empty(len(rows), np.int64)
+            for i, b in enumerate(rows.block):
+                if b != block:
+                    block = b
+                    cells: list[int] = []  # of open clusters, in order, and beside them the clusters
+                    opened: list[int] = []
+                    centre = np.zeros((16, 3))  # sums of latitude and longitude, and their number
+                    leader: list[int] = []
+                found = []
+                for c in codes[i].tolist():
+                    found += opened[bisect_left(cells, c - 1) : bisect_right(cells, c + 1)]
+                best = -1
+                if found:
+                    own = centre[found]
+                    y, x = own[:, 0] / own[:, 2], own[:, 1] / own[:, 2]
+                    far = np.hypot((x - lon[i]) * geo.METRES * np.cos(np.radians((y + lat[i]) / 2)), (y - lat[i]) * geo.METRES)
+                    last = len(far) - 1 - int(far[::-1].argmin())  # of equal ones the later
+                    best = found[last] if far[last] <= radius_m else -1
+                if best < 0:
+                    best = len(leader)
+                    leader.append(ordinal[i])
+                    at = bisect_right(cells, codes[i, 1])
+                    cells.insert(at, int(codes[i, 1]))
+                    opened.insert(at, best)
+                    if best == len(centre):
+                        centre = np.concatenate([centre, np.zeros_like(centre)])
+                centre[best] += (lat[i], lon[i], 1)
+                out[i] = leader[best]
+            yield pd.DataFrame({"ordinal": ordinal, "cluster": out})
 
     return run
 
 
+#: Cells are told by one number: rows apart by more than any row has columns.
+_ROW = 1 << 32
+
+
 def source_clusters(detections: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """detections with cluster, the ordinal of the detection that opened its cluster.
 
     The pass depends on order, but a detection sees only the cells around it, so blocks of touching cells are
-    clustered apart from each other, in parallel."""
-    points = geo.with_cell(detections, radius_m)
-    node = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
-    cells = points.select("cell_row", "cell_col").distinct()
-    around = points.select("cell_row", "cell_col", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), radius_m)).alias("n"))
-    around = around.select("cell_row", "cell_col", F.col("n.cell_row").alias("r"), F.col("n.cell_col").alias("c")).distinct()
-    edges = around.join(cells.select(F.col("cell_row").alias("r"), F.col("cell_col").alias("c")), ["r", "c"])
-    roots = components(edges.select(node("cell_row", "cell_col").alias("u"), node("r", "c").alias("v")))
-    keyed = points.withColumn("u", node("cell_row", "cell_col")).join(roots, "u", "left").withColumn("block", F.coalesce("root", "u"))
-    found = keyed.select("block", "ordinal", "latitude", "longitude", "acquired_at").groupBy("block").applyInPandas(_leaders(radius_m), "ordinal long, cluster long")
+    clustered apart from each other, in parallel. A block is one task's work, in time by its detections; a task holds a
+    block's clusters, not its detections."""
+    code = lambda r, c: F.col(r) * F.lit(_ROW) + F.col(c)
+    points = staged(geo.with_cell(detections.select("ordinal", "latitude", "longitude", "acquired_at"), radius_m).withColumn("u", code("cell_row", "cell_col")), "cells")
+    around = points.select("u", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), radius_m)).alias("n"))
+    around = around.select("u", code("n.cell_row", "n.cell_col").alias("v")).where("u != v").distinct()
+    edges = around.join(points.select(F.col("u").alias("v")).distinct(), "v")
+    roots = components(edges)
+    keyed = points.join(roots.hint("merge"), "u", "left").select(F.coalesce("root", "u").alias("block"), "ordinal", "latitude", "longitude", "acquired_at")
+    found = keyed.repartition("block").sortWithinPartitions("block", "acquired_at", "ordinal").mapInPandas(_leaders(radius_m), "ordinal long, cluster long")
     return detections.join(found, "ordinal")
 
 

@@ -3,14 +3,14 @@ express the work, and as one row per chip with arrays where neighbourhoods do.""
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.functions import indices
+from cinderlake.operators.graph import spanning
+from cinderlake.operators.numbering import numbered
 
 
 def area_by_class(pixels: DataFrame, pixel_ha: float, by: str = "chip_id") -> DataFrame:
@@ -48,10 +48,10 @@ def compare_area(own_ha: Column, product_ha: Column, least_ha: float = 1000.0) -
 
 def ratio_summary(compared: DataFrame) -> DataFrame:
     """Smallest, upper median, largest and mean ratio of comparable rows; no row if there are none."""
-    rows = compared.where("status = 'ok' and ratio is not null and ratio != 0")
-    order = F.sort_array(F.collect_list("ratio"))
-    out = rows.agg(F.count("*").alias("n"), F.min("ratio").alias("smallest"), F.get(order, F.floor(F.size(order) / 2).cast("int")).alias("median"), F.max("ratio").alias("largest"), F.avg("ratio").alias("mean"), F.count_if(F.col("ratio") > 1).alias("above"), F.count_if(F.col("ratio") < 1).alias("below"))
-    return out.where("n > 0")
+    rows = numbered(compared.where("status = 'ok' and ratio is not null and ratio != 0").select("ratio"), "ratio")
+    sums = rows.agg(F.count("*").alias("n"), F.min("ratio").alias("smallest"), F.max("ratio").alias("largest"), F.avg("ratio").alias("mean"), F.count_if(F.col("ratio") > 1).alias("above"), F.count_if(F.col("ratio") < 1).alias("below"))
+    joined = rows.select("number", F.col("ratio").alias("median")).join(F.broadcast(sums)).where(F.col("number") == F.floor(F.col("n") / 2) + 1)  # one row
+    return joined.select("n", "smallest", "median", "largest", "mean", "above", "below")
 
 
 def focal_mean(pixels: DataFrame, value: str, k: int, out: str, by: str = "chip_id") -> DataFrame:
@@ -120,23 +120,35 @@ def slope(pixels: DataFrame, height: str, cell_m: float, by: str = "chip_id") ->
 
 
 def labelled(mask: np.ndarray, eight: bool = False) -> np.ndarray:
-    """Component numbers from 1 in reading order, 0 outside the mask."""
+    """Component numbers from 1 in reading order, 0 outside the mask.
+
+    Runs of a row are nodes, runs that touch in the next row are edges; both come from whole-array steps."""
+    h, w = mask.shape
+    wide = np.zeros((h, w + 2), bool)
+    wide[:, 1:-1] = mask
+    edge = np.diff(wide.astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)  # one past the run's last pixel
     out = np.zeros(mask.shape, np.int32)
-    steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if eight else [])
-    n = 0
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        if out[r, c]:
-            continue
-        n += 1
-        out[r, c] = n
-        queue = deque([(r, c)])
-        while queue:
-            y, x = queue.popleft()
-            for dy, dx in steps:
-                i, j = y + dy, x + dx
-                if 0 <= i < mask.shape[0] and 0 <= j < mask.shape[1] and mask[i, j] and not out[i, j]:
-                    out[i, j] = n
-                    queue.append((i, j))
+    if not len(row):
+        return out
+    reach = 1 if eight else 0
+    # of the next row, the runs that end after this one's start and start before its end
+    place = row * (2 * w + 4)
+    low = np.searchsorted(place + end, place + 2 * w + 4 + start - reach, side="right")
+    high = np.searchsorted(place + start, place + 2 * w + 4 + end + reach, side="left")
+    # a row's runs stay within its own band of places
+    count = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + low[a]
+    node, root = spanning(a, b, len(row))
+    of = np.arange(len(row))
+    of[node] = root
+    # the root is a component's first run, so numbers follow the reading order
+    number = np.unique(of, return_inverse=True)[1] + 1
+    size = end - start
+    at = np.repeat(row * w + start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out.ravel()[at] = np.repeat(number, size)
     return out
 
 
@@ -147,19 +159,23 @@ def _grid(chip: pd.DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _per_chip(pixels: DataFrame, added: str, run, by: str) -> DataFrame:
+    """pixels with the columns that run(chip) gives, whole chips at once: a chip is of bounded size."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema)
+    return pixels.groupBy(by).applyInPandas(lambda chip: chip.assign(**run(chip)), f"{fields}, {added}")
+
+
 def mask_components(pixels: DataFrame, mask: str, eight: bool = False, by: str = "chip_id") -> DataFrame:
     """pixels with component (0 outside the mask) and its size. A chip is of bounded size, so it is one group."""
-    schema = f"{by} long, row int, col int, component int, component_px long"
 
-    def run(chip: pd.DataFrame) -> pd.DataFrame:
-        number = labelled(_grid(chip, mask), eight)
+    def run(chip: pd.DataFrame) -> dict:
+        number = labelled(_grid(chip, mask).astype(bool), eight)
         size = np.bincount(number.ravel())
         size[0] = 0
         own = number[chip.row, chip.col]
-        return pd.DataFrame({by: chip[by], "row": chip.row, "col": chip.col, "component": own, "component_px": size[own]})
+        return {"component": own, "component_px": size[own]}
 
-    found = pixels.select(by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), mask).groupBy(by).applyInPandas(run, schema)
-    return pixels.join(found, [by, "row", "col"])
+    return _per_chip(pixels.drop("component", "component_px"), "component int, component_px long", run, by)
 
 
 def drop_small(pixels: DataFrame, class_column: str, least_px: int, by: str = "chip_id") -> DataFrame:
@@ -168,22 +184,35 @@ def drop_small(pixels: DataFrame, class_column: str, least_px: int, by: str = "c
     return marked.withColumn(class_column, F.when(F.col("component_px") >= least_px, F.col(class_column)).otherwise(0)).drop("_m", "component", "component_px")
 
 
+def distance_to(mask: np.ndarray) -> np.ndarray:
+    """Each pixel's distance to the nearest one of the mask (infinite if it is empty): along columns first, then by
+    rows the least of squares, which is exact."""
+    h, w = mask.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -h * 2 - w), axis=0)
+    below = np.minimum.accumulate(np.where(mask, rows, h * 3 + w)[::-1], axis=0)[::-1]
+    column = np.minimum(rows - above, below - rows).astype(np.float64)
+    column[:, ~mask.any(0)] = np.inf
+    square = np.full((h, w), np.inf)
+    for d in range(w):
+        shift = column[:, : w - d] ** 2 + d * d
+        np.minimum(square[:, d:], shift, out=square[:, d:])
+        np.minimum(square[:, : w - d], column[:, d:] ** 2 + d * d, out=square[:, : w - d])
+    return np.sqrt(square)
+
+
 def component_distances(pixels: DataFrame, mask: str, by: str = "chip_id") -> DataFrame:
     """Per component: pixels, whether it is the main one (the largest, first on ties), distance to the main one."""
     schema = f"{by} long, component int, px long, main boolean, distance double"
 
     def run(chip: pd.DataFrame) -> pd.DataFrame:
-        number = labelled(_grid(chip, mask))
+        number = labelled(_grid(chip, mask).astype(bool))
         size = np.bincount(number.ravel())[1:]
         if not len(size):
             return pd.DataFrame({by: [], "component": [], "px": [], "main": [], "distance": []})
         main = int(size.argmax()) + 1
-        at = np.argwhere(number == main)
-        far = []
-        for k in range(1, len(size) + 1):
-            own = np.argwhere(number == k)
-            least = min(np.sqrt(((own[i : i + 256, None] - at[None]) ** 2).sum(-1)).min() for i in range(0, len(own), 256))
-            far.append(0.0 if k == main else float(least))
+        far = distance_to(number == main)
+        far = np.array([far[number == k].min() for k in range(1, len(size) + 1)])
         ids = np.arange(1, len(size) + 1)
         return pd.DataFrame({by: chip[by].iloc[0], "component": ids, "px": size, "main": ids == main, "distance": far})
 

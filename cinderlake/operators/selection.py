@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.functions.hashing import hex_mod, salted
+from cinderlake.operators.joins import overlapping
+from cinderlake.operators.numbering import numbered
 
 
 def ranked(ids: DataFrame, salt: str, key: str) -> DataFrame:
-    """ids with rank from 1 by salted hash. The ids of samples are few: one row per sample, no pixels."""
-    return ids.withColumn("_h", salted(salt, F.col(key))).withColumn("rank", F.row_number().over(Window.orderBy("_h", key))).drop("_h")
+    """ids with rank from 1 by salted hash."""
+    return numbered(ids.withColumn("_h", salted(salt, F.col(key))), "_h", key, out="rank").drop("_h")
 
 
 def split_by_fire(chips: DataFrame, share: float, salt: str, fire: str = "fire") -> DataFrame:
     """chips with partition: the first max(1, round(n share)) fires by hash are 'val' (halves round to even)."""
-    fires = chips.select(fire).distinct()
-    n = fires.agg(F.count("*").alias("_n"))
+    groups = chips.select(fire).distinct()
+    n = groups.agg(F.count("*").alias("_n"))
     cut = F.greatest(F.lit(1.0), F.rint(F.col("_n") * F.lit(share)))
-    marked = ranked(fires, salt, fire).crossJoin(F.broadcast(n)).select(fire, F.when(F.col("rank") <= cut, "val").otherwise("train").alias("partition"))  # one row
+    marked = ranked(groups, salt, fire).crossJoin(F.broadcast(n)).select(fire, F.when(F.col("rank") <= cut, "val").otherwise("train").alias("partition"))  # one row
     return chips.join(marked, fire)
 
 
@@ -36,12 +41,12 @@ def folds(ids: DataFrame, k: int, salt: str, key: str) -> DataFrame:
     return ranked(ids, salt, key).withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int")).drop("rank")
 
 
-def calibration_part(folded: DataFrame, fold: int, share: float, key: str) -> DataFrame:
-    """The other folds' ids with calibration: the first share of them by another hash."""
+def calibration_part(folded: DataFrame, fold: int, share: float, key: str, salt: str) -> DataFrame:
+    """The other folds' ids with calibration: the first share of them by another hash, salted by `salt` and the fold."""
     rest = folded.where(F.col("fold") != fold)
     n = rest.agg(F.count("*").alias("_n"))
     cut = F.greatest(F.lit(1.0), F.rint(F.col("_n") * F.lit(share)))
-    return ranked(rest, f"lab-cal:{fold}", key).crossJoin(F.broadcast(n)).withColumn("calibration", F.col("rank") <= cut).drop("rank", "_n")  # one row
+    return ranked(rest, f"{salt}:{fold}", key).crossJoin(F.broadcast(n)).withColumn("calibration", F.col("rank") <= cut).drop("rank", "_n")  # one row
 
 
 def hash_partition(key: Column) -> Column:
@@ -62,8 +67,7 @@ def balanced(rows: DataFrame, group: str, bin_: str, key: str, per_group: int, m
 def hard_background(rows: DataFrame, score: str, key: str, share: float = 0.25) -> DataFrame:
     """rows with weight 2 for the share of largest scores (rounded up), else 1."""
     n = rows.agg(F.count("*").alias("_n"))
-    order = Window.orderBy(F.desc(score), key)
-    return rows.withColumn("_k", F.row_number().over(order)).crossJoin(F.broadcast(n)).withColumn("weight", F.when(F.col("_k") <= F.ceil(F.col("_n") * share), 2).otherwise(1)).drop("_k", "_n")  # one row
+    return numbered(rows, F.desc(score), key, out="_k").crossJoin(F.broadcast(n)).withColumn("weight", F.when(F.col("_k") <= F.ceil(F.col("_n") * share), 2).otherwise(1)).drop("_k", "_n")  # one row
 
 
 def per_class(rows: DataFrame, by: str, class_: str, key: str, most: int, salt: str) -> DataFrame:
@@ -77,28 +81,38 @@ def replicated(rows: DataFrame, weight: str) -> DataFrame:
     return rows.where(F.col(weight) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))))
 
 
-def isolate(candidates: DataFrame, prior: DataFrame, most: int) -> DataFrame:
-    """Candidates in order, each unless its event is taken or it overlaps a prior or an already chosen frame.
-
-    candidates: ordinal, event, w, s, e, n; prior: w, s, e, n. What depends on prior frames alone is an anti join;
-    the rest depends on the choices before it, so the survivors (a list of frames to plan, not data) go in order
-    through one task."""
-    hit = (candidates.w < prior.e) & (prior.w < candidates.e) & (candidates.s < prior.n) & (prior.s < candidates.n)
-    left = candidates.join(prior, hit, "left_anti").withColumn("one", F.lit(1))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple] = []
-        used: set = set()
-        for x in pdf.sort_values("ordinal").itertuples():
-            if len(taken) >= most:
-                break
-            if x.event in used or any(x.w < t.e and t.w < x.e and x.s < t.n and t.s < x.n for t in taken):
-                continue
-            taken.append(x)
-            used.add(x.event)
-        return pd.DataFrame({"ordinal": pd.Series([t.ordinal for t in taken], dtype="int64"), "event": pd.Series([t.event for t in taken], dtype="int64")})
-
-    return left.groupBy("one").applyInPandas(run, "ordinal long, event long")
+def isolate(candidates: DataFrame, prior: DataFrame, used: DataFrame, most: int, cell: float) -> DataFrame:
+    """Candidates in order with a reason: chosen, used_event, prior_overlap, event_taken, chosen_overlap or enough.
+
+    candidates: ordinal, event, w, s, e, n; prior: w, s, e, n; used: event, which is not to be used again. What depends
+    on these alone is told by joins of equal keys. The rest depends on the choices before it, so the frames that are
+    left (a plan's candidates) go in order through one task, which holds the chosen ones, `most` at most."""
+    box = ["w", "s", "e", "n"]
+    hits = overlapping(candidates.select(F.col("ordinal").alias("id"), *box), prior.select(F.monotonically_increasing_id().alias("id"), *box), cell).select(F.col("a_id").alias("ordinal")).distinct()
+    marked = candidates.join(used.select("event").distinct().withColumn("_used", F.lit(True)), "event", "left").join(hits.withColumn("_hit", F.lit(True)), "ordinal", "left")
+    known = F.when(F.col("_used"), "used_event").when(F.col("_hit"), "prior_overlap")
+    marked = marked.select("ordinal", "event", *box, known.alias("reason"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = np.empty((0, 4))
+        events: set = set()
+        for rows in batches:
+            reasons = []
+            for event, *b in zip(rows.event, rows.w, rows.s, rows.e, rows.n, strict=True):
+                if event in events:
+                    reasons.append("event_taken")
+                elif ((taken[:, 0] < b[2]) & (b[0] < taken[:, 2]) & (taken[:, 1] < b[3]) & (b[1] < taken[:, 3])).any():
+                    reasons.append("chosen_overlap")
+                elif len(taken) >= most:
+                    reasons.append("enough")
+                else:
+                    reasons.append("chosen")
+                    events.add(event)
+                    taken = np.concatenate([taken, [b]])
+            yield pd.DataFrame({"ordinal": rows.ordinal, "event": rows.event, "reason": reasons})
+
+    left = marked.where("reason is null").repartition(1).sortWithinPartitions("ordinal")
+    return marked.where("reason is not null").select("ordinal", "event", "reason").unionByName(left.mapInPandas(run, "ordinal long, event long, reason string"))
 
 
 def greedy_members(scores: DataFrame, member: str, key: str, value: str, truth: DataFrame, least_gain: float = 1e-4, most: int = 10) -> list[str]:

@@ -1,14 +1,18 @@
 """Order-dependent and iterative operators against plain versions, and checks at boundary values."""
 
+import datetime as dt
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cinderlake.functions import confidence, geo, indices
-from cinderlake.operators import evaluation, points, raster, rle
+from cinderlake.operators import evaluation, graph, points, raster, rle
 from cinderlake.operators.graph import components
+from cinderlake.operators.numbering import numbered
 
 
 def test_components_of_random_graphs(spark):
@@ -27,24 +31,109 @@ def test_source_clusters_follow_the_order(spark):
     rows = [(k, 61 + rng.random() * 0.03, 93 + rng.random() * 0.06, f"2026-09-{1 + k % 20:02d} 12:00:00") for k in range(150)]
     df = spark.createDataFrame(rows, "ordinal long, latitude double, longitude double, at string").withColumn("acquired_at", F.col("at").cast("timestamp"))
     got = {r.ordinal: r.cluster for r in points.source_clusters(df, 500.0).collect()}
-    step, seeds, sums = 500.0 / geo.METRES, {}, {}
-    width = lambda r: 500.0 / (geo.METRES * max(math.cos(math.radians(r * step)), 1e-6))
+    clusters = {}
     for k, lat, lon, _ in sorted(rows, key=lambda r: (r[3], r[0])):
-        row, best, near = math.floor(lat / step), None, 500.0
-        for r in (row - 1, row, row + 1):
-            for c in (-1, 0, 1):
-                for s in seeds.get((r, math.floor(lon / width(r)) + c), ()):
-                    y, x, n = sums[s]
-                    d = math.hypot((x / n - lon) * geo.METRES * math.cos(math.radians((y / n + lat) / 2)), (y / n - lat) * geo.METRES)
-                    if d <= near:
-                        best, near = s, d
-        if best is None:
-            best = k
-            seeds.setdefault((row, math.floor(lon / width(row))), []).append(k)
-            sums[k] = (0.0, 0.0, 0)
-        y, x, n = sums[best]
-        sums[best] = (y + lat, x + lon, n + 1)
-        assert got[k] == best
+        # a plain search over all clusters
+        far = [(math.hypot((x / n - lon) * geo.METRES * math.cos(math.radians((y / n + lat) / 2)), (y / n - lat) * geo.METRES), name) for name, (y, x, n) in clusters.items()]
+        d, name = min(far, default=(math.inf, None))
+        name = name if d <= 500.0 else k
+        y, x, n = clusters.get(name, (0.0, 0.0, 0))
+        clusters[name] = (y + lat, x + lon, n + 1)
+        assert got[k] == name
+
+
+def test_event_ids_are_those_of_python(spark):
+    at = [dt.datetime(2026, 9, 1, 12), dt.datetime(2026, 9, 1, 0, 0, 59, 7), dt.datetime(1969, 12, 31, 23, 59, 59, 999999)]
+    rng = random.Random(8)
+    places = [2.00015, 0.03125, -0.03125, -0.00001, 61.00005, 179.99995, -0.0, 99.99999, 7.0] + [rng.uniform(-180, 180) for _ in range(300)] + [round(rng.uniform(-90, 90), 4) + 0.00005 for _ in range(300)]
+    rows = [(x, places[-1 - k], at[k % 3].replace(tzinfo=dt.timezone.utc)) for k, x in enumerate(places)]
+    df = spark.createDataFrame(rows, "lat double, lon double, at timestamp")
+    got = df.select("lat", "lon", points.event_id(F.col("lat"), F.col("lon"), F.col("at")).alias("id"), points.iso_utc(F.col("at")).alias("iso"), points.four_decimals(F.col("lat")).alias("four")).collect()
+    for r, (lat, lon, when) in zip(got, rows):
+        assert (r.iso, r.four) == (when.isoformat(), f"{lat:.4f}")
+        assert r.id == "FIRE-" + hashlib.sha256(f"{lat:.4f}|{lon:.4f}|{when.isoformat()}".encode()).hexdigest()[:12]
+
+
+def test_events_are_components_of_near_pairs(spark):
+    rng = random.Random(9)
+    centres = [(rng.uniform(50, 70), rng.uniform(80, 100)) for _ in range(4)] + [(0.001, 0.0), (-65.0, 179.9)]
+    rows = []
+    for k in range(400):
+        y, x = centres[k % len(centres)]
+        rows.append((k, y + rng.uniform(-0.08, 0.08), x + rng.uniform(-0.2, 0.2), dt.datetime(2026, 9, 1, tzinfo=dt.timezone.utc) + dt.timedelta(hours=rng.uniform(0, 400))))
+    rows += [(400 + k, *rows[k % 7][1:3], rows[k][3]) for k in range(100)]
+    df = spark.createDataFrame(rows, "ordinal long, latitude double, longitude double, acquired_at timestamp")
+    root = {r[0]: r[0] for r in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    pairs = set()
+    for k, lat, lon, at in rows:
+        for j, lat2, lon2, at2 in rows[:k]:
+            d = math.hypot((lon - lon2) * geo.METRES * math.cos(math.radians((lat + lat2) / 2)), (lat - lat2) * geo.METRES)
+            if d <= 3000 and abs(at - at2) <= dt.timedelta(hours=48):
+                pairs.add((j, k))
+                a, b = find(j), find(k)
+                root[max(a, b)] = min(a, b)
+    assert {(r.u, r.v) for r in points.near_pairs(df, 3000.0, 48.0).collect()} == pairs and len(pairs) > 300
+    got = {r.ordinal: r.event_root for r in points.event_members(df).collect()}
+    assert got == {k: find(k) for k in root} and len(set(got.values())) > 20
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    """Contraction with more edges than one partition may hold; a path, a hub and random edges."""
+    monkeypatch.setattr(graph, "STEP", 16)
+    rng = random.Random(10)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(1000, 1000 + k) for k in range(1, 80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)]
+    root = {k: k for e in edges for k in e}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    got = {r.u: r.root for r in components(df).collect()}
+    assert got == {k: find(k) for e in edges if e[0] != e[1] for k in e}
+
+
+def test_numbers_follow_the_order(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(5), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    got = {(r.a, r.b): r.number for r in numbered(df, F.desc("a"), "b").collect()}
+    assert got == {x: k + 1 for k, x in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
+    assert numbered(df.where("a > 9"), "b").count() == 0
+
+
+def test_labels_and_distances():
+    rng = np.random.default_rng(12)
+    for eight in (False, True):
+        for shape in ((1, 1), (1, 9), (9, 1), (23, 17), (64, 64)):
+            mask = rng.random(shape) < 0.55
+            want, n = np.zeros(shape, int), 0
+            for start in zip(*np.nonzero(mask), strict=True):
+                if want[start]:
+                    continue
+                n += 1
+                stack = [start]
+                while stack:
+                    y, x = stack.pop()
+                    if 0 <= y < shape[0] and 0 <= x < shape[1] and mask[y, x] and not want[y, x]:
+                        want[y, x] = n
+                        stack += [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if eight or not dy or not dx]
+            assert (raster.labelled(mask, eight) == want).all()
+            if mask.any():
+                at = np.argwhere(mask)
+                far = raster.distance_to(mask)
+                for y, x in np.ndindex(*shape):
+                    assert abs(far[y, x] - np.sqrt(((at - (y, x)) ** 2).sum(1).min())) < 1e-9
 
 
 def test_confidence_at_its_boundaries(spark):
@@ -88,4 +177,4 @@ def test_bootstrap_verdict(spark):
     r = evaluation.paired_bootstrap(df, "x", "y", draws=50).first()
     assert r.verdict == "better" and r.groups == 6 and r.low <= r.delta <= r.high
     with pytest.raises(Exception, match="two groups"):
-        evaluation.paired_bootstrap(df.where("group_id = 'g1'"), "x", "y").collect()
+        evaluation.paired_bootstrap(df.where("group_id = 'g1'"), "x", "y")
