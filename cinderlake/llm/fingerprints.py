@@ -1,53 +1,62 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text is cut into paragraphs: lines, and within long lines runs of `UNIT` words. The distinct paragraphs' digests
-are thrown into cells that keep a count, the exclusive-or of the digests and that of their checks. The fingerprint
-is a sketch of few cells. To compare two texts their sketches are subtracted, so that what both have cancels,
-and the rest is peeled: a cell with one digest gives it away, it is taken out of its other cells, and so on.
-If cells are left at the end, it is tried again with cells in proportion to the paragraphs, and then with more;
-cells that stay empty cost nothing, as only others are kept. Likeness is one less the differing digests over the
-digests of both texts (1 for two texts without any).
-
-Edge cases: null text is the empty text; documents with equal ids are ordered by their text's hash, equal rows in
-any order; null ids come last; the only document's next one is itself; an input column named like a result
-column is replaced.
+A text is cut into paragraphs by its content: lines, and within long lines runs of LEAST words or more up to the end of a
+sentence (MOST words at most), so that an inserted word changes the paragraph it is in and few after it. The
+distinct paragraphs' digests are thrown into cells that keep a count and the exclusive-or of the digests; a digest holds
+its own check in its last bits. The fingerprint is a sketch with a power of two of cells in each third, one third
+cell or more per paragraph, and tells of every cell that isn't empty.
+
+Two fingerprints are compared by subtracting them cell by cell, the larger folded to the smaller's size (the sum of
+the cells that share the lower bits of their place); what both have cancels. The rest is peeled: a cell with one digest
+gives it away, it is taken out of its other cells, and so on. Where peeling gets stuck, both sketches are made again
+larger, from the larger text's size on and then four times that and more (RETRIES), with other places. Likeness is one
+less the digests that peeling gave over the digests of both texts (1 for two texts without any).
+
+Edge cases: null text is the empty text, whose fingerprint has no cells; a text without line or sentence ends is cut every
+MOST words, a text of one word of any length is one paragraph; documents with equal ids are ordered by their text's
+hash; of equal rows all but one are followed by themselves; null ids come last; the only document's next one is
+itself; an empty table gives an empty one; input columns of other names are left out, and none can clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import row_keys, staged
+from cinderlake.llm.common import row_keys
+from cinderlake.operators.numbering import numbered
 
-#: Words of a paragraph, at most.
-UNIT = 16
-#: Cells of the fingerprint itself.
-CELLS = 12
-#: Cells per digest in the retries.
-RETRIES = (6, 24)
-ROUNDS = 40
+#: Words of a paragraph within a line: at least, up to the end of a sentence, and at most.
+LEAST, MOST = 24, 96
+#: How much larger the sketches of each retry are than the larger text's own.
+RETRIES = (1, 4, 16, 64)
+#: Rounds of peeling, each of which takes all digests that are alone in a cell; some more than the logarithm of any sketch.
+ROUNDS = 60
+#: Bits of a digest that check the others.
+CHECK = (1 << 20) - 1
 
-_CELL = "array<struct<cell:bigint,cnt:int,key:bigint,chk:bigint>>"
+_CELL = "array<struct<cell:bigint,cnt:int,key:bigint>>"
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def digests(text: Column, unit: int = UNIT) -> Column:
+def digests(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     """Distinct digests of a text's paragraphs."""
     word, gap = r"[^\x20\x09-\x0D]++", r"[\x20\x09]++"
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"{word}(?:{gap}{word}){{0,{unit - 1}}}+"), F.lit(0)), lambda p: F.xxhash64(p)))
+    sentence = rf"{word}(?:{gap}{word}){{{least - 1},{most - 1}}}?(?<=[.!?。])(?![^\x20\x09-\x0D])"
+    found = F.regexp_extract_all(text, F.lit(rf"{sentence}|{word}(?:{gap}{word}){{0,{most - 1}}}+"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda p: _let(F.xxhash64(p).bitwiseAND(~CHECK), lambda h: h.bitwiseOR(_check(h)))))
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(99))
+def _check(high: Column) -> Column:
+    return F.xxhash64(high, F.lit(99)).bitwiseAND(CHECK)
 
 
 def _thrown(key: Column, cnt: Column, third: Column, seed: int) -> Column:
-    """A digest's three cells, one in each third of the sketch."""
-    return F.array(*[F.struct((F.pmod(F.xxhash64(key, F.lit(seed * 3 + j)), third) + third * j).alias("cell"), cnt.alias("cnt"), key.alias("key"), _check(key).alias("chk")) for j in range(3)])
+    """A digest's three cells, one in each third of the sketch; a third's size is a power of two."""
+    return F.array(*[F.struct((F.xxhash64(key, F.lit(seed * 3 + j)).bitwiseAND(third - 1) + third * j).alias("cell"), cnt.alias("cnt"), key.alias("key")) for j in range(3)])
 
 
 def _summed(entries: Column) -> Column:
@@ -57,7 +66,7 @@ def _summed(entries: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.get(e, i)["cell"] != F.get(e, i - 1)["cell"]))
 
         def plus(a: Column, x: Column) -> Column:
-            return F.struct(a["cell"].alias("cell"), (a["cnt"] + x["cnt"]).alias("cnt"), a["key"].bitwiseXOR(x["key"]).alias("key"), a["chk"].bitwiseXOR(x["chk"]).alias("chk"))
+            return F.struct(a["cell"].alias("cell"), (a["cnt"] + x["cnt"]).alias("cnt"), a["key"].bitwiseXOR(x["key"]).alias("key"))
 
         def cell(bounds: Column, b: Column, j: Column) -> Column:
             last = F.coalesce(F.get(bounds, j + 1), F.size(e)) - 1
@@ -65,13 +74,29 @@ def _summed(entries: Column) -> Column:
             return few.otherwise(F.aggregate(F.slice(e, b + 2, last - b), F.get(e, b), plus))
 
         whole = _let(first, lambda bounds: F.transform(bounds, lambda b, j: cell(bounds, b, j)))
-        return F.filter(whole, lambda c: (c["cnt"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
+        return F.filter(whole, lambda c: (c["cnt"] != 0) | (c["key"] != 0))
 
     return _let(F.sort_array(entries), lambda e: F.when(F.size(e) == 0, e).otherwise(cells(e)))
 
 
-def sketch(found: Column, cells: Column, seed: int = 0, sign: int = 1) -> Column:
-    return _summed(F.flatten(F.transform(found, lambda d: _thrown(d, F.lit(sign), cells, seed))).cast(_CELL))
+def third_of(n: Column) -> Column:
+    """Cells in a third of the fingerprint of so many digests: the next power of two, four at least."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(4)).cast("double")) - 1e-12)).cast("long")
+
+
+def sketch(found: Column, third: Column, seed: int = 0) -> Column:
+    return _summed(F.flatten(F.transform(found, lambda d: _thrown(d, F.lit(1), third, seed))).cast(_CELL))
+
+
+def folded(cells: Column, third: Column, small: Column) -> Column:
+    """Entries of a smaller sketch: places within a third lose their upper bits; to be summed."""
+    place = lambda c: F.floor(c["cell"] / third) * small + c["cell"].bitwiseAND(small - 1)
+    return F.when(third == small, cells).otherwise(F.transform(cells, lambda c: F.struct(place(c).alias("cell"), c["cnt"].alias("cnt"), c["key"].alias("key"))))
+
+
+def subtracted(a: Column, b: Column) -> Column:
+    """The difference of two sketches of one size, given as cells or entries."""
+    return _summed(F.concat(a, F.transform(b, lambda c: F.struct(c["cell"].alias("cell"), (-c["cnt"]).alias("cnt"), c["key"].alias("key")))))
 
 
 def peeled(difference: Column, third: Column, seed: int) -> Column:
@@ -79,7 +104,7 @@ def peeled(difference: Column, third: Column, seed: int) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         left = state["cells"]
-        pure = F.filter(left, lambda c: (F.abs(c["cnt"]) == 1) & (c["chk"] == _check(c["key"])))
+        pure = F.filter(left, lambda c: (F.abs(c["cnt"]) == 1) & (c["key"].bitwiseAND(CHECK) == _check(c["key"].bitwiseAND(~CHECK))))
 
         def side(cells: Column, n: int) -> Column:
             keys = F.array_distinct(F.transform(F.filter(cells, lambda c: c["cnt"] == n), lambda c: c["key"]))
@@ -97,75 +122,79 @@ def peeled(difference: Column, third: Column, seed: int) -> Column:
     return _let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step), lambda end: F.when(F.size(end["cells"]) == 0, end["got"]))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """Number of digests that only one of two arrays of distinct digests has, by subtracting and peeling sketches."""
+class Fingerprint:
+    """Columns of a fingerprint: distinct digests, and the cells of their sketch. The cells are a column of their own in the
+    table, as Spark would otherwise make them anew wherever they are used."""
+
+    def __init__(self, found: str, cells: str):
+        self.found, self.cells = F.col(found), F.col(cells)
+        self.n = F.size(self.found)
+        self.third = third_of(self.n)
 
-    def attempt(third: Column, seed: int) -> Column:
-        # a sketch is a sum over digests, so adding a's and subtracting b's in one go gives the same cells
-        signed = F.concat(*[F.transform(x, lambda d, n=n: F.struct(d.alias("key"), F.lit(n).alias("cnt"))) for x, n in ((a, 1), (b, -1))])
-        thrown = F.flatten(F.transform(signed, lambda d: _thrown(d["key"], d["cnt"], third, seed))).cast(_CELL)
-        return peeled(_summed(thrown), third, seed)
+    def told(self) -> Column:
+        """As a string: the number of digests, the cells in a third, and each cell with its count and digests."""
+        cells = F.transform(self.cells, lambda c: F.concat(F.hex(c["cell"]), F.lit("."), c["cnt"].cast("string"), F.lit("."), F.hex(c["key"])))
+        return F.lower(F.concat_ws("-", self.n.cast("string"), self.third.cast("string"), F.array_join(cells, "-")))
 
-    # the fingerprint's own cells can't hold more than that, so longer texts start at the first retry
-    tries = [F.when(F.size(a) + F.size(b) <= 2 * CELLS, attempt(F.lit(CELLS // 3).cast("long"), 0))]
-    tries += [attempt((F.ceil((F.size(a) + F.size(b)) * (r / 3)) + 8).cast("long"), k + 1) for k, r in enumerate(RETRIES)]
-    return F.coalesce(*tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
+def with_cells(df: DataFrame, **found: str) -> DataFrame:
+    """df with the cells of each column of digests, under the given names."""
+    return df.withColumns({out: sketch(F.col(c), third_of(F.size(c))) for out, c in found.items()})
 
-def likeness(a: Column, b: Column) -> Column:
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(1.0 - difference(a, b) / both)
 
+def difference(a: Fingerprint, b: Fingerprint) -> Column:
+    """Number of digests that only one of two fingerprints has; null if even the largest sketches can't tell."""
+    small, large = F.least(a.third, b.third), F.greatest(a.third, b.third)
+    own = peeled(subtracted(folded(a.cells, a.third, small), folded(b.cells, b.third, small)), small, 0)
+    # what the numbers alone say is too much for the cells needn't be peeled
+    tries = [F.when(F.abs(a.n - b.n) <= small * 2, own)]
+    for k, r in enumerate(RETRIES):
+        tries.append(peeled(subtracted(sketch(a.found, large * r, k + 1), sketch(b.found, large * r, k + 1)), large * r, k + 1))
+    return F.coalesce(*tries)
 
-def fingerprint(found: Column) -> Column:
-    """The sketch of few cells as a string: each cell that isn't empty with its count, digests and checks."""
-    cells = sketch(found, F.lit(CELLS // 3).cast("long"))
-    told = F.transform(cells, lambda c: F.concat_ws(".", F.hex(c["cell"]), c["cnt"].cast("string"), F.hex(c["key"]), F.hex(c["chk"])))
-    return F.lower(F.array_join(told, "-"))
 
+def likeness(a: Fingerprint, b: Fingerprint) -> Column:
+    both = a.n + b.n
+    # all retries fail once in more than 10**9 pairs; such a pair has no likeness that the sketches can tell
+    return F.when(both == 0, F.lit(1.0)).otherwise(1.0 - F.coalesce(difference(a, b), both) / both)
 
-def next_links(light: DataFrame, per_bucket: int = 1_000_000) -> DataFrame:
-    """light: k1, k2, k4, doc_id, n. Adds m1, m2, m4: the keys of the row that follows by descending doc_id.
 
-    Rows are dealt to ranges of ids; each range is ordered alone, and its last row is followed by the first of the
-    next range. Only the ranges' limits, some thousands at most, pass through the driver."""
-    rows = light.agg(F.count("*")).first()[0]
-    parts = max(1, min(5_000, rows // per_bucket + 1))
-    limits = light.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100_000)).first()[0] if parts > 1 else []
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(limits or []))]).cast("array<bigint>"), lambda x: x <= F.col("doc_id"))), F.lit(0))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bucket)
-    order = [F.desc_nulls_last("doc_id"), F.asc("k2"), F.asc("k4")]
-    key = F.struct("k1", "k2", "k4")
-    own = Window.partitionBy("bucket").orderBy(*order)
-    dealt = light.withColumn("bucket", bucket).withColumn("place", F.row_number().over(own)).withColumn("after", F.lead(key).over(own))
-    first = dealt.where("place = 1").select("bucket", key.alias("head"))
-    chain = Window.partitionBy(F.lit(1)).orderBy(F.desc("bucket"))  # one row per range
-    first = first.select("bucket", F.coalesce(F.lead("head").over(chain), F.first("head").over(chain)).alias("head"))
-    linked = dealt.join(F.broadcast(first), "bucket").withColumn("after", F.coalesce("after", "head"))
-    return linked.select("doc_id", "k1", "k2", "k4", "n", F.col("after.k1").alias("m1"), F.col("after.k2").alias("m2"), F.col("after.k4").alias("m4"))
+def next_links(light: DataFrame) -> DataFrame:
+    """light: doc_id, k1, k2, n, rows, one row for each distinct document. Adds m1, m2: the keys of the document that
+    follows by descending doc_id, the first one's after the last."""
+    order = numbered(light, F.desc_nulls_last("doc_id"), F.asc("k2"), out="at")
+    count = light.agg(F.count("*").alias("count"))  # one row
+    after = order.join(F.broadcast(count)).withColumn("next", F.col("at") % F.col("count") + 1)
+    ahead = order.select(F.col("at").alias("next"), F.col("k1").alias("m1"), F.col("k2").alias("m2"))
+    return after.join(ahead, "next").select("doc_id", "k1", "k2", "n", "rows", "m1", "m2")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """For each row of docs: its fingerprint, that of its text with the last third taken from the next document,
     and the likeness of its own to that and to the next document's."""
     k1, k2 = row_keys()
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
-    light = staged(src.select("doc_id", "k1", "k2", F.char_length("text").cast("long").alias("n")).withColumn("k4", nth), "ids")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
+    # equal rows agree in their keys; they are one document until the end
+    light = src.select("doc_id", "k1", "k2", F.char_length("text").alias("c")).groupBy("doc_id", "k1", "k2").agg(F.max("c").cast("long").alias("n"), F.count("*").alias("rows"))
     links = next_links(light)
     # both sides below take the same columns, so the texts are shuffled once and read twice
-    keyed = src.select("text", "k1", "k2").withColumn("k4", nth)
-    ahead = keyed.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("k4").alias("n4"), F.col("text").alias("next_text"))
+    texts = src.groupBy("k1", "k2").agg(F.max("text").alias("text"))
+    ahead = texts.select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("text").alias("next_text"))
     take = F.floor(F.col("n") / 3).cast("int")
-    given = links.join(ahead, ["m1", "m2"]).where("m4 - n4 = 0")
-    given = given.select("doc_id", "k1", "k2", F.col("k4").alias("g4"), F.substring("next_text", F.lit(1), take).alias("head"), digests(F.col("next_text")).alias("next_digests"))
-    whole = keyed.join(given, ["k1", "k2"]).where("k4 - g4 = 0")
+    given = links.join(ahead, ["m1", "m2"]).select("doc_id", "k1", "k2", "rows", F.substring("next_text", F.lit(1), take).alias("head"), digests(F.col("next_text")).alias("next_digests"))
+    whole = texts.join(given, ["k1", "k2"])
     n = F.char_length("text")
-    edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("head"))
-    whole = whole.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("own"), "next_digests")
-    whole = whole.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), "next_digests")
-    return whole.select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_digests")).alias("near_next"),
+    kept = F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int"))
+    # of equal rows, the last is followed by the next document and the others by themselves
+    last = F.struct(F.lit(1).cast("long").alias("rows"), F.concat(kept, F.col("head")).alias("edited"), F.col("next_digests").alias("next"))
+    others = F.struct((F.col("rows") - 1).alias("rows"), F.concat(kept, F.substring("text", F.lit(1), F.floor(n / 3).cast("int"))).alias("edited"), F.col("own").alias("next"))
+    cases = F.explode(F.when(F.col("rows") > 1, F.array(last, others)).otherwise(F.array(last))).alias("case")
+    whole = whole.withColumn("own", digests(F.col("text"))).select("doc_id", n.cast("long").alias("n_chars"), "own", cases)
+    whole = whole.select("doc_id", "n_chars", "case.rows", F.sha2("case.edited", 256).alias("edited_sha256"), "own", digests(F.col("case.edited")).alias("changed"), F.col("case.next").alias("next"))
+    whole = with_cells(whole, own_cells="own", changed_cells="changed", next_cells="next")
+    a, b, c = Fingerprint("own", "own_cells"), Fingerprint("changed", "changed_cells"), Fingerprint("next", "next_cells")
+    found = whole.select(
+        "doc_id", "n_chars", "edited_sha256", a.told().alias("fingerprint"), b.told().alias("edited_fingerprint"),
+        likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), "rows",
     )
+    return found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy")).drop("rows", "copy")
