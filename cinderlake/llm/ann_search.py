@@ -4,14 +4,17 @@ A vector is cut into pairs of components, and each pair is told by one of 16 cen
 to keep the score, not the vector: the residual's part that is parallel to the vector counts `eta` times as much
 as the rest, since only that part moves large inner products. The centres are fitted to this loss on a bounded
 sample. Every vector is coded. Queries come in blocks against blocks of codes; each pair of blocks is scanned with
-tables of a query's products with the centres (two codes to a byte, so one look-up adds two of them), and the best
-`rerank` codes of each query are scored again exactly, on the original vectors.
+tables of a query's products with the centres (two codes to a byte, so one look-up adds two of them). A block gives as
+many of its best codes as the `rerank` best of all are likely to lie in it (rows are dealt to blocks by hash), and the
+`rerank` best codes of each query are scored again exactly, on the original vectors.
 
 Equal vectors tie, so of each distinct vector only the rows with the smallest ids are scanned, one more than
 are asked for; no other row of it can be among the nearest.
 
-Edge cases: null or zero vectors, vectors with null or non-finite components and vectors of another length than
-the commonest take no part; repeated rows count once; ties go to the smaller id; an input column of another name is left out.
+Edge cases: null or zero vectors, vectors with null or non-finite components and rows with a null id take no part; rows
+that share an id are rows of their own, and so are equal rows: each of them may ask and may be found, and only the row
+that asks is not its own neighbour; a vector meets vectors of its own length only; ties go to the smaller id; an empty
+table gives an empty one; input columns of other names are left out, and none can clash.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import staged
+from cinderlake.llm.common import released, smallest_hashes, staged
 
 CENTRES = 16
 #: Vectors that the centres are fitted on, at most.
@@ -32,16 +35,17 @@ SAMPLE = 20_000
 ETA = 4.0
 #: Candidates of each query and block that are scored exactly.
 RERANK = 400
-#: Rows of a block of codes, and of a block of queries.
-BLOCK = 1 << 16
+#: Rows of a block of codes, and of a block of queries; blocks of queries that meet a block of codes in one task.
+BLOCK = 1 << 14
 QUERY_BLOCK = 512
+ABREAST = 4
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    v = F.col("v")
-    fine = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    fine = fine.where(v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0))
-    return fine.dropDuplicates(["vec_id"])
+    """Rows (row, vec_id, v): a number for each row, and its vector as it is."""
+    v = F.col("embedding")
+    fine = F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 class Codec:
@@ -118,78 +122,88 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _coder(codec: Codec):
-    schema = pa.schema([("vec_id", pa.int64()), ("code", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("code", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 code = _pack(codec.code(_matrix(b.column("v"))))
-                yield pa.record_batch([b.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary())], schema=schema)
+                yield pa.record_batch([b.column("row"), pa.array([c.tobytes() for c in code], pa.binary())], schema=schema)
 
     return run
 
 
-def _scan(codec: Codec, rerank: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
+def _scan(codec: Codec, best: int):
+    schema = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("near", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for r in range(whole.num_rows):
                 b = whole.slice(r, 1)
                 q = b.column("queries").flatten()
-                qid, qv = q.field("vec_id").to_numpy(), _matrix(q.field("v"))
+                query, vectors = q.field("row").to_numpy(), _matrix(q.field("v"))
                 d = b.column("codes").flatten()
-                ids = d.field("vec_id").to_numpy()
-                order = np.argsort(ids)
-                ids = ids[order]
-                code = np.frombuffer(b"".join(d.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.copy()
-                tables = codec.tables(qv)
-                for k in range(len(qid)):
-                    near = np.zeros(len(ids), np.float32)
+                rows = d.field("row").to_numpy()
+                order = np.argsort(rows)
+                rows = rows[order]
+                code = np.frombuffer(b"".join(d.field("code").to_pylist()), np.uint8).reshape(len(rows), -1)[order].T.copy()
+                tables = codec.tables(vectors)
+                for k in range(len(query)):
+                    near = np.zeros(len(rows), np.float32)
                     for table, column in zip(tables[k], code, strict=True):
                         near += table[column]
-                    near[ids == qid[k]] = -np.inf
-                    if len(ids) > rerank:
-                        limit = -np.partition(-near, rerank - 1)[rerank - 1]
+                    near[rows == query[k]] = -np.inf
+                    pick = np.arange(len(rows))
+                    if len(rows) > best:
+                        limit = -np.partition(-near, best - 1)[best - 1]
                         pick = np.flatnonzero(near > limit)
-                        pick = np.concatenate([pick, np.flatnonzero(near == limit)[: rerank - len(pick)]])
-                    else:
-                        pick = np.arange(len(ids))
+                        pick = np.concatenate([pick, np.flatnonzero(near == limit)[: best - len(pick)]])
                     pick = pick[near[pick] > -np.inf]
-                    yield pa.record_batch([np.full(len(pick), qid[k]), ids[pick], near[pick]], schema=schema)
+                    yield pa.record_batch([np.full(len(pick), query[k]), rows[pick], near[pick]], schema=schema)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, nearest: int = 20, rerank: int = RERANK, sample: int = SAMPLE, eta: float = ETA, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): for each query, the `nearest` vectors by inner product, itself left out.
-
-    vectors, queries: vec_id and embedding."""
-    usable = _usable(vectors)
-    lengths = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    common = lengths.orderBy(F.desc("n"), "d").first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return empty
-    base = staged(usable.where(F.size("v") == common.d), "vectors")
-    asked = _usable(queries).where(F.size("v") == common.d)
-    drawn = base.orderBy(F.xxhash64("vec_id")).limit(sample).select("v").toArrow().column("v").combine_chunks()
+def _search(base: DataFrame, asked: DataFrame, n: int, n_asked: int, nearest: int, rerank: int, sample: int, eta: float, block: int, query_block: int) -> DataFrame:
+    """The search among vectors of one length. base, asked: row, vec_id, v."""
+    drawn = smallest_hashes(base.select("row", "v"), F.xxhash64("row"), sample).select("v").toArrow().column("v").combine_chunks()
     codec = Codec.fit(_matrix(drawn), eta)
-    twins = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    scanned = base.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= nearest + 1).select("vec_id", "v")
-    coded = staged(scanned.mapInArrow(_coder(codec), "vec_id long, code binary"), "codes")
-    parts = int(base.count() // block + 1)
-    codes = coded.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("vec_id", "code")).alias("codes"))
-    q_parts = int(asked.count() // query_block + 1)
-    blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(q_parts)).alias("q")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    blocks = blocks.select("queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    pairs = blocks.join(codes, "part").select("queries", "codes").repartition(max(1, min(parts * q_parts, 4096)))
-    found = pairs.mapInArrow(_scan(codec, rerank), "query_id long, vec_id long, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "vec_id")
-    exact = found.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query_id")
-    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = exact.select("query_id", "vec_id", score.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    twins = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id", "row")
+    scanned = base.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= nearest + 1).select("row", "v")
+    parts, q_parts = n // block + 1, n_asked // query_block + 1
+    group = -(-q_parts // ABREAST)
+    coded = scanned.mapInArrow(released(_coder(codec)), "row long, code binary")
+    packed = lambda df, key, rows, out: df.groupBy(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(rows)).cast("int").alias(key)).agg(F.collect_list(F.struct(*df.columns)).alias(out))
+    codes = staged(packed(coded, "part", parts, "codes"), "codes")
+    queries = staged(packed(asked.select("row", "v"), "block", q_parts, "queries"), "queries")
+    span = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # a block of codes goes once to each group of query blocks; the pairs are dealt out by both, so none is crowded
+    left = queries.withColumn("group", F.floor(F.col("block") / ABREAST).cast("int")).withColumn("part", span(parts)).select("part", "group", "queries")
+    pairs = left.join(codes.withColumn("group", span(group)).hint("merge"), ["part", "group"]).select("queries", "codes")
+    share = rerank / parts
+    found = pairs.mapInArrow(released(_scan(codec, min(rerank, int(share + 6 * share**0.5 + 8)))), "query long, row long, near float")
+    best = Window.partitionBy("query").orderBy(F.desc("near"), "row")
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query", "row")
+    exact = found.join(base, "row").join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query")
+    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    scored = exact.select("query", "query_id", "row", "vec_id", score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, asks: Column | DataFrame, nearest: int = 20, rerank: int = RERANK, sample: int = SAMPLE, eta: float = ETA, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): for each query, the `nearest` vectors by inner product, its own row left out.
+
+    vectors: vec_id and embedding. asks: which rows of them are queries, or other rows (vec_id, embedding) that are."""
+    numbered = lambda df: staged(_usable(df).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    base = numbered(vectors)
+    # queries from elsewhere are no rows of the table, so their numbers are below all of these
+    asked = base.where(asks) if isinstance(asks, Column) else numbered(asks).withColumn("row", -1 - F.col("row"))
+    count = lambda df: {r[0]: r[1] for r in df.groupBy(F.size("v")).agg(F.count("*")).collect()}
+    lengths, wanted = count(base), count(asked)  # as many rows as there are lengths
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in sorted(lengths.keys() & wanted.keys()):
+        of = lambda df, d=d: df.where(F.size("v") == d)
+        out = out.unionByName(_search(of(base), of(asked), lengths[d], wanted[d], nearest, rerank, sample, eta, block, query_block))
+    return out

@@ -3,14 +3,20 @@
 Texts are split by the tokenizer's pattern. Words are counted over all texts, and Spark higher-order functions
 encode each distinct word: the word's bytes become an array of pieces, and a fold merges the leftmost pair of lowest
 rank until none is left. The ranks are a literal: an array of small maps, indexed by the pair, so that a lookup
-costs the same for any vocabulary. The `codebook` most frequent words with their ids are a broadcast of bounded
-size; any other word is folded where it stands. Texts never move between machines. Decoding concatenates the
-ids' byte pieces.
-
-Edge cases: null text is the empty text; repeated rows are encoded each; special tokens are ordinary text; an
-input column named like a result column is replaced. Words are counted with the Java runtime's Unicode tables and
-encoded with those of the `regex` library; where these differ, only the codebook's choice of words does. A fold takes
-a word of up to 8 million bytes.
+costs the same for any vocabulary. The most frequent words, `codebook` at most, are encoded once and sent to all tasks
+with their ids, a table of bounded size; the others are as rare as the text is long, and are folded where they stand, by
+the same functions, as joining them back would move texts between machines. Decoding concatenates the ids' byte pieces.
+
+A fold is quadratic in what it merges, so a long word is folded in windows. A window's pieces count up to a place some
+bytes before its end, where the next window starts. Pieces are the fold of the whole word exactly if each pair of
+neighbours folds to itself (a property of ranked merges), so the pair at each seam is folded too: if it changes, the
+piece before the seam is taken back and its bytes go into the next window. Should that not come to an end, the word is
+folded whole. Time is in proportion to the word's length.
+
+Edge cases: null text is the empty text; repeated rows are encoded each; special tokens are ordinary text; very long texts
+and words are encoded whole; an empty table gives an empty one; an input column named like a result column is replaced,
+others stay as they are whatever their names. Words are counted with the Java runtime's Unicode tables and
+encoded with those of the `regex` library; where these differ, only the codebook's choice of words does.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import released, slices, staged
+from cinderlake.llm.common import free, give_back, most_frequent, released, slices, staged
 
 #: Words whose encoding is broadcast: 40 MB at most, as longer words than LONGEST bytes are left out.
 CODEBOOK = 1 << 19
@@ -37,6 +43,10 @@ STEP = 250_000
 #: Bytes of text that one look-up takes.
 SLICE = 1 << 20
 
+#: Longer words, in bytes, are folded in windows, whose last MARGIN bytes may still change.
+WINDOW = 384
+MARGIN = 128
+
 _BUCKETS = 1 << 16
 #: A packed piece: 20 bits of rank, 23 of place and 20 of id.
 _RANK_AT, _PLACE_AT = 43, 20
@@ -80,6 +90,9 @@ class RankMap:
                     buckets[at] += f',"{a << 32 | b}":{k}'
         text = ",".join(["{" + x[1:] + "}" for x in buckets])
         self._merges = F.from_json(F.lit(f"[{text}]"), "array<map<string,int>>").cast("array<map<bigint,int>>")
+        # a margin and the window before it hold two pieces at least
+        self._margin = MARGIN
+        self._window = max(WINDOW, self._margin + 2 * max(map(len, pieces)) + 1)
         self._bytes = F.from_json(F.lit(json.dumps([rank[bytes([k])] for k in range(256)])), "array<bigint>")
 
     def encode(self, words: Column) -> Column:
@@ -88,14 +101,68 @@ class RankMap:
         The state is an array of longs, one per piece: the rank of the merge with the next piece, the place of the
         piece's first byte and its id. So the least element is the leftmost pair of lowest rank. Both tables are
         bound once, so that a task gets one copy of them."""
-        return _let(self._merges, lambda merges: _let(self._bytes, lambda first: F.transform(words, lambda w: _fold(w, merges, first))))
+        return _let(self._merges, lambda merges: _let(self._bytes, lambda first: F.transform(words, lambda w: _word(w, merges, first, self._window, self._margin))))
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold(word: Column, merges: Column, first: Column) -> Column:
+def _ids(pieces: Column) -> Column:
+    return F.transform(pieces, lambda e: e.bitwiseAND(_ID).cast("int"))
+
+
+def _word(word: Column, merges: Column, first: Column, window: int, margin: int) -> Column:
+    raw = F.encode(word, "UTF-8")
+    whole = _ids(_fold(raw, merges, first))
+    return F.when(F.octet_length(word) <= window, whole).otherwise(_let(_long(raw, merges, first, window, margin), lambda ids: F.when(F.size(ids) == 0, whole).otherwise(ids)))
+
+
+def _long(raw: Column, merges: Column, first: Column, window: int, margin: int) -> Column:
+    """The ids of a long word, from windows with folded seams; none if the windows didn't reach the end.
+
+    The state is the number of bytes done and an array of each window's pieces, packed as length and id."""
+    n = F.octet_length(raw)
+    place = lambda e: F.shiftright(e.bitwiseAND(_PLACE), _PLACE_AT).cast("int")
+    length = lambda e: F.shiftright(e, _PLACE_AT).cast("int")
+
+    def step(state: Column, _: Column) -> Column:
+        at, parts = state["at"], state["parts"]
+
+        def added(pieces: Column) -> Column:
+            last = n - at <= window
+            # pieces that end before the margin
+            count = F.when(last, F.size(pieces)).otherwise(F.size(F.filter(pieces, lambda e: place(e) <= window - margin)) - 1)
+            end = F.when(last, n - at).otherwise(place(F.get(pieces, count)))
+            after = lambda i: F.when(i + 1 == count, end).otherwise(place(F.get(pieces, i + 1)))
+            kept = F.transform(F.slice(pieces, F.lit(1), count), lambda e, i: F.shiftleft((after(i) - place(e)).cast("long"), _PLACE_AT) + e.bitwiseAND(_ID))
+            return _let(kept, lambda own: seam(own, end))
+
+        def seam(own: Column, end: Column) -> Column:
+            joined = F.struct((at + end).alias("at"), F.concat(parts, F.array(own)).alias("parts"))
+
+            def checked(before: Column) -> Column:
+                x, y = F.element_at(before, -1), F.get(own, F.lit(0))
+                pair = _ids(_fold(F.substring(raw, at - length(x) + 1, length(x) + length(y)), merges, first))
+                fine = pair == F.array(x.bitwiseAND(_ID).cast("int"), y.bitwiseAND(_ID).cast("int"))
+                shorter = F.slice(before, F.lit(1), F.size(before) - 1)
+                rest = F.slice(parts, F.lit(1), F.size(parts) - 1)
+                back = F.when(F.size(before) == 1, rest).otherwise(F.concat(rest, F.array(shorter)))
+                return F.when(fine, joined).otherwise(F.struct((at - length(x)).alias("at"), back.alias("parts")))
+
+            return F.when(F.size(parts) == 0, joined).otherwise(_let(F.element_at(parts, -1), checked))
+
+        return F.when(at >= n, state).otherwise(_let(_fold(F.substring(raw, at + 1, F.lit(window)), merges, first), added))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<bigint>>").alias("parts"))
+    steps = F.sequence(F.lit(1), F.ceil(n / (window - 2 * margin)).cast("int") * 2 + 16)
+    end = F.aggregate(steps, start, step)
+    return _let(end, lambda s: F.when(s["at"] >= n, _ids(F.flatten(s["parts"]))).otherwise(F.array().cast("array<int>")))
+
+
+def _fold(raw: Column, merges: Column, first: Column) -> Column:
+    """The pieces of some bytes, packed."""
+
     def rank(a: Column, b: Column) -> Column:
         """The id of a pair's merge, which is its rank too, in the place of a packed piece's rank."""
         small = F.get(merges, (a * 40503 + b).bitwiseAND(_BUCKETS - 1).cast("int"))
@@ -115,9 +182,8 @@ def _fold(word: Column, merges: Column, first: Column) -> Column:
         one = lambda least: F.when(least >= _NONE << _RANK_AT, state).otherwise(_let(F.array_position(state, least).cast("int"), lambda p: done(least, p)))
         return _let(F.array_min(state), one)
 
-    chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    folded = _let(chars, lambda c: F.aggregate(F.slice(F.sequence(F.lit(1), F.length(c)), F.lit(2), F.length(c)), start(c), merge))
-    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.transform(folded, lambda e: e.bitwiseAND(_ID).cast("int")))
+    chars = F.decode(raw, "ISO-8859-1")
+    return _let(chars, lambda c: F.when(F.length(c) == 0, F.array().cast("array<bigint>")).otherwise(F.aggregate(F.slice(F.sequence(F.lit(1), F.length(c)), F.lit(2), F.length(c)), start(c), merge)))
 
 
 def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -127,7 +193,8 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 def frequent_words(docs: DataFrame, pattern: str, size: int = CODEBOOK) -> DataFrame:
     """The most frequent words of LONGEST bytes at most, as a table: so plans with the rank map stay of one stage."""
-    top = word_counts(docs, pattern).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size).select("word")
+    counts = staged(word_counts(docs, pattern).where(F.octet_length("word") <= LONGEST), "counts")
+    top = most_frequent(counts, size).select("word")
     return staged(top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4), "words")
 
 
@@ -161,7 +228,7 @@ def _steps(lists: pa.Array) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _look_up(shared, others: list[str], pattern: str):
+def _look_up(shared, others: list[str], pattern: str, made: list[str]):
     """Each word's place in the codebook; other words get -1 and are listed."""
     state: dict = {}
 
@@ -185,13 +252,13 @@ def _look_up(shared, others: list[str], pattern: str):
                 edges = lambda x: pa.array(np.cumsum(x).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c) for c in others], pa.ListArray.from_arrays(edges(size), pa.array(np.concatenate(flat))), pa.ListArray.from_arrays(edges(n_rare), pa.array(rare, pa.string()))],
-                    names=[*others, "places", "rare"],
+                    names=[*others, *made],
                 )
 
     return run
 
 
-def _assemble(shared, others: list[str], pieces: list[bytes], digests: bool):
+def _assemble(shared, others: list[str], pieces: list[bytes], digests: bool, places: str, coded: str):
     state: dict = {}
 
     def set_up() -> None:
@@ -213,9 +280,9 @@ def _assemble(shared, others: list[str], pieces: list[bytes], digests: bool):
         for whole in batches:
             if not state:
                 set_up()
-            for at, n in _steps(whole.column("places")):
+            for at, n in _steps(whole.column(places)):
                 b = whole.slice(at, n)
-                lists, rare = b.column("places"), b.column("coded").flatten()
+                lists, rare = b.column(places), b.column(coded).flatten()
                 place = lists.flatten().to_numpy().astype(np.int64)
                 known = len(state["size"])
                 place = np.where(place < 0, known - 1 + np.cumsum(place < 0), place)
@@ -247,19 +314,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, size: int = CODEBOOK,
     With digests=True the text and ids give way to n_tokens, ids_sha256 (of the decimal ids, joined by one space)
     and decoded_sha256 (of the bytes that the ids decode to)."""
     spark = docs.sparkSession
-    made = {"words", "places", "rare", "coded", "ids", "n_tokens", "ids_sha256", "decoded_sha256"}
+    made = {"ids"} | ({"n_tokens", "ids_sha256", "decoded_sha256"} if digests else set())
     src = docs.select(*[c for c in docs.columns if c not in made])
     words = frequent_words(src.select("text"), pattern, size)
     pieces = read_ranks(ranks_path)
     ranks = RankMap(pieces)
     book, ids = (spark.sparkContext.broadcast([x]) for x in codebook(words, ranks))
+    give_back()
     kept = [f for f in src.schema if not (digests and f.name == "text")]
     others = [f.name for f in kept]
+    places, rare, coded = free("places", src), free("rare", src), free("coded", src)
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    found = src.mapInArrow(released(_look_up(book, others, pattern)), f"{ddl}places array<int>, rare array<string>")
-    coded = found.select(*others, "places", ranks.encode(F.col("rare")).alias("coded"))
+    found = src.mapInArrow(released(_look_up(book, others, pattern, [places, rare])), f"{ddl}`{places}` array<int>, `{rare}` array<string>")
+    folded = found.select(*[F.col(f"`{c}`") for c in others], places, ranks.encode(F.col(rare)).alias(coded))
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return coded.mapInArrow(released(_assemble(ids, others, pieces, digests)), ddl + result)
+    return folded.mapInArrow(released(_assemble(ids, others, pieces, digests, places, coded)), ddl + result)
 
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlake.staging import staged
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[ \t-\r]+"
@@ -23,21 +23,47 @@ GAP = r"[ \t-\r]+"
 SLICE_BYTES = 3 << 18
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cinderlake-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+def free(name: str, *frames: DataFrame) -> str:
+    """name, with underscores in front until no table has a column of that name in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_id(docs: DataFrame, name: str) -> DataFrame:
+    """docs, staged, with a different number in each row: rows that are equal otherwise can be told apart again."""
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def smallest_hashes(rows: DataFrame, h: Column, k: int, name: str = "_h") -> DataFrame:
+    """The `k` rows with the smallest values of a 64-bit hash, in order, the same choice at every size.
 
+    Rows beyond the hash below which k of them surely lie go first, so that what is put in order is little more than k rows,
+    however many there are. Rows of equal hashes should be equal."""
+    n = rows.count()
+    share = min(1.0, (k + 8 * k**0.5 + 50) / max(n, 1))
+    low = rows.withColumn(name, h)
+    if share < 1:
+        low = low.where(F.col(name) <= F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return low.orderBy(name).limit(k)
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: short lineage, exact sizes, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def most_frequent(counts: DataFrame, size: int, n: str = "n") -> DataFrame:
+    """The rows of the largest counts, `size` of them at most; of equal counts all or none.
+
+    The least count comes from how many rows there are of each: exact up to 4096, above that within powers of 2 ** (1/64),
+    so that some thousand numbers reach the driver, and nothing is put in order."""
+    large = F.floor(F.log2(n) * 64) / 64
+    level = F.when(F.col(n) <= 4096, F.col(n).cast("double")).otherwise(F.pow(F.lit(2.0), large))
+    rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min(n).alias("least")).collect()
+    taken, least = 0, None
+    for r in sorted(rows, key=lambda r: -r["level"]):
+        taken += r["rows"]
+        if taken > size:
+            break
+        least = r["least"]
+    return counts.where(F.col(n) >= least) if least is not None else counts.limit(0)
 
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
@@ -65,14 +91,19 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Give unused memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -6,11 +6,19 @@ vote for their paths; votes are averaged in Spark over the pages of a host that
 extracted again below that of its own paths which has the highest average, else by its own best container. All paths
 that were voted for count; pages meet them by a join of path keys, so that no host's paths are gathered in one row.
 
-Below the chosen container, boilerplate elements (by tag, role, class or id) are left out, character references
-are decoded, white space within a block becomes one space and blocks are joined by one space, in page order.
-
-Edge cases: null html gives the empty text; tags left open are closed by their parents; repeated rows are
-extracted each; pages without a host vote by themselves under an empty host; extra columns are left out.
+What is left out below the chosen container is put to the host's pages too. Elements of the kinds that HTML has for it
+(menus, footers, forms, scripts and so on) go. For others, the words of their class and id are one sign, the share of
+the page's text that the path holds on the host's pages, how much of it is links, and whether the text is the same on
+different pages are the others (`dropped_paths` has the rule). Forms, headers and the like that hold most of a page's
+text stay.
+
+Character references are decoded, white space within a block becomes one space and blocks are joined by one space, in
+page order; unknown elements and images don't end a block.
+
+Edge cases: null html gives the empty text; tags left open are closed by their parents; elements may be nested to any depth,
+and pages may be of any length (the work is linear in it); repeated rows are extracted each; pages without a host vote
+by themselves under an empty host, and so do those with a null url; of equal votes the page's own larger share wins; an
+empty table gives an empty one; extra columns are left out, and none can clash.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,252 +34,358 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import staged
+from cinderlake.llm.common import released, slices, staged
 
 #: Containers of a page that vote.
 VOTES = 3
 
 # fixed values: element kinds of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
+    "hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
+)
 CONTAINERS = frozenset("article main section div td body html".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# fixed values: what isn't main text, by tag, by role and by words of class and id
-BOILERPLATE_TAGS = frozenset("nav header footer aside form script style noscript template head title iframe button select textarea svg math dialog menu".split())
+# fixed values: what isn't main text by its kind; the second line may hold a whole page, and stays where it does
+BOILERPLATE_TAGS = frozenset("nav footer script style noscript template head title iframe button select textarea svg math menu".split())
+WRAPPING_TAGS = frozenset("header aside form dialog".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead footer foot sidebar aside widget related recommended share sharing social comment comments respond replies disqus newsletter subscribe subscription signup login pager pagination toolbar skip".split()
+# fixed values: words of class and id. A name of REMARK words, alone or beside others of these lists, tells of readers' remarks
+# and adverts; one of FRAME words and NEUTRAL ones only, of a page's frame; other names with such a word are a hint only
+REMARK_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr comment comments respond replies disqus newsletter subscribe".split())
+FRAME_WORDS = frozenset(
+    "promotion banner notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar aside widget related recommended "
+    "share sharing social subscription signup login pager pagination toolbar skip".split()
 )
+NEUTRAL_WORDS = frozenset("area bar block box bottom button buttons center col column container fixed form global group holder inner item items left links list main outer page panel right row section site slot sticky text thread title top unit wrap wrapper".split())
+ARTICLE_WORDS = frozenset("article blog body content entry post posts story".split())
+LISTS = frozenset("ul ol dl table".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _SPACE = re.compile(r"\s+")
 
+#: What the names of an element say: nothing, a hint, a page's frame, readers' remarks or adverts.
+NOTHING, HINT, FRAME, REMARK = range(4)
+#: Kinds of elements by tag, role and style.
+PLAIN, WRAPPING, BOILERPLATE, HIDDEN = range(4)
+
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "parent", "text", "linked", "paragraphs")
+    __slots__ = ("tag", "key", "parent", "kind", "mark", "linked", "begin", "end", "out")
+
+    def __init__(self, tag: str, key: int, parent: Node | None, kind: int, mark: int, begin: int):
+        self.tag, self.key, self.parent, self.kind, self.mark, self.begin, self.end = tag, key, parent, kind, mark, begin, -1
+        self.linked = tag == "a" or parent is not None and parent.linked
+        self.out = False
+
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: Node | None):
-        self.tag, self.path, self.dropped, self.parent = tag, path, dropped, parent
-        self.text = self.linked = self.paragraphs = 0
+def path_key(label: str, parent: int = 0) -> int:
+    """A path's 64-bit hash, from its parent's and its last label, as a signed number."""
+    return int.from_bytes(xxhash.xxh3_64_digest(label.encode("utf-8", "surrogatepass"), parent & (1 << 64) - 1), "big", signed=True)
 
 
-def _open(tag: str, attrs: str, parent: Node) -> Node:
-    words: list[str] = []
-    dropped = parent.dropped or tag in BOILERPLATE_TAGS
-    label = tag
+def name_mark(name: str) -> int:
+    """What one name of a class or id says."""
+    words = [w.lower() for w in _WORDS.findall(_HUMP.sub(" ", name))]
+    known = REMARK_WORDS | FRAME_WORDS
+    if known.isdisjoint(words):
+        return NOTHING
+    if words[-1] in REMARK_WORDS and all(w in known or w in NEUTRAL_WORDS or w in ARTICLE_WORDS for w in words):
+        return REMARK
+    if all(w in known or w in NEUTRAL_WORDS for w in words):
+        return FRAME if REMARK_WORDS.isdisjoint(words) else REMARK
+    return HINT
+
+
+def _open(tag: str, attrs: str, parent: Node, begin: int) -> Node:
+    kind = BOILERPLATE if tag in BOILERPLATE_TAGS else WRAPPING if tag in WRAPPING_TAGS else PLAIN
+    mark, label = NOTHING, tag
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                own = [w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))]
-                words += own
-                if name == "class" and own:
-                    label = f"{tag}.{'-'.join(sorted(set(own)))}"
+                mark = max([mark, *map(name_mark, value.split())])
+                own = {w.lower() for w in _WORDS.findall(_HUMP.sub(" ", value))} if name == "class" else ()
+                if own:
+                    label = f"{tag}.{'-'.join(sorted(own))}"
             elif name == "role":
-                dropped |= value.strip().lower() in BOILERPLATE_ROLES
+                kind = max(kind, WRAPPING if value.strip().lower() in BOILERPLATE_ROLES else PLAIN)
             elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-                dropped = True
-            elif name == "style":
-                dropped |= "display:none" in value.replace(" ", "").lower()
-        if tag not in ("html", "body", "article", "main"):
-            dropped |= not BOILERPLATE_WORDS.isdisjoint(words)
-    return Node(tag, f"{parent.path}/{label}", dropped, parent)
-
-
-def parse(page: str) -> Iterator[tuple[Node, str | None]]:
-    """The page as (element, text) in order; text None marks the border of a block."""
-    root = Node("", "", False, None)
-    at, now = 0, root
-    depth = 0
-    # elements too deep to be opened, whose end tags close nothing
-    unopened: dict[str, int] = {}
-    search = _TAG.search
-    while True:
-        m = search(page, at)
-        if m is None:
-            if at < len(page):
-                yield now, page[at:]
-            return
-        if m.start() > at:
-            yield now, page[at : m.start()]
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag not in INLINE:
-            yield now, None
-        if m[1]:
-            if unopened.get(tag):
-                unopened[tag] -= 1
+                kind = HIDDEN
+            elif name == "style" and "display:none" in value.replace(" ", "").lower():
+                kind = HIDDEN
+        if tag in ("html", "body", "article", "main"):
+            mark = NOTHING
+    return Node(tag, path_key(label, parent.key), parent, kind, mark, begin)
+
+
+class Page:
+    """A page's elements in order, each after its parent, and its texts: (element, text), or None at a block's border."""
+
+    def __init__(self, page: str):
+        self.root = Node("", 0, None, PLAIN, NOTHING, 0)
+        self.nodes: list[Node] = [self.root]
+        self.pieces: list[tuple[Node, str] | None] = []
+        self._parse(page)
+        for node in self.nodes:
+            if node.end < 0:
+                node.end = len(self.pieces)
+
+    def _shut(self, now: Node, up: Node) -> Node:
+        """Close all elements from `now` up to and with `up`."""
+        while now is not up:
+            now.end = len(self.pieces)
+            now = now.parent
+        up.end = len(self.pieces)
+        return up.parent
+
+    def _parse(self, page: str) -> None:
+        at, now = 0, self.root
+        # how many elements of each tag are open, so that end tags without a start needn't be looked for
+        opened: dict[str, int] = {}
+        search, pieces = _TAG.search, self.pieces
+
+        def shut(up: Node) -> Node:
+            node = now
+            while node is not up.parent:
+                opened[node.tag] -= 1
+                node = node.parent
+            return self._shut(now, up)
+
+        while True:
+            m = search(page, at)
+            if m is None:
+                if at < len(page):
+                    pieces.append((now, page[at:]))
+                return
+            if m.start() > at:
+                pieces.append((now, page[at : m.start()]))
+            at = m.end()
+            tag = m[2]
+            if tag is None:
                 continue
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                while now is not up:
-                    now, depth = now.parent, depth - 1
-                now, depth = up.parent, depth - 1
-                unopened.clear()
-            continue
-        if tag in VOID:
-            continue
-        shut = SELF_CLOSING.get(tag)
-        if shut is None and tag in CLOSES_P:
-            shut = {"p"}
-        if shut:
-            up = now
-            while up is not root and up.tag not in shut and (up.tag in INLINE or up.tag == "p"):
-                up = up.parent
-            if up.tag in shut and up is not root:
-                while now is not up.parent:
-                    now, depth = now.parent, depth - 1
-        end = _RAW_END.get(tag)
-        if end is not None:
-            m = end.search(page, at)
-            at = m.end() if m else len(page)
-            continue
-        shuts = not (m[3] or "").endswith("/") or tag in CONTAINERS or tag in INLINE or tag == "p"
-        if depth > 400:
-            if shuts:
-                unopened[tag] = unopened.get(tag, 0) + 1
-            continue
-        node = _open(tag, m[3].rstrip("/") if m[3] else "", now)
-        if shuts:
-            now, depth = node, depth + 1
-
-
-def _weigh(page: str) -> dict[str, float]:
-    """Scores of the containers' paths: text near below them, less what is linked."""
-    score: dict[str, float] = {}
-    for node, text in parse(page):
-        if text is None or node.dropped:
-            continue
-        n = len(text.strip())
-        if not n:
-            continue
-        up, linked, share = node, False, 1.0
-        while up is not None and up.parent is not None:
-            linked |= up.tag == "a"
-            if up.tag in CONTAINERS:
-                score[up.path] = score.get(up.path, 0.0) + (-0.5 if linked else 1.0) * n * share
+            tag = tag.lower()
+            if tag in BLOCKS:
+                pieces.append(None)
+            if m[1]:
+                if opened.get(tag):
+                    up = now
+                    while up.tag != tag:
+                        up = up.parent
+                    now = shut(up)
+                continue
+            if tag in VOID:
+                continue
+            ends = SELF_CLOSING.get(tag) or ({"p"} if tag in CLOSES_P else None)
+            if ends and any(opened.get(t) for t in ends):
+                up = now
+                while up is not self.root and up.tag not in ends and (up.tag not in BLOCKS or up.tag == "p"):
+                    up = up.parent
+                if up.tag in ends:
+                    now = shut(up)
+            end = _RAW_END.get(tag)
+            if end is not None:
+                m = end.search(page, at)
+                at = m.end() if m else len(page)
+                continue
+            attrs = m[3] or ""
+            node = _open(tag, attrs.rstrip("/"), now, len(pieces))
+            self.nodes.append(node)
+            if attrs.endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "em", "span", "strong"):
+                node.end = len(pieces)
+            else:
+                opened[tag] = opened.get(tag, 0) + 1
+                now = node
+
+    def sizes(self, known: bool = False) -> tuple[list[int], list[int]]:
+        """Running sums over the texts of the characters outside of links and in links; hidden texts have none, nor (with
+        `known`) those that aren't main text for certain."""
+        hidden: dict[int, bool] = {}
+        for node in self.nodes:
+            own = node.kind == HIDDEN or known and (node.kind == BOILERPLATE or node.mark == REMARK)
+            hidden[id(node)] = own or node.parent is not None and hidden[id(node.parent)]
+        n = [0 if x is None or hidden[id(x[0])] else len(x[1].strip()) for x in self.pieces]
+        linked = [k if x is not None and x[0].linked else 0 for x, k in zip(self.pieces, n, strict=True)]
+        return list(accumulate((a - b for a, b in zip(n, linked, strict=True)), initial=0)), list(accumulate(linked, initial=0))
+
+    def leave_out(self, dropped, by_names: bool) -> None:
+        """Mark what is left out: by kind, by the keys of paths, and (where no host is asked) by the names alone."""
+        free, _ = self.sizes(known=True)
+        for node in self.nodes:
+            # most of a page's text outside of links
+            most = 2 * (free[node.end] - free[node.begin]) > free[-1]
+            kind = node.kind >= BOILERPLATE or node.kind == WRAPPING and not most
+            names = by_names and (node.mark == REMARK or node.mark == FRAME and not most)
+            node.out = kind or names or node.key in dropped or node.parent is not None and node.parent.out
+
+    def scores(self) -> dict[int, float]:
+        """Scores of the containers' paths: text near below them, less what is linked."""
+        plain, linked = {}, {}
+        for x in self.pieces:
+            if x is not None and not x[0].out:
+                n = len(x[1].strip())
+                if n:
+                    plain[id(x[0])] = plain.get(id(x[0]), 0.0) + n
+        score: dict[int, float] = {}
+        # children come after their parents, so that from the end on each element is complete when it is met
+        for node in reversed(self.nodes):
+            p, q = plain.pop(id(node), 0.0), linked.pop(id(node), 0.0)
+            if not p and not q or node.parent is None:
+                continue
+            if node.tag == "a":
+                p, q = 0.0, p + q
+            if node.tag in CONTAINERS:
+                score[node.key] = score.get(node.key, 0.0) + p - 0.5 * q
                 # a container far above the text gains less, unless it is the article itself
-                share *= 0.85
-                if up.tag in ("article", "main"):
-                    share *= 0.5
-            up = up.parent
-    return score
-
-
-def _best(score: dict[str, float], most: int = VOTES) -> list[tuple[str, float]]:
-    return [(p, v) for p, v in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most] if v > 0]
-
-
-def best_paths(page: str | None, most: int = VOTES) -> list[tuple[str, float]]:
-    score = _weigh(page) if page else {}
-    total = sum(v for v in score.values() if v > 0) or 1.0
-    return [(p, v / total) for p, v in _best(score, most)]
-
-
-def _path_of(page: str, key: int) -> str | None:
-    """The page's container path with that key."""
-    seen: set[str] = set()
-    for node, text in parse(page):
-        up = node if text is not None and not node.dropped else None
-        while up is not None and up.parent is not None and up.path not in seen:
-            seen.add(up.path)
-            if up.tag in CONTAINERS and path_key(up.path) == key:
-                return up.path
-            up = up.parent
-    return None
-
-
-def main_text(page: str | None, path: str | None) -> str:
-    """Text below the elements of that path (of the whole page, if there is none of it)."""
+                share = 0.85 * (0.5 if node.tag in ("article", "main") else 1.0)
+                p, q = p * share, q * share
+            up = id(node.parent)
+            plain[up], linked[up] = plain.get(up, 0.0) + p, linked.get(up, 0.0) + q
+        return score
+
+    def text(self, path: int | None) -> str:
+        """Text below the elements of that path (of the whole page, if None) that isn't left out."""
+        inside: set[int] = set()
+        for node in self.nodes:
+            if path is None or node.key == path or node.parent is not None and id(node.parent) in inside:
+                inside.add(id(node))
+        blocks: list[str] = []
+        own: list[str] = []
+        for x in [*self.pieces, None]:
+            if x is not None:
+                if not x[0].out and id(x[0]) in inside:
+                    own.append(x[1])
+            elif own:
+                words = _SPACE.sub(" ", entities.unescape("".join(own))).strip()
+                if words:
+                    blocks.append(words)
+                own.clear()
+        return " ".join(blocks)
+
+
+def _best(score: dict[int, float], most: int = VOTES) -> list[int]:
+    return [p for p, v in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most] if v > 0]
+
+
+def main_text(page: str | None, path: int | None = None, dropped=frozenset()) -> str:
+    """The page's text below a path, or below its own best container if it has no text there."""
     if not page:
         return ""
-    blocks: list[str] = []
-    own: list[str] = []
-    inside = f"{path}/" if path else ""
-
-    def end_block() -> None:
-        if own:
-            words = _SPACE.sub(" ", entities.unescape("".join(own))).strip()
-            if words:
-                blocks.append(words)
-            own.clear()
-
-    for node, text in parse(page):
-        if text is None:
-            end_block()
-        elif not node.dropped and (not path or f"{node.path}/".startswith(inside)):
-            own.append(text)
-    end_block()
-    return " ".join(blocks)
+    found = Page(page)
+    if path is not None:
+        found.leave_out(dropped, False)
+        text = found.text(path)
+        if text:
+            return text
+    found.leave_out(dropped, True)
+    best = _best(found.scores(), 1)
+    return found.text(best[0] if best else None)
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def path_key(path: str) -> int:
-    """A path's 64-bit hash, as a signed number."""
-    return int.from_bytes(xxhash.xxh3_64_digest(path.encode("utf-8", "surrogatepass")), "big", signed=True)
+_PRIME, _BASE = (1 << 61) - 1, 911_382_323
+
+
+def path_rows(page: str) -> list[tuple[int, float, float, float, float, float, int, int]]:
+    """For each path of a container, a list or an element with a telling name: its key, its score as a container, its vote,
+    the shares of the page's text that it holds and holds in links, its links, a hash of its text and its mark."""
+    found = Page(page)
+    found.leave_out((), True)
+    score = found.scores()
+    total = sum(v for v in score.values() if v > 0) or 1.0
+    best = set(_best(score))
+    free, linked = found.sizes()
+    whole = max(free[-1] + linked[-1], 1)
+    texts = [0 if x is None else xxhash.xxh3_64_intdigest(x[1].strip().encode("utf-8", "surrogatepass")) % _PRIME for x in found.pieces]
+    rolled = list(accumulate(texts, lambda h, x: (h * _BASE + x) % _PRIME, initial=0))
+    anchors = [0] * (len(texts) + 1)
+    for node in found.nodes:
+        anchors[node.begin] += node.tag == "a"
+    anchors = list(accumulate(anchors, initial=0))
+    rows: dict[int, list] = {}
+    for node in found.nodes:
+        if node.parent is None or not (node.tag in CONTAINERS or node.tag in LISTS or node.mark):
+            continue
+        a, z = node.begin, node.end
+        row = rows.setdefault(node.key, [0.0, 0.0, 0, 0, 0])
+        row[0] += (free[z] - free[a] + linked[z] - linked[a]) / whole
+        row[1] += (linked[z] - linked[a]) / whole
+        row[2] += anchors[z] - anchors[a]
+        row[3] = (row[3] * _BASE + rolled[z] - rolled[a] * pow(_BASE, z - a, _PRIME)) % _PRIME
+        row[4] = max(row[4], node.mark)
+    return [(k, score.get(k, 0.0) / total, score[k] / total if k in best else 0.0, share, links, float(n), h, mark) for k, (share, links, n, h, mark) in rows.items()]
+
+
+_ROWS = "host string, _k1 long, _k2 long, path long, score double, vote double, share double, linked double, links double, text long, mark int"
 
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's containers: the path's key, its score on the page and, for the best VOTES, its vote."""
-    schema = pa.schema([("host", pa.string()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("path", pa.int64()), ("score", pa.float64()), ("vote", pa.float64())])
-    for b in batches:
-        place, keys, scores, votes = [], [], [], []
-        for k, page in enumerate(b.column("html").to_pylist()):
-            score = _weigh(page) if page else {}
-            total = sum(v for v in score.values() if v > 0) or 1.0
-            best = {p for p, _ in _best(score)}
-            for path, v in score.items():
-                place.append(k)
-                keys.append(path_key(path))
-                scores.append(v / total)
-                votes.append(v / total if path in best else 0.0)
-        at = pa.array(place, pa.int64())
-        own = [b.column(c).take(at) for c in ("host", "_k1", "_k2")]
-        yield pa.record_batch([*own, pa.array(keys, pa.int64()), pa.array(scores, pa.float64()), pa.array(votes, pa.float64())], schema=schema)
+    kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32()]
+    for whole in batches:
+        for b in slices(whole, "html"):
+            place, found = [], []
+            for k, page in enumerate(b.column("html").to_pylist()):
+                rows = path_rows(page) if page else []
+                place += [k] * len(rows)
+                found += rows
+            own = [b.column(c).take(pa.array(place, pa.int64())) for c in ("host", "_k1", "_k2")]
+            columns = list(zip(*found, strict=True)) if found else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["host", "_k1", "_k2", "path", "score", "vote", "share", "linked", "links", "text", "mark"])
+
+
+def dropped_paths():
+    """Whether a host leaves a path out. Of a host's pages with the path: `share` is the mean share of their text that it holds,
+    `linked` the mean share that is links, `pages` and `texts` how many different pages and texts of it there are."""
+    repeated = (F.col("pages") >= 4) & (F.col("texts") * 3 <= F.col("pages"))
+    menu = (F.col("linked") > 0.7 * F.col("share")) & (F.col("links") >= 3)
+    by_names = (F.col("mark") == REMARK) | ((F.col("mark") == FRAME) & (F.col("share") < 0.5))
+    hinted = (F.col("mark") == HINT) & (F.col("share") < 0.5) & (repeated | menu)
+    unnamed = (F.col("mark") == NOTHING) & (F.col("share") < 0.3) & (repeated | (menu & (F.col("pages") >= 3)))
+    return by_names | hinted | unnamed
 
 
 def chosen_paths(pages: DataFrame) -> DataFrame:
-    """Rows (_k1, _k2, path): of the paths that a page has and its host voted for, the one with the most votes by page that has it.
+    """Rows (_k1, _k2, path, dropped): of the paths that a page has and its host voted for, the one with the most votes by
+    page that has it, and the keys of those of its paths that the host leaves out.
 
     A vote is compared with the pages that could give it: a common ancestor of several layouts doesn't beat each layout's own
     container by being on every page, and a rare layout isn't lost to common ones."""
-    weights = staged(pages.select("host", "_k1", "_k2", "html").mapInArrow(_weights, "host string, _k1 long, _k2 long, path long, score double, vote double"), "paths")
-    voted = weights.groupBy("host", "path").agg((F.sum("vote") / F.count("*")).alias("mean")).where("mean > 0").select("host", "path", F.round("mean", 6).alias("mean"))
-    met = weights.where("score > 0").join(voted, ["host", "path"])
-    return met.groupBy("_k1", "_k2").agg(F.max(F.struct("mean", "score", "path")).alias("best")).select("_k1", "_k2", "best.path")
+    weights = staged(pages.select("host", "_k1", "_k2", "html").mapInArrow(released(_weights), _ROWS), "paths")
+    stats = weights.groupBy("host", "path").agg(
+        F.round(F.sum("vote") / F.count("*"), 6).alias("mean"), F.avg("share").alias("share"), F.avg("linked").alias("linked"), F.avg("links").alias("links"),
+        F.approx_count_distinct("_k2").alias("pages"), F.approx_count_distinct("text").alias("texts"), F.max("mark").alias("mark"),
+    )
+    # a table of its own, so that a path that all pages of a large host have can be split among tasks
+    said = staged(stats.select("host", "path", "mean", dropped_paths().alias("drop")).where("mean > 0 or drop"), "votes")
+    met = weights.select("host", "path", "_k1", "_k2", "score").join(said, ["host", "path"])
+    best = F.max(F.when((F.col("mean") > 0) & (F.col("score") > 0), F.struct("mean", "score", "path")))
+    return met.groupBy("_k1", "_k2").agg(best["path"].alias("path"), F.collect_set(F.when(F.col("drop"), F.col("path"))).alias("dropped"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    for b in batches:
-        out = []
-        for page, key in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True):
-            path = _path_of(page, key) if page and key is not None else None
-            if path is None:
-                path = next((p for p, _ in best_paths(page)), None)
-            out.append(main_text(page, path))
-        n = np.array([len(t) for t in out], np.int64)
-        yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), n], schema=schema)
+    for whole in batches:
+        for b in slices(whole, "html"):
+            rows = zip(b.column("html").to_pylist(), b.column("path").to_pylist(), b.column("dropped").to_pylist(), strict=True)
+            out = [main_text(page, path, frozenset(dropped or ())) for page, path, dropped in rows]
+            n = np.array([len(t) for t in out], np.int64)
+            yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), n], schema=schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Rows (page_id, url, text, n_chars), one for each row of pages (page_id, url, html)."""
-    host = host_of(F.col("url"))
-    src = pages.select("page_id", "url", "html", host.alias("host"))
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     # rows with the same keys have the same host and page, and so the same path
-    src = src.withColumns({"_k1": F.coalesce(F.col("page_id").cast("long"), F.lit(0)), "_k2": F.xxhash64("host", "html")})
-    joined = src.join(chosen_paths(src), ["_k1", "_k2"], "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    src = src.withColumns({"_k1": F.coalesce(F.col("page_id"), F.lit(0)), "_k2": F.xxhash64("host", "html")})
+    chosen = staged(chosen_paths(src), "chosen")
+    joined = src.join(chosen, ["_k1", "_k2"], "left").select("page_id", "url", "html", "path", "dropped")
+    return joined.mapInArrow(released(_extract), "page_id long, url string, text string, n_chars long")

@@ -8,8 +8,10 @@ a document's language is the one with most of its words' probability, and that s
 The field is trained on a bounded sample of labelled rows: SAMPLE distinct ones with LONGEST characters at most, the
 same choice at every size. All documents are labelled over their whole texts.
 
-Edge cases: null texts and texts without a letter are `und` with score 0; if there is nothing to learn from, all
-texts are `und`; rows with a null id are learned from; repeated rows are labelled each; extra columns are left out.
+Edge cases: null texts and texts without a letter are `und` with score 0; texts and words of any length are labelled whole;
+of languages with equal shares the first by name is told; if there is nothing to learn from, all texts are `und`; rows
+with a null id are learned from; repeated rows are labelled each; an empty table gives an empty one; extra columns are
+left out, and none can clash.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.llm.chain import Chain
-from cinderlake.llm.common import Words, gram_hashes, slices
+from cinderlake.llm.common import Words, give_back, gram_hashes, released, slices, smallest_hashes
 
 SAMPLE = 2_500
 LONGEST = 20_000
@@ -142,13 +144,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Fiel
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= longest))
     h = F.xxhash64("text", "lang")
     # the smallest hashes of distinct rows, at any size; texts are met afterwards
-    keys = usable.select(h.alias("h")).distinct().orderBy(F.xxhash64("h"), "h").limit(sample)
+    keys = smallest_hashes(usable.select(h.alias("h")).distinct(), F.xxhash64("h"), sample).select("h")
     # as many rows as the sample has
     met = usable.select(h.alias("h"), "text", "lang").join(F.broadcast(keys), "h", "left_semi")
     rows = met.groupBy("h").agg(F.min(F.struct("lang", "text")).alias("row")).orderBy(F.xxhash64("h"), "h").select("row.text", "row.lang").toArrow()
     if not rows.num_rows:
         return None
-    return Field.fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    field = Field.fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    del rows
+    give_back()
+    return field
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:
@@ -156,9 +161,11 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     src = docs.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if field is None:
         return src.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast(field)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field: Field = shared.value
         for whole in batches:
             for b in slices(whole, "text"):
                 share = field.shares(_runs(b.column("text")))
@@ -169,11 +176,11 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                 names = [field.langs[k] if ok else "und" for k, ok in zip(best, there, strict=True)]
                 yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(names), np.clip(score, 0, 1)], schema=schema)
 
-    return src.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(released(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 4, out: int = 2) -> DataFrame:
     """Train on the rows outside the held-out fold and label all rows."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == out, F.lit(False))
-    src = docs.select("doc_id", "text", "lang", held.alias("held_out"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
     return predict(src, train(src.where(~F.col("held_out"))))

@@ -1,15 +1,18 @@
 """Quality classifier: random-indexing word vectors, pooled by document, and a two-layer network.
 
-Every word gives two tokens, its letters and its shape (which kinds of characters follow each other), each in one
-of BUCKETS. A token has a sparse random index of a few signs; its vector is the sum of the indices of the tokens
-around it, over all documents, and a part of its own index. These sums are added up in Spark, block by block of
-buckets, in streams of bounded size. A document is the mean of its tokens' vectors with the log of its length, and
-a network with one hidden layer, in numpy, gives the probability, at a temperature fitted on rows kept apart.
+Every word gives two tokens, its letters and its shape (which kinds of characters follow each other, to the word's end),
+each in one of BUCKETS by its hash. A token has a sparse random index of a few signs; its vector is the sum of the
+indices of the tokens around it, over all documents, and a part of its own index. These sums are added up in Spark,
+block by block of buckets, in as many tasks as there are blocks and in streams of bounded size. A document is the mean
+of its tokens' vectors with the log of its length, and a network with one hidden layer, in numpy, gives the
+probability, at a temperature fitted on rows kept apart.
 
 The network is fitted on a bounded sample of the labelled rows, SAMPLE of them; vectors cover all documents.
 
-Edge cases: null text is the empty text, which is scored too; labels of null quality are left out; if there is
-nothing to learn from, all scores are 0.5; a null id is not held out; repeated rows are scored each.
+Edge cases: null text is the empty text, which is scored too; texts and words of any length are read whole; labels of null
+quality or id are left out; if there is nothing to learn from, all scores are 0.5; a null id is not held out; repeated
+rows are scored each; of rows with equal hashes in the sample any may come first, as they are equal; an empty table
+gives an empty one; input columns named like the result's are replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, gram_hashes, mixed, released, slices
+from cinderlake.llm.common import Words, give_back, gram_hashes, mixed, released, slices, smallest_hashes
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 15
 DIM = 64
 #: Signs in a random index.
 SIGNS = 4
@@ -31,8 +34,9 @@ REACH = 2
 SAMPLE = 20_000
 HIDDEN = 32
 #: Buckets whose sums are one row of the shuffle.
-BLOCK = 256
-SLICE = 1 << 20
+BLOCK = 64
+#: Bytes of text that one step counts or scores.
+SLICE = 2 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[97:123] = 1
@@ -59,11 +63,9 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     change = solid.copy()
     change[1:] |= kind[1:] != kind[:-1]
     out = []
-    for keep, values in ((letter, lower.astype(np.uint64) + np.uint64(1)), (change, kind.astype(np.uint64) + np.uint64(300))):
+    for keep, values in ((letter, lower + np.uint64(1)), (change, kind + np.uint64(300))):
         rank = np.concatenate([[0], np.cumsum(keep)])
         a, z = rank[w.start], rank[w.end]
-        if keep is change:
-            z = np.minimum(z, a + 6)
         out.append((gram_hashes(mixed(values[keep]), a, z - a) % np.uint64(BUCKETS)).astype(np.int64))
     return out[0], out[1]
 
@@ -86,7 +88,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         flat = (at[:, None] * DIM + place[by]).ravel()
                         sums += np.bincount(flat, sign[by].ravel(), BUCKETS * DIM)
     blocks = sums.astype(np.float32).reshape(-1, BLOCK * DIM)
-    yield pa.record_batch([np.arange(len(blocks), dtype=np.int32), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "sums"])
+    some = np.flatnonzero(blocks.any(1))
+    yield pa.record_batch([some.astype(np.int32), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names=["block", "sums"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +103,13 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Vectors of all buckets, from the words around them in all documents."""
     parts = docs.select("text").mapInArrow(released(_contexts), "block int, sums binary")
-    rows = parts.repartition(8, "block").mapInArrow(_add_up, "block int, sums binary").toArrow().to_pydict()
+    # dealt by block: the sums of one block come from all tasks, and are added up as they come
+    rows = parts.repartition("block").mapInArrow(_add_up, "block int, sums binary").toArrow()
     sums = np.zeros((BUCKETS // BLOCK, BLOCK * DIM), np.float32)
-    for k, s in zip(rows["block"], rows["sums"], strict=True):
-        sums[k] = np.frombuffer(s, np.float32)
+    for k, s in zip(rows.column("block").to_pylist(), rows.column("sums"), strict=True):
+        sums[k] = np.frombuffer(s.as_buffer(), np.float32)
+    del rows
+    give_back()
     sums = sums.reshape(BUCKETS, DIM)
     place, sign = _index()
     own = np.zeros((BUCKETS, DIM), np.float32)
@@ -166,34 +172,40 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> Network | None:
     """docs: doc_id, text; labels: doc_id, quality. None if there are no labelled rows."""
-    known = labels.select("doc_id", F.col("quality").alias("_quality")).where("_quality is not null and doc_id is not null")
+    known = labels.select("doc_id", F.col("quality").alias("quality")).where("quality is not null and doc_id is not null")
     # bounded by `sample`, so the labels can be sent to the texts
-    drawn = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "_quality").limit(sample))
+    drawn = F.broadcast(smallest_hashes(known, F.xxhash64("doc_id", "quality"), sample).select("doc_id", "quality"))
     rows = docs.select("doc_id", "text").join(drawn, "doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", SLICE):
-                x = features(b.column("text"), vectors)
-                yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), b.column("_quality")], names=["x", "y"])
+                x = features(b.column("text"), shared.value)
+                yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), b.column("quality").cast(pa.int32())], names=["x", "y"])
 
     found = rows.mapInArrow(released(run), "x binary, y int").toArrow()
+    shared.destroy()
     if not found.num_rows:
         return None
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(found.num_rows, -1)
     y = found.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((*x[:, :4].T, y))  # the rows come in any order
+    # an id may have several rows, so the sample is bounded here as well
+    order = order[:: -(-len(order) // (4 * sample))]
     return Network(x[order], y[order])
 
 
 def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, out: str = "score") -> DataFrame:
     """docs (without a column of that name) and the score of its text."""
-    src = docs.select(*[c for c in docs.columns if c != out])
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
     if network is None:
         return src.withColumn(out, F.lit(0.5))
     names = src.columns
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, network = shared.value
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 p = network(features(b.column("text"), vectors))

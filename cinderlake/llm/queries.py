@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann_search.search(vectors, vectors.where("vec_id % 20 = 0"), nearest=20)
+    return ann_search.search(vectors, F.col("vec_id") % 20 == 0, nearest=20)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ Within a pair of tiles, numpy compares everything by exclusive-or and bit counts
 spanning star of each group that it finds, not all pairs, so groups of thousands stay linear in size; links of
 equal components come out of them by star joins.
 
-Edge cases: null and empty texts have the fingerprint zero and link like any other; repeated rows share it;
-null ids never become a component's id unless all ids of the component are null; an input column named like a
-result column is replaced.
+Edge cases: null and empty texts have the fingerprint zero and link like any other; repeated rows share it; texts are
+read whole, of any length; null ids never become a component's id unless all ids of the component are null; an
+empty table gives an empty one; columns that are kept keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, gram_hashes, mixed, released, row_keys, slices, staged
-from cinderlake.llm.graph import components
+from cinderlake.llm.common import Words, free, gram_hashes, mixed, released, slices, staged, with_row_id
+from cinderlake.operators.graph import representatives, spanning
 
 RADIUS = 4
 SHINGLE = 4
@@ -79,21 +79,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, out:
     return src.mapInArrow(released(run), f"{fields}, {out} long")
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the edges a-b over n nodes: nodes and their roots, by hooking and jumping."""
-    root = np.arange(n)
-    while True:
-        ra, rb = root[a], root[b]
-        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        if (low == high).all():
-            break
-        np.minimum.at(root, high, low)
-        while (root[root] != root).any():
-            root = root[root]
-    node = np.flatnonzero(root != np.arange(n))
-    return node, root[node]
-
-
 def _compare(radius: int, rows: int = 256):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -110,9 +95,9 @@ def _compare(radius: int, rows: int = 256):
             found.append((i + at, j + shift))
             held += len(i)
             if held > 500_000:
-                found = [_spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))]
+                found = [spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))]
                 held = len(found[0][0])
-        node, root = _spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))
+        node, root = spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))
         return both[node].view(np.int64), both[root].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +135,15 @@ def close_links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     tiles = staged(_pack(tiles), "tiles")
     near = [(a, b) for a in range(radius + 1) for b in range(-radius, radius + 1) if a + abs(b) <= radius and (a, b) >= (0, 0)]
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in near])
-    left = tiles.select("lo", "hi", "sub", F.col("fps").alias("a"), F.explode(steps).alias("step"))
-    left = left.select(F.expr("lo + step.a AS lo"), F.expr("hi + step.b AS hi"), F.col("sub").alias("sub_a"), "a", F.expr("step.a = 0 and step.b = 0 AS own"))
-    right = tiles.select("lo", "hi", F.col("sub").alias("sub_b"), F.col("fps").alias("b"))
-    pairs = left.join(right, ["lo", "hi"]).where("not own or sub_a <= sub_b")
-    same: Column = F.col("own") & (F.col("sub_a") == F.col("sub_b"))
+    left = tiles.select("lo", "hi", F.col("sub").alias("sub_a"), F.col("fps").alias("a"), F.explode(steps).alias("step"))
+    left = left.select(F.expr("lo + step.a AS lo"), F.expr("hi + step.b AS hi"), "sub_a", "a", F.expr("step.a = 0 and step.b = 0 AS own"))
+    # a tile goes to each tile that it meets, so pairs are dealt out by tiles, not by their few counts
+    left = left.join(F.broadcast(parts), ["lo", "hi"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).where("not own or sub_a <= sub")
+    right = tiles.select("lo", "hi", "sub", F.col("fps").alias("b"))
+    pairs = left.join(right.hint("merge"), ["lo", "hi", "sub"])
+    same: Column = F.col("own") & (F.col("sub_a") == F.col("sub"))
     pairs = pairs.select("a", F.when(~same, F.col("b")).alias("b"))
-    return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(_compare(radius), "u long, v long")
+    return pairs.mapInArrow(released(_compare(radius)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -165,27 +152,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     component_id is the smallest doc_id reachable; root is the component's smallest fingerprint."""
     own = staged(fingerprints(docs.select("doc_id", *keep, "text"), shingle, seed), "simhash")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(close_links(classes, radius, tile))
-    member = classes.join(roots, classes.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = representatives(close_links(classes, radius, tile))
+    member = staged(classes.join(roots, classes.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
+    # a table of its own, so that the rows of one root can be split among tasks
+    ids = staged(member.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return own.join(member.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
-def _rows(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    rows = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
-    # repeated rows agree in their keys; any one of them stays
-    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(1)))
-    return rows.withColumn("_k4", nth).where("_k4 = 1")
+def _kept(keyed: DataFrame, found: DataFrame, group: str, row: str) -> DataFrame:
+    """Of each group, the row with the smallest doc_id. found: doc_id, the row's number and its group."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    first = found.groupBy(group).agg(F.min(order).alias("first")).select(F.col(f"first.{row}").alias(row))
+    return keyed.join(first, row, "left_semi").drop(row)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near copies: of each group, the row with the smallest doc_id stays."""
-    k1, k2 = row_keys()
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    found = near_duplicates(keyed, keep=("_k1", "_k2"), **options)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first"))
-    chosen = first.select("first._k1", "first._k2")
-    return _rows(keyed, chosen).select(*docs.columns)
+    row = free("_row", docs)
+    keyed = with_row_id(docs, row)
+    return _kept(keyed, near_duplicates(keyed.select("doc_id", "text", row), keep=(row,), **options), "root", row)
 
 
 def as_hex(fp: Column) -> Column:
@@ -253,9 +238,9 @@ def _compare_wide(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
                 found.append((i[near], j[near] + shift))
                 held += int(near.sum())
                 if held > 500_000:
-                    found = [_spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))]
+                    found = [spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))]
                     held = len(found[0][0])
-            node, root = _spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))
+            node, root = spanning(*map(np.concatenate, zip(*found, strict=True)), len(both))
             if len(node):
                 yield pa.record_batch([both[node, 0].view(np.int64), both[root, 0].view(np.int64)], schema=schema)
 
@@ -277,67 +262,145 @@ def wide_links(classes: DataFrame, least: float, tile: int = TILE) -> DataFrame:
         return pa.table({"band": pa.array([key[0].as_py()], pa.int32()), "sub": pa.array([key[1].as_py()], pa.int32()), "sets": pa.array([x.tobytes()], pa.binary())})
 
     tiles = staged(keyed.groupBy("band", "sub").applyInArrow(pack, "band int, sub int, sets binary"), "tiles")
-    left = tiles.select("band", F.col("sub").alias("sub_a"), F.col("sets").alias("a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("band", F.expr("band + step"))
-    right = tiles.select("band", F.col("sub").alias("sub_b"), F.col("sets").alias("b"))
-    pairs = left.join(right, "band").where("step = 1 or sub_a <= sub_b")
-    pairs = pairs.select("a", F.expr("CASE WHEN step = 1 OR sub_a < sub_b THEN b END AS b"))
-    return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(released(_compare_wide), "u long, v long")
+    left = tiles.select(F.col("sub").alias("sub_a"), F.col("sets").alias("a"), F.explode(F.array(F.struct(F.lit(0).alias("step"), F.col("band").alias("band")), F.struct(F.lit(1).alias("step"), (F.col("band") + 1).alias("band")))).alias("to"))
+    left = left.select("sub_a", "a", "to.step", "to.band").join(F.broadcast(parts), "band")
+    # a tile goes to each tile that it meets, so pairs are dealt out by tiles, not by bands
+    left = left.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).where("step = 1 or sub_a <= sub")
+    pairs = left.join(tiles.select("band", "sub", F.col("sets").alias("b")).hint("merge"), ["band", "sub"])
+    pairs = pairs.select("a", F.expr("CASE WHEN step = 1 OR sub_a < sub THEN b END AS b"))
+    return pairs.mapInArrow(released(_compare_wide), "u long, v long")
+
+
+#: Shingles of the texts that one task compares exactly, about: 8 bytes each, and some copies of that.
+TOGETHER = 500_000
+
+
+def _linked(own: np.ndarray, first: np.ndarray, size: np.ndarray, at: int, others: np.ndarray, least: float) -> np.ndarray:
+    """Of the sets `others`, those whose similarity to the set `at` is `least` or more."""
+    mine = own[first[at] : first[at + 1]]
+    rest = np.repeat(others, size[others])
+    place = np.repeat(first[others] - (np.cumsum(size[others]) - size[others]), size[others]) + np.arange(len(rest))
+    seen = own[place]
+    hit = np.minimum(np.searchsorted(mine, seen), len(mine) - 1)
+    common = np.bincount(rest[mine[hit] == seen], minlength=len(size))[others]
+    return others[common >= least * (size[others] + size[at] - common) - 1e-9]
 
 
 def _confirm(least: float, shingle: int):
-    """Within a group of candidates, components of the pairs whose similarity is `least` or more, exactly."""
+    """Within a group of candidates, stars of the pairs whose similarity is `least` or more, exactly: each set is compared
+    with those that no star holds yet."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         ids, at = np.unique(t.column("set_id").to_numpy(), return_index=True)
         own, first = shingle_sets(t.column("text").combine_chunks().take(pa.array(at)), shingle)
         size = np.diff(first)
-        doc = np.repeat(np.arange(len(ids)), size)
         root = np.full(len(ids), -1)
-        left = np.ones(len(ids), bool)
         for start in range(len(ids)):
-            if not left[start]:
+            if root[start] >= 0:
                 continue
-            left[start], root[start] = False, start
+            root[start] = start
             reached = [start]
-            while reached and left.any():
-                k = reached.pop()
-                mine = own[first[k] : first[k + 1]]
-                rest = left[doc]
-                own_left, doc_left = own[rest], doc[rest]
-                place = np.minimum(np.searchsorted(mine, own_left), len(mine) - 1)
-                common = np.bincount(doc_left[mine[place] == own_left], minlength=len(ids))
-                new = np.flatnonzero(left & (common >= least * (size + size[k] - common) - 1e-9))
-                left[new], root[new] = False, start
+            while reached:
+                left = np.flatnonzero(root < 0)
+                if not len(left):
+                    break
+                new = _linked(own, first, size, reached.pop(), left, least)
+                root[new] = start
                 reached += new.tolist()
         return pa.table({"set_id": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())})
 
     return run
 
 
-def one_of_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
+def _cross(least: float, shingle: int):
+    """Links between the sets of two sides of a group."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        side, block = t.column("outside").to_numpy(zero_copy_only=False), t.column("block").to_numpy()
+        ids = t.column("set_id").to_numpy()
+        own, first = shingle_sets(t.column("text").combine_chunks(), shingle)
+        size = np.diff(first)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(side):
+            new = _linked(own, first, size, k, np.flatnonzero(~side & (block != block[k])), least)
+            u.append(np.full(len(new), ids[k]))
+            v.append(ids[new])
+        return pa.table({"set_id": pa.array(np.concatenate(u), pa.int64()), "root": pa.array(np.concatenate(v), pa.int64())})
+
+    return run
+
+
+def _chunked(members: DataFrame, together: int) -> DataFrame:
+    """members (loose, set_id, size) with the number of chunks of their group and their own chunk."""
+    sizes = staged(members.groupBy("loose").agg(F.ceil(F.sum("size") / together).cast("int").alias("chunks")), "chunks")
+    return members.join(sizes, "loose").withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("chunks")).cast("int"))
+
+
+def exact_groups(members: DataFrame, texts: DataFrame, least: float, shingle: int, together: int = TOGETHER) -> DataFrame:
+    """Rows (set_id, root): components of the pairs of one group whose similarity is `least` or more.
+
+    members: loose, set_id, size; texts: set_id, text. A group that fits in a task is compared there. A larger one is dealt
+    to chunks; a star's centre stands for its chunk in further rounds, until one chunk holds all centres or they
+    don't get fewer. Then centres of one group that still aren't linked are blocks, and every text outside of the largest
+    block is compared with all texts of other blocks, chunk by chunk. So no pair is lost, and no task takes a whole group."""
+    schema = "set_id long, root long"
+    dealt = staged(_chunked(members, together), "dealt")
+    links = [staged(texts.join(dealt, "set_id").groupBy("loose", "chunk").applyInArrow(_confirm(least, shingle), schema), "stars")]
+    big = dealt.where("chunks > 1").select("loose", "set_id", "size")
+    now, n = big, big.count()
+    while n:
+        # centres, some of which are of groups of one chunk: these are left out by the join
+        centres = staged(_chunked(now.join(links[-1].where("set_id = root").select("set_id"), "set_id"), together), "centres")
+        left, chunks = centres.agg(F.count("*"), F.max("chunks")).first()
+        links.append(staged(texts.join(centres, "set_id").groupBy("loose", "chunk").applyInArrow(_confirm(least, shingle), schema), "stars"))
+        if left >= n or chunks <= 1:
+            break
+        now, n = centres.select("loose", "set_id", "size"), left
+    stars = links[0]
+    for further in links[1:]:
+        stars = stars.unionByName(further)
+    edges = stars.where("set_id != root").select(F.col("set_id").alias("u"), F.col("root").alias("v"))
+    roots = representatives(edges)
+    if n or len(links) > 1:
+        blocks = big.join(roots, F.col("set_id") == F.col("u"), "left").select("loose", "set_id", "size", F.coalesce("root", "set_id").alias("block"))
+        counts = staged(blocks.groupBy("loose", "block").agg(F.sum("size").alias("words")), "blocks")
+        main = staged(counts.groupBy("loose").agg(F.max(F.struct("words", "block")).alias("main"), F.count("*").alias("blocks")).where("blocks > 1").select("loose", "main.block"), "main")
+        split = blocks.join(main.withColumnRenamed("block", "main"), "loose")
+        outside = split.withColumn("outside", F.col("block") != F.col("main")).select("loose", "set_id", "size", "block", "outside")
+        inner = _chunked(outside.drop("block", "outside"), together).join(outside.select("set_id", "block", "outside"), "set_id")
+        each = inner.where("outside").select("set_id", "loose", "block", F.lit(True).alias("outside"), F.col("chunk").alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        held = inner.select("set_id", "loose", "block", F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("own"), "chunk")
+        # only chunks that have texts outside of the main block
+        held = held.join(each.select("loose", "own").distinct(), ["loose", "own"], "left_semi")
+        met = texts.join(each.unionByName(held, allowMissingColumns=True), "set_id").groupBy("loose", "own", "chunk")
+        crossed = staged(met.applyInArrow(_cross(least, shingle), schema), "crossed")
+        roots = representatives(edges.unionByName(crossed.select(F.col("set_id").alias("u"), F.col("root").alias("v"))))
+    return roots.select(F.col("u").alias("set_id"), "root")
+
+
+def one_of_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, tile: int = TILE, together: int = TOGETHER) -> DataFrame:
     """docs without near copies: of each component of texts whose sets of word shingles have the Jaccard similarity
     `least` or more, the row with the smallest doc_id stays. Texts without words are copies of each other.
 
     Wide fingerprints propose groups, by the tiled comparison; sets of shingles confirm each pair."""
-    k1, k2 = row_keys()
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    schema = pa.schema([("doc_id", pa.int64()), ("_k1", pa.int64()), ("_k2", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
+    row = free("_row", docs)
+    keyed = with_row_id(docs, row)
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 sets, size, bits = wide_fingerprints(b.column("text"), shingle)
-                yield pa.record_batch([*(b.column(c) for c in ("doc_id", "_k1", "_k2")), sets, size, pa.array([x.tobytes() for x in bits], pa.binary())], schema=schema)
+                yield pa.record_batch([*(b.column(c) for c in ("doc_id", "row")), sets, size, pa.array([x.tobytes() for x in bits], pa.binary())], schema=schema)
 
-    src = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_k1", "_k2", "text")
-    own = src.mapInArrow(released(run), "doc_id long, _k1 long, _k2 long, set_id long, size long, bits binary")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first")
+    src = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
+    own = src.mapInArrow(released(run), "doc_id long, row long, set_id long, size long, bits binary")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     classes = staged(own.groupBy("set_id", "size", "bits").agg(first), "sets")
-    loose = components(wide_links(classes.where("size > 0"), least, tile))
-    loose = loose.select(F.col("u").alias("set_id"), F.col("root").alias("loose")).union(loose.select("root", "root").distinct())
-    named = classes.join(loose, "set_id").select("set_id", "loose", "first._k1", "first._k2")
-    texts = keyed.select("_k1", "_k2", "text").join(named, ["_k1", "_k2"]).select("loose", "set_id", "text")
-    exact = texts.groupBy("loose").applyInArrow(_confirm(least, shingle), "set_id long, root long")
-    member = classes.join(exact, "set_id", "left").select(F.coalesce("root", "set_id").alias("root"), "first")
-    chosen = member.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2")
-    return _rows(keyed, chosen).select(*docs.columns)
+    loose = representatives(wide_links(classes.where("size > 0"), least, tile))
+    members = staged(classes.join(loose, classes.set_id == loose.u).select("set_id", "size", F.col("root").alias("loose"), "first.row"), "loose")
+    texts = staged(src.select("row", "text").join(members.select("row", "set_id"), "row").select("set_id", "text"), "texts")
+    exact = exact_groups(members.select("loose", "set_id", "size"), texts, least, shingle, together)
+    member = classes.select("set_id", "first").join(exact, "set_id", "left").select(F.coalesce("root", "set_id").alias("root"), "first")
+    chosen = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return keyed.join(chosen, row, "left_semi").select(*docs.columns)

@@ -6,12 +6,13 @@ target over the source's words. Within a source, documents are put in order of s
 are summed along that order, one offset that is fixed by the source's name is added, and a document is taken
 once for each integer that the sum crosses. Order by size makes the words taken follow the target closely.
 
-The running sum is taken in two steps, so that no source has to be ordered in one task: rows are counted in
-bins of (source, size, id range), the bins' counts are summed, and rows are numbered within their bin.
+Ranks come from one sort of all documents by source, size, id and row, whose partitions are ranges of that order: a source
+or a size of any number of rows is spread among tasks, whatever the ids are.
 
 Edge cases: null text has size 0; null sources are one source, last in order; null ids come first among equal
-sizes; equal rows are numbered in any order, which gives the same rows; a source without words takes nothing; an
-input column named like a result column is replaced.
+sizes; equal rows are ranked in any order, which gives the same rows; ids may be any longs; very long texts are
+counted whole; a source without words takes nothing; an empty table gives an empty one; of input columns, `mix`
+reads doc_id, source and text only, and `mixed` returns all as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import WORD, row_keys, staged
+from cinderlake.llm.common import WORD, free, staged, with_row_id
+from cinderlake.operators.numbering import numbered
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-#: Rows of one source and size that one task numbers, about.
-BIN_ROWS = 20_000
 
 
 def sizes(text: Column) -> Column:
@@ -48,43 +48,35 @@ def targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return leveled.withColumn("target", F.least(F.col("cap"), settled * F.col("w"))).select("source", "source_size", "target")
 
 
-def plan(light: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """light: doc_id, source, size and any others. Adds source_size, target, copies and taken."""
+def plan(light: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """light: row (a different number in each row), doc_id, source, size. Adds source_size, target, copies and taken."""
     light = light.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
-    by_size = light.groupBy("source", "_s", "_n", "size").agg(F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    by_source = targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, share, most)
-    by_source = by_source.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "source_size", "target")
-    own = ["_s", "_n", "size"]
-    before = F.sum("rows").over(Window.partitionBy("_s", "_n").orderBy("size")) - F.col("rows")
-    width = F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1.0) / F.ceil(F.col("rows") / bin_rows))
-    by_size = by_size.select(*own, "low", width.alias("width"), before.alias("size_before")).join(by_source, ["_s", "_n"])
-    binned = light.join(by_size, own).withColumn("bin", F.coalesce(F.floor((F.col("doc_id") - F.col("low")) / F.col("width")), F.lit(-1)))
-    bins = binned.groupBy(*own, "bin").agg(F.count("*").alias("rows"))
-    bins = bins.select(*own, "bin", (F.sum("rows").over(Window.partitionBy(*own).orderBy("bin")) - F.col("rows")).alias("bin_before"))
-    placed = binned.join(bins, [*own, "bin"])
-    rank = F.col("size_before") + F.col("bin_before") + F.row_number().over(Window.partitionBy(*own, "bin").orderBy(F.asc_nulls_first("doc_id")))
+    stats = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    by_source = targets(stats.select("source", "source_size"), weights, share, most)
+    # sources are few by nature, see targets()
+    before = F.sum("rows").over(Window.orderBy(F.asc_nulls_last("source"))) - F.col("rows")
+    named = lambda df: df.withColumns({"_s": F.coalesce("source", F.lit("")), "_n": F.col("source").isNull()}).drop("source")
+    by_source = staged(named(by_source).join(named(stats.select("source", before.alias("before"))), ["_s", "_n"]), "sources")
+    ranked = numbered(light, F.asc_nulls_last("source"), "size", F.asc_nulls_first("doc_id"), "row", out="rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), "_s")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    placed = placed.withColumn("_rank", rank).withColumn("_rate", rate).withColumn("_u", offset)
-    copies = F.floor(F.col("_rank") * F.col("_rate") + F.col("_u")) - F.floor((F.col("_rank") - 1) * F.col("_rate") + F.col("_u"))
+    placed = ranked.join(by_source, ["_s", "_n"]).withColumns({"rank": F.col("rank") - F.col("before"), "_rate": rate, "_u": offset})
+    copies = F.floor(F.col("rank") * F.col("_rate") + F.col("_u")) - F.floor((F.col("rank") - 1) * F.col("_rate") + F.col("_u"))
     placed = placed.withColumn("copies", F.least(copies, F.lit(int(most))).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return placed.drop("_s", "_n", "_rank", "_rate", "_u", "low", "width", "size_before", "bin", "bin_before")
+    return placed.select("row", "doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Rows (doc_id, size, source_size, target, copies, taken) for each row of docs."""
-    light = staged(docs.select(F.col("doc_id"), F.col("source"), sizes(F.col("text")).alias("size")), "sizes")
+    light = staged(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", sizes(F.col("text")).alias("size")), "sizes")
     return plan(light, **options).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it (not at all, once or more)."""
-    k1, k2 = row_keys()
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2, "_k3": F.xxhash64(F.col("source"), F.col("source").isNull())})
-    keys = ["_k1", "_k2", "_k3"]
-    # rows that agree in all keys are told apart by a number
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    light = staged(keyed.select(*keys, "doc_id", "source", sizes(F.col("text")).alias("size")).withColumn("_k4", nth), "sizes")
-    taken = plan(light, **options).where("copies > 0").select(*keys, "_k4", "copies")
-    rows = keyed.withColumn("_k4", nth).join(taken, [*keys, "_k4"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    row, copies = free("_row", docs), free("_copies", docs)
+    keyed = with_row_id(docs, row)
+    light = staged(keyed.select(F.col(row).alias("row"), "doc_id", "source", sizes(F.col("text")).alias("size")), "sizes")
+    taken = plan(light, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(copies))
+    rows = keyed.join(taken, row)
+    return rows.withColumn(row, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

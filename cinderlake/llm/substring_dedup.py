@@ -11,7 +11,8 @@ the repeats. A group above `group_limit` contexts is split by longer prefixes, u
 is then just a count.
 
 Edge cases: null text has no words; repeated rows count as separate documents; a text of fewer than `window`
-words keeps all; null ids are kept; an input column named like a result column is replaced.
+words keeps all; texts and words of any length are read whole; null ids are kept; an empty table gives an empty one; an
+input column named like a result column is replaced, others stay as they are whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, gram_hashes, released, row_keys, slices, staged
+from cinderlake.llm.common import Words, free, gram_hashes, released, row_keys, slices, staged
 
 WINDOW = 35
 #: Words of a gram; windows of 35 words then have 24 grams to choose the anchor from.
 GRAM = 12
-#: Contexts of one anchor that one tree may hold: some 15 MB of word hashes.
-GROUP_LIMIT = 50_000
+#: Contexts of one anchor that one tree may hold: some 100 MB of a worker while it grows.
+GROUP_LIMIT = 5_000
 
 _ANCHOR = "k1 long, k2 long, gram long, ctx long, pos int, lo int, cnt int"
 
@@ -206,11 +207,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     docs: doc_id, text and the keys k1, k2 of `row_keys`."""
     src = docs.select("doc_id", "text", "k1", "k2")
     anchors = src.mapInArrow(released(_find_anchors(window, gram)), _ANCHOR)
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # joins are with tables of their own, so that an anchor that very many texts share can be split among tasks
+    twice = staged(anchors.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams")
     found = staged(anchors.join(twice, "gram").select("gram", "ctx", "k1", "k2", "pos", "lo", "cnt"), "anchors")
     contexts = found.groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "cnt")).alias("rep"))
-    sizes = contexts.groupBy("gram").agg(F.count("*").alias("nctx"))
-    contexts = staged(contexts.join(sizes, "gram"), "contexts")
+    contexts = staged(contexts, "contexts")
+    sizes = staged(contexts.groupBy("gram").agg(F.count("*").alias("nctx")), "sizes")
+    contexts = contexts.join(sizes, "gram")
     same = contexts.where("nctx = 1 and n > 1").select("gram", "ctx", F.expr("shiftleft(1L, rep.cnt) - 1 AS mask"))
     listed = (
         contexts.where("nctx > 1")
@@ -223,9 +226,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     small = cut.where(F.col("nctx") <= group_limit).repartition("gram").sortWithinPartitions("gram")
     trees = small.mapInArrow(released(_grow_trees(window)), "gram long, ctx long, mask long")
     split = cut.where(F.col("nctx") > group_limit).mapInArrow(_split_windows(window), "gram long, ctx long, step int, n long, prefix long")
-    again = split.groupBy("prefix").agg(F.sum("n").alias("c")).where("c > 1").select("prefix")
+    again = staged(split.groupBy("prefix").agg(F.sum("n").alias("c")).where("c > 1").select("prefix"), "prefixes")
     large = split.join(again, "prefix").groupBy("gram", "ctx").agg(F.expr("bit_or(shiftleft(1L, step))").alias("mask"))
-    masks = same.unionByName(trees).unionByName(large).where("mask != 0")
+    masks = staged(same.unionByName(trees).unionByName(large).where("mask != 0"), "masks")
     return (
         found.join(masks, ["gram", "ctx"])
         .groupBy("k1", "k2")
@@ -233,12 +236,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     )
 
 
-def _apply_removal(schema: pa.Schema, window: int, keep_text: bool):
+def _apply_removal(schema: pa.Schema, window: int, keep_text: bool, hits_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 w = Words(b.column("text"))
-                hits = b.column("hits")
+                hits = b.column(hits_at)
                 flat = hits.flatten()
                 doc = np.repeat(np.arange(b.num_rows), np.nan_to_num(hits.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
                 at, mask = w.first[doc] + flat.field("at").to_numpy(), flat.field("mask").to_numpy()
@@ -271,12 +274,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     With keep_text=False, kept_sha256 takes the place of kept. Windows are judged on the input."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    result = {"n_words", "n_removed", "kept", "kept_sha256", "k1", "k2", "hits"}
+    result = {"n_words", "n_removed", "kept" if keep_text else "kept_sha256"}
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in result])
     k1, k2 = row_keys()
-    src = docs.select(*[c for c in docs.columns if c not in result]).withColumn("k1", k1).withColumn("k2", k2)
-    hits = repeated_windows(src, window, gram, group_limit)
-    joined = src.join(hits, ["k1", "k2"], "left").drop("k1", "k2")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "hits" and (keep_text or f.name != "text")]
+    keyed = src.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
+    n1, n2, at = free("k1", src), free("k2", src), free("hits", src)
+    hits = staged(repeated_windows(keyed, window, gram, group_limit).toDF(n1, n2, at), "hits")
+    joined = src.withColumns({n1: k1, n2: k2}).join(hits, [n1, n2], "left").drop(n1, n2)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != at and (keep_text or f.name != "text")]
     ddl = ", ".join([*fields, "n_words long", "n_removed long", "kept string" if keep_text else "kept_sha256 string"])
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
-    return joined.mapInArrow(released(_apply_removal(arrow, window, keep_text)), ddl)
+    return joined.mapInArrow(released(_apply_removal(arrow, window, keep_text, at)), ddl)
