@@ -40,12 +40,17 @@ SELECT o_orderkey AS id, CAST(o_custkey * 37 % 300 AS DOUBLE) / 10 AS w, CAST(o_
 FROM {orders}
 """
 
-# the pixels' form in SQL; in Spark the vectors are paired before they are spread
+# the pixels' form in SQL: four vectors are a tile of 8 x 8, 64 tiles a chip of 64 x 64; in Spark the vectors are put side by
+# side before they are spread. Truth shares a part of what is measured and has a part of its own
 PIXELS = """
-SELECT chip_id, label, CAST(floor(i / 8) AS INT) AS r, CAST(i % 8 AS INT) AS c, CAST(i + 1 AS BIGINT) AS pos, a, b, (i + chip_id) % 7 <> 0 AS valid, (a - b) * 2 AS dnbr
-FROM (SELECT CAST(floor(x.vec_id / 2) AS BIGINT) AS chip_id, x.label, t.i, 1::DOUBLE + x.embedding[t.i + 1]::DOUBLE AS a, 1::DOUBLE + y.embedding[t.i + 1]::DOUBLE AS b
-      FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.vec_id % 2 = 0, range(64) t(i))
+SELECT chip_id, tile, label, CAST(floor(k / 8) * 8 + floor(i / 8) AS INT) AS r, CAST(k % 8 * 8 + i % 8 AS INT) AS c, CAST((floor(k / 8) * 8 + floor(i / 8)) * 64 + k % 8 * 8 + i % 8 + 1 AS BIGINT) AS pos,
+  a, b, u, v, (i + k) % 7 <> 0 AS valid, (a - b) * 2 AS dnbr, (a - b) * 1.4::DOUBLE + (u - v) * 0.8::DOUBLE AS tnbr
+FROM (SELECT CAST(floor(x.vec_id / 256) AS BIGINT) AS chip_id, CAST(floor(x.vec_id / 4) AS BIGINT) AS tile, CAST(floor(x.vec_id % 256 / 4) AS BIGINT) AS k, x.label, t.i,
+        1::DOUBLE + x.embedding[t.i + 1]::DOUBLE AS a, 1::DOUBLE + y.embedding[t.i + 1]::DOUBLE AS b, 1::DOUBLE + z.embedding[t.i + 1]::DOUBLE AS u, 1::DOUBLE + w.embedding[t.i + 1]::DOUBLE AS v
+      FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 AND x.vec_id % 4 = 0 JOIN embeddings z ON z.vec_id = x.vec_id + 2 JOIN embeddings w ON w.vec_id = x.vec_id + 3, range(64) t(i))
 """
+#: Pixels in a row of a chip.
+SIDE = 64
 
 
 def duck(text: str) -> str:
@@ -73,14 +78,18 @@ class Tables:
         return self.spark.sql(BOXES, orders=self.read("orders"))
 
     def pixels(self) -> DataFrame:
-        """chip_id, label, row, col, pos (from 1), a, b, valid, dnbr, severity, truth, pred."""
-        v = self.read("embeddings").select("vec_id", "label", "embedding")
-        even = v.where("vec_id % 2 = 0").select(F.floor(F.col("vec_id") / 2).alias("chip_id"), "label", F.col("embedding").alias("x"))
-        odd = v.where("vec_id % 2 = 1").select(F.floor(F.col("vec_id") / 2).alias("chip_id"), F.col("embedding").alias("y"))
-        spread = even.join(odd, "chip_id").select("chip_id", "label", F.posexplode(F.arrays_zip("x", "y")).alias("i", "v"))
+        """chip_id, tile, label, row, col, pos (from 1), a, b, u, v, valid, dnbr, severity, truth, pred."""
+        vectors = self.read("embeddings").select("vec_id", "label", "embedding")
+        of = lambda k, name: vectors.where(F.col("vec_id") % 4 == k).select(F.floor(F.col("vec_id") / 4).alias("tile"), F.col("embedding").alias(name))
+        first = vectors.where(F.col("vec_id") % 4 == 0).select(F.floor(F.col("vec_id") / 4).alias("tile"), "label", F.col("embedding").alias("a"))
+        four = first.join(of(1, "b"), "tile").join(of(2, "u"), "tile").join(of(3, "v"), "tile")
+        spread = four.select("tile", "label", F.posexplode(F.arrays_zip("a", "b", "u", "v")).alias("i", "x"))
+        spread = spread.withColumns({"chip_id": F.floor(F.col("tile") / SIDE), "k": F.col("tile") % SIDE})
+        row, col = F.floor(F.col("k") / 8) * 8 + F.floor(F.col("i") / 8), F.col("k") % 8 * 8 + F.col("i") % 8
         px = spread.select(
-            "chip_id", "label", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).alias("col"), (F.col("i") + 1).cast("long").alias("pos"),
-            (F.lit(1.0) + F.col("v.x").cast("double")).alias("a"), (F.lit(1.0) + F.col("v.y").cast("double")).alias("b"), ((F.col("i") + F.col("chip_id")) % 7 != 0).alias("valid"),
+            "chip_id", "tile", "label", row.cast("int").alias("row"), col.cast("int").alias("col"), (row * SIDE + col + 1).cast("long").alias("pos"),
+            *[(F.lit(1.0) + F.col(f"x.{n}").cast("double")).alias(n) for n in "abuv"], ((F.col("i") + F.col("k")) % 7 != 0).alias("valid"),
         ).withColumn("dnbr", (F.col("a") - F.col("b")) * 2)
         guess = F.col("dnbr") * 1.25 - 0.05
-        return px.withColumns({"severity": indices.severity(F.col("dnbr")), "truth": indices.severity(F.col("dnbr")), "pred": indices.severity(guess)})
+        truth = (F.col("a") - F.col("b")) * 1.4 + (F.col("u") - F.col("v")) * 0.8
+        return px.withColumns({"severity": indices.severity(F.col("dnbr")), "truth": indices.severity(truth), "pred": indices.severity(guess)})

@@ -25,7 +25,8 @@ SEVERITY = "CAST((dnbr > 0.10::DOUBLE)::INT + (dnbr > 0.27::DOUBLE)::INT + (dnbr
 GUESS = SEVERITY.replace("dnbr", "(dnbr * 1.25::DOUBLE - 0.05::DOUBLE)")
 METRES = "sqrt(pow((p.longitude - q.longitude) * 111320.0::DOUBLE * cos(radians((p.latitude + q.latitude) / 2)), 2) + pow((p.latitude - q.latitude) * 111320.0::DOUBLE, 2))"
 D = f"d AS ({duck(DETECTIONS)})"
-PX = f"px AS (SELECT *, {SEVERITY} AS severity, {SEVERITY} AS truth, {GUESS} AS pred FROM ({PIXELS}))"
+TRUTH = SEVERITY.replace("dnbr", "tnbr")
+PX = f"px AS (SELECT *, {SEVERITY} AS severity, {TRUTH} AS truth, {GUESS} AS pred FROM ({PIXELS}))"
 N = f"n AS ({duck(COUNTS)})"
 S = f"s AS ({duck(SCENES)})"
 B = f"b AS ({duck(BOXES)})"
@@ -281,10 +282,10 @@ def p20_severity_chip(t: Tables) -> DataFrame:
 AREA = " , ".join(f"count(*) FILTER (valid AND severity = {k}) * 0.04::DOUBLE AS {n}" for k, n in enumerate(indices.SEVERITY_NAMES))
 
 
-@query(f"WITH {PX}, ar AS (SELECT chip_id, {AREA}, count(*) FILTER (valid) AS valid_pixels FROM px GROUP BY chip_id) SELECT *, round(low + moderate_low + moderate_high + high, 6) AS burned_ha, 1 - valid_pixels / 80.0::DOUBLE AS masked FROM ar")
+@query(f"WITH {PX}, ar AS (SELECT chip_id, {AREA}, count(*) FILTER (valid) AS valid_pixels FROM px GROUP BY chip_id) SELECT *, round(low + moderate_low + moderate_high + high, 6) AS burned_ha, 1 - valid_pixels / 5000.0::DOUBLE AS masked FROM ar")
 def a11_area_by_class(t: Tables) -> DataFrame:
     rows = raster.area_by_class(t.pixels(), geo.pixel_ha(20.0, -20.0)).drop("seen_pixels")
-    return rows.withColumn("burned_ha", F.round(raster.burned_ha(), 6)).withColumn("masked", raster.masked_fraction(F.col("valid_pixels"), F.lit(80)))
+    return rows.withColumn("burned_ha", F.round(raster.burned_ha(), 6)).withColumn("masked", raster.masked_fraction(F.col("valid_pixels"), F.lit(5000)))
 
 
 @query(f"""WITH {PX}, pt AS (SELECT * FROM px WHERE pos % 5 = 0), v AS (SELECT chip_id, count(*) AS nv, count(*) FILTER (severity > 0) AS nb, count(*) FILTER (pos % 5 = 0) AS ni, count(*) FILTER (severity > 0 AND pos % 5 = 0) AS nh FROM px WHERE valid GROUP BY chip_id)
@@ -294,16 +295,16 @@ def a14_enrichment(t: Tables) -> DataFrame:
     return rounded(raster.enrichment(px, px.where("pos % 5 = 0").select("chip_id", "row", "col")).select("chip_id", "enrichment"), "enrichment")
 
 
-COMPARED = f"{PX}, own AS (SELECT chip_id, count(*) FILTER (severity > 0) * 100.0::DOUBLE AS own_ha, CASE WHEN chip_id % 9 <> 0 THEN count(*) FILTER (truth > 1) * 150.0::DOUBLE END AS product_ha FROM px GROUP BY chip_id), cmp AS (SELECT *, CASE WHEN product_ha IS NULL THEN 'no_data' WHEN own_ha < 1000 THEN 'not_comparable' ELSE 'ok' END AS status FROM own), rt AS (SELECT *, CASE WHEN status = 'ok' AND product_ha <> 0 THEN own_ha / product_ha END AS ratio FROM cmp)"
+COMPARED = f"{PX}, own AS (SELECT tile, count(*) FILTER (severity > 0) * 100.0::DOUBLE AS own_ha, CASE WHEN tile % 9 <> 0 THEN count(*) FILTER (truth > 1) * 150.0::DOUBLE END AS product_ha FROM px GROUP BY tile), cmp AS (SELECT *, CASE WHEN product_ha IS NULL THEN 'no_data' WHEN own_ha < 1000 THEN 'not_comparable' ELSE 'ok' END AS status FROM own), rt AS (SELECT *, CASE WHEN status = 'ok' AND product_ha <> 0 THEN own_ha / product_ha END AS ratio FROM cmp)"
 
 
 def _compared(t: Tables) -> DataFrame:
-    own = t.pixels().groupBy("chip_id").agg((F.count_if(F.col("severity") > 0) * 100.0).alias("own_ha"), (F.count_if(F.col("truth") > 1) * 150.0).alias("p"))
-    own = own.withColumn("product_ha", F.when(F.col("chip_id") % 9 != 0, F.col("p")))
-    return own.select("chip_id", raster.compare_area(F.col("own_ha"), F.col("product_ha")).alias("x")).select("chip_id", "x.*")
+    own = t.pixels().groupBy("tile").agg((F.count_if(F.col("severity") > 0) * 100.0).alias("own_ha"), (F.count_if(F.col("truth") > 1) * 150.0).alias("p"))
+    own = own.withColumn("product_ha", F.when(F.col("tile") % 9 != 0, F.col("p")))
+    return own.select("tile", raster.compare_area(F.col("own_ha"), F.col("product_ha")).alias("x")).select("tile", "x.*")
 
 
-@query(f"WITH {COMPARED} SELECT chip_id, status, round(ratio, 6) AS ratio FROM rt")
+@query(f"WITH {COMPARED} SELECT tile, status, round(ratio, 6) AS ratio FROM rt")
 def a19_compare_area(t: Tables) -> DataFrame:
     return rounded(_compared(t), "ratio")
 
@@ -313,19 +314,24 @@ def a20_ratio_summary(t: Tables) -> DataFrame:
     return rounded(raster.ratio_summary(_compared(t)), "smallest", "median", "largest", "mean")
 
 
-FOCAL = """nb AS (SELECT p.chip_id, p.pos, p.a, q.a AS near FROM px p, range(-1, 2) y(dy), range(-1, 2) x(dx), px q
-WHERE q.chip_id = p.chip_id AND q.r = least(greatest(p.r + dy, 0), 7) AND q.c = least(greatest(p.c + dx, 0), 7)),
-fm AS (SELECT chip_id, pos, any_value(a) AS a, avg(near) AS mu, avg(near * near) AS sq FROM nb GROUP BY chip_id, pos)"""
+def focal(k: int, value: str = "a", source: str = "px") -> str:
+    """Means of a value and of its square over k x k pixels, columns mu and sq: rows first, then columns, with edges repeated."""
+    h = k // 2
+    return f"""ext AS (SELECT *, {value} AS val, max(c) OVER (PARTITION BY chip_id, r) AS mc, max(r) OVER (PARTITION BY chip_id, c) AS mr FROM {source}),
+rp AS (SELECT p.chip_id, p.r, p.c, p.pos, p.mr, any_value(p.val) AS val, avg(q.val) AS ra, avg(q.val * q.val) AS rq FROM ext p, range({-h}, {h + 1}) x(dx), ext q
+  WHERE q.chip_id = p.chip_id AND q.r = p.r AND q.c = least(greatest(p.c + dx, 0), p.mc) GROUP BY p.chip_id, p.r, p.c, p.pos, p.mr),
+fm AS (SELECT p.chip_id, p.pos, any_value(p.val) AS val, avg(q.ra) AS mu, avg(q.rq) AS sq FROM rp p, range({-h}, {h + 1}) y(dy), rp q
+  WHERE q.chip_id = p.chip_id AND q.c = p.c AND q.r = least(greatest(p.r + dy, 0), p.mr) GROUP BY p.chip_id, p.pos)"""
 
 
-@query(f"WITH {PX}, {FOCAL} SELECT chip_id, pos, round(mu, 6) AS mean FROM fm")
+@query(f"WITH {PX}, {focal(15)} SELECT chip_id, pos, round(mu, 6) AS mean FROM fm")
 def w03_focal_mean(t: Tables) -> DataFrame:
-    return rounded(raster.focal_mean(t.pixels(), "a", 3, "mean").select("chip_id", "pos", "mean"), "mean")
+    return rounded(raster.focal_mean(t.pixels(), "a", 15, "mean").select("chip_id", "pos", "mean"), "mean")
 
 
-@query(f"WITH {PX}, {FOCAL} SELECT chip_id, pos, round((a - mu) / (sqrt(greatest(sq - mu * mu, 0)) + 1e-3), 5) AS z FROM fm")
+@query(f"WITH {PX}, {focal(5)} SELECT chip_id, pos, round((val - mu) / (sqrt(greatest(sq - mu * mu, 0)) + 1e-3), 5) AS z FROM fm")
 def w04_local_z(t: Tables) -> DataFrame:
-    return rounded(raster.local_z(t.pixels(), "a", 3, "z").select("chip_id", "pos", "z"), "z", digits=5)
+    return rounded(raster.local_z(t.pixels(), "a", 5, "z").select("chip_id", "pos", "z"), "z", digits=5)
 
 
 @query(f"WITH {PX} SELECT chip_id, round(coalesce(quantile_cont(dnbr, 0.5) FILTER (valid), 0), 6) AS med FROM px GROUP BY chip_id")
@@ -350,41 +356,56 @@ def w26_slope(t: Tables) -> DataFrame:
     return rounded(raster.slope(t.pixels(), "a", 1.0).select("chip_id", "pos", "slope"), "slope")
 
 
-CC = """mk AS (SELECT chip_id * 100 + pos AS id, r, c FROM px WHERE severity > 0),
-cc(id, root) USING KEY (id) AS (SELECT id, id FROM mk UNION (SELECT DISTINCT ON (now.id) now.id, seen.root FROM recurring.cc AS now, cc AS seen, mk p, mk q
-  WHERE p.id = seen.id AND q.id = now.id AND p.id // 100 = q.id // 100 AND abs(p.r - q.r) + abs(p.c - q.c) = 1 AND seen.root < now.root ORDER BY now.id, seen.root)),
-cm AS (SELECT id, dense_rank() OVER (PARTITION BY id // 100 ORDER BY root) AS component, count(*) OVER (PARTITION BY root) AS px_n FROM cc)"""
+def marked(mask: str, eight: bool = False) -> str:
+    """Components of a mask: cm (id, root, chip_id, r, c, component, px_n), by a recursion that keeps one row per pixel."""
+    steps = ["q.id = p.id + 1 AND p.c < 63", "q.id = p.id + 64"] + (["q.id = p.id + 65 AND p.c < 63", "q.id = p.id + 63 AND p.c > 0"] if eight else [])
+    sides = " UNION ALL ".join(f"SELECT p.id AS u, q.id AS v FROM mk p JOIN mk q ON {x}" for x in steps)
+    return f"""mk AS (SELECT chip_id * 10000 + pos AS id, chip_id, r, c FROM px WHERE {mask}), one_way AS ({sides}), sides AS (SELECT u, v FROM one_way UNION ALL SELECT v, u FROM one_way),
+cc(id, root) USING KEY (id) AS (SELECT id, id FROM mk UNION (SELECT DISTINCT ON (now.id) now.id, seen.root FROM recurring.cc AS now, cc AS seen, sides s
+  WHERE s.u = seen.id AND s.v = now.id AND seen.root < now.root ORDER BY now.id, seen.root)),
+cm AS (SELECT mk.*, root, dense_rank() OVER (PARTITION BY chip_id ORDER BY root) AS component, count(*) OVER (PARTITION BY root) AS px_n FROM cc JOIN mk USING (id))"""
 
 
-@query(f"WITH RECURSIVE {PX}, {CC} SELECT chip_id, pos, CAST(coalesce(component, 0) AS INT) AS component, coalesce(px_n, 0) AS component_px FROM px LEFT JOIN cm ON cm.id = chip_id * 100 + pos")
+ON = "LEFT JOIN cm ON cm.id = px.chip_id * 10000 + pos"
+
+
+@query(f"WITH RECURSIVE {PX}, {marked('severity > 0')} SELECT px.chip_id, pos, CAST(coalesce(component, 0) AS INT) AS component, coalesce(px_n, 0) AS component_px FROM px {ON}")
 def w18_components(t: Tables) -> DataFrame:
     return raster.mask_components(t.pixels().withColumn("m", F.col("severity") > 0), "m").select("chip_id", "pos", "component", "component_px")
 
 
-@query(f"WITH RECURSIVE {PX}, {CC} SELECT chip_id, pos, CAST(CASE WHEN px_n >= 4 THEN severity ELSE 0 END AS INT) AS severity FROM px LEFT JOIN cm ON cm.id = chip_id * 100 + pos")
+@query(f"WITH RECURSIVE {PX}, {marked('severity > 0')} SELECT px.chip_id, pos, CAST(CASE WHEN px_n >= 4 THEN severity ELSE 0 END AS INT) AS severity FROM px {ON}")
 def w19_drop_small(t: Tables) -> DataFrame:
     return raster.drop_small(t.pixels(), "severity", 4).select("chip_id", "pos", "severity")
 
 
-@query()
+MAIN = "main AS (SELECT chip_id, arg_min(root, (-px_n, root)) AS root FROM cm GROUP BY chip_id)"
+
+
+@query(f"""WITH RECURSIVE {PX}, {marked('severity > 1')}, {MAIN}, near AS (SELECT DISTINCT p.root FROM cm p JOIN main USING (chip_id) JOIN cm q ON q.chip_id = p.chip_id AND q.root = main.root
+  AND (p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c) <= 9) SELECT px.chip_id, pos, severity > 1 AND cm.root IN (SELECT root FROM near) AS m FROM px {ON}""")
 def w20_drop_far(t: Tables) -> DataFrame:
     return raster.drop_far(t.pixels().withColumn("m", F.col("severity") > 1), "m", 3.0).select("chip_id", "pos", "m")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, {marked('severity > 0', eight=True)}, hit AS (SELECT cm.root, bool_or(pred > 2) AS hit FROM px JOIN cm ON cm.id = px.chip_id * 10000 + pos GROUP BY cm.root)
+SELECT px.chip_id, pos, pred > 2 OR coalesce(px_n <= 6 AND NOT hit, false) AS m FROM px {ON} LEFT JOIN hit ON hit.root = cm.root""")
 def w21_rescue(t: Tables) -> DataFrame:
     px = t.pixels().withColumns({"base": F.col("severity") > 0, "guess": F.col("pred") > 2})
     return raster.rescue(px, "base", "guess", "m", 6).select("chip_id", "pos", "m")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, {marked('severity > 1')}, x AS (SELECT chip_id, component, root, count(*) AS px, (max(r) - min(r) + 1) * (max(c) - min(c) + 1) AS box FROM cm GROUP BY ALL),
+e AS (SELECT cm.root, count(*) AS n FROM one_way JOIN cm ON cm.id = one_way.u GROUP BY cm.root), y AS (SELECT x.*, 4 * px - 2 * coalesce(n, 0) AS perimeter FROM x LEFT JOIN e USING (root))
+SELECT chip_id, CAST(component AS INT) AS component, px, perimeter, round(ln(px), 6) AS log_area, round(4 * pi() * px / (perimeter * perimeter), 6) AS compactness, round(px / box, 6) AS fill FROM y""")
 def w23_component_features(t: Tables) -> DataFrame:
-    return rounded(raster.component_features(t.pixels().withColumn("m", F.col("severity") > 0), "m"), "log_area", "compactness", "fill")
+    return rounded(raster.component_features(t.pixels().withColumn("m", F.col("severity") > 1), "m"), "log_area", "compactness", "fill")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, {marked('severity > 1')}, core AS (SELECT cm.root, bool_or(severity > 3) AS core FROM px JOIN cm ON cm.id = px.chip_id * 10000 + pos GROUP BY cm.root)
+SELECT px.chip_id, pos, coalesce(core, false) AS m FROM px {ON} LEFT JOIN core ON core.root = cm.root""")
 def w24_region_grow(t: Tables) -> DataFrame:
-    return raster.grow(t.pixels().withColumns({"core": F.col("severity") > 2, "near": F.col("severity") > 0}), "core", "near", "m").select("chip_id", "pos", "m")
+    return raster.grow(t.pixels().withColumns({"core": F.col("severity") > 3, "near": F.col("severity") > 1}), "core", "near", "m").select("chip_id", "pos", "m")
 
 
 RUNS = """runs AS (SELECT chip_id, min(pos) AS s, count(*) AS n FROM (SELECT chip_id, pos, pos - row_number() OVER (PARTITION BY chip_id ORDER BY pos) AS g FROM px WHERE severity > 0) GROUP BY chip_id, g)"""
@@ -400,10 +421,10 @@ def g06_rle_decode(t: Tables) -> DataFrame:
     return rle.decode(rle.encode(t.pixels(), ["chip_id"], "severity > 0"), ["chip_id"])
 
 
-@query(f"""WITH {PX}, k AS (SELECT DISTINCT chip_id FROM px) SELECT chip_id, class_id, 'missing' AS fault FROM k, range(1, 3) c(class_id) WHERE chip_id % 10 = 0 UNION ALL SELECT chip_id, 1, 'overlap' FROM k WHERE chip_id % 10 = 1
+@query(f"""WITH k AS (SELECT p_partkey AS chip_id FROM part) SELECT chip_id, class_id, 'missing' AS fault FROM k, range(1, 3) c(class_id) WHERE chip_id % 10 = 0 UNION ALL SELECT chip_id, 1, 'overlap' FROM k WHERE chip_id % 10 = 1
 UNION ALL SELECT chip_id, 2, 'overlap' FROM k WHERE chip_id % 10 = 1 AND false UNION ALL SELECT chip_id, 2, 'bad_runs' FROM k WHERE chip_id % 10 = 2 UNION ALL SELECT chip_id, 2, 'out_of_chip' FROM k WHERE chip_id % 10 = 3 UNION ALL SELECT chip_id, 3, 'extra' FROM k WHERE chip_id % 10 = 4""")
 def g07_faults(t: Tables) -> DataFrame:
-    chips = t.pixels().select("chip_id").distinct()
+    chips = t.read("part").select(F.col("p_partkey").alias("chip_id"))
     both = chips.withColumn("class_id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
     m = F.col("chip_id") % 10
     text = F.when((m == 1) & (F.col("class_id") == 2), "1 9").when((m == 2) & (F.col("class_id") == 2), "3").when((m == 3) & (F.col("class_id") == 2), "60 9").when(F.col("class_id") == 1, "5 3").otherwise("20 2")
@@ -439,9 +460,23 @@ def a27_group_sums(t: Tables) -> DataFrame:
     return evaluation.group_sums(t.counts(), "group_id")
 
 
-@query()
+def drawn(kind: str, groups: str, draws: int = 2000) -> str:
+    """Rows (draw, place): as many places with replacement as `groups` has rows, by the remainder of a hash."""
+    return f"""cn AS (SELECT count(*) AS cn FROM {groups}),
+dr AS (SELECT draw, ('0x' || substr(md5('{kind}:' || draw || ':' || pick), 1, 12))::BIGINT % (SELECT cn FROM cn) + 1 AS place FROM range(1, {draws + 1}) x(draw), (SELECT unnest(range(1, cn + 1)) AS pick FROM cn))"""
+
+
+INTERVAL = "quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high"
+VERDICT = "CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'inconclusive' END AS verdict"
+
+
+@query(f"""WITH {N}, o AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS place, {", ".join(f"coalesce(sum({c}) FILTER (model = '{m}'), 0) AS {c}_{m}" for m in ("first", "second") for c in ("tp", "fp", "fn"))} FROM n GROUP BY group_id),
+{drawn("pairs", "o")}, s AS (SELECT {", ".join(f"sum({c}_{m}) AS {c}_{m}" for m in ("first", "second") for c in ("tp", "fp", "fn"))}, draw FROM dr JOIN o USING (place) GROUP BY draw),
+d AS (SELECT coalesce(tp_second / nullif(tp_second + fp_second + fn_second, 0), 0) - coalesce(tp_first / nullif(tp_first + fp_first + fn_first, 0), 0) AS d FROM s), i AS (SELECT {INTERVAL} FROM d),
+w AS (SELECT count(*) AS groups, sum(tp_second) / sum(tp_second + fp_second + fn_second) - sum(tp_first) / sum(tp_first + fp_first + fn_first) AS delta FROM o)
+SELECT groups, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, {VERDICT} FROM w, i""")
 def a28_paired_bootstrap(t: Tables) -> DataFrame:
-    return evaluation.paired_bootstrap(t.counts(), "first", "second", draws=2000)
+    return rounded(evaluation.paired_bootstrap(t.counts(), "first", "second", draws=2000), "delta", "low", "high")
 
 
 @query(f"""WITH {N}, s AS (SELECT model, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (tp = 0 AND fn > 0) AS missed_samples FROM n GROUP BY model),
@@ -583,7 +618,7 @@ def w17_replicated(t: Tables) -> DataFrame:
 
 @query()
 def x01_greedy_members(t: Tables) -> DataFrame:
-    px = t.pixels().withColumn("key", F.col("chip_id") * 100 + F.col("pos"))
+    px = t.pixels().withColumn("key", F.col("chip_id") * 10000 + F.col("pos"))
     members = F.explode(F.array(*[F.struct(F.lit(n).alias("member"), v.alias("p")) for n, v in (("m1", F.col("a") - 0.5), ("m2", 1.5 - F.col("b")), ("m3", F.col("dnbr") + 0.5))])).alias("x")
     chosen = selection.greedy_members(px.select("key", members).select("key", "x.*"), "member", "key", "p", px.select("key", (F.col("truth") > 0).alias("truth")))
     return t.spark.createDataFrame([(k, m) for k, m in enumerate(chosen)], "step int, member string")
