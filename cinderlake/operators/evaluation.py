@@ -87,19 +87,62 @@ def paired_bootstrap(rows: DataFrame, first: str, second: str, group: str = "gro
     Groups are drawn with replacement; a draw's counts are the sums of its groups', and each draw is an aggregate of its
     own, so no table of groups or draws is in one task."""
     total = lambda model, c: F.sum(F.when(F.col("model") == model, F.col(c)).otherwise(0)).alias(f"{c}_{'ab'[model == second]}")
-    names = [f"{c}_{k}" for k in "ab" for c in ("tp", "fp", "fn")]
     own = rows.where(F.col("model").isin(first, second)).groupBy(group).agg(*[total(m, c) for m in (first, second) for c in ("tp", "fp", "fn")])
+    ratio = lambda k: ratio_or_zero(F.col(f"tp_{k}"), F.col(f"tp_{k}") + F.col(f"fp_{k}") + F.col(f"fn_{k}"))
+    return resampled(own, group, [f"{c}_{k}" for k in "ab" for c in ("tp", "fp", "fn")], ratio("b") - ratio("a"), draws, kind)
+
+
+def resampled(own: DataFrame, group: str, sums: list[str], delta: Column, draws: int, kind: str) -> DataFrame:
+    """One row (groups, delta, low, high, verdict): a difference of two scores over summed columns, with a 95 % interval.
+
+    own: one row per group. Groups are drawn with replacement; a draw's columns are the sums of its groups', and each draw
+    is an aggregate of its own, so no table of groups or draws is in one task."""
     own = numbered(own, group, out="place")
     gated(own.agg(F.count("*").alias("n")), F.col("n") < 2, "a comparison needs at least two groups")
-    ratio = lambda k: ratio_or_zero(F.col(f"tp_{k}"), F.col(f"tp_{k}") + F.col(f"fp_{k}") + F.col(f"fn_{k}"))
-    sums = [F.sum(c).alias(c) for c in names]
-    each = drawn_groups(own, draws, kind).join(own, "place").groupBy("draw").agg(*sums).select((ratio("b") - ratio("a")).alias("d"))
+    added = [F.sum(c).alias(c) for c in sums]
+    each = drawn_groups(own, draws, kind).join(own, "place").groupBy("draw").agg(*added).select(delta.alias("d"))
     ends = each.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
-    whole = own.agg(F.count("*").alias("groups"), *sums).select("groups", (ratio("b") - ratio("a")).alias("delta"))
+    whole = own.agg(F.count("*").alias("groups"), *added).select("groups", delta.alias("delta"))
     verdict = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("inconclusive")
     return whole.crossJoin(F.broadcast(ends)).withColumn("verdict", verdict)  # one row each
 
 
+def severity_miou(prefix: str, classes: int = 4) -> Column:
+    """Mean IoU of the classes above 0 from columns prefix_truth_pred; a class that is in neither raises."""
+    cell = lambda t, p: F.col(f"{prefix}_{t}_{p}")
+    out = F.lit(0.0)
+    for k in range(1, classes):
+        union = sum((cell(k, j) + cell(j, k) for j in range(classes) if j != k), cell(k, k))
+        out = out + F.when(union > 0, cell(k, k) / union).otherwise(F.raise_error(F.lit(f"class {k} is absent")).cast("double"))
+    return out / (classes - 1)
+
+
+def severity_bootstrap(tables: DataFrame, group: str, first: str, second: str, classes: int = 4, draws: int = 2000, kind: str = "severity") -> DataFrame:
+    """paired_bootstrap of the mean IoU of severity classes. tables: group, model, truth, pred, n."""
+    cells = [(k, t, p) for k in "ab" for t in range(classes) for p in range(classes)]
+    one = lambda k, t, p: F.sum(F.when((F.col("model") == (second if k == "b" else first)) & (F.col("truth") == t) & (F.col("pred") == p), F.col("n")).otherwise(0)).alias(f"{k}_{t}_{p}")
+    own = tables.groupBy(group).agg(*[one(*c) for c in cells])
+    return resampled(own, group, [f"{k}_{t}_{p}" for k, t, p in cells], severity_miou("b", classes) - severity_miou("a", classes), draws, kind)
+
+
+def f1_bootstrap(rows: DataFrame, unit: str, first: str, second: str, draws: int = 2000, kind: str = "f1") -> DataFrame:
+    """paired_bootstrap of F1 over single units (chips) of counts per model."""
+    total = lambda model, c: F.sum(F.when(F.col("model") == model, F.col(c)).otherwise(0)).alias(f"{c}_{'ab'[model == second]}")
+    own = rows.where(F.col("model").isin(first, second)).groupBy(unit).agg(*[total(m, c) for m in (first, second) for c in ("tp", "fp", "fn")])
+    f1 = lambda k: ratio_or_zero(2 * F.col(f"tp_{k}"), 2 * F.col(f"tp_{k}") + F.col(f"fp_{k}") + F.col(f"fn_{k}"))
+    return resampled(own, unit, [f"{c}_{k}" for k in "ab" for c in ("tp", "fp", "fn")], f1("b") - f1("a"), draws, kind)
+
+
+def window_bootstrap(rows: DataFrame, unit: str, draws: int = 1000, kind: str = "windows") -> DataFrame:
+    """Pooled IoU of b less that of a over windows, with its interval; better only if the difference itself is above 0.
+
+    rows: unit, inter_a, union_a, inter_b, union_b, one row per window."""
+    ratio = lambda k: F.when(F.col(f"union_{k}") > 0, F.col(f"inter_{k}") / F.col(f"union_{k}"))
+    out = resampled(rows, unit, [f"{c}_{k}" for k in "ab" for c in ("inter", "union")], ratio("b") - ratio("a"), draws, kind)
+    verdict = F.when((F.col("delta") > 0) & (F.col("low") > 0), "better").when(F.col("high") < 0, "worse").otherwise("level")
+    return out.withColumn("verdict", verdict)
+
+
 def group_influence(rows: DataFrame, group: str = "group_id") -> DataFrame:
     """Per model and group: IoU of all, IoU without the group, and the difference."""
     own = group_sums(rows, group)
@@ -179,3 +222,56 @@ def attribute(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("raw")
     total = counts.agg(F.sum(wrong).alias("errors"))
     return counts.withColumn("raw_errors", F.sum(wrong).over(w)).crossJoin(F.broadcast(total)).withColumn("share", ratio_or_zero(F.col("raw_errors"), F.col("errors"))).drop("errors")
+
+
+def pixel_survival(pixels: DataFrame, proof: str, valid: str, by: str) -> DataFrame:
+    """Per sample: whether a pixel of the known event (1) survives, its protected pixels (2) and how many of them are lost."""
+    p = F.col(proof)
+    gated(pixels, ~F.coalesce(p.isin(0, 1, 2), F.lit(False)), "proof codes are 0, 1 and 2")
+    return pixels.groupBy(by).agg(F.coalesce(F.bool_or((p == 1) & F.col(valid)), F.lit(False)).alias("known_event_survives"), F.count_if(p == 2).alias("protected_pixels"), F.count_if((p == 2) & ~F.col(valid)).alias("lost_protected_pixels"))
+
+
+def false_positive_share(rows: DataFrame, by: str = "model") -> DataFrame:
+    """False positives over the known background pixels. rows: by, fp, valid_pixels, tp, fn."""
+    return rows.groupBy(by).agg(ratio_or_zero(F.sum("fp"), F.sum(F.col("valid_pixels") - F.col("tp") - F.col("fn"))).alias("fp_share"))
+
+
+def listing_summary(records: DataFrame, declared: int, countries: list[str]) -> DataFrame:
+    """One row over activation records (code, countries, unknown_country, wildfire, activated): how many, of unknown country,
+    of the given countries, wildfires among these, and the bounds in time. Another number of records than declared, or a
+    code that occurs twice, is an error."""
+    checked = records.agg(F.count("*").alias("n"), F.countDistinct("code").alias("codes"))
+    gated(checked, F.col("n") != declared, "incomplete listing")
+    gated(checked, F.col("n") != F.col("codes"), "a code occurs twice")
+    own = F.exists("countries", lambda c: F.lower(c).isin(*[c.lower() for c in countries]))
+    return records.agg(
+        F.count("*").alias("records"), F.count_if("unknown_country").alias("unknown_country"), F.count_if(own).alias("declared"), F.count_if(own & F.col("wildfire")).alias("declared_wildfires"),
+        F.min("activated").alias("first"), F.max("activated").alias("last"),
+    )
+
+
+def band_statistics(pixels: DataFrame, value: str, position: str = "pos", every: int = 37, by: list[str] | None = None) -> DataFrame:
+    """Mean and population deviation of every 37th pixel, a fixed grid of them."""
+    return pixels.where((F.col(position) - 1) % every == 0).groupBy(*(by or [])).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def visibility(observations: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames, decision). A frame is assessable with two usable dates at least that span 14 days; it is supported if one of
+    them separates. Fewer than two assessable frames tell nothing; two supported ones pass.
+
+    observations: sample_id, taken, usable, extra_separation; samples: sample_id."""
+    used = observations.where(F.coalesce("usable", F.lit(False))).groupBy("sample_id").agg(
+        F.countDistinct("taken").alias("usable_dates"), ((F.unix_micros(F.max("taken")) - F.unix_micros(F.min("taken"))) / 86_400_000_000).alias("span_days"), F.bool_or("extra_separation").alias("_extra")
+    )
+    frames = samples.join(used, "sample_id", "left").fillna(0, ["usable_dates"])
+    frames = frames.withColumn("assessable", (F.col("usable_dates") >= 2) & F.coalesce(F.col("span_days") >= 14, F.lit(False)))
+    frames = frames.withColumn("supported", F.col("assessable") & F.coalesce("_extra", F.lit(False))).drop("_extra")
+    sums = frames.agg(F.count_if("assessable").alias("assessable_frames"), F.count_if("supported").alias("supported_frames"))
+    status = F.when(F.col("assessable_frames") < 2, "INSUFFICIENT_EVIDENCE").when(F.col("supported_frames") >= 2, "PASS").otherwise("FAIL")
+    return frames, sums.withColumn("status", status)
+
+
+def lags(rows: DataFrame, source: str, taken: str, published: str) -> DataFrame:
+    """Per source: scenes, median and 90 % of the hours from taking to publication."""
+    hours = (F.unix_micros(published) - F.unix_micros(taken)) / 3_600_000_000
+    return rows.withColumn("_h", hours).groupBy(source).agg(F.count("_h").alias("n"), F.percentile("_h", 0.5).alias("median_h"), F.percentile("_h", 0.9).alias("p90_h"))

@@ -46,6 +46,38 @@ def compare_area(own_ha: Column, product_ha: Column, least_ha: float = 1000.0) -
     return F.struct(status.alias("status"), ratio.alias("ratio"))
 
 
+def product_area(pixels: DataFrame, burn_day: str, by: str = "chip_id", pixel_ha: float = 25.0) -> DataFrame:
+    """Hectares of a product's pixels with a day of burning; negative values are no data, 0 is unburned."""
+    return pixels.groupBy(by).agg((F.count_if(F.col(burn_day) > 0) * F.lit(pixel_ha)).alias("product_ha"))
+
+
+def packed(pixels: DataFrame, mask: str, key: list[str], position: str = "pos") -> DataFrame:
+    """Rows (key, byte, bits): the mask in bytes of eight positions (from 1), the first in the lowest bit."""
+    at = F.col(position) - 1
+    bit = F.when(F.col(mask), F.pow(F.lit(2.0), at % 8).cast("int")).otherwise(0)
+    return pixels.groupBy(*key, F.floor(at / 8).alias("byte")).agg(F.bit_or(bit).alias("bits"))
+
+
+def unpacked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, pos, on) of packed masks."""
+    spread = rows.select(*key, "byte", "bits", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    return spread.select(*key, (F.col("byte") * 8 + F.col("k") + 1).alias("pos"), (F.floor(F.col("bits") / F.pow(F.lit(2.0), F.col("k"))) % 2 == 1).alias("on"))
+
+
+def incidence_cosine(slope_deg: Column, aspect_deg: Column, sun_zenith: float, sun_azimuth: float) -> Column:
+    z, s = F.radians(F.lit(sun_zenith)), F.radians(slope_deg)
+    return F.cos(z) * F.cos(s) + F.sin(z) * F.sin(s) * F.cos(F.radians(F.lit(sun_azimuth) - aspect_deg))
+
+
+def terrain_corrected(pixels: DataFrame, band: str, cosine: str, sun_zenith: float, out: str, by: str = "chip_id") -> DataFrame:
+    """C-correction: band times (cos z + c) / (cos i + c), the factor within 0.5 and 2; c is intercept over slope of the band
+    on cos i in the chip, and the band stays where there is no such line."""
+    fit = pixels.where("valid").groupBy(by).agg(F.regr_slope(band, cosine).alias("_k"), F.regr_intercept(band, cosine).alias("_i"))
+    c = F.col("_i") / F.col("_k")
+    factor = F.least(F.greatest((F.cos(F.radians(F.lit(sun_zenith))) + c) / (F.col(cosine) + c), F.lit(0.5)), F.lit(2.0))
+    return pixels.join(fit, by, "left").withColumn(out, F.when(F.col("_k") != 0, F.col(band) * factor).otherwise(F.col(band))).drop("_k", "_i")
+
+
 def ratio_summary(compared: DataFrame) -> DataFrame:
     """Smallest, upper median, largest and mean ratio of comparable rows; no row if there are none."""
     rows = numbered(compared.where("status = 'ok' and ratio is not null and ratio != 0").select("ratio"), "ratio")

@@ -698,8 +698,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from cinderlake import further_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from cinderlake import further_queries  # noqa: F401  registers its own
+
     return dict(_SQL)
