@@ -97,7 +97,9 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def give_back() -> None:
-    """Give unused memory back to the system."""
+    """Give unused memory back to the system; tables that are quickly made again go too."""
+    for k in range(2):
+        _POWERS[k] = np.ones(1, np.uint64)
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
@@ -163,7 +165,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, b in enumerate((_BASE, _INVERSE)):
             p = np.full(size, b, np.uint64)
             p[0] = 1

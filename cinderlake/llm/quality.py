@@ -36,7 +36,7 @@ HIDDEN = 32
 #: Buckets whose sums are one row of the shuffle.
 BLOCK = 64
 #: Bytes of text that one step counts or scores.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[97:123] = 1
