@@ -107,9 +107,14 @@ def hash_share(key: Column, salt: str, modulus: int) -> Column:
     return F.conv(F.substring(salted(salt, key), 1, 12), 16, 10).cast("long") % modulus
 
 
+# fixed values: the datasets' names; each has its own key of an event, in the order of the arguments below
+DATASETS = ("ems", "floga", "mtbs", "russia")
+
+
 def event_group(dataset: Column, code: Column, id_: Column, event_id: Column, cluster_id: Column) -> Column:
     """An event's name across datasets; areas of one activation share it. Unknown datasets and missing keys raise."""
-    key = F.when(dataset == "ems", code).when(dataset == "floga", id_).when(dataset == "mtbs", event_id).when(dataset == "russia", cluster_id)
+    keys = dict(zip(DATASETS, (code, id_, event_id, cluster_id), strict=True))
+    key = F.coalesce(*[F.when(dataset == name, own) for name, own in keys.items()])
     return F.when(F.coalesce(key, F.lit("")) != "", F.concat_ws(":", dataset, key)).otherwise(F.raise_error(F.concat(F.lit("missing event group for "), F.coalesce(dataset, F.lit("null")))).cast("string"))
 
 

@@ -2,7 +2,13 @@
 
 Every stage takes all rows that the one before it kept, and its decisions take effect: rejected documents and near
 copies go, repeated passages are cut out of texts, sources are mixed to their weights (rows may repeat), and what
-stays is encoded."""
+stays is encoded.
+
+Edge cases: a null text is the empty text throughout; it is scored, is a near copy of other texts without words, and is
+encoded to no ids. Rows with a null id are kept, rejected and mixed like any other, and of near copies a row with an id
+stays rather than one without. Repeated rows are near copies of each other, so one stays. Texts of any length are
+taken whole. Extra columns are left out by the first stage, so none can clash. An empty table gives an empty one; without
+labels all documents score 0.5 and stay."""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.llm import byte_bpe, quality, simhash_dedup, source_mixing, substring_dedup
-from cinderlake.llm.common import staged
+from cinderlake.staging import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
