@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderlake.functions import confidence, geo, indices
-from cinderlake.operators import evaluation, graph, points, raster, rle
+from cinderlake.operators import evaluation, graph, morphology, points, raster, rle, selection
 from cinderlake.operators.graph import components
 from cinderlake.operators.numbering import numbered
 
@@ -178,3 +178,71 @@ def test_bootstrap_verdict(spark):
     assert r.verdict == "better" and r.groups == 6 and r.low <= r.delta <= r.high
     with pytest.raises(Exception, match="two groups"):
         evaluation.paired_bootstrap(df.where("group_id = 'g1'"), "x", "y")
+
+
+def test_isolate_goes_in_order(spark):
+    rng = random.Random(18)
+    box = lambda: (x := rng.uniform(0, 20), y := rng.uniform(0, 20), x + rng.uniform(0.5, 3), y + rng.uniform(0.5, 3))
+    cand = [(k, rng.randrange(40), *box()) for k in range(80)]
+    prior = [box() for _ in range(5)]
+    used = {3, 7}
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+    want, chosen = {}, []
+    for k, event, *b in cand:
+        if event in used:
+            want[k] = "used_event"
+        elif any(meets(b, p) for p in prior):
+            want[k] = "prior_overlap"
+        elif event in {c[1] for c in chosen}:
+            want[k] = "event_taken"
+        elif any(meets(b, c[2:]) for c in chosen):
+            want[k] = "chosen_overlap"
+        elif len(chosen) >= 6:
+            want[k] = "enough"
+        else:
+            want[k] = "chosen"
+            chosen.append((k, event, *b))
+    df = spark.createDataFrame(cand, "ordinal long, event long, w double, s double, e double, n double").repartition(5)
+    got = selection.isolate(df, spark.createDataFrame(prior, "w double, s double, e double, n double"), spark.createDataFrame([(e,) for e in used], "event long"), 6, 2.0)
+    assert {r.ordinal: r.reason for r in got.collect()} == want and len(set(want.values())) == 6
+
+
+def test_median_and_nearest_of_a_chip(spark):
+    rng = np.random.default_rng(19)
+    grid, fine = rng.integers(0, 5, (9, 11)), rng.random((9, 11)) < 0.3
+    rows = [(1, r, c, int(grid[r, c]), bool(fine[r, c])) for r in range(9) for c in range(11)] + [(2, r, c, 3, False) for r in range(3) for c in range(3)]
+    px = spark.createDataFrame(rows, "chip_id long, row int, col int, v int, ok boolean")
+    got = {(r.row, r.col): r for r in morphology.nearest_valid(morphology.median_filter(px, "v", 3, "m"), "v", "ok", "near").where("chip_id = 1").collect()}
+    at = np.argwhere(fine)
+    for r, c in np.ndindex(9, 11):
+        around = sorted(grid[min(max(r + y, 0), 8), min(max(c + x, 0), 10)] for y in (-1, 0, 1) for x in (-1, 0, 1))
+        assert got[r, c].m == around[4]
+        near = min(map(tuple, at), key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p))
+        assert got[r, c].near == (grid[r, c] if fine[r, c] else grid[near])
+    assert {r.near for r in morphology.nearest_valid(px, "v", "ok", "near").where("chip_id = 2").collect()} == {3}
+
+
+def test_greedy_members(spark):
+    rng = random.Random(20)
+    truth = {k: rng.random() < 0.5 for k in range(200)}
+    scores = {(m, k): min(1.0, max(0.0, truth[k] * 0.4 + 0.3 + rng.gauss(0, s))) for m, s in (("a", 0.2), ("b", 0.25), ("c", 0.6)) for k in truth}
+    acc = lambda ms: sum((sum(scores[m, k] for m in ms) / len(ms) >= 0.5) == truth[k] for k in truth) / len(truth)
+    want, best = [], 0.0
+    while len(want) < 3:
+        value, m = max((acc([*want, m]), m) for m in "abc" if m not in want)
+        if value - best <= 1e-4:
+            break
+        want, best = [*want, m], value
+    df = spark.createDataFrame([(m, k, p) for (m, k), p in scores.items()], "member string, key long, p double")
+    assert selection.greedy_members(df, "member", "key", "p", spark.createDataFrame(list(truth.items()), "key long, truth boolean")) == want
+
+
+def test_persistent_sources_of_a_history(spark):
+    at = lambda day, hour=6: dt.datetime(2026, 9, day, hour, tzinfo=dt.timezone.utc)
+    rows = [(k, 61.0, 93.0, at(1 + k), 10.0 + k % 2) for k in range(15)]  # steady, on many days
+    rows += [(100 + k, 62.0, 93.0, at(1 + k), 1.0 + 99 * (k % 5 == 0)) for k in range(15)]  # of varying power
+    rows += [(200 + k, 63.0, 93.0, at(10 + k % 2, k), 5.0) for k in range(12)]  # on two days
+    df = spark.createDataFrame(rows, "ordinal long, latitude double, longitude double, acquired_at timestamp, frp double")
+    got = points.persistent_sources(df).collect()
+    assert [(r.lat, r.days) for r in got] == [(61.0, 15)]
+    assert points.persistent_sources(df.where("acquired_at < '2026-09-12'")).count() == 0
