@@ -47,7 +47,7 @@ SLICE = 1 << 20
 WINDOW = 384
 MARGIN = 128
 
-_BUCKETS = 1 << 16
+_BUCKETS = 1 << 14
 #: A packed piece: 20 bits of rank, 23 of place and 20 of id.
 _RANK_AT, _PLACE_AT = 43, 20
 _NONE = (1 << 20) - 1
@@ -80,6 +80,7 @@ class RankMap:
 
     def __init__(self, pieces: list[bytes]):
         rank = {p: k for k, p in enumerate(pieces)}
+        # three or so pairs a bucket: the literal is an object per bucket in every plan and task that encodes
         # the buckets as text from the start: as many small dicts would weigh tens of MB
         buckets = [""] * _BUCKETS
         for piece, k in rank.items():
