@@ -196,6 +196,7 @@ def search(vectors: DataFrame, asks: Column | DataFrame, nearest: int = 20, rera
     """Rows (query_id, rank, vec_id, score): for each query, the `nearest` vectors by inner product, its own row left out.
 
     vectors: vec_id and embedding. asks: which rows of them are queries, or other rows (vec_id, embedding) that are."""
+    rerank = max(rerank, nearest)
     numbered = lambda df: staged(_usable(df).withColumn("row", F.monotonically_increasing_id()), "vectors")
     base = numbered(vectors)
     # queries from elsewhere are no rows of the table, so their numbers are below all of these
