@@ -31,6 +31,11 @@ def free(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is taken once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_row_id(docs: DataFrame, name: str) -> DataFrame:
     """docs, staged, with a different number in each row: rows that are equal otherwise can be told apart again."""
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")

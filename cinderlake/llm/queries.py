@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm import ann_search, byte_bpe, fill_in_middle, fingerprints, hmm_lm, html_extraction, language_id, quality, simhash_dedup, source_mixing, substring_dedup, whitening
+from cinderlake.llm import ann_search, byte_bpe, fill_in_middle, fingerprints, hmm_lm, html_extraction, language_id, quality, quality_rules, simhash_dedup, source_mixing, substring_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # trusted are documents that all their labels call good
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("good")).where("good = 1")
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -123,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_html_extraction": op10_html_extraction,
+        "op11_quality_rules": op11_quality_rules,
         "op12_fill_in_middle": op12_fill_in_middle,
         "op13_whitening": op13_whitening,
     }
