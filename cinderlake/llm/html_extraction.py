@@ -10,7 +10,9 @@ What is left out below the chosen container is put to the host's pages too. Elem
 (menus, footers, forms, scripts and so on) go. For others, the words of their class and id are one sign, the share of
 the page's text that the path holds on the host's pages, how much of it is links, and whether the text is the same on
 different pages are the others (`dropped_paths` has the rule). Forms, headers and the like that hold most of a page's
-text stay.
+text stay, and so do elements whose names speak of adverts while they hold most of it, or of remarks while next to nothing
+would be left without them (`Page.weigh_marks`). Names never empty a page: where almost nothing is left, the page gives its own
+best container by kinds of elements alone.
 
 Character references are decoded, white space within a block becomes one space and blocks are joined by one space, in
 page order; unknown elements and images don't end a block.
@@ -54,7 +56,8 @@ WRAPPING_TAGS = frozenset("header aside form dialog".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # fixed values: words of class and id. A name of REMARK words, alone or beside others of these lists, tells of readers' remarks
 # and adverts; one of FRAME words and NEUTRAL ones only, of a page's frame; other names with such a word are a hint only
-REMARK_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr comment comments respond replies disqus newsletter subscribe".split())
+READER_WORDS = frozenset("comment comments respond replies disqus".split())
+REMARK_WORDS = READER_WORDS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe".split())
 FRAME_WORDS = frozenset(
     "promotion banner notice popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar aside widget related recommended "
     "share sharing social subscription signup login pager pagination toolbar skip".split()
@@ -64,12 +67,16 @@ ARTICLE_WORDS = frozenset("article blog body content entry post posts story".spl
 LISTS = frozenset("ul ol dl table".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# one attribute after another, so that a name is a whole name and nothing inside a value is one
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|["'=/]""")
+#: A page's text is almost gone with fewer characters than this and less than a tenth of it.
+ALMOST_GONE = 200
 _WORDS = re.compile(r"[A-Za-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 _SPACE = re.compile(r"\s+")
 
+_TELLING = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 #: What the names of an element say: nothing, a hint, a page's frame, readers' remarks or adverts.
 NOTHING, HINT, FRAME, REMARK = range(4)
 #: Kinds of elements by tag, role and style.
@@ -77,10 +84,10 @@ PLAIN, WRAPPING, BOILERPLATE, HIDDEN = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "key", "parent", "kind", "mark", "linked", "begin", "end", "out")
+    __slots__ = ("tag", "key", "parent", "kind", "mark", "readers", "linked", "begin", "end", "out")
 
-    def __init__(self, tag: str, key: int, parent: Node | None, kind: int, mark: int, begin: int):
-        self.tag, self.key, self.parent, self.kind, self.mark, self.begin, self.end = tag, key, parent, kind, mark, begin, -1
+    def __init__(self, tag: str, key: int, parent: Node | None, kind: int, mark: int, readers: bool, begin: int):
+        self.tag, self.key, self.parent, self.kind, self.mark, self.readers, self.begin, self.end = tag, key, parent, kind, mark, readers, begin, -1
         self.linked = tag == "a" or parent is not None and parent.linked
         self.out = False
 
@@ -105,12 +112,19 @@ def name_mark(name: str) -> int:
 
 def _open(tag: str, attrs: str, parent: Node, begin: int) -> Node:
     kind = BOILERPLATE if tag in BOILERPLATE_TAGS else WRAPPING if tag in WRAPPING_TAGS else PLAIN
-    mark, label = NOTHING, tag
+    mark, label, readers = NOTHING, tag, False
     if attrs and not attrs.isspace():
+        seen = set()
         for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+            # of attributes with one name the first counts
+            if name not in _TELLING or name in seen:
+                continue
+            seen.add(name)
             if name in ("class", "id"):
-                mark = max([mark, *map(name_mark, value.split())])
+                marks = {x: name_mark(x) for x in value.split()}
+                mark = max([mark, *marks.values()])
+                readers = readers or any(v == REMARK and not READER_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(_HUMP.sub(" ", x))) for x, v in marks.items())
                 own = {w.lower() for w in _WORDS.findall(_HUMP.sub(" ", value))} if name == "class" else ()
                 if own:
                     label = f"{tag}.{'-'.join(sorted(own))}"
@@ -122,20 +136,52 @@ def _open(tag: str, attrs: str, parent: Node, begin: int) -> Node:
                 kind = HIDDEN
         if tag in ("html", "body", "article", "main"):
             mark = NOTHING
-    return Node(tag, path_key(label, parent.key), parent, kind, mark, begin)
+    return Node(tag, path_key(label, parent.key), parent, kind, mark, readers, begin)
 
 
 class Page:
     """A page's elements in order, each after its parent, and its texts: (element, text), or None at a block's border."""
 
     def __init__(self, page: str):
-        self.root = Node("", 0, None, PLAIN, NOTHING, 0)
+        self.root = Node("", 0, None, PLAIN, NOTHING, False, 0)
         self.nodes: list[Node] = [self.root]
         self.pieces: list[tuple[Node, str] | None] = []
         self._parse(page)
         for node in self.nodes:
             if node.end < 0:
                 node.end = len(self.pieces)
+        if any(node.mark == REMARK for node in self.nodes):
+            self.weigh_marks()
+
+    def weigh_marks(self) -> None:
+        """Names of adverts are a hint only on an element with most of the page's text, as an advert doesn't hold it. Names of
+        readers' remarks are one on such an element with the page's first heading, and on the largest element of the kind if
+        almost nothing would be left without them all."""
+        text = self.plain_text(lambda node: node.kind >= BOILERPLATE)
+        size = lambda node: text[node.end] - text[node.begin]
+        frame = {id(node) for node in self.nodes if node.mark == FRAME and 2 * size(node) <= text[-1]}
+        text = self.plain_text(lambda node: node.kind >= BOILERPLATE or id(node) in frame)
+        headed = next((node for node in self.nodes if node.tag == "h1"), None)
+        for node in self.nodes:
+            if node.mark == REMARK and 2 * size(node) > text[-1]:
+                heads = headed is not None and node.begin <= headed.begin and headed.end <= node.end and node is not headed
+                if not node.readers or heads:
+                    node.mark = HINT
+        while True:
+            marked = [node for node in self.nodes if node.mark == REMARK]
+            left = self.plain_text(lambda node: node.kind >= BOILERPLATE or id(node) in frame or node.mark == REMARK)[-1]
+            if not marked or left >= min(0.1 * text[-1], ALMOST_GONE):
+                return
+            # the outermost of the largest; nothing else may hold the text
+            max(marked, key=size).mark = HINT
+
+    def plain_text(self, without) -> list[int]:
+        """Running sums over the texts of the characters outside of links and of the elements for which `without` holds."""
+        gone: set[int] = set()
+        for node in self.nodes:
+            if without(node) or node.parent is not None and id(node.parent) in gone:
+                gone.add(id(node))
+        return list(accumulate((0 if x is None or x[0].linked or id(x[0]) in gone else len(x[1].strip()) for x in self.pieces), initial=0))
 
     def _shut(self, now: Node, up: Node) -> Node:
         """Close all elements from `now` up to and with `up`."""
@@ -274,18 +320,29 @@ def _best(score: dict[int, float], most: int = VOTES) -> list[int]:
 
 
 def main_text(page: str | None, path: int | None = None, dropped=frozenset()) -> str:
-    """The page's text below a path, or below its own best container if it has no text there."""
+    """The page's text below a path, or below its own best container if it has no text there; by kinds of elements alone if
+    names and paths leave almost nothing of it."""
     if not page:
         return ""
     found = Page(page)
+
+    def own() -> str:
+        best = _best(found.scores(), 1)
+        return found.text(best[0] if best else None)
+
+    text = ""
     if path is not None:
         found.leave_out(dropped, False)
         text = found.text(path)
-        if text:
-            return text
-    found.leave_out(dropped, True)
-    best = _best(found.scores(), 1)
-    return found.text(best[0] if best else None)
+    if not text:
+        found.leave_out(dropped, True)
+        text = own()
+    if len(text) < ALMOST_GONE:
+        found.leave_out((), False)
+        whole = own()
+        if 10 * len(text) < len(whole):
+            return whole
+    return text
 
 
 def host_of(url):
@@ -347,7 +404,8 @@ def dropped_paths():
     `linked` the mean share that is links, `pages` and `texts` how many different pages and texts of it there are."""
     repeated = (F.col("pages") >= 4) & (F.col("texts") * 3 <= F.col("pages"))
     menu = (F.col("linked") > 0.7 * F.col("share")) & (F.col("links") >= 3)
-    by_names = (F.col("mark") == REMARK) | ((F.col("mark") == FRAME) & (F.col("share") < 0.5))
+    # what each page makes of a name of remarks or adverts (`Page.weigh_marks`), by majority
+    by_names = (F.col("remarks") * 2 >= F.col("rows")) & (F.col("mark") == REMARK) | ((F.col("mark") == FRAME) & (F.col("share") < 0.5))
     hinted = (F.col("mark") == HINT) & (F.col("share") < 0.5) & (repeated | menu)
     unnamed = (F.col("mark") == NOTHING) & (F.col("share") < 0.3) & (repeated | (menu & (F.col("pages") >= 3)))
     return by_names | hinted | unnamed
@@ -361,9 +419,9 @@ def chosen_paths(pages: DataFrame) -> DataFrame:
     container by being on every page, and a rare layout isn't lost to common ones."""
     weights = staged(pages.select("host", "_k1", "_k2", "html").mapInArrow(released(_weights), _ROWS), "paths")
     stats = weights.groupBy("host", "path").agg(
-        F.round(F.sum("vote") / F.count("*"), 6).alias("mean"), F.avg("share").alias("share"), F.avg("linked").alias("linked"), F.avg("links").alias("links"),
-        F.approx_count_distinct("_k2").alias("pages"), F.approx_count_distinct("text").alias("texts"), F.max("mark").alias("mark"),
-    )
+        F.round(F.sum("vote") / F.count("*"), 6).alias("mean"), *[F.round(F.avg(c), 6).alias(c) for c in ("share", "linked", "links")], F.max("mark").alias("mark"),
+        F.count_distinct("_k2").alias("pages"), F.count_distinct("text").alias("texts"), F.count("*").alias("rows"), F.sum((F.col("mark") == REMARK).cast("int")).alias("remarks"),
+    )
     # a table of its own, so that a path that all pages of a large host have can be split among tasks
     said = staged(stats.select("host", "path", "mean", dropped_paths().alias("drop")).where("mean > 0 or drop"), "votes")
     met = weights.select("host", "path", "_k1", "_k2", "score").join(said, ["host", "path"])
