@@ -5,8 +5,9 @@ the word itself (the lexicon), hashed into one table of weights for each languag
 are learned too. Forward-backward labels every word of a text, so text that switches between languages keeps both;
 a document's language is the one with most of its words' probability, and that share is its score.
 
-The field is trained on a bounded sample of labelled rows: SAMPLE distinct ones with LONGEST characters at most, the
-same choice at every size. All documents are labelled over their whole texts.
+The field is trained on a bounded sample of labelled text: SAMPLE distinct runs of RUN characters at most (a text is cut
+into as many as it takes), those of the smallest hashes, the same choice at every size. All documents are labelled over
+their whole texts.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; texts and words of any length are labelled whole;
 of languages with equal shares the first by name is told; if there is nothing to learn from, all texts are `und`; rows
@@ -27,7 +28,8 @@ from cinderlake.llm.chain import Chain
 from cinderlake.llm.common import Words, give_back, gram_hashes, released, slices, smallest_hashes
 
 SAMPLE = 2_500
-LONGEST = 20_000
+#: Characters of a run of text that the sample takes; a word at a run's border is two.
+RUN = 20_000
 BUCKETS = 1 << 18
 EPOCHS = 4
 #: Longest word, in bytes, that is one position of the chain; longer ones are runs of so many bytes, each a position.
@@ -139,15 +141,14 @@ class Field:
         return self
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Field | None:
+def train(docs: DataFrame, sample: int = SAMPLE, run: int = RUN) -> Field | None:
     """docs: text, lang. None if there is no labelled row."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= longest))
-    h = F.xxhash64("text", "lang")
-    # the smallest hashes of distinct rows, at any size; texts are met afterwards
-    keys = smallest_hashes(usable.select(h.alias("h")).distinct(), F.xxhash64("h"), sample).select("h")
-    # as many rows as the sample has
-    met = usable.select(h.alias("h"), "text", "lang").join(F.broadcast(keys), "h", "left_semi")
-    rows = met.groupBy("h").agg(F.min(F.struct("lang", "text")).alias("row")).orderBy(F.xxhash64("h"), "h").select("row.text", "row.lang").toArrow()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    runs = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.char_length("text") - 1) / run), F.lit(0)).cast("int"))).alias("k")
+    # the smallest hashes of distinct runs, at any size; texts are met afterwards, as many as the sample has runs
+    keys = F.broadcast(smallest_hashes(usable.select("h", runs).distinct(), F.xxhash64("h", "k"), sample).select("h", "k"))
+    met = usable.join(keys, "h").select("h", "k", "lang", F.substring("text", F.col("k") * run + 1, F.lit(run)).alias("text"))
+    rows = met.groupBy("h", "k").agg(F.min(F.struct("lang", "text")).alias("row")).orderBy(F.xxhash64("h", "k"), "h", "k").select("row.text", "row.lang").toArrow()
     if not rows.num_rows:
         return None
     field = Field.fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
