@@ -44,14 +44,17 @@ def with_row_id(docs: DataFrame, name: str) -> DataFrame:
 def smallest_hashes(rows: DataFrame, h: Column, k: int, name: str = "_h") -> DataFrame:
     """The `k` rows with the smallest values of a 64-bit hash, in order, the same choice at every size.
 
-    Rows beyond the hash below which k of them surely lie go first, so that what is put in order is little more than k rows,
-    however many there are. Rows of equal hashes should be equal."""
+    Rows are to be distinct: copies would take the places of others. Rows beyond the hash below which k of them surely lie go
+    first, so that what is put in order is little more than k rows, however many there are; should fewer lie there, all are
+    put in order."""
     n = rows.count()
-    share = min(1.0, (k + 8 * k**0.5 + 50) / max(n, 1))
-    low = rows.withColumn(name, h)
+    hashed = rows.withColumn(name, h)
+    share = (k + 8 * k**0.5 + 50) / max(n, 1)
     if share < 1:
-        low = low.where(F.col(name) <= F.lit(int(-(1 << 63) + share * (1 << 64))))
-    return low.orderBy(name).limit(k)
+        low = hashed.where(F.col(name) <= F.lit(int(-(1 << 63) + share * (1 << 64))))
+        if low.count() >= k:
+            hashed = low
+    return hashed.orderBy(name).limit(k)
 
 
 def most_frequent(counts: DataFrame, size: int, n: str = "n") -> DataFrame:
@@ -103,8 +106,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def give_back() -> None:
     """Give unused memory back to the system; tables that are quickly made again go too."""
-    for k in range(2):
-        _POWERS[k] = np.ones(1, np.uint64)
+    _POWERS[:] = [np.ones(1, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)]
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
@@ -148,7 +150,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same for equal words anywhere."""
-        return mixed(_ranges(_BYTES[self.buf], self.start, self.end))
+        return mixed(_ranges(self.buf + np.uint64(1), self.start, self.end))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -162,29 +164,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Hashes of ranges are polynomials modulo this prime: two ranges of n values agree for n of its bases at most.
+PRIME = (1 << 61) - 1
+_BASE = 0x1342543DE82EF95
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+#: Powers of the base, split into 31 lower and 30 upper bits, and of its inverse; longest range whose split sums are exact
+#: for values up to SMALL.
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.zeros(1, np.uint64), np.ones(1, np.uint64)]
+SMALL, SMALL_RANGE = 1023, 1 << 22
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any x below 2**64."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    au, al, bu, bl = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    cross = al * bu + au * bl
+    # 2 ** 61 is 1: the product of upper parts counts twice, and the cross products' upper bits come round
+    return _reduced(np.uint64(2) * au * bu + (cross >> np.uint64(30)) + ((cross & _LOW30) << np.uint64(31)) + al * bl)
 
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
         size = max(n, 1 << 18)
-        for k, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
+        found = []
+        for b in (_BASE, pow(_BASE, -1, PRIME)):
+            p = np.ones(size, np.uint64)
+            k = 1
+            while k < size:
+                more = min(k, size - k)
+                p[k : k + more] = _times(p[:more], np.uint64(pow(b, k, PRIME)))
+                k *= 2
+            found.append(p)
+        _POWERS[:] = [found[0] & _LOW31, found[0] >> np.uint64(31), found[1]]
     return _POWERS
 
 
 def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of values[start:end] for many ranges at once, from prefix sums."""
+    """Polynomial hash modulo PRIME of values[start:end] for many ranges at once, from prefix sums."""
     n = len(values)
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * power[:n], out=total[1:])
-    return (total[end] - total[start]) * inverse[start]
+    low, high, inverse = _powers(n + 1)
+    values = values.astype(np.uint64, copy=False)
+    small = n == 0 or int(values.max()) <= SMALL and int((end - start).max(initial=0)) <= SMALL_RANGE
+    if not small:
+        t = _times(_reduced(values), (high[:n] << np.uint64(31)) + low[:n])
+    sums = []
+    # sums may run over, their differences don't
+    for part in (values * low[:n], values * high[:n]) if small else (t & _LOW31, t >> np.uint64(31)):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(part, out=total[1:])
+        sums.append(_reduced(total[end] - total[start]))
+    whole = _reduced(sums[0] + _times(sums[1], np.uint64(1 << 31)))
+    return _times(whole, inverse[start])
 
 
 def gram_hashes(words: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:

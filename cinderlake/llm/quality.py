@@ -7,12 +7,15 @@ block by block of buckets, in as many tasks as there are blocks and in streams o
 of its tokens' vectors with the log of its length, and a network with one hidden layer, in numpy, gives the
 probability, at a temperature fitted on rows kept apart.
 
-The network is fitted on a bounded sample of the labelled rows, SAMPLE of them; vectors cover all documents.
+The network is fitted on a bounded sample of the labelled rows, SAMPLE of them: of the distinct labels those of the smallest
+hashes, and of the different rows with their ids likewise. Vectors cover all documents.
 
 Edge cases: null text is the empty text, which is scored too; texts and words of any length are read whole; labels of null
-quality or id are left out; if there is nothing to learn from, all scores are 0.5; a null id is not held out; repeated
-rows are scored each; of rows with equal hashes in the sample any may come first, as they are equal; an empty table
-gives an empty one; input columns named like the result's are replaced, others stay as they are.
+quality or id are left out; repeated labels and repeated rows are learned from once; an id with both labels is learned from
+with both; labels of one class only give all texts its share, smoothed by half a row
+of either; if there is nothing to learn from, all scores are 0.5; a null
+id is not held out; repeated rows are scored each; an empty table gives an empty one; input columns named like the result's
+are replaced, others stay as they are.
 """
 
 from __future__ import annotations
@@ -66,7 +69,7 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     for keep, values in ((letter, lower + np.uint64(1)), (change, kind + np.uint64(300))):
         rank = np.concatenate([[0], np.cumsum(keep)])
         a, z = rank[w.start], rank[w.end]
-        out.append((gram_hashes(mixed(values[keep]), a, z - a) % np.uint64(BUCKETS)).astype(np.int64))
+        out.append((gram_hashes(values[keep], a, z - a) % np.uint64(BUCKETS)).astype(np.int64))
     return out[0], out[1]
 
 
@@ -139,13 +142,19 @@ class Network:
         self.mean, self.spread = x.mean(0), x.std(0) + 1e-6
         x = self._scaled(x)
         order = rng.permutation(len(x))
-        apart = order[: len(x) // 6] if len(x) >= 60 else order
-        own = order[len(x) // 6 :] if len(x) >= 60 else order
-        self.p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
+        # a sixth for the temperature alone, at every size
+        apart, own = order[: len(x) // 6], order[len(x) // 6 :]
+        # all scores are 0.5 to begin with
+        self.p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), np.zeros(hidden), np.zeros(1)]
+        self.temperature = 1.0
+        if y.min() == y.max():
+            # nothing to tell apart: every text has the smoothed share
+            self.p[3] += np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+            return
         m, v, t = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], 0
         for e in range(epochs):
-            for i in range(0, len(own), batch):
-                k = own[rng.integers(0, len(own), min(batch, len(own)))] if e else own[i : i + batch]
+            for _ in range(max(-(-len(own) // batch), 8)):
+                k = own[rng.integers(0, len(own), min(batch, len(own)))]
                 h = np.tanh(x[k] @ self.p[0] + self.p[1])
                 d = (1 / (1 + np.exp(-(h @ self.p[2] + self.p[3][0]))) - y[k]) / len(k)
                 dh = d[:, None] * self.p[2] * (1 - h**2)
@@ -157,7 +166,8 @@ class Network:
                     self.p[j] -= rate * (1 - e / epochs) * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
         z = self._logit(x[apart])
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-        loss = [np.mean(np.logaddexp(0, z / s) - y[apart] * z / s) for s in grid]
+        # a few rows hardly move it from 1
+        loss = [np.sum(np.logaddexp(0, z / s) - y[apart] * z / s) + np.log(s) ** 2 for s in grid]
         self.temperature = float(grid[int(np.argmin(loss))])
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
@@ -172,27 +182,29 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = SAMPLE) -> Network | None:
     """docs: doc_id, text; labels: doc_id, quality. None if there are no labelled rows."""
-    known = labels.select("doc_id", F.col("quality").alias("quality")).where("quality is not null and doc_id is not null")
+    known = labels.select("doc_id", F.col("quality").alias("quality")).where("quality is not null and doc_id is not null").distinct()
     # bounded by `sample`, so the labels can be sent to the texts
     drawn = F.broadcast(smallest_hashes(known, F.xxhash64("doc_id", "quality"), sample).select("doc_id", "quality"))
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id")
+    labelled = docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "quality", F.xxhash64("doc_id", "text", "quality").alias("h"))
+    # an id may have any number of rows, of which the sample takes `sample` different ones as well
+    kept = smallest_hashes(labelled.select("h").distinct(), F.xxhash64("h"), sample).select("h")
+    rows = labelled.join(F.broadcast(kept), "h", "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", SLICE):
                 x = features(b.column("text"), shared.value)
-                yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), b.column("quality").cast(pa.int32())], names=["x", "y"])
+                yield pa.record_batch([b.column("h"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("quality").cast(pa.int32())], names=["h", "x", "y"])
 
-    found = rows.mapInArrow(released(run), "x binary, y int").toArrow()
+    # rows of one hash are repeated rows
+    found = rows.mapInArrow(released(run), "h long, x binary, y int").groupBy("h").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
     shared.destroy()
     if not found.num_rows:
         return None
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(found.num_rows, -1)
     y = found.column("y").to_numpy().astype(np.float64)
-    order = np.lexsort((*x[:, :4].T, y))  # the rows come in any order
-    # an id may have several rows, so the sample is bounded here as well
-    order = order[:: -(-len(order) // (4 * sample))]
+    order = np.argsort(found.column("h").to_numpy())  # the rows come in any order
     return Network(x[order], y[order])
 
 

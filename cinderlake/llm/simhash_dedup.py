@@ -189,7 +189,7 @@ WIDE_RADIUS = 76
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct word shingles of each text, in order, and where each text's begin, with one entry more."""
     w = Words(texts)
-    low = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER[w.buf]]
+    low = _LOWER[w.buf] + np.uint64(1)
     words = np.diff(w.first)
     count = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
     doc = np.repeat(np.arange(len(words)), count)

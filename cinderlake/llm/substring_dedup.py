@@ -10,6 +10,9 @@ of contexts that fits in memory gets a suffix tree, grown level by level; its in
 the repeats. A group above `group_limit` contexts is split by longer prefixes, up to the whole window, whose node
 is then just a count.
 
+Words are told by hashes modulo the prime 2**61 - 1 over their bytes, and windows by those of their words, beside the
+gram that they share: no strings of a known form agree, as they do modulo powers of two, and chance leaves some 122 bits.
+
 Edge cases: null text has no words; repeated rows count as separate documents; a text of fewer than `window`
 words keeps all; texts and words of any length are read whole; null ids are kept; an empty table gives an empty one; an
 input column named like a result column is replaced, others stay as they are whatever their names.
@@ -226,8 +229,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
     small = cut.where(F.col("nctx") <= group_limit).repartition("gram").sortWithinPartitions("gram")
     trees = small.mapInArrow(released(_grow_trees(window)), "gram long, ctx long, mask long")
     split = cut.where(F.col("nctx") > group_limit).mapInArrow(_split_windows(window), "gram long, ctx long, step int, n long, prefix long")
-    again = staged(split.groupBy("prefix").agg(F.sum("n").alias("c")).where("c > 1").select("prefix"), "prefixes")
-    large = split.join(again, "prefix").groupBy("gram", "ctx").agg(F.expr("bit_or(shiftleft(1L, step))").alias("mask"))
+    again = staged(split.groupBy("gram", "prefix").agg(F.sum("n").alias("c")).where("c > 1").select("gram", "prefix"), "prefixes")
+    large = split.join(again, ["gram", "prefix"]).groupBy("gram", "ctx").agg(F.expr("bit_or(shiftleft(1L, step))").alias("mask"))
     masks = staged(same.unionByName(trees).unionByName(large).where("mask != 0"), "masks")
     return (
         found.join(masks, ["gram", "ctx"])
