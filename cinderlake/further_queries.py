@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.functions import confidence, dates, geo, hashing, indices, probability
-from cinderlake.operators import evaluation, features, landcover, morphology, planning, points, raster, reports, selection
+from cinderlake.operators import boosting, evaluation, features, landcover, morphology, planning, points, raster, reports, selection
 from cinderlake.plans.derived import Tables
 from cinderlake.queries import EVENTS, INTERVAL, ON, PX, VERDICT, B, D, N, S, drawn, focal, marked, query, rounded
 from cinderlake.sources import detections as exports
 from cinderlake.sources import store, tables
+from cinderlake.staging import staged
 
 # --- detections and land cover -----------------------------------------------------------------------------------
 
@@ -342,6 +343,19 @@ def m01_burn_features(t: Tables) -> DataFrame:
     return rounded(rounded(f, *[n for n in names if n not in ("dem", "dnbr_std5")]), "dnbr_std5", digits=5)
 
 
+@query()
+def m03_boosted_trees(t: Tables) -> DataFrame:
+    """Trees trained on all valid pixels' features and truth, then M04: their probability, decided at one half.
+
+    12 rounds of up to 31 leaves; `boosting.Rules` has 300 unless told otherwise."""
+    names = ("dnbr", "rbr", "ndvi_post", "dnbr2", "dmirbi", "dnbr_win5", "dnbr_std5", "dnbr_chip", "dvv", "dem", "landcover")
+    f = features.burn_features(_bands(t).drop("dnbr"), names).select("chip_id", "pos", "valid", (F.col("truth") > 1).cast("long").alias("burnt"), *names)
+    table = staged(f, "features")
+    model = boosting.train(table.where("valid"), "burnt", names, ["landcover"], boosting.Rules(rounds=12))
+    scored = boosting.predict(table, model, "p").withColumn("burnt_p", boosting.share(model, 1, "p"))
+    return rounded(features.decided(scored, "burnt_p", F.col("valid")).select("chip_id", "pos", "burnt", "burnt_p", "pred"), "burnt_p")
+
+
 FIRE = "SELECT *, a * 300 AS i4, b * 290 AS i5, a * 300 - b * 290 AS dt, CASE WHEN pos % 13 = 0 THEN 0 ELSE 1 END AS quality, CAST(pos % 9 * 10 AS INT) AS landcover FROM px"
 
 
