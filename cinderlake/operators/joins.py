@@ -33,18 +33,44 @@ def best_pair(pairs: DataFrame) -> DataFrame:
 def overlapping(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Pairs (a_id, b_id) of boxes (id, w, s, e, n) whose insides meet; touching edges don't.
 
-    Boxes are keyed by the grid cells that they reach, so that only boxes of a common cell meet."""
+    Grids of cells twice as wide each lie above each other. A box belongs to the first whose cells are as wide as the box, and
+    reaches four cells of it at most, however large it is. It is also listed in the coarser grids that some box of the other
+    side belongs to, so that two boxes meet in the grid of the larger one, and only those of a common cell. Boxes that lack
+    an edge meet none."""
+    width = lambda level: F.pow(F.lit(2.0), level) * cell
 
-    def keyed(df: DataFrame, p: str) -> DataFrame:
-        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    def leveled(df: DataFrame, p: str) -> DataFrame:
         named = df.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in "wsen"])
-        return named.withColumn("x", span(f"{p}_w", f"{p}_e")).withColumn("y", span(f"{p}_s", f"{p}_n"))
-
-    met = keyed(a, "a").join(keyed(b, "b"), ["x", "y"])
+        extent = F.greatest(F.col(f"{p}_e") - F.col(f"{p}_w"), F.col(f"{p}_n") - F.col(f"{p}_s"))
+        level = F.when(extent <= cell, F.lit(0)).otherwise(F.least(F.ceil(F.log2(extent / cell)), F.lit(60)).cast("int"))
+        return named.where(" and ".join(f"{p}_{c} is not null" for c in "wsen")).withColumn(f"{p}_level", level)
+
+    def keyed(df: DataFrame, p: str, level: Column) -> DataFrame:
+        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width(F.col("level"))), F.floor(F.col(hi) / width(F.col("level")))))
+        return df.withColumn("level", level).withColumn("x", span(f"{p}_w", f"{p}_e")).withColumn("y", span(f"{p}_s", f"{p}_n"))
+
+    boxes = {p: leveled(df, p) for p, df in (("a", a), ("b", b))}
+    # some tens of levels at most
+    used = {p: sorted(r[0] for r in df.select(f"{p}_level").distinct().collect()) for p, df in boxes.items()}
+
+    def listed(p: str, others: list[int], strictly: bool) -> DataFrame:
+        """Rows of the grids that the other side's boxes belong to, from the box's own grid up."""
+        own = F.col(f"{p}_level")
+        above = F.filter(F.lit(others), lambda k: k > own if strictly else k >= own)
+        return keyed(boxes[p], p, F.explode(above))
+
+    met = [keyed(boxes["a"], "a", F.col("a_level")).join(listed("b", used["a"], False), ["level", "x", "y"])] if used["a"] and used["b"] else []
+    # boxes of b that are larger than those of a
+    if used["a"] and used["b"] and used["a"][0] < used["b"][-1]:
+        met.append(listed("a", used["b"], True).join(keyed(boxes["b"], "b", F.col("b_level")), ["level", "x", "y"]))
     inside = (F.col("a_w") < F.col("b_e")) & (F.col("b_w") < F.col("a_e")) & (F.col("a_s") < F.col("b_n")) & (F.col("b_s") < F.col("a_n"))
-    # two boxes may share many cells; the cell of the lower left corner of their common part tells of them once
-    corner = (F.col("x") == F.floor(F.greatest("a_w", "b_w") / cell)) & (F.col("y") == F.floor(F.greatest("a_s", "b_s") / cell))
-    return met.where(inside & corner).select("a_id", "b_id")
+    # two boxes may share several cells; the cell of the lower left corner of their common part tells of them once
+    at = lambda p, q: F.floor(F.greatest(p, q) / width(F.col("level")))
+    corner = (F.col("x") == at("a_w", "b_w")) & (F.col("y") == at("a_s", "b_s"))
+    if not met:
+        return a.select(F.col("id").alias("a_id")).where("false").join(b.select(F.col("id").alias("b_id")).where("false"), F.lit(True))
+    found = [m.where(inside & corner).select("a_id", "b_id") for m in met]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def leaks(samples: DataFrame, cell: float) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.functions.hashing import hex_mod, salted
 from cinderlake.operators.joins import overlapping
 from cinderlake.operators.numbering import numbered
+from cinderlake.staging import discard, staged
 
 
 def ranked(ids: DataFrame, salt: str, key: str) -> DataFrame:
@@ -81,38 +80,62 @@ def replicated(rows: DataFrame, weight: str) -> DataFrame:
     return rows.where(F.col(weight) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))))
 
 
-def isolate(candidates: DataFrame, prior: DataFrame, used: DataFrame, most: int, cell: float) -> DataFrame:
+def isolate(candidates: DataFrame, prior: DataFrame, used: DataFrame, most: int, cell: float, ahead: int = 8) -> DataFrame:
     """Candidates in order with a reason: chosen, used_event, prior_overlap, event_taken, chosen_overlap or enough.
 
-    candidates: ordinal, event, w, s, e, n; prior: w, s, e, n; used: event, which is not to be used again. What depends
-    on these alone is told by joins of equal keys. The rest depends on the choices before it, so the frames that are
-    left (a plan's candidates) go in order through one task, which holds the chosen ones, `most` at most."""
+    candidates: ordinal (different ones), event, w, s, e, n; prior: w, s, e, n; used: event, which is not to be used again.
+    Each candidate is chosen unless an earlier choice has its event or overlaps it, and the first `most` choices stand.
+
+    Choices are made in rounds, each over all candidates that are left: one is chosen once no earlier one that is left has
+    its event or overlaps it. Of a grid cell only the `ahead` earliest are compared, and of an event only the earliest is
+    looked at, so no group's pairs are listed; what a choice rules out goes at once. The earliest candidate of all is always
+    chosen, so rounds end; they stop as soon as `most` choices precede all that is left. A null event is nobody else's."""
     box = ["w", "s", "e", "n"]
     hits = overlapping(candidates.select(F.col("ordinal").alias("id"), *box), prior.select(F.monotonically_increasing_id().alias("id"), *box), cell).select(F.col("a_id").alias("ordinal")).distinct()
     marked = candidates.join(used.select("event").distinct().withColumn("_used", F.lit(True)), "event", "left").join(hits.withColumn("_hit", F.lit(True)), "ordinal", "left")
     known = F.when(F.col("_used"), "used_event").when(F.col("_hit"), "prior_overlap")
-    marked = marked.select("ordinal", "event", *box, known.alias("reason"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken = np.empty((0, 4))
-        events: set = set()
-        for rows in batches:
-            reasons = []
-            for event, *b in zip(rows.event, rows.w, rows.s, rows.e, rows.n, strict=True):
-                if event in events:
-                    reasons.append("event_taken")
-                elif ((taken[:, 0] < b[2]) & (b[0] < taken[:, 2]) & (taken[:, 1] < b[3]) & (b[1] < taken[:, 3])).any():
-                    reasons.append("chosen_overlap")
-                elif len(taken) >= most:
-                    reasons.append("enough")
-                else:
-                    reasons.append("chosen")
-                    events.add(event)
-                    taken = np.concatenate([taken, [b]])
-            yield pd.DataFrame({"ordinal": rows.ordinal, "event": rows.event, "reason": reasons})
-
-    left = marked.where("reason is null").repartition(1).sortWithinPartitions("ordinal")
-    return marked.where("reason is not null").select("ordinal", "event", "reason").unionByName(left.mapInPandas(run, "ordinal long, event long, reason string"))
+    marked = staged(marked.select("ordinal", "event", *box, known.alias("reason")), "marked")
+    left = marked.where("reason is null").drop("reason")
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    celled = lambda df: df.withColumn("x", span("w", "e")).withColumn("y", span("s", "n"))
+    met = lambda a, b: (a["w"] < b["e"]) & (b["w"] < a["e"]) & (a["s"] < b["n"]) & (b["s"] < a["n"])
+
+    def against(rows: DataFrame, choices: DataFrame) -> DataFrame:
+        """Rows (ordinal) that overlap one of the choices, which don't overlap each other: few of them share a cell."""
+        a, b = celled(rows).alias("a"), celled(choices).alias("b")
+        inside = (F.col("a.w") < F.col("b.e")) & (F.col("b.w") < F.col("a.e")) & (F.col("a.s") < F.col("b.n")) & (F.col("b.s") < F.col("a.n"))
+        return a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & inside & (F.col("b.ordinal") < F.col("a.ordinal"))).select("a.ordinal").distinct()
+
+    rounds: list[DataFrame] = []
+    open_ = left
+    while True:
+        first = open_.where("event is not null").groupBy("event").agg(F.min("ordinal").alias("ordinal")).select("ordinal").unionByName(open_.where("event is null").select("ordinal"))
+        at = F.row_number().over(Window.partitionBy("x", "y").orderBy("ordinal"))
+        near = celled(open_.withColumn("cells", (F.floor(F.col("e") / cell) - F.floor(F.col("w") / cell) + 1) * (F.floor(F.col("n") / cell) - F.floor(F.col("s") / cell) + 1)))
+        near = near.withColumn("_k", at).where(F.col("_k") <= ahead).groupBy("x", "y").agg(F.collect_list(F.struct("ordinal", "cells", *box)).alias("all"))
+        # at most `ahead` in a cell: each looks for an earlier one that it overlaps
+        seen = F.transform("all", lambda a: F.struct(a["ordinal"].alias("ordinal"), a["cells"].alias("cells"), F.exists("all", lambda b: (b["ordinal"] < a["ordinal"]) & met(a, b)).alias("blocked")))
+        clear = near.select(F.inline(seen)).groupBy("ordinal").agg(F.count("*").alias("_n"), F.max("cells").alias("cells"), F.bool_or("blocked").alias("blocked")).where("_n = cells and not blocked")
+        chosen = staged(open_.join(clear.select("ordinal"), "ordinal", "left_semi").join(first, "ordinal", "left_semi"), "chosen")
+        rounds.append(chosen)
+        gone = against(open_, chosen).unionByName(chosen.select("ordinal"))
+        rest = staged(open_.join(gone, "ordinal", "left_anti").join(chosen.where("event is not null").select("event"), "event", "left_anti"), "open")
+        if open_ is not left:
+            discard(open_)
+        open_ = rest
+        earliest = open_.agg(F.min("ordinal").alias("least")).first().least
+        done = rounds[0].select("ordinal") if len(rounds) == 1 else reduce(lambda a, b: a.unionByName(b), [r.select("ordinal") for r in rounds])
+        if earliest is None or done.where(F.col("ordinal") < F.lit(earliest)).count() >= most:
+            break
+    final = staged(reduce(lambda a, b: a.unionByName(b), rounds).orderBy("ordinal").limit(most), "final")
+    for r in (*rounds, open_):
+        discard(r)
+    others = left.join(final.select("ordinal"), "ordinal", "left_anti")
+    taken = others.select("ordinal", "event").join(final.where("event is not null").select("event", F.col("ordinal").alias("_first")), "event").where("_first < ordinal").select("ordinal", F.lit(True).alias("_taken"))
+    hit = against(others, final).withColumn("_over", F.lit(True))
+    told = others.join(taken, "ordinal", "left").join(hit, "ordinal", "left").select("ordinal", "event", F.when(F.col("_taken"), "event_taken").when(F.col("_over"), "chosen_overlap").otherwise("enough").alias("reason"))
+    known = marked.where("reason is not null").select("ordinal", "event", "reason")
+    return known.unionByName(final.select("ordinal", "event", F.lit("chosen").alias("reason"))).unionByName(told)
 
 
 def greedy_members(scores: DataFrame, member: str, key: str, value: str, truth: DataFrame, least_gain: float = 1e-4, most: int = 10) -> list[str]:
