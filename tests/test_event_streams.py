@@ -115,4 +115,5 @@ def test_an_event_that_burns_again_is_active_again(spark, rocks, tmp_path):
     own = lambda k: [s for r, s in rows if r == k]
     assert own(1) == ["active", "silent", "active", "silent"]
     assert own(2) == ["active", "silent", "merged"]
-    assert own(3)[0] == "active" and "silent" in own(3)
+    # a detection that comes with the batch counts before the timers do
+    assert own(3) == ["active"] * 3
