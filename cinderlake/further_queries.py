@@ -99,10 +99,15 @@ def s09_sensor_of_name(t: Tables) -> DataFrame:
     return t.detections().select("ordinal", exports.sensor_of_name(name).alias("sensor"))
 
 
-@query("SELECT strftime(DATE '2024-03-02' - CAST(i AS INT) - CAST(least(5, 23 - i) AS INT), '%Y-%m-%d') AS a, strftime(DATE '2024-03-02' - CAST(i AS INT), '%Y-%m-%d') AS z FROM range(0, 23, 5) x(i)")
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS day FROM events), h AS (SELECT max(day) + 1 AS stop, max(day) + 1 - min(day) AS days FROM e), w AS (SELECT unnest(range(0, days, 5)) AS back, stop, days FROM h),
+n AS (SELECT (stop - 1 - day) // 5 * 5 AS back, count(*) AS n FROM e, h GROUP BY 1) SELECT strftime(stop - CAST(least(back + 5, days) AS INT), '%Y-%m-%d') AS a, strftime(stop - CAST(back AS INT), '%Y-%m-%d') AS z, coalesce(n, 0) AS detections FROM w LEFT JOIN n USING (back)""")
 def s10_backfill_windows(t: Tables) -> DataFrame:
-    w = exports.backfill_windows(t.spark, "2024-03-02", 23)
-    return w.select(F.col("window_start").cast("string").alias("a"), F.col("window_end").cast("string").alias("z"))
+    """The steps back over all days that the events have, and the events of each."""
+    day = t.read("events").select(F.to_date("ts").alias("day"))
+    span = day.agg(F.date_add(F.max("day"), 1).alias("stop"), (F.datediff(F.max("day"), F.min("day")) + 1).alias("days")).first()
+    w = exports.backfill_windows(t.spark, str(span.stop), span.days).withColumn("back", F.datediff(F.lit(span.stop), "window_end"))
+    n = day.groupBy((F.floor((F.datediff(F.lit(span.stop), "day") - 1) / 5) * 5).cast("int").alias("back")).agg(F.count("*").alias("detections"))
+    return w.join(n, "back", "left").select(F.col("window_start").cast("string").alias("a"), F.col("window_end").cast("string").alias("z"), F.coalesce("detections", F.lit(0)).alias("detections"))
 
 
 JOURNALLED = "j AS (SELECT user_id % 4 AS source, event_id, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN value > 40 THEN 1 ELSE 0 END AS found, ts FROM events)"
@@ -310,13 +315,14 @@ def f14_event_group(t: Tables) -> DataFrame:
     return t.read("orders").select(F.col("o_orderkey").alias("k"), planning.event_group(kind, F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("name"))
 
 
-@query("""WITH v AS (SELECT vec_id, [abs(x) + 0.01::DOUBLE for x in embedding[1:4]::DOUBLE[]] AS x FROM embeddings), n AS (SELECT vec_id, [y / list_sum(x) for y in x] AS p FROM v)
-SELECT vec_id, round(-list_sum([y * ln(y) for y in p]), 6) AS entropy, CAST(list_position([p[1], p[2] * 2, p[3], p[4] * 0.5::DOUBLE], list_max([p[1], p[2] * 2, p[3], p[4] * 0.5::DOUBLE])) - 1 AS INT) AS best FROM n""")
+@query("""WITH v AS (SELECT vec_id, [abs(x) + 0.01::DOUBLE for x in embedding::DOUBLE[]] AS x FROM embeddings), n AS (SELECT vec_id, [y / list_sum(x) for y in x] AS p FROM v),
+w AS (SELECT vec_id, p, [p[i] * ([1.0::DOUBLE, 2.0, 1.0, 0.5])[(i - 1) % 4 + 1] for i in range(1, len(p) + 1)] AS w FROM n)
+SELECT vec_id, round(-list_sum([y * ln(y) for y in p]), 6) AS entropy, CAST(list_position(w, list_max(w)) - 1 AS INT) AS best FROM w""")
 def f17_entropy(t: Tables) -> DataFrame:
     """F17 and X07: entropy, and the first largest of weighted probabilities."""
-    p = probability.normalised(F.transform(F.slice("embedding", 1, 4), lambda v: F.abs(v.cast("double")) + 0.01))
+    p = probability.normalised(F.transform("embedding", lambda v: F.abs(v.cast("double")) + 0.01))
     v = t.read("embeddings").select("vec_id", p.alias("p"))
-    return rounded(v.select("vec_id", probability.entropy(F.col("p")).alias("entropy"), probability.weighted_argmax(F.col("p"), [1, 2, 1, 0.5]).alias("best")), "entropy")
+    return rounded(v.select("vec_id", probability.entropy(F.col("p")).alias("entropy"), probability.weighted_argmax(F.col("p"), [1, 2, 1, 0.5] * 16).alias("best")), "entropy")
 
 
 # --- features ----------------------------------------------------------------------------------------------------
@@ -524,14 +530,14 @@ def a41_band_statistics(t: Tables) -> DataFrame:
 
 
 WATCHED = """ob AS (SELECT user_id % 6 AS sample_id, CAST(ts AS DATE) AS taken, event_id % 50 = 0 AS usable, event_id % 100 = 0 AS extra FROM events),
-fr AS (SELECT k.sample_id, count(DISTINCT taken) AS usable_dates, date_diff('day', min(taken), max(taken)) * 1.0::DOUBLE AS span_days, bool_or(extra) AS ex FROM (SELECT unnest([0, 1, 2, 3]) AS sample_id) k LEFT JOIN ob ON ob.sample_id = k.sample_id AND usable GROUP BY k.sample_id),
+fr AS (SELECT k.sample_id, count(DISTINCT taken) AS usable_dates, date_diff('day', min(taken), max(taken)) * 1.0::DOUBLE AS span_days, bool_or(extra) AS ex FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS sample_id) k LEFT JOIN ob ON ob.sample_id = k.sample_id AND usable GROUP BY k.sample_id),
 f2 AS (SELECT *, usable_dates >= 2 AND coalesce(span_days >= 14, false) AS assessable FROM fr)"""
 
 
 def _watched(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.read("events")
     ob = e.select((F.col("user_id") % 6).alias("sample_id"), F.to_date("ts").cast("timestamp").alias("taken"), (F.col("event_id") % 50 == 0).alias("usable"), (F.col("event_id") % 100 == 0).alias("extra_separation"))
-    return evaluation.visibility(ob, t.spark.createDataFrame([(k,) for k in range(4)], "sample_id long"))
+    return evaluation.visibility(ob, t.spark.createDataFrame([(k,) for k in range(6)], "sample_id long"))
 
 
 @query(f"WITH {WATCHED} SELECT CAST(sample_id AS BIGINT) AS sample_id, usable_dates, span_days, assessable, assessable AND coalesce(ex, false) AS supported FROM f2")
@@ -570,11 +576,11 @@ def w26_incidence(t: Tables) -> DataFrame:
 
 # --- plans -------------------------------------------------------------------------------------------------------
 
-FRAMES = "fb AS (SELECT o_orderkey AS id, o_custkey * 37 % 3000 * 100.0::DOUBLE AS w, o_orderkey * 61 % 3000 * 100.0::DOUBLE AS s, o_custkey * 37 % 3000 * 100.0::DOUBLE + 90 + o_orderkey % 9 * 10 AS e, o_orderkey * 61 % 3000 * 100.0::DOUBLE + 80 + o_custkey % 7 * 10 AS n FROM orders WHERE o_orderstatus = 'P')"
+FRAMES = "fb AS (SELECT o_orderkey AS id, o_custkey * 37 % 3000 * 100.0::DOUBLE AS w, o_orderkey * 61 % 3000 * 100.0::DOUBLE AS s, o_custkey * 37 % 3000 * 100.0::DOUBLE + 90 + o_orderkey % 9 * 10 AS e, o_orderkey * 61 % 3000 * 100.0::DOUBLE + 80 + o_custkey % 7 * 10 AS n FROM orders)"
 
 
 def _frames(t: Tables) -> DataFrame:
-    o = t.read("orders").where("o_orderstatus = 'P'")
+    o = t.read("orders")
     x, y = F.col("o_custkey") * 37 % 3000 * 100.0, F.col("o_orderkey") * 61 % 3000 * 100.0
     return o.select(F.col("o_orderkey").alias("id"), x.alias("w"), y.alias("s"), (x + 90 + F.col("o_orderkey") % 9 * 10).alias("e"), (y + 80 + F.col("o_custkey") % 7 * 10).alias("n"), (F.col("o_orderkey") % 3).alias("bin"))
 
@@ -682,17 +688,24 @@ def x13_cloud_agrees(t: Tables) -> DataFrame:
     return p.where(F.abs(F.col("meta") - F.col("seen")) <= 0.1).select(F.col("p_partkey").alias("k"))
 
 
-@query("SELECT o_orderkey AS k, list_filter(['pre_before_start', 'post_from_start', 'same_tile', 'available', 'box'], lambda x: (x = 'pre_before_start' AND o_orderkey % 4 = 0) OR (x = 'post_from_start' AND o_orderkey % 6 = 0) OR (x = 'same_tile' AND o_custkey % 5 = 0) OR (x = 'available' AND o_orderkey % 7 = 0) OR (x = 'box' AND o_custkey % 9 = 0))::VARCHAR AS broken FROM orders")
+BROKEN = {"pre_before_start": "o_orderkey % 4 = 0", "post_from_start": "o_orderkey % 6 = 0", "same_tile": "o_custkey % 5 = 0", "same_grid": "o_custkey % 4 = 1 OR o_orderkey % 11 = 0", "grid": "o_orderkey % 13 = 0",
+          "affine": "o_orderkey % 11 = 0", "available": "o_orderkey % 7 = 0", "box": "o_custkey % 9 = 0"}
+
+
+@query(f"SELECT o_orderkey AS k, list_filter({list(BROKEN)}, lambda x: {' OR '.join(f"(x = '{name}' AND ({rule}))" for name, rule in BROKEN.items())})::VARCHAR AS broken FROM orders")
 def p26_violations(t: Tables) -> DataFrame:
     from cinderlake.operators import joins
 
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     day = lambda cond, a, b: F.when(cond, F.lit(a)).otherwise(F.lit(b)).cast("date")
+    grid = lambda first, width: F.struct(F.lit("EPSG:32649").alias("crs"), F.array(first, *[F.lit(float(x)) for x in (0, 500000, 0, -20, 6800000)]).alias("transform"), width.alias("width"), F.lit(512).alias("height"))
+    wide = F.when(k % 13 == 0, 0).otherwise(512)
     pairs = t.read("orders").select(
         k.alias("k"), F.lit("2024-05-01").cast("date").alias("start_at"), day(k % 4 == 0, "2024-05-02", "2024-04-01").alias("pre_at"), day(k % 6 == 0, "2024-04-30", "2024-05-01").alias("post_at"),
         F.lit("T1").alias("tile"), F.when(c % 5 == 0, "T2").otherwise("T1").alias("pre_tile"), F.lit("2024-06-01").cast("date").alias("pre_available_at"), day(k % 7 == 0, "2024-04-01", "2024-06-01").alias("post_available_at"),
+        grid(F.when(k % 11 == 0, 0.0).otherwise(20.0), wide).alias("grid"), grid(F.when(c % 4 == 1, 10.0).otherwise(20.0), wide).alias("pre_grid"),
         F.lit(10.0).alias("w"), F.when(c % 9 == 0, 9.0).otherwise(11.0).alias("e"), F.lit(1.0).alias("s"), F.lit(2.0).alias("n"),
-    )
+    )
     return joins.violations(pairs).select("k", F.concat(F.lit("["), F.array_join("violations", ", "), F.lit("]")).alias("broken"))
 
 

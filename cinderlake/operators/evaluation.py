@@ -26,8 +26,9 @@ def iou(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def confusion(rows: DataFrame, by: list[str], classes: int, truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """Rows (by, truth, pred, n) over valid pixels, zeros included."""
-    counts = rows.where("valid").groupBy(*by, truth, pred).agg(F.count("*").alias("n"))
+    """Rows (by, truth, pred, n) over valid pixels, zeros included. A class out of range is an error."""
+    within = lambda c: F.when(F.col(c).between(0, classes - 1), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("class out of range: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("int"))
+    counts = rows.where("valid").withColumns({truth: within(truth), pred: within(pred)}).groupBy(*by, truth, pred).agg(F.count("*").alias("n"))
     grid = [F.struct(F.lit(t).alias(truth), F.lit(p).alias(pred)) for t in range(classes) for p in range(classes)]
     dense = rows.select(*by).distinct().withColumn("_g", F.explode(F.array(*grid))).select(*by, f"_g.{truth}", f"_g.{pred}")
     return dense.join(counts, [*by, truth, pred], "left").fillna(0, ["n"])
@@ -85,10 +86,15 @@ def paired_bootstrap(rows: DataFrame, first: str, second: str, group: str = "gro
     """IoU of `second` less that of `first`, with a 95 % interval over resampled groups, and a verdict.
 
     Groups are drawn with replacement; a draw's counts are the sums of its groups', and each draw is an aggregate of its
-    own, so no table of groups or draws is in one task."""
+    own, so no table of groups or draws is in one task. A draw without a pixel in either is an error, as is a negative count."""
     total = lambda model, c: F.sum(F.when(F.col("model") == model, F.col(c)).otherwise(0)).alias(f"{c}_{'ab'[model == second]}")
     own = rows.where(F.col("model").isin(first, second)).groupBy(group).agg(*[total(m, c) for m in (first, second) for c in ("tp", "fp", "fn")])
-    ratio = lambda k: ratio_or_zero(F.col(f"tp_{k}"), F.col(f"tp_{k}") + F.col(f"fp_{k}") + F.col(f"fn_{k}"))
+
+    def ratio(k: str) -> Column:
+        union = F.col(f"tp_{k}") + F.col(f"fp_{k}") + F.col(f"fn_{k}")
+        return F.when(union > 0, F.col(f"tp_{k}") / union).otherwise(F.raise_error(F.lit("IoU of an empty union")).cast("double"))
+
+    gated(rows, ~F.coalesce((F.col("tp") >= 0) & (F.col("fp") >= 0) & (F.col("fn") >= 0), F.lit(False)), "counts must be there and not negative")
     return resampled(own, group, [f"{c}_{k}" for k in "ab" for c in ("tp", "fp", "fn")], ratio("b") - ratio("a"), draws, kind)
 
 

@@ -114,13 +114,23 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: list[str], id_: str,
     return met.where("_n is not null").select(id_, F.col("_n.id").alias(other), F.col("_n.gap").alias("gap_us"))
 
 
-def violations(pairs: DataFrame) -> DataFrame:
-    """pairs with the names of the rules that each breaks: order of dates, tiles, grids, availability, boxes."""
+def violations(pairs: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """pairs with the names of the rules that each breaks: order of dates, tiles, grids, availability, boxes.
+
+    grid and pre_grid: crs, transform (six numbers), width, height. A pair lies on one grid, of some size and with a transform
+    that can be undone; inputs were available after they were taken and, where as_of is given, by then."""
+    grid, t = F.col("grid"), F.col("grid.transform")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    sized = (F.length("grid.crs") > 0) & (F.col("grid.width") > 0) & (F.col("grid.height") > 0) & (F.size(t) == 6) & F.forall(t, finite)
+    by_then = F.lit(True) if as_of is None else (F.col("pre_available_at") <= as_of) & (F.col("post_available_at") <= as_of)
     rules = {
         "pre_before_start": F.col("pre_at") < F.col("start_at"),
         "post_from_start": F.col("start_at") <= F.col("post_at"),
         "same_tile": F.col("tile") == F.col("pre_tile"),
-        "available": (F.col("pre_available_at") >= F.col("pre_at")) & (F.col("post_available_at") >= F.col("post_at")),
+        "same_grid": F.col("pre_grid") == grid,
+        "grid": sized,
+        "affine": F.get(t, F.lit(0)) * F.get(t, F.lit(4)) - F.get(t, F.lit(1)) * F.get(t, F.lit(3)) != 0,
+        "available": (F.col("pre_available_at") >= F.col("pre_at")) & (F.col("post_available_at") >= F.col("post_at")) & by_then,
         "box": F.col("w").between(-180, 180) & F.col("e").between(-180, 180) & F.col("s").between(-90, 90) & F.col("n").between(-90, 90) & (F.col("w") < F.col("e")) & (F.col("s") < F.col("n")),
     }
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
@@ -140,5 +150,6 @@ def same_population(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def clearest_twin(frames: DataFrame, scenes: DataFrame) -> DataFrame:
     """Each frame with the scene of its tile and day that has the least cloud."""
-    met = frames.join(scenes, ["tile", "day"])
-    return met.groupBy("frame_id").agg(F.min_by("scene_id", F.struct("cloud", "scene_id")).alias("scene_id"), F.min("cloud").alias("cloud"))
+    best = scenes.groupBy("tile", "day").agg(F.min(F.struct("cloud", "scene_id")).alias("s"))
+    met = frames.select("frame_id", "tile", "day").join(best, ["tile", "day"]).groupBy("frame_id").agg(F.min("s").alias("s"))
+    return met.select("frame_id", "s.scene_id", "s.cloud")

@@ -55,6 +55,29 @@ def with_distance(pixels: DataFrame, mask: str, out: str, pixel_m: float = 1.0,
     return raster._per_chip(pixels.drop(out), f"{out} double", run, by)
 
 
+def nearest_of(mask: np.ndarray) -> np.ndarray:
+    """For each pixel the number, in reading order, of the nearest one of the mask, the first of equally near ones.
+
+    Along columns first: the nearest of each column, above before below. Then by columns farther and farther away, until
+    none can be nearer. One number tells of the distance and, after it, of the order."""
+    h, w = mask.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -4 * (h + w)), axis=0)
+    below = np.minimum.accumulate(np.where(mask, rows, 5 * (h + w))[::-1], axis=0)[::-1]
+    row = np.where(rows - above <= below - rows, above, below)
+    gap = (rows - row) ** 2
+    place = row * w + np.arange(w)
+    none = ~mask.any(0)
+    best = np.full((h, w), np.iinfo(np.int64).max)
+    for d in range(w):
+        if d and d * d > best.max() // (h * w):
+            break
+        key = np.where(none, np.iinfo(np.int64).max, (gap + d * d) * (h * w) + place)
+        np.minimum(best[:, d:], key[:, : w - d], out=best[:, d:])
+        np.minimum(best[:, : w - d], key[:, d:], out=best[:, : w - d])
+    return best % (h * w)
+
+
 def nearest_valid(pixels: DataFrame, value: str, valid: str, out: str, by: str = "chip_id") -> DataFrame:
     """value, and on pixels that aren't valid that of the nearest valid one: of equally near ones the first in reading order.
 
@@ -62,15 +85,10 @@ def nearest_valid(pixels: DataFrame, value: str, valid: str, out: str, by: str =
 
     def run(chip: pd.DataFrame) -> dict:
         grid, fine = raster._grid(chip, value), raster._grid(chip, valid).astype(bool)
-        own = grid[chip.row, chip.col].copy()
+        own = grid[chip.row, chip.col]
         if fine.any():
-            far = np.flatnonzero(~fine[chip.row, chip.col])
-            at = np.argwhere(fine)
-            rows, cols = chip.row.to_numpy()[far], chip.col.to_numpy()[far]
-            for i in range(0, len(far), 512):
-                d = (rows[i : i + 512, None] - at[:, 0]) ** 2 + (cols[i : i + 512, None] - at[:, 1]) ** 2
-                near = at[d.argmin(1)]
-                own[far[i : i + 512]] = grid[near[:, 0], near[:, 1]]
+            near = nearest_of(fine)[chip.row, chip.col]
+            own = grid.ravel()[near]
         return {out: own}
 
     return raster._per_chip(pixels.drop(out), f"{out} {dict(pixels.dtypes)[value]}", run, by)

@@ -227,6 +227,8 @@ def distance_to(mask: np.ndarray) -> np.ndarray:
     column[:, ~mask.any(0)] = np.inf
     square = np.full((h, w), np.inf)
     for d in range(w):
+        if d * d > square.max():
+            break  # no column farther away is nearer
         shift = column[:, : w - d] ** 2 + d * d
         np.minimum(square[:, d:], shift, out=square[:, d:])
         np.minimum(square[:, : w - d], column[:, d:] ** 2 + d * d, out=square[:, : w - d])

@@ -19,7 +19,7 @@ def ranked(ids: DataFrame, salt: str, key: str) -> DataFrame:
 
 
 def split_by_fire(chips: DataFrame, share: float, salt: str, fire: str = "fire") -> DataFrame:
-    """chips with partition: the first max(1, round(n share)) fires by hash are 'val' (halves round to even)."""
+    """chips with partition: the first max(1, round(n share)) of them by hash are 'val' (halves round to even)."""
     groups = chips.select(fire).distinct()
     n = groups.agg(F.count("*").alias("_n"))
     cut = F.greatest(F.lit(1.0), F.rint(F.col("_n") * F.lit(share)))
