@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.functions import confidence, dates, geo, hashing, indices, probability
-from cinderlake.operators import boosting, evaluation, features, landcover, morphology, planning, points, raster, reports, selection
+from cinderlake.functions import confidence, dates, geo, hashing, indices, probability, projection
+from cinderlake.operators import boosting, evaluation, features, gate, landcover, morphology, planning, points, polygons, raster, reports, selection
 from cinderlake.plans.derived import Tables
 from cinderlake.queries import EVENTS, INTERVAL, ON, PX, VERDICT, B, D, N, S, drawn, focal, marked, query, rounded
 from cinderlake.sources import detections as exports
@@ -721,3 +721,90 @@ def o03_common_ids(t: Tables) -> DataFrame:
 def w07_salted_hash(t: Tables) -> DataFrame:
     h = hashing.salted("f", F.col("p_partkey"))
     return t.read("part").select(F.col("p_partkey").alias("k"), (F.length(h) == 64).alias("fine"), h.alias("h"))
+
+
+# --- polygons, projection and the gate -----------------------------------------------------------------------------
+
+#: A box without its upper right quarter.
+ELBOWS = "el AS (SELECT id, w, s, e, n, (w + e) / 2 AS mx, (s + n) / 2 AS my FROM b)"
+
+
+def _elbows(boxes: DataFrame) -> DataFrame:
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    w, s, e, n = (F.col(c).cast("double") for c in "wsen")
+    mx, my = (w + e) / 2, (s + n) / 2
+    return boxes.select("id", F.array(F.array(point(w, s), point(e, s), point(e, my), point(mx, my), point(mx, n), point(w, n))).alias("rings"))
+
+
+@query(f"WITH {B}, {ELBOWS} SELECT id, round((e - w) * (n - s) * 0.75::DOUBLE, 6) AS area FROM el")
+def j14_polygon_area(t: Tables) -> DataFrame:
+    return rounded(_elbows(t.boxes()).select("id", polygons.area(F.col("rings")).alias("area")), "area")
+
+
+@query(f"""WITH {B}, {ELBOWS}, sp AS (SELECT DISTINCT c_nationkey AS sample, (c_custkey * 7919 % 3000 + 0.37::DOUBLE) / 100 AS x, (c_custkey * 104729 % 3000 + 0.41::DOUBLE) / 100 AS y FROM customer),
+h AS (SELECT DISTINCT sample, el.id // 1000 AS event, x, y FROM sp JOIN el ON x >= w AND x < e AND y >= s AND y < n AND NOT (x >= mx AND y >= my)), al AS (SELECT sample, count(*) AS total FROM sp GROUP BY sample)
+SELECT sample, event, round(count(*) / any_value(total), 6) AS share FROM h JOIN al USING (sample) GROUP BY sample, event""")
+def j14_polygon_shares(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    spots = t.read("customer").select(F.col("c_nationkey").alias("sample"), ((k * 7919 % 3000 + 0.37) / 100).alias("x"), ((k * 104729 % 3000 + 0.41) / 100).alias("y"))
+    return rounded(polygons.covered_shares(spots, _elbows(t.boxes()).withColumn("event", F.floor(F.col("id") / 1000)).drop("id"), 2.0), "share")
+
+
+@query()
+def g04_polygon_clusters(t: Tables) -> DataFrame:
+    """Chains of polygons within two kilometres of each other."""
+    return polygons.polygon_clusters(_elbows(_frames(t)), 2000.0).select("id", "root")
+
+
+def _series(head: str, terms: list[float], outer: str, inner: str, sign: str = "+") -> str:
+    return head + "".join(f" {sign} ({c!r})::DOUBLE * {outer}({2 * j} * xi) * {inner}({2 * j} * eta)" for j, c in enumerate(terms, 1))
+
+
+METRIC = f"""pl AS (SELECT id, w AS lon, s AS lat, CAST(floor((w + 180) / 6) + 1 AS BIGINT) AS zone FROM b),
+p1 AS (SELECT *, sinh(atanh(sin(radians(lat))) - {projection._ECC!r}::DOUBLE * atanh({projection._ECC!r}::DOUBLE * sin(radians(lat)))) AS t, radians(lon - (zone * 6 - 183)) AS d FROM pl),
+p2 AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM p1),
+me AS (SELECT id, lon, lat, zone, 500000 + {projection.RADIUS!r}::DOUBLE * ({_series("eta", projection.terms(projection.ALPHA), "cos", "sinh")}) AS x, {projection.RADIUS!r}::DOUBLE * ({_series("xi", projection.terms(projection.ALPHA), "sin", "cosh")}) AS y FROM p2)"""
+
+
+@query(f"WITH {B}, {METRIC} SELECT id, zone, round(x, 3) AS x, round(y, 3) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat FROM me")
+def x16_projected(t: Tables) -> DataFrame:
+    """Corners in metres of their zone, and back again in degrees."""
+    b = t.boxes().select("id", F.col("w").alias("lon"), F.col("s").alias("lat"), planning.utm_zone(F.col("w")).alias("zone"))
+    there = b.withColumn("m", projection.to_metres(F.col("lon"), F.col("lat"), F.col("zone")))
+    back = there.withColumn("d", projection.to_degrees(F.col("m.x"), F.col("m.y"), F.col("zone")))
+    return rounded(rounded(back.select("id", "zone", "m.x", "m.y", "d.lon", "d.lat"), "x", "y", digits=3), "lon", "lat", digits=9)
+
+
+@query(f"WITH {B}, {METRIC} SELECT id, floor((x - 7680) / 30) * 30 AS west, ceil((y + 7680) / 30) * 30 AS north FROM me")
+def x16_frames_in_metres(t: Tables) -> DataFrame:
+    """Frames of 512 x 512 pixels of 30 m around corners, on their zone's grid."""
+    b = t.boxes().select("id", F.col("w").alias("lon"), F.col("s").alias("lat"), planning.utm_zone(F.col("w")).alias("zone"))
+    f = b.withColumn("m", projection.to_metres(F.col("lon"), F.col("lat"), F.col("zone"))).withColumn("f", planning.snapped_frame(F.col("m.x"), F.col("m.y")))
+    return f.select("id", F.col("f.w").cast("double").alias("west"), F.col("f.n").cast("double").alias("north"))
+
+
+H = "(-(least(greatest({0}, 1e-6), 1 - 1e-6) * ln(least(greatest({0}, 1e-6), 1 - 1e-6)) + (1 - least(greatest({0}, 1e-6), 1 - 1e-6)) * ln(1 - least(greatest({0}, 1e-6), 1 - 1e-6))))"
+
+
+@query(f"""WITH {PX}, g AS (SELECT chip_id, valid, least(greatest(a - 0.5::DOUBLE, 0), 1) AS p, least(greatest(b - 0.5::DOUBLE, 0), 1) AS q, least(greatest(u - 0.5::DOUBLE, 0), 1) AS m FROM px),
+k AS (SELECT *, abs(p - q) AS d, p > 0.5 OR q > 0.5 AS hit, {H.format("((p + q + m) / 3)")} - ({H.format("p")} + {H.format("q")} + {H.format("m")}) / 3 AS mi FROM g)
+SELECT chip_id, round(coalesce(avg(d) FILTER (valid), 0), 6) AS mean_gap, round(coalesce(avg((d > 0.3::DOUBLE)::INT) FILTER (valid), 0), 6) AS high_share, round(coalesce(quantile_cont(d, 0.95) FILTER (valid), 0), 6) AS gap_95,
+  round(count(*) FILTER (d > 0.3::DOUBLE AND hit) / greatest(count(*) FILTER (d > 0.3::DOUBLE), 1), 6) AS high_marked, round(coalesce(avg(mi) FILTER (valid), 0), 6) AS information, round(coalesce(avg(mi) FILTER (hit), 0), 6) AS information_marked FROM k GROUP BY chip_id""")
+def x15_disagreement(t: Tables) -> DataFrame:
+    share = lambda c: F.least(F.greatest(F.col(c) - 0.5, F.lit(0.0)), F.lit(1.0))
+    px = t.pixels().withColumns({"p": share("a"), "q": share("b"), "m": share("u")}).withColumn("hit", (F.col("p") > 0.5) | (F.col("q") > 0.5))
+    names = ("mean_gap", "high_share", "gap_95", "high_marked", "information", "information_marked")
+    return rounded(gate.disagreement(px, "p", "q", ["p", "q", "m"], "hit"), *names)
+
+
+@query()
+def x15_novelty(t: Tables) -> DataFrame:
+    """How far each tile's bands lie from those of all tiles, by their covariance."""
+    v = staged(gate.summaries(t.pixels(), ["a", "b", "u", "v"], by="tile", least=20), "summaries")
+    return rounded(gate.novelty(v, v), "novelty").select("tile", "novelty")
+
+
+@query(f"WITH {PX}, tl AS (SELECT tile, count(*) FILTER (valid) >= 20 AS enough FROM px GROUP BY tile) SELECT tile, round(quantile_cont(a, 0.5), 6) AS median_a, round(quantile_cont(u, 0.9) - quantile_cont(u, 0.1), 6) AS span_u FROM px JOIN tl USING (tile) WHERE valid OR NOT enough GROUP BY tile")
+def x15_summaries(t: Tables) -> DataFrame:
+    v = gate.summaries(t.pixels(), ["a", "u"], by="tile", least=20)
+    return rounded(v.select("tile", F.get("v", F.lit(0)).alias("median_a"), F.get("v", F.lit(3)).alias("span_u")), "median_a", "span_u")
