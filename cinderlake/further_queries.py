@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from cinderlake.operators import boosting, evaluation, features, gate, landcover
 from cinderlake.plans.derived import Tables
 from cinderlake.queries import EVENTS, INTERVAL, ON, PX, VERDICT, B, D, N, S, drawn, focal, marked, query, rounded
 from cinderlake.sources import detections as exports
-from cinderlake.sources import store, tables
-from cinderlake.staging import staged
+from cinderlake.sources import store, tables, tiff
+from cinderlake.staging import shared_folder, staged
 
 # --- detections and land cover -----------------------------------------------------------------------------------
 
@@ -808,3 +810,26 @@ def x15_novelty(t: Tables) -> DataFrame:
 def x15_summaries(t: Tables) -> DataFrame:
     v = gate.summaries(t.pixels(), ["a", "u"], by="tile", least=20)
     return rounded(v.select("tile", F.get("v", F.lit(0)).alias("median_a"), F.get("v", F.lit(3)).alias("span_u")), "median_a", "span_u")
+
+
+# --- rasters in files ----------------------------------------------------------------------------------------------
+
+
+def _rasters(t: Tables, **options: str) -> DataFrame:
+    """The pixel table's chips written as files of two bands, and read again."""
+    folder = f"{shared_folder(t.spark)}/chips-{uuid.uuid4().hex}"
+    tiff.write(t.pixels(), ["a", "b"], folder, kind="<f8").agg(F.sum("bytes")).first()
+    t.spark.dataSource.register(tiff.TiffSource)
+    read = t.spark.read.format("tiff").options(**options).load(folder)
+    return read.select(tiff.chip_of("path").cast("long").alias("chip_id"), "row", "col", F.round("b1", 6).alias("a"), F.round("b2", 6).alias("b"))
+
+
+@query(f"WITH {PX} SELECT chip_id, r AS row, c AS col, round(a, 6) AS a, round(b, 6) AS b FROM px")
+def s20_chip_files(t: Tables) -> DataFrame:
+    return _rasters(t)
+
+
+@query(f"WITH {PX} SELECT chip_id, r AS row, c AS col, round(a, 6) AS a, round(b, 6) AS b FROM px WHERE r BETWEEN 10 AND 41 AND c BETWEEN 20 AND 29")
+def s23_raster_windows(t: Tables) -> DataFrame:
+    """A window of each raster, from the strips that it touches."""
+    return _rasters(t, window="10,20,32,10")
