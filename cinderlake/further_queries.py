@@ -821,7 +821,7 @@ def _rasters(t: Tables, **options: str) -> DataFrame:
     tiff.write(t.pixels(), ["a", "b"], folder, kind="<f8").agg(F.sum("bytes")).first()
     t.spark.dataSource.register(tiff.TiffSource)
     read = t.spark.read.format("tiff").options(**options).load(folder)
-    return read.select(tiff.chip_of("path").cast("long").alias("chip_id"), "row", "col", F.round("b1", 6).alias("a"), F.round("b2", 6).alias("b"))
+    return read.select(tiff.chip_of("path").cast("long").alias("chip_id"), "row", "col", F.round("b1", 6).alias("a"), F.round("b2", 6).alias("b")).where("a is not null")  # a chip may lack pixels
 
 
 @query(f"WITH {PX} SELECT chip_id, r AS row, c AS col, round(a, 6) AS a, round(b, 6) AS b FROM px")

@@ -279,10 +279,10 @@ def encoded(x: np.ndarray, strip_rows: int = 16, deflate: bool = True, place: tu
 
 def write(pixels: DataFrame, bands: Sequence[str], folder: str, by: str = "chip_id", kind: str = "<f4", strip_rows: int = 16, deflate: bool = True) -> DataFrame:
     """Write a file for each chip (row, col from 0, and bands) below the folder, named by the chip. Gives rows (by, path, bytes)
-    as it is read, once. A chip is of bounded size; pixels that it lacks are 0."""
+    as it is read, once. A chip is of bounded size; pixels that it lacks are not a number, or 0 in samples of whole numbers."""
 
     def run(chip: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((int(chip.row.max()) + 1, int(chip.col.max()) + 1, len(bands)), kind)
+        x = np.full((int(chip.row.max()) + 1, int(chip.col.max()) + 1, len(bands)), np.nan if np.dtype(kind).kind == "f" else 0, kind)
         x[chip.row, chip.col] = chip[list(bands)].to_numpy()
         data = encoded(x, strip_rows, deflate)
         key = chip[by].iloc[0]
