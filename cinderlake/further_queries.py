@@ -812,6 +812,24 @@ def x15_summaries(t: Tables) -> DataFrame:
     return rounded(v.select("tile", F.get("v", F.lit(0)).alias("median_a"), F.get("v", F.lit(3)).alias("span_u")), "median_a", "span_u")
 
 
+# --- components ------------------------------------------------------------------------------------------------------
+
+
+@query()
+def x06_far_grid(t: Tables) -> DataFrame:
+    """Scores of all choices of distances and probabilities beyond which components go."""
+    px = t.pixels().withColumns({"cls": F.when(F.col("severity") > 2, F.col("severity") - 1).otherwise(0), "true_cls": F.least("truth", F.lit(3)), "p": _p("a")})
+    found = morphology.far_grid(px, "cls", "true_cls", "p", [6.0, 12.0, 1e9], [2.0, 4.0, 8.0], [0.6, 0.7, 0.8])
+    return rounded(found, "burn_iou", "severity_miou", "weighted")
+
+
+@query()
+def w23_object_rings(t: Tables) -> DataFrame:
+    """Contrast and texture of each component in two bands, within five pixels."""
+    found = morphology.object_rings(t.pixels().withColumn("m", F.col("severity") > 2), "m", ["a", "u"])
+    return rounded(found, "a_contrast", "u_contrast", "a_texture", "u_texture")
+
+
 # --- rasters in files ----------------------------------------------------------------------------------------------
 
 

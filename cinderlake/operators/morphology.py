@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.operators import raster
+from cinderlake.operators.evaluation import burn_score
 
 
 def _square(pixels: DataFrame, value: Column, reach: int, out: str, take, by: str) -> DataFrame:
@@ -125,6 +126,60 @@ def component_table(pixels: DataFrame, mask: str, probability: str, by: str = "c
     return far.join(mean, [by, "component"])
 
 
+def far_grid(pixels: DataFrame, class_column: str, truth: str, probability: str, hard: list[float], soft: list[float], least: list[float], classes: int = 4, by: str = "chip_id") -> DataFrame:
+    """Rows (hard, soft, tau, burn_iou, severity_miou, weighted): the score over valid pixels for each choice of thresholds.
+
+    A component other than its chip's main one goes if it is farther away than `hard`, or farther than `soft` with a mean
+    probability below tau. Components are looked at once: their pixels are summed up by where distance and probability lie
+    between thresholds, and every choice is a sum over these few cells, whose number the thresholds bound."""
+    cuts = sorted({*hard, *soft})
+    marked = raster.mask_components(pixels.withColumn("_m", F.col(class_column) > 0), "_m", by=by)
+    table = component_table(pixels.withColumn("_m", F.col(class_column) > 0), "_m", probability, by).select(by, "component", "main", "distance", "mean_probability")
+    rows = marked.join(table, [by, "component"], "left").where("valid")
+    count = lambda values, test: sum((F.when(test(F.lit(float(v))), 1).otherwise(0) for v in values), F.lit(0))
+    fixed = F.coalesce(F.col("main"), F.lit(True))
+    # how many cuts the distance exceeds, and how many probabilities are reached
+    cells = rows.select(fixed.alias("_fixed"), count(cuts, lambda v: F.col("distance") > v).alias("_beyond"), count(sorted(least), lambda v: F.col("mean_probability") >= v).alias("_reached"), F.col(truth).alias("truth"), F.col(class_column).alias("_class"))
+    cells = cells.groupBy(*cells.columns).agg(F.count("*").alias("n"))
+    choices = [(float(h), float(s), float(t), cuts.index(h), cuts.index(s), sorted(least).index(t)) for h in hard for s in soft for t in least]
+    # as many rows as there are choices, with cells that the thresholds bound
+    grid = pixels.sparkSession.createDataFrame(choices, "hard double, soft double, tau double, _h int, _s int, _t int")
+    kept = F.col("_fixed") | (F.col("_beyond") <= F.col("_h")) & ((F.col("_beyond") <= F.col("_s")) | (F.col("_reached") > F.col("_t")))
+    met = cells.join(F.broadcast(grid), F.lit(True)).withColumn("pred", F.when(kept, F.col("_class")).otherwise(0))
+    key = ["hard", "soft", "tau"]
+    every = [F.struct(F.lit(t).alias("truth"), F.lit(p).alias("pred"), F.lit(0).cast("long").alias("n")) for t in range(classes) for p in range(classes)]
+    dense = grid.select(*key, F.inline(F.array(*every))).unionByName(met.select(*key, "truth", "pred", "n"))
+    return burn_score(dense.groupBy(*key, "truth", "pred").agg(F.sum("n").alias("n")), key)
+
+
+def object_rings(pixels: DataFrame, mask: str, bands: list[str], reach: float = 5.0, by: str = "chip_id") -> DataFrame:
+    """Rows (by, component, px, ring_px and, for each band, <band>_contrast and <band>_texture).
+
+    A component's own ring is the pixels outside of the mask that are nearest to it (of equally near ones, to the pixel that
+    is first in reading order) and no farther away than `reach`, so rings of neighbours share no pixel. The contrast is the
+    mean inside less the ring's, null for a component without a ring; the texture is the deviation inside."""
+
+    def run(chip: pd.DataFrame) -> dict:
+        own = raster._grid(chip, mask).astype(bool)
+        number = raster.labelled(own)
+        if own.any():
+            at = nearest_of(own)
+            row, col = np.divmod(at, own.shape[1])
+            far = (np.arange(own.shape[0])[:, None] - row) ** 2 + (np.arange(own.shape[1]) - col) ** 2
+            near = np.where(far <= reach * reach, number.ravel()[at], 0)
+        else:
+            near = number
+        return {"component": near[chip.row, chip.col], "_inside": own[chip.row, chip.col]}
+
+    told = raster._per_chip(pixels.select(by, "row", "col", mask, *bands), "component int, _inside boolean", run, by).where("component > 0")
+    inside = F.col("_inside")
+    mean = lambda b, where: F.avg(F.when(where, F.col(b)))
+    return told.groupBy(by, "component").agg(
+        F.count_if(inside).alias("px"), F.count_if(~inside).alias("ring_px"), *[(mean(b, inside) - mean(b, ~inside)).alias(f"{b}_contrast") for b in bands],
+        *[F.stddev_pop(F.when(inside, F.col(b))).alias(f"{b}_texture") for b in bands],
+    )
+
+
 # fixed values: unequal rings around a chip's centre, in pixels
 RADII = (0, 64, 128, 192, 256, 400)
 
