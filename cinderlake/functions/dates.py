@@ -44,3 +44,14 @@ def season_check(fire_end: Column, band: Column, wait_days: int = 5) -> Column:
     year = F.year(earliest) + F.when(md > band["end"], 1).otherwise(0)
     start = F.make_date(year, (band["start"] / 100).cast("int"), F.pmod(band["start"], F.lit(100)))
     return F.struct(ok.alias("ok"), earliest.alias("earliest"), F.when(~ok, start).alias("next_start"))
+
+
+# fixed values: first and last years that each burned-area product covers
+COVERED_YEARS = {"FireCCI51": (2001, 2020), "FireCCIS311": (2019, 2024), "FireCCILT11": (1982, 2018)}
+
+
+def product_covers(at: Column, product: str) -> Column:
+    """Whether the product covers the date's year; an unknown product is an error."""
+    if product not in COVERED_YEARS:
+        raise ValueError(f"unknown product: {product}")
+    return F.year(at).between(*COVERED_YEARS[product])

@@ -221,8 +221,11 @@ def retention(original: DataFrame, survivors: DataFrame, accepted: float = 0.7)
     return joined.agg(F.count("*").alias("events"), F.count("s").alias("kept")).withColumn("bound", ratio_or_zero(F.col("kept"), F.col("events"))).withColumn("accepted", F.col("bound") >= accepted)
 
 
-def attribute(rows: DataFrame) -> DataFrame:
-    """Counts by raw code, truth and prediction, with each code's share of all errors."""
+def attribute(rows: DataFrame, classes: int = 4) -> DataFrame:
+    """Counts by raw code, truth and prediction, with each code's share of all errors. Codes are whole numbers from 0 on and
+    predictions the classes from 0 on, so that the counts by code add up to those of all; anything else is an error."""
+    fine = (F.col("raw") >= 0) & (F.col("raw") == F.floor("raw")) & F.col("pred").isin(*range(classes))
+    gated(rows, ~F.coalesce(fine, F.lit(False)), "invalid raw code or prediction")
     counts = rows.groupBy("raw", "truth", "pred").agg(F.count("*").alias("n"))
     wrong = F.when(F.col("truth") != F.col("pred"), F.col("n")).otherwise(0)
     w = Window.partitionBy("raw")

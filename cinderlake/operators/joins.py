@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.functions.dates import doy_gap
+from cinderlake.operators.numbering import filled
 
 
 def select_pairs(scenes: DataFrame, fire_start: Column, fire_end: Column, gap_days: int = 30, probed: int = 8, least_valid: float = 0.8) -> DataFrame:
@@ -93,8 +94,8 @@ def first_after(left: DataFrame, right: DataFrame, key: list[str], at: str, take
     l_rows = left.withColumn("_t", F.col(at)).withColumn("_r", F.lit(None).cast(right.schema[taken].dataType))
     r_rows = right.select(*key, F.col(taken).alias("_t"), F.col(taken).alias("_r"))
     both = l_rows.withColumn("_left", F.lit(1)).unionByName(r_rows.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_t", F.desc("_left")).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("next", F.first("_r", ignorenulls=True).over(w)).where("_left = 1").drop("_t", "_r", "_left")
+    # from the end on, so that what follows a row comes before it
+    return filled(both, key, [F.desc("_t"), F.col("_left")], "_r", "next").where("_left = 1").drop("_t", "_r", "_left")
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, key: list[str], id_: str, at: str, other: str, other_at: str) -> DataFrame:
@@ -106,11 +107,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: list[str], id_: str,
     right_rows = per_time.withColumn("_r", F.struct("_t", "_id")).drop("_id")
     left_rows = left.select(*key, id_, F.col(at).alias("_t"))
     both = left_rows.withColumn("_left", F.lit(1)).unionByName(right_rows.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*key)
-    before = F.last("_r", ignorenulls=True).over(w.orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_t"), "_left").rowsBetween(Window.unboundedPreceding, 0))
     gap = lambda r: F.when(r.isNotNull(), F.struct(F.abs(F.unix_micros(r["_t"]) - F.unix_micros("_t")).alias("gap"), r["_id"].alias("id")))
-    met = both.withColumns({"_b": before, "_a": after}).where("_left = 1").withColumn("_n", F.least(gap(F.col("_b")), gap(F.col("_a"))))
+    met = filled(filled(both, key, [F.col("_t"), F.col("_left")], "_r", "_b"), key, [F.desc("_t"), F.col("_left")], "_r", "_a").where("_left = 1").withColumn("_n", F.least(gap(F.col("_b")), gap(F.col("_a"))))
     return met.where("_n is not null").select(id_, F.col("_n.id").alias(other), F.col("_n.gap").alias("gap_us"))
 
 

@@ -235,8 +235,10 @@ def distance_to(mask: np.ndarray) -> np.ndarray:
     return np.sqrt(square)
 
 
-def component_distances(pixels: DataFrame, mask: str, by: str = "chip_id") -> DataFrame:
-    """Per component: pixels, whether it is the main one (the largest, first on ties), distance to the main one."""
+def component_distances(pixels: DataFrame, mask: str, by: str = "chip_id", anchor: str | None = None) -> DataFrame:
+    """Per component: pixels, whether it is the main one (the largest, first on ties), distance to the main one.
+
+    With an anchor, a mask of its own, the main one is that with most of its pixels, if any has one."""
     schema = f"{by} long, component int, px long, main boolean, distance double"
 
     def run(chip: pd.DataFrame) -> pd.DataFrame:
@@ -244,18 +246,19 @@ def component_distances(pixels: DataFrame, mask: str, by: str = "chip_id") -> Da
         size = np.bincount(number.ravel())[1:]
         if not len(size):
             return pd.DataFrame({by: [], "component": [], "px": [], "main": [], "distance": []})
-        main = int(size.argmax()) + 1
+        held = np.bincount(number[_grid(chip, anchor).astype(bool)], minlength=len(size) + 1)[1:] if anchor else size
+        main = int((held if held.any() else size).argmax()) + 1
         far = distance_to(number == main)
         far = np.array([far[number == k].min() for k in range(1, len(size) + 1)])
         ids = np.arange(1, len(size) + 1)
         return pd.DataFrame({by: chip[by].iloc[0], "component": ids, "px": size, "main": ids == main, "distance": far})
 
-    return pixels.select(by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), mask).groupBy(by).applyInPandas(run, schema)
+    return pixels.select(by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *dict.fromkeys([mask, anchor or mask])).groupBy(by).applyInPandas(run, schema)
 
 
-def drop_far(pixels: DataFrame, mask: str, most_px: float = 125.0, by: str = "chip_id") -> DataFrame:
-    """pixels whose mask keeps the main component and those near it."""
-    near = component_distances(pixels, mask, by).where(F.col("distance") <= most_px).select(by, "component", F.lit(True).alias("_near"))
+def drop_far(pixels: DataFrame, mask: str, most_px: float = 125.0, by: str = "chip_id", anchor: str | None = None) -> DataFrame:
+    """pixels whose mask keeps the main component (with an anchor, that which holds most of it) and those near it."""
+    near = component_distances(pixels, mask, by, anchor).where(F.col("distance") <= most_px).select(by, "component", F.lit(True).alias("_near"))
     marked = mask_components(pixels, mask, by=by).join(near, [by, "component"], "left")
     return marked.withColumn(mask, F.col(mask) & F.coalesce("_near", F.lit(False))).drop("_near", "component", "component_px")
 

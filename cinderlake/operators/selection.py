@@ -69,6 +69,18 @@ def hard_background(rows: DataFrame, score: str, key: str, share: float = 0.25)
     return numbered(rows, F.desc(score), key, out="_k").crossJoin(F.broadcast(n)).withColumn("weight", F.when(F.col("_k") <= F.ceil(F.col("_n") * share), 2).otherwise(1)).drop("_k", "_n")  # one row
 
 
+def half_hard(rows: DataFrame, by: str, score: str, key: str, budget: int, salt: str) -> DataFrame:
+    """Groups of at most `budget` rows whole; of others, the half (rounded down) of largest scores and the rest by hash.
+
+    Of equal scores, and of equal hashes, the smaller keys come first."""
+    n = F.count("*").over(Window.partitionBy(by))
+    hard = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key)) <= budget // 2
+    marked = rows.withColumns({"_n": n, "_hard": hard, "_h": salted(salt, F.col(key))})
+    turn = F.row_number().over(Window.partitionBy(by, "_hard").orderBy("_h", key))
+    kept = (F.col("_n") <= budget) | F.col("_hard") | (F.col("_turn") <= budget - budget // 2)
+    return marked.withColumn("_turn", turn).where(kept).drop("_n", "_hard", "_h", "_turn")
+
+
 def per_class(rows: DataFrame, by: str, class_: str, key: str, most: int, salt: str) -> DataFrame:
     """At most so many rows of each class in each group, by hash."""
     w = Window.partitionBy(by, class_).orderBy(salted(salt, F.col(key)), key)

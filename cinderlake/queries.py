@@ -500,7 +500,7 @@ def a34_spectral_summary(t: Tables) -> DataFrame:
 
 @query(f"WITH {PX}, c AS (SELECT label AS raw, truth, pred, count(*) AS n FROM px GROUP BY ALL), e AS (SELECT *, CAST(sum(CASE WHEN truth <> pred THEN n ELSE 0 END) OVER (PARTITION BY raw) AS BIGINT) AS raw_errors FROM c) SELECT *, round(raw_errors / (SELECT sum(n) FROM c WHERE truth <> pred), 6) AS share FROM e")
 def a35_attribute(t: Tables) -> DataFrame:
-    return rounded(evaluation.attribute(t.pixels().withColumnRenamed("label", "raw")), "share")
+    return rounded(evaluation.attribute(t.pixels().withColumnRenamed("label", "raw"), classes=5), "share")
 
 
 @query("SELECT count(DISTINCT o_custkey) AS events, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') AS kept, round(count(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') / count(DISTINCT o_custkey), 6) AS bound, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') / count(DISTINCT o_custkey) >= 0.7 AS accepted FROM orders")

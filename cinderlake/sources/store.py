@@ -7,7 +7,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.operators.points import KEY, event_id, first_of_key
@@ -67,6 +67,15 @@ def between(stored: DataFrame, start, end, sensor: str | None = None) -> DataFra
     return (rows if sensor is None else rows.where(F.col("sensor") == sensor)).orderBy("acquired_at", "ordinal")
 
 
+def observed(journal: DataFrame, detections: DataFrame, source: str, start: Column, end: Column) -> DataFrame:
+    """One row (observed, observations, detections, failures): polls of a source whose windows meet a span, and the source's
+    detections in it. Overlapping polls see a detection more than once, so it is counted in the detections' own table."""
+    looks = journal.where((F.col("source") == source) & (F.col("window_start") <= end) & (F.col("window_end") >= start))
+    polls = looks.agg((F.count_if(F.col("status") == "ok") > 0).alias("observed"), F.count_if(F.col("status") == "ok").alias("observations"), F.count_if(F.col("status") != "ok").alias("failures"))
+    seen = once(detections.where((F.col("sensor") == source) & F.col("acquired_at").between(start, end))).agg(F.count("*").alias("detections"))
+    return polls.crossJoin(seen).select("observed", "observations", "detections", "failures")  # one row each
+
+
 def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, allow_nan=False, separators=(",", ":")).encode()).hexdigest()[:16]
 
