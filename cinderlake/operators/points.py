@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cinderlake.functions import geo
 from cinderlake.operators.graph import components
-from cinderlake.staging import staged
+from cinderlake.staging import discard, staged
 
 
 @dataclass(frozen=True)
@@ -172,71 +173,131 @@ def _leaders(radius_m: float):
     radius, or opens a cluster in its own cell. Clusters are found by the cell that they were opened in, in three
     runs of cells (codes that follow each other). What is held is the clusters of one block.
 
-    Rows come sorted by block, time and ordinal, in batches that may cut a block."""
+    Rows come sorted by block, with the clusters that it has so far (n > 0, sums of latitude and longitude) before its
+    detections (n = 0), in batches that may cut a block. Out come the detections with their clusters, and after each block
+    its clusters."""
     step = radius_m / geo.METRES
 
     def code(row: np.ndarray, lon: np.ndarray) -> np.ndarray:
         width = step / np.maximum(np.cos(np.radians(row * step)), 1e-6)
         return row * _ROW + np.floor(lon / width).astype(np.int64)
 
+    class Block:
+        def __init__(self) -> None:
+            self.cells: list[int] = []  # of open clusters, in order, and beside them the clusters
+            self.opened: list[int] = []
+            self.centre = np.zeros((16, 3))  # sums of latitude and longitude, and their number
+            self.leader: list[int] = []
+            self.since: list[int] = []
+
+        def open(self, ordinal: int, cell: int, since: int) -> int:
+            new = len(self.leader)
+            self.leader.append(ordinal)
+            self.since.append(since)
+            at = bisect_right(self.cells, cell)
+            self.cells.insert(at, cell)
+            self.opened.insert(at, new)
+            if new == len(self.centre):
+                self.centre = np.concatenate([self.centre, np.zeros_like(self.centre)])
+            return new
+
+        def state(self) -> pd.DataFrame:
+            own = np.empty(len(self.leader), np.int64)
+            own[self.opened] = self.cells
+            c = self.centre[: len(self.leader)]
+            return pd.DataFrame({"ordinal": self.leader, "cluster": self.leader, "u": own, "latitude": c[:, 0], "longitude": c[:, 1], "n": c[:, 2].astype(np.int64), "us": self.since})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = None
+        block, held = None, Block()
         for rows in batches:
-            lat, lon, ordinal = rows.latitude.to_numpy(), rows.longitude.to_numpy(), rows.ordinal.to_numpy()
+            lat, lon, ordinal, us = rows.latitude.to_numpy(), rows.longitude.to_numpy(), rows.ordinal.to_numpy(), rows.us.to_numpy()
             row = np.floor(lat / step).astype(np.int64)
             codes = np.stack([code(row + k, lon) for k in (-1, 0, 1)], 1)
+            many, own = rows.n.to_numpy(), rows.u.to_numpy()
             out = np.empty(len(rows), np.int64)
             for i, b in enumerate(rows.block):
                 if b != block:
-                    block = b
-                    cells: list[int] = []  # of open clusters, in order, and beside them the clusters
-                    opened: list[int] = []
-                    centre = np.zeros((16, 3))  # sums of latitude and longitude, and their number
-                    leader: list[int] = []
+                    if held.leader:
+                        yield held.state()
+                    block, held = b, Block()
+                if many[i]:
+                    new = held.open(int(ordinal[i]), int(own[i]), int(us[i]))
+                    held.centre[new] = (lat[i], lon[i], many[i])
+                    continue
                 found = []
                 for c in codes[i].tolist():
-                    found += opened[bisect_left(cells, c - 1) : bisect_right(cells, c + 1)]
+                    found += held.opened[bisect_left(held.cells, c - 1) : bisect_right(held.cells, c + 1)]
                 best = -1
                 if found:
-                    own = centre[found]
-                    y, x = own[:, 0] / own[:, 2], own[:, 1] / own[:, 2]
+                    mine = held.centre[found]
+                    y, x = mine[:, 0] / mine[:, 2], mine[:, 1] / mine[:, 2]
                     far = np.hypot((x - lon[i]) * geo.METRES * np.cos(np.radians((y + lat[i]) / 2)), (y - lat[i]) * geo.METRES)
                     last = len(far) - 1 - int(far[::-1].argmin())  # of equal ones the later
                     best = found[last] if far[last] <= radius_m else -1
                 if best < 0:
-                    best = len(leader)
-                    leader.append(ordinal[i])
-                    at = bisect_right(cells, codes[i, 1])
-                    cells.insert(at, int(codes[i, 1]))
-                    opened.insert(at, best)
-                    if best == len(centre):
-                        centre = np.concatenate([centre, np.zeros_like(centre)])
-                centre[best] += (lat[i], lon[i], 1)
-                out[i] = leader[best]
-            yield pd.DataFrame({"ordinal": ordinal, "cluster": out})
+                    best = held.open(int(ordinal[i]), int(codes[i, 1]), int(us[i]))
+                held.centre[best] += (lat[i], lon[i], 1)
+                out[i] = held.leader[best]
+            fresh = many == 0
+            yield pd.DataFrame({"ordinal": ordinal[fresh], "cluster": out[fresh], "u": 0, "latitude": 0.0, "longitude": 0.0, "n": 0, "us": 0})
+        if held.leader:
+            yield held.state()
 
     return run
 
 
 #: Cells are told by one number: rows apart by more than any row has columns.
 _ROW = 1 << 32
+#: Detections of a slab of time, about.
+SLAB = 2_000_000
+_CLUSTERS = "ordinal long, u long, latitude double, longitude double, n long, us long"
 
 
-def source_clusters(detections: DataFrame, radius_m: float = 500.0) -> DataFrame:
+def source_clusters(detections: DataFrame, radius_m: float = 500.0, slab: int = SLAB) -> DataFrame:
     """detections with cluster, the ordinal of the detection that opened its cluster.
 
-    The pass depends on order, but a detection sees only the cells around it, so blocks of touching cells are
-    clustered apart from each other, in parallel. A block is one task's work, in time by its detections; a task holds a
-    block's clusters, not its detections."""
+    The pass depends on order: it goes through slabs of time, about `slab` detections each, one after another, and hands over
+    the clusters' sums. Within a slab, a detection sees only the clusters of the cells around it, so blocks of cells that
+    the slab's detections join (through a cell that both see, if it is in use) are clustered apart from each other, in
+    parallel. A task holds a block's clusters, and works through one slab of it, however long the block burns. Slabs change
+    nothing in the result."""
     code = lambda r, c: F.col(r) * F.lit(_ROW) + F.col(c)
-    points = staged(geo.with_cell(detections.select("ordinal", "latitude", "longitude", "acquired_at"), radius_m).withColumn("u", code("cell_row", "cell_col")), "cells")
-    around = points.select("u", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), radius_m)).alias("n"))
-    around = around.select("u", code("n.cell_row", "n.cell_col").alias("v")).where("u != v").distinct()
-    edges = around.join(points.select(F.col("u").alias("v")).distinct(), "v")
-    roots = components(edges)
-    keyed = points.join(roots.hint("merge"), "u", "left").select(F.coalesce("root", "u").alias("block"), "ordinal", "latitude", "longitude", "acquired_at")
-    found = keyed.repartition("block").sortWithinPartitions("block", "acquired_at", "ordinal").mapInPandas(_leaders(radius_m), "ordinal long, cluster long")
-    return detections.join(found, "ordinal")
+    us = F.unix_micros("acquired_at").alias("us")
+    points = geo.with_cell(detections.select("ordinal", "latitude", "longitude", us), radius_m).select("ordinal", "latitude", "longitude", "us", code("cell_row", "cell_col").alias("u"))
+    points = staged(points, "cells")
+    slabs = max(1, -(-points.count() // slab))
+    shares = [k / slabs for k in range(1, slabs)]
+    # equal times lie in one slab
+    cuts = sorted(set(points.agg(F.percentile_approx("us", shares).alias("q")).first().q or [])) if shares else []
+    spark = detections.sparkSession
+    clusters = staged(spark.createDataFrame([], _CLUSTERS), "clusters")
+    found: list[DataFrame] = []
+    for k in range(len(cuts) + 1):
+        now = points
+        if k:
+            now = now.where(F.col("us") > cuts[k - 1])
+        if k < len(cuts):
+            now = now.where(F.col("us") <= cuts[k])
+        around = now.select("u", F.explode(geo.neighbour_cells(F.col("latitude"), F.col("longitude"), radius_m)).alias("n"))
+        around = around.select("u", code("n.cell_row", "n.cell_col").alias("v")).where("u != v").distinct()
+        used = now.select(F.col("u").alias("v")).union(clusters.select(F.col("u").alias("v"))).distinct()
+        roots = components(around.join(used, "v"))
+        seen = now.select("u").distinct().join(roots, "u", "left").select("u", F.coalesce("root", "u").alias("block"))
+        # cells of clusters that the slab's detections see, though none lies there
+        ends = roots.select("u", F.col("root").alias("block")).union(roots.select(F.col("root").alias("u"), F.col("root").alias("block")))
+        blocks = staged(seen.union(ends).distinct(), "blocks")
+        rows = now.select("ordinal", "u", "latitude", "longitude", F.lit(0).cast("long").alias("n"), "us").withColumns({"_s": F.col("us"), "_t": F.col("ordinal")})
+        # of one cell's clusters the earlier first
+        before = clusters.withColumns({"_s": F.col("us"), "_t": F.col("ordinal")})
+        keyed = rows.unionByName(before).join(blocks.hint("merge"), "u").select("block", "ordinal", "u", "latitude", "longitude", "n", "us", "_s", "_t")
+        sorted_ = keyed.repartition("block").sortWithinPartitions("block", F.col("n") == 0, "_s", "_t").drop("_s", "_t")
+        told = staged(sorted_.mapInPandas(_leaders(radius_m), "ordinal long, cluster long, u long, latitude double, longitude double, n long, us long"), "told")
+        found.append(told.where("n = 0").select("ordinal", "cluster"))
+        if k < len(cuts):
+            new = told.where("n > 0").select("ordinal", "u", "latitude", "longitude", "n", "us")
+            old, clusters = clusters, staged(clusters.join(blocks.select("u").distinct(), "u", "left_anti").select(*new.columns).unionByName(new), "clusters")
+            discard(old)
+    return detections.join(reduce(lambda a, b: a.unionByName(b), found), "ordinal")
 
 
 def cluster_stats(clustered: DataFrame) -> DataFrame:

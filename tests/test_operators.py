@@ -31,6 +31,9 @@ def test_source_clusters_follow_the_order(spark):
     rows = [(k, 61 + rng.random() * 0.03, 93 + rng.random() * 0.06, f"2026-09-{1 + k % 20:02d} 12:00:00") for k in range(150)]
     df = spark.createDataFrame(rows, "ordinal long, latitude double, longitude double, at string").withColumn("acquired_at", F.col("at").cast("timestamp"))
     got = {r.ordinal: r.cluster for r in points.source_clusters(df, 500.0).collect()}
+    # slabs of time hand over their clusters: any number of them gives the same
+    for slab in (60, 11):
+        assert {r.ordinal: r.cluster for r in points.source_clusters(df, 500.0, slab).collect()} == got
     clusters = {}
     for k, lat, lon, _ in sorted(rows, key=lambda r: (r[3], r[0])):
         # a plain search over all clusters
