@@ -2,8 +2,8 @@
 
 Texts are split by the tokenizer's pattern. Words are counted over all texts, and Spark higher-order functions
 encode each distinct word: the word's bytes become an array of pieces, and a fold merges the leftmost pair of lowest
-rank until none is left. The ranks are a literal: an array of small maps, indexed by the pair, so that a lookup
-costs the same for any vocabulary. The most frequent words, `codebook` at most, are encoded once and sent to all tasks
+rank until none is left. The ranks are a literal of the running plan: an array of small maps, indexed by the pair, so that a
+lookup costs the same for any vocabulary. The most frequent words, `codebook` at most, are encoded once and sent to all tasks
 with their ids, a table of bounded size; the others are as rare as the text is long, and are folded where they stand, by
 the same functions, as joining them back would move texts between machines. Decoding concatenates the ids' byte pieces.
 
@@ -30,7 +30,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.llm.common import free, give_back, most_frequent, released, slices, staged
@@ -76,9 +76,10 @@ def split_words(text: Column, pattern: str) -> Column:
 
 
 class RankMap:
-    """The merge ranks as a literal for Spark expressions."""
+    """The merge ranks as a literal for Spark expressions: the value of a scalar subquery over a table of one row, so that a task
+    gets it as a constant and the texts of plans, which the driver keeps, don't spell it out."""
 
-    def __init__(self, pieces: list[bytes]):
+    def __init__(self, spark: SparkSession, pieces: list[bytes]):
         rank = {p: k for k, p in enumerate(pieces)}
         # three or so pairs a bucket: the literal is an object per bucket in every plan and task that encodes
         # the buckets as text from the start: as many small dicts would weigh tens of MB
@@ -90,19 +91,25 @@ class RankMap:
                     at = (a * 40503 + b) & (_BUCKETS - 1)
                     buckets[at] += f',"{a << 32 | b}":{k}'
         text = ",".join(["{" + x[1:] + "}" for x in buckets])
-        self._merges = F.from_json(F.lit(f"[{text}]"), "array<map<string,int>>").cast("array<map<bigint,int>>")
+        first = json.dumps([rank[bytes([k])] for k in range(256)])
+        table = spark.createDataFrame([(f"[{text}]", first)], "merges string, first string")
+        merges = F.from_json("merges", "array<map<string,int>>").cast("array<map<bigint,int>>")
+        self._table = staged(table.select(merges.alias("merges"), F.from_json("first", "array<bigint>").alias("first")), "ranks")
         # a margin and the window before it hold two pieces at least
         self._margin = MARGIN
         self._window = max(WINDOW, self._margin + 2 * max(map(len, pieces)) + 1)
-        self._bytes = F.from_json(F.lit(json.dumps([rank[bytes([k])] for k in range(256)])), "array<bigint>")
 
-    def encode(self, words: Column) -> Column:
-        """The ids of each word of an array: a fold over the word's bytes.
+    def encode(self, df: DataFrame, words: str, out: str) -> DataFrame:
+        """df with the ids of each word of an array, in its place: a fold over the word's bytes.
 
         The state is an array of longs, one per piece: the rank of the merge with the next piece, the place of the
         piece's first byte and its id. So the least element is the leftmost pair of lowest rank. Both tables are
         bound once, so that a task gets one copy of them."""
-        return _let(self._merges, lambda merges: _let(self._bytes, lambda first: F.transform(words, lambda w: _word(w, merges, first, self._window, self._margin))))
+        m, b = free("merges", df), free("first", df)
+        # columns that are used once, which Spark puts where they are used
+        bound = df.withColumns({m: self._table.select("merges").scalar(), b: self._table.select("first").scalar()})
+        ids = _let(F.col(m), lambda merges: _let(F.col(b), lambda first: F.transform(F.col(words), lambda w: _word(w, merges, first, self._window, self._margin))))
+        return bound.select(*[ids.alias(out) if c == words else F.col(f"`{c}`") for c in df.columns])
 
 
 def _let(value: Column, body) -> Column:
@@ -209,7 +216,7 @@ def _stream(column: pa.ChunkedArray) -> bytes:
 
 def codebook(words: DataFrame, ranks: RankMap) -> tuple[bytes, bytes]:
     """Words and their ids as Arrow streams; bounded by the number of words and by LONGEST bytes of each."""
-    book = words.select("word", F.get(ranks.encode(F.array("word")), F.lit(0)).alias("ids")).toArrow()
+    book = ranks.encode(words.select("word", F.array("word").alias("alone")), "alone", "ids").select("word", F.get("ids", F.lit(0)).alias("ids")).toArrow()
     return _stream(book.column("word")), _stream(book.column("ids"))
 
 
@@ -319,7 +326,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, size: int = CODEBOOK,
     src = docs.select(*[c for c in docs.columns if c not in made])
     words = frequent_words(src.select("text"), pattern, size)
     pieces = read_ranks(ranks_path)
-    ranks = RankMap(pieces)
+    ranks = RankMap(spark, pieces)
     book, ids = (spark.sparkContext.broadcast([x]) for x in codebook(words, ranks))
     give_back()
     kept = [f for f in src.schema if not (digests and f.name == "text")]
@@ -327,7 +334,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, size: int = CODEBOOK,
     places, rare, coded = free("places", src), free("rare", src), free("coded", src)
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
     found = src.mapInArrow(released(_look_up(book, others, pattern, [places, rare])), f"{ddl}`{places}` array<int>, `{rare}` array<string>")
-    folded = found.select(*[F.col(f"`{c}`") for c in others], places, ranks.encode(F.col(rare)).alias(coded))
+    folded = ranks.encode(found, rare, coded)
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
     return folded.mapInArrow(released(_assemble(ids, others, pieces, digests, places, coded)), ddl + result)
 
