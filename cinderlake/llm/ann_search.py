@@ -38,6 +38,8 @@ RERANK = 400
 #: Rows of a block of codes, and of a block of queries; blocks of queries that meet a block of codes in one task.
 BLOCK = 1 << 14
 QUERY_BLOCK = 512
+#: Vectors that are coded at once: some 20 MB of differences from all centres.
+STEP = 2_048
 ABREAST = 4
 
 
@@ -62,7 +64,11 @@ class Codec:
         return x.reshape(len(x), -1, 2)
 
     def code(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Codes by coordinate descent on |r|^2 + (eta - 1) (r.u)^2, u the vector's direction."""
+        """Codes by coordinate descent on |r|^2 + (eta - 1) (r.u)^2, u the vector's direction; STEP vectors at a time."""
+        steps = [self._code(x[k : k + STEP], sweeps) for k in range(0, len(x), STEP)]
+        return np.concatenate(steps) if steps else self._code(x, sweeps)
+
+    def _code(self, x: np.ndarray, sweeps: int) -> np.ndarray:
         p = self.parts(x)
         u = p / np.linalg.norm(p.reshape(len(p), -1), axis=1)[:, None, None]
         m = p.shape[1]
