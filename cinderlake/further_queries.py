@@ -615,10 +615,10 @@ def x17_allocation(t: Tables) -> DataFrame:
     return planning.allocation(b, b.where("id % 29 = 0"), 2000.0, 500.0, 4000.0, "bin", 4, 40, "plan").agg(F.count("*").alias("chosen"))
 
 
-ISOLATED = f"{B}, cd AS (SELECT * FROM b WHERE partition = 'train'), us AS (SELECT id // 400 AS event FROM cd WHERE id % 7 = 0), pf AS (SELECT * FROM b WHERE id % 97 = 0)"
+ISOLATED = f"{B}, cd AS (SELECT * FROM b WHERE partition = 'train'), us AS (SELECT id // 40 AS event FROM cd WHERE id // 40 % 7 = 0), pf AS (SELECT * FROM b WHERE id % 97 = 0)"
 
 
-@query(f"WITH {ISOLATED} SELECT id AS ordinal, CASE WHEN id // 400 IN (SELECT event FROM us) THEN 'used_event' ELSE 'prior_overlap' END AS reason FROM cd WHERE id // 400 IN (SELECT event FROM us) OR EXISTS (SELECT 1 FROM pf WHERE cd.w < pf.e AND pf.w < cd.e AND cd.s < pf.n AND pf.s < cd.n)")
+@query(f"WITH {ISOLATED} SELECT id AS ordinal, CASE WHEN id // 40 IN (SELECT event FROM us) THEN 'used_event' ELSE 'prior_overlap' END AS reason FROM cd WHERE id // 40 IN (SELECT event FROM us) OR EXISTS (SELECT 1 FROM pf WHERE cd.w < pf.e AND pf.w < cd.e AND cd.s < pf.n AND pf.s < cd.n)")
 def j12_isolate_prior(t: Tables) -> DataFrame:
     """What prior frames and used events alone decide; the order-dependent rest has a test of its own."""
     return _isolated(t).where("reason in ('used_event', 'prior_overlap')").select("ordinal", "reason")
@@ -626,9 +626,9 @@ def j12_isolate_prior(t: Tables) -> DataFrame:
 
 def _isolated(t: Tables) -> DataFrame:
     b = t.boxes()
-    event = F.floor(F.col("id") / 400).alias("event")
+    event = F.floor(F.col("id") / 40).alias("event")
     cd = b.where("partition = 'train'").select(F.col("id").alias("ordinal"), event, "w", "s", "e", "n")
-    return selection.isolate(cd, b.where("id % 97 = 0"), cd.where("ordinal % 7 = 0").select("event"), 180, 2.0)
+    return selection.isolate(cd, b.where("id % 97 = 0"), cd.where("event % 7 = 0").select("event"), 180, 2.0)
 
 
 @query()
