@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.llm import byte_bpe, quality, simhash_dedup, source_mixing, substring_dedup
-from cinderlake.staging import staged
+from cinderlake.staging import discard, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,6 +68,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)  # nothing reads a stage once the next one is written
     return STAGES[-1][1](spark, docs, sf_dir)
