@@ -3,10 +3,12 @@
 A vector is cut into pairs of components, and each pair is told by one of 16 centres: four bits. Codes are chosen
 to keep the score, not the vector: the residual's part that is parallel to the vector counts `eta` times as much
 as the rest, since only that part moves large inner products. The centres are fitted to this loss on a bounded
-sample. Every vector is coded. Queries come in blocks against blocks of codes; each pair of blocks is scanned with
-tables of a query's products with the centres (two codes to a byte, so one look-up adds two of them). A block gives as
-many of its best codes as the `rerank` best of all are likely to lie in it (rows are dealt to blocks by hash), and the
-`rerank` best codes of each query are scored again exactly, on the original vectors.
+sample. Every vector is coded, and its distance from its code's centres kept. Queries come in blocks against blocks of codes;
+each pair of blocks is scanned with tables of a query's products with the centres (two codes to a byte, so one look-up adds
+two of them). The best codes of a block are scored exactly, on the original vectors, which tells what score the block's
+nearest reach at least. By the inequality of Cauchy and Schwarz a code errs by no more than its distance times the query's
+length: every vector that may still reach that score is scored exactly, too, so that none of the nearest is missed, whatever
+the vectors are like. Vectors that codes tell badly cost time (at worst all pairs are scored), not results.
 
 Equal vectors tie, so of each distinct vector only the rows with the smallest ids are scanned, one more than
 are asked for; no other row of it can be among the nearest.
@@ -33,14 +35,16 @@ CENTRES = 16
 SAMPLE = 20_000
 #: Weight of the parallel residual over the rest.
 ETA = 4.0
-#: Candidates of each query and block that are scored exactly.
+#: Best codes of each query that are scored first, as many of them in a block as are likely to lie in it.
 RERANK = 400
-#: Rows of a block of codes, and of a block of queries; blocks of queries that meet a block of codes in one task.
+#: Rows of a block of codes; queries that have their tables at once, and how many times as many may be in a block of queries;
+#: pairs of blocks that keep the tasks busy.
 BLOCK = 1 << 14
 QUERY_BLOCK = 512
+ABREAST = 16
+PAIRS = 64
 #: Vectors that are coded at once: some 20 MB of differences from all centres.
 STEP = 2_048
-ABREAST = 4
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -56,6 +60,14 @@ class Codec:
     def __init__(self, centres: np.ndarray, eta: float):
         self.centres, self.eta = centres, eta
 
+    @property
+    def scale(self) -> float:
+        return float(np.abs(self.centres).max()) or 1.0
+
+    def decoded(self, code: np.ndarray) -> np.ndarray:
+        """The centres that the codes name: row, part, 2."""
+        return self.centres[np.arange(code.shape[1]), code]
+
     @staticmethod
     def parts(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -114,8 +126,8 @@ class Codec:
         return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """For each query and byte of code, the sums of the two centres' products: query, byte, 256."""
-        t = np.einsum("qmd,mcd->qmc", self.parts(q), self.centres).astype(np.float32)
+        """For each query and byte of code, the sums of the two centres' products, divided by the scale: query, byte, 256."""
+        t = np.einsum("qmd,mcd->qmc", self.parts(q), self.centres / self.scale).astype(np.float32)
         return (t[:, 0::2, :, None] + t[:, 1::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
 
 
@@ -128,45 +140,70 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _coder(codec: Codec):
-    schema = pa.schema([("row", pa.int64()), ("code", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
-                code = _pack(codec.code(_matrix(b.column("v"))))
-                yield pa.record_batch([b.column("row"), pa.array([c.tobytes() for c in code], pa.binary())], schema=schema)
+            for at in range(0, whole.num_rows, STEP):
+                b = whole.slice(at, STEP)
+                x = _matrix(b.column("v"))
+                code = codec.code(x)
+                with np.errstate(all="ignore"):
+                    gap = np.linalg.norm((codec.parts(x) - codec.decoded(code)).reshape(len(x), -1), axis=1)
+                yield pa.record_batch([*(b.column(c) for c in ("row", "vec_id", "v")), pa.array([c.tobytes() for c in _pack(code)], pa.binary()), gap], names=["row", "vec_id", "v", "code", "gap"])
 
     return run
 
 
-def _scan(codec: Codec, best: int):
-    schema = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("near", pa.float32())])
+def _products(columns: np.ndarray, pick: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, added up in the components' order, as SQL would."""
+    return np.add.accumulate(columns[:, pick] * q[:, None], axis=0)[-1] + 0.0
+
+
+def _scan(codec: Codec, best: int, nearest: int, step: int):
+    """The `nearest` vectors of a block to each query. What the best codes score exactly is a limit that a vector has to reach,
+    and no vector scores more than its code by over its distance from the code's centres times the query's length."""
+    schema = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def top(score: np.ndarray, vec_id: np.ndarray, row: np.ndarray) -> np.ndarray:
+        if len(score) > nearest:
+            fine = np.flatnonzero(~(score < -np.partition(-score, nearest - 1)[nearest - 1]))
+        else:
+            fine = np.arange(len(score))
+        return fine[np.lexsort((row[fine], vec_id[fine], -score[fine]))[:nearest]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for r in range(whole.num_rows):
                 b = whole.slice(r, 1)
-                q = b.column("queries").flatten()
-                query, vectors = q.field("row").to_numpy(), _matrix(q.field("v"))
+                asked = b.column("queries").flatten()
+                query, vectors = asked.field("row").to_numpy(), _matrix(asked.field("v")).astype(np.float64)
                 d = b.column("codes").flatten()
                 rows = d.field("row").to_numpy()
                 order = np.argsort(rows)
-                rows = rows[order]
+                rows, vec_id, gap = rows[order], d.field("vec_id").to_numpy()[order], d.field("gap").to_numpy()[order]
                 code = np.frombuffer(b"".join(d.field("code").to_pylist()), np.uint8).reshape(len(rows), -1)[order].T.copy()
-                tables = codec.tables(vectors)
-                for k in range(len(query)):
-                    near = np.zeros(len(rows), np.float32)
-                    for table, column in zip(tables[k], code, strict=True):
-                        near += table[column]
-                    near[rows == query[k]] = -np.inf
-                    pick = np.arange(len(rows))
-                    if len(rows) > best:
-                        limit = -np.partition(-near, best - 1)[best - 1]
-                        pick = np.flatnonzero(near > limit)
-                        pick = np.concatenate([pick, np.flatnonzero(near == limit)[: best - len(pick)]])
-                    pick = pick[near[pick] > -np.inf]
-                    yield pa.record_batch([np.full(len(pick), query[k]), rows[pick], near[pick]], schema=schema)
+                columns = _matrix(d.field("v"))[order].T.astype(np.float64, order="C")
+                with np.errstate(all="ignore"):
+                    # tables in single precision: their rounding comes on top
+                    margin = gap * (1 + 1e-9) + (len(code) + 4) * 1.2e-7 * (np.linalg.norm(columns, axis=0) + gap) + 1e-37 * codec.scale
+                    for at in range(0, len(query), step):
+                        size = np.linalg.norm(vectors[at : at + step], axis=1)
+                        tables = codec.tables(vectors[at : at + step] / size[:, None])
+                        for k, q in enumerate(vectors[at : at + step]):
+                            near = np.zeros(len(rows), np.float32)
+                            for table, column in zip(tables[k], code, strict=True):
+                                near += table[column]
+                            others = rows != query[at + k]
+                            near[~others] = -np.inf
+                            pick = np.argpartition(-near, best - 1)[:best] if len(rows) > best else np.arange(len(rows))
+                            pick = pick[others[pick]]
+                            score = _products(columns, pick, q)
+                            limit = -np.partition(-score, nearest - 1)[nearest - 1] if len(score) >= nearest else -np.inf
+                            # a bound that is no number rules nothing out
+                            left = np.flatnonzero(~((near * codec.scale + margin) * size[k] < limit - abs(limit) * 1e-12) & others)
+                            score = _products(columns, left, q)
+                            best_of = top(score, vec_id[left], rows[left])
+                            found = left[best_of]
+                            yield pa.record_batch([np.full(len(found), query[at + k]), rows[found], vec_id[found], score[best_of]], schema=schema)
 
     return run
 
@@ -176,26 +213,25 @@ def _search(base: DataFrame, asked: DataFrame, n: int, n_asked: int, nearest: in
     drawn = smallest_hashes(base.select("row", "v"), F.xxhash64("row"), sample).select("v").toArrow().column("v").combine_chunks()
     codec = Codec.fit(_matrix(drawn), eta)
     twins = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id", "row")
-    scanned = base.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= nearest + 1).select("row", "v")
-    parts, q_parts = n // block + 1, n_asked // query_block + 1
-    group = -(-q_parts // ABREAST)
-    coded = scanned.mapInArrow(released(_coder(codec)), "row long, code binary")
+    scanned = base.withColumn("twin", F.row_number().over(twins)).where(F.col("twin") <= nearest + 1).select("row", "vec_id", "v")
+    parts = n // block + 1
+    # a block of codes goes to each block of queries, which are as few as keep the tasks busy and bounded in size
+    groups = max(-(-n_asked // (ABREAST * query_block)), min(-(-n_asked // query_block), -(-PAIRS // parts)))
+    kind = base.schema["v"].dataType.simpleString()
+    coded = scanned.mapInArrow(released(_coder(codec)), f"row long, vec_id long, v {kind}, code binary, gap double")
     packed = lambda df, key, rows, out: df.groupBy(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(rows)).cast("int").alias(key)).agg(F.collect_list(F.struct(*df.columns)).alias(out))
     codes = staged(packed(coded, "part", parts, "codes"), "codes")
-    queries = staged(packed(asked.select("row", "v"), "block", q_parts, "queries"), "queries")
+    queries = staged(packed(asked.select("row", "v"), "group", groups, "queries"), "queries")
     span = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    # a block of codes goes once to each group of query blocks; the pairs are dealt out by both, so none is crowded
-    left = queries.withColumn("group", F.floor(F.col("block") / ABREAST).cast("int")).withColumn("part", span(parts)).select("part", "group", "queries")
-    pairs = left.join(codes.withColumn("group", span(group)).hint("merge"), ["part", "group"]).select("queries", "codes")
+    # the pairs of blocks are dealt out by both, so none is crowded
+    pairs = queries.withColumn("part", span(parts)).join(codes.withColumn("group", span(groups)).hint("merge"), ["part", "group"]).select("queries", "codes")
     share = rerank / parts
-    found = pairs.mapInArrow(released(_scan(codec, min(rerank, int(share + 6 * share**0.5 + 8)))), "query long, row long, near float")
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "row")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query", "row")
-    exact = found.join(base, "row").join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query")
-    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    scored = exact.select("query", "query_id", "row", "vec_id", score.alias("score"))
+    best = max(nearest, min(rerank, int(share + 6 * share**0.5 + 8))) + 1
+    found = pairs.mapInArrow(released(_scan(codec, best, nearest, query_block)), "query long, row long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= nearest)
+    named = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return ranked.join(named, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def search(vectors: DataFrame, asks: Column | DataFrame, nearest: int = 20, rerank: int = RERANK, sample: int = SAMPLE, eta: float = ETA, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:

@@ -106,6 +106,26 @@ def test_search_where_the_tables_choose(spark):
     assert hits >= 0.9 * 10 * 300, hits / 3000
 
 
+def test_search_misses_none_where_codes_say_little(spark):
+    """A crowd around one direction, which codes can't tell apart, few large components, and scores that tie."""
+    rng = np.random.default_rng(4)
+    crowd = 5 + rng.normal(size=(2500, 16)) * 0.01
+    spiked = rng.normal(size=(1500, 16)) * np.array([100.0] + [0.1] * 15)
+    ties = rng.integers(-1, 2, (2000, 16))
+    x = np.concatenate([crowd, spiked, ties + 0.0]).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann_search.search(df, F.col("vec_id") % 20 == 0, nearest=10, rerank=40, sample=500, block=900, query_block=40).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = x.astype(np.float64)
+    asked = [q for q in range(0, 6000, 20) if x[q].any()]
+    assert set(got) == set(asked)
+    for q in asked:
+        score = np.add.accumulate(x * x[q], axis=1)[:, -1]
+        want = [j for j in np.lexsort((np.arange(6000), -score)) if j != q and x[j].any()][:10]
+        assert sorted(got[q]) == [(k, j, score[j]) for k, j in enumerate(want, 1)], q
+
+
 def plain_repeats(rows, window=35):
     texts = [WORD.findall(r[1] or "") for r in rows]
     seen = Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
