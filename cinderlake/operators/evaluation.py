@@ -76,10 +76,9 @@ def drawn_groups(groups: DataFrame, draws: int, kind: str) -> DataFrame:
     """Rows (draw, place): for each draw as many places, from 1, as there are groups.
 
     groups: one row per group. The places of all draws are made in parallel, draws x groups rows."""
-    n = groups.agg(F.count("*").alias("n"))  # one row
-    spread = groups.sparkSession.range(1, draws + 1).select(F.col("id").alias("draw")).join(F.broadcast(n))
-    picks = spread.select("draw", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("pick"))
-    return picks.select("draw", draw(kind, F.col("draw"), F.col("pick"), F.col("n")).alias("place"))
+    n = groups.count()
+    picks = groups.sparkSession.range(draws * n).select((F.floor(F.col("id") / F.lit(n)) + 1).alias("draw"), (F.col("id") % n + 1).alias("pick"))
+    return picks.select("draw", draw(kind, F.col("draw"), F.col("pick"), F.lit(n)).alias("place"))
 
 
 def paired_bootstrap(rows: DataFrame, first: str, second: str, group: str = "group_id", draws: int = 1000, kind: str = "pairs") -> DataFrame:
@@ -102,11 +101,11 @@ def resampled(own: DataFrame, group: str, sums: list[str], delta: Column, draws:
     """One row (groups, delta, low, high, verdict): a difference of two scores over summed columns, with a 95 % interval.
 
     own: one row per group. Groups are drawn with replacement; a draw's columns are the sums of its groups', and each draw
-    is an aggregate of its own, so no table of groups or draws is in one task."""
+    is an aggregate of its own, so no table of groups or draws is in one task, nor on the driver: the groups' join is by merge."""
     own = numbered(own, group, out="place")
     gated(own.agg(F.count("*").alias("n")), F.col("n") < 2, "a comparison needs at least two groups")
     added = [F.sum(c).alias(c) for c in sums]
-    each = drawn_groups(own, draws, kind).join(own, "place").groupBy("draw").agg(*added).select(delta.alias("d"))
+    each = drawn_groups(own, draws, kind).join(own.hint("merge"), "place").groupBy("draw").agg(*added).select(delta.alias("d"))
     ends = each.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
     whole = own.agg(F.count("*").alias("groups"), *added).select("groups", delta.alias("delta"))
     verdict = F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("inconclusive")
