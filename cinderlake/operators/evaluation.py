@@ -160,10 +160,12 @@ def group_influence(rows: DataFrame, group: str = "group_id") -> DataFrame:
 
 def error_report(rows: DataFrame, sample: str = "sample_id", group: str = "group_id") -> DataFrame:
     """Per model: totals, IoU, missed samples and groups, and whether all models saw the same truth in each sample."""
-    sums = rows.groupBy("model").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.count_if((F.col("tp") == 0) & (F.col("fn") > 0)).alias("missed_samples"))
-    groups = group_sums(rows, group).groupBy("model").agg(F.count_if((F.col("tp") == 0) & (F.col("fn") > 0)).alias("missed_groups"))
+    # one pass over the rows gives the groups' sums, which give the models'
+    missed = (F.col("tp") == 0) & (F.col("fn") > 0)
+    own = rows.groupBy(group, "model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.count_if(missed).alias("missed_samples"))
+    sums = own.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "missed_samples")], F.count_if(missed).alias("missed_groups"))
     seen = rows.groupBy(sample).agg((F.min(F.col("tp") + F.col("fn")) == F.max(F.col("tp") + F.col("fn"))).alias("same")).agg(F.bool_and("same").alias("shared_truth"))
-    return sums.join(groups, "model").crossJoin(F.broadcast(seen)).withColumn("iou", iou(F.col("tp"), F.col("fp"), F.col("fn")))  # one row
+    return sums.crossJoin(F.broadcast(seen)).withColumn("iou", iou(F.col("tp"), F.col("fp"), F.col("fn")))  # one row
 
 
 def size_bin(ha: Column) -> Column:
