@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import free, give_back, most_frequent, released, slices, staged
+from cinderlake.llm.common import free, give_back, most_frequent, released, slices, small_batches, staged
 
 #: Words whose encoding is broadcast: 40 MB at most, as longer words than LONGEST bytes are left out.
 CODEBOOK = 1 << 19
@@ -262,6 +262,7 @@ def _look_up(shared, others: list[str], pattern: str, made: list[str]):
                     [*[b.column(c) for c in others], pa.ListArray.from_arrays(edges(size), pa.array(np.concatenate(flat))), pa.ListArray.from_arrays(edges(n_rare), pa.array(rare, pa.string()))],
                     names=[*others, *made],
                 )
+        state.clear()  # before the worker, which waits for further tasks, gives memory back
 
     return run
 
@@ -312,6 +313,7 @@ def _assemble(shared, others: list[str], pieces: list[bytes], digests: bool, pla
                     out += [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.astype(np.int32)))]
                     names = ["ids"]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names=[*others, *names])
+        state.clear()
 
     return run
 
@@ -322,6 +324,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, size: int = CODEBOOK,
     With digests=True the text and ids give way to n_tokens, ids_sha256 (of the decimal ids, joined by one space)
     and decoded_sha256 (of the bytes that the ids decode to)."""
     spark = docs.sparkSession
+    small_batches(spark)
     made = {"ids"} | ({"n_tokens", "ids_sha256", "decoded_sha256"} if digests else set())
     src = docs.select(*[c for c in docs.columns if c not in made])
     words = frequent_words(src.select("text"), pattern, size)

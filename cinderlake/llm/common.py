@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.staging import staged
@@ -21,6 +21,8 @@ GAP = r"[ \t-\r]+"
 
 #: Bytes of text that one vectorised step takes; bounds the memory of a Python worker.
 SLICE_BYTES = 3 << 18
+#: Rows of texts in a batch for a Python worker, at most.
+BATCH_ROWS = 500
 
 
 def free(name: str, *frames: DataFrame) -> str:
@@ -94,6 +96,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers BATCH_ROWS rows at a time, or fewer if the session says so.
+
+    An executor holds several copies of the batch of each running task, outside its heap and in two workers; with Spark's
+    10 000 rows that is all of a task's texts. The setting stays with the session, as plans are made when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, giving memory back at the end of a task: Python workers wait for further tasks, and would keep it."""
 

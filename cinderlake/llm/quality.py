@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Words, give_back, gram_hashes, mixed, released, slices, smallest_hashes
+from cinderlake.llm.common import Words, give_back, gram_hashes, mixed, released, slices, small_batches, smallest_hashes
 
 BUCKETS = 1 << 15
 DIM = 64
@@ -233,6 +233,7 @@ def held_out(doc_id, folds: int, out: int):
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample: int = SAMPLE) -> DataFrame:
     """docs (doc_id, text and others) with held_out and score, learned from labels outside the held-out fold."""
+    small_batches(docs.sparkSession)
     src = docs.drop("held_out", "score")
     vectors = word_vectors(src)
     network = train(src, labels.where(~held_out(F.col("doc_id"), folds, out)), vectors, sample)
