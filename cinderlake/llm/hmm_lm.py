@@ -4,9 +4,10 @@ Tokens are lower-cased words and an end for each text. Counts of all training to
 frequent FREQUENT tokens, about, are symbols of their own. The others' emissions are tied, as in class-based models: a
 token has the symbol of its class, one of CLASSES by its last bytes, times its own share of the class by its count,
 which no state changes and which smoothing leaves room in for unseen tokens, so the probabilities of all sequences
-add up to one. A state's preference among rare tokens couldn't be told from so few of each. Baum-Welch starts from a
-model fitted on a bounded sample and goes over all training texts: each partition's expected counts are added up in
-Spark, block by block of symbols. The scaled forward recursion gives each text's exact likelihood.
+add up to one. A state's preference among rare tokens couldn't be told from so few of each. Baum-Welch starts from the
+counts of all training tokens, which each state's emissions spread by fixed noise, and every round goes over all training
+texts: each partition's expected counts are added up in Spark, block by block of symbols. The scaled forward recursion
+gives each text's exact likelihood.
 
 Counts of the most frequent tokens, KNOWN at most, are sent to all tasks (a bounded table); other tokens of a text are
 joined with the counts by their hash. Tokens are told by 64-bit hashes.
@@ -27,18 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.llm.chain import Chain
-from cinderlake.llm.common import Words, give_back, gram_hashes, most_frequent, released, slices, smallest_hashes, staged
-from cinderlake.staging import discard
+from cinderlake.llm.common import Words, give_back, gram_hashes, most_frequent, released, slices, staged
 
 STATES = 8
 FREQUENT = 1 << 15
 CLASSES = 1 << 10
 KNOWN = 1 << 19
-ROUNDS = 2
-#: Texts that the first model is fitted on, the most tokens that each gives, in a row from a place by its hash, and rounds.
-SAMPLE = 1_500
-SAMPLE_TOKENS = 4_000
-SAMPLE_ROUNDS = 25
+ROUNDS = 4
+#: Deviation of the logarithm of a first emission from the symbol's frequency: near equal states take many rounds to part.
+SPREAD = 0.5
 #: Share of the overall symbol frequencies in each state's.
 SMOOTH = 0.005
 BLOCK = 256
@@ -158,7 +156,7 @@ class Model:
     @classmethod
     def first(cls, symbol_n: np.ndarray, states: int) -> Model:
         rng = np.random.default_rng(3)
-        counts = (symbol_n[:, None] + 0.5) * rng.uniform(0.5, 1.5, (len(symbol_n), states))
+        counts = (symbol_n[:, None] + 0.5) * np.exp(SPREAD * rng.normal(size=(len(symbol_n), states)))
         trans = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
         return cls(np.full(states, 1 / states), trans, counts / counts.sum(0))
 
@@ -217,25 +215,9 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def baum_welch(coded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """coded: rid (a different number in each row) and symbols of the training texts."""
+    """coded: symbols of the training texts, all of which every round takes."""
     spark = coded.sparkSession
     model = Model.first(v.symbol_n, states)
-    # copies count once here: the smallest hashes first, then a row of each, which are equal but for one chance in 2**64
-    keys = staged(coded.select("rid", F.xxhash64("symbols").alias("h")), "keys")
-    drawn = F.broadcast(smallest_hashes(keys.select("h").distinct(), F.xxhash64("h"), SAMPLE).select("h"))
-    one_each = F.broadcast(keys.join(drawn, "h", "left_semi").groupBy("h").agg(F.min("rid").alias("rid")))  # SAMPLE rows
-    start = F.pmod("h", F.greatest(F.size("symbols") - SAMPLE_TOKENS, F.lit(0)) + 1).cast("int") + 1
-    drawn = coded.join(one_each, "rid").select("h", F.slice("symbols", start, F.lit(SAMPLE_TOKENS)).alias("symbols")).orderBy(F.xxhash64("h"), "h").select("symbols")
-    parts = [x for b in drawn.toArrow().to_batches() for x in _sequences(b)]
-    for _ in range(SAMPLE_ROUNDS if parts else 0):
-        emit, trans = 0.0, 0.0
-        for _, _, s, f in parts:
-            e, t = model.expected(s, f)
-            emit, trans = emit + e, trans + t
-        model = Model.of_counts(emit, trans, v.symbol_n)
-    del parts
-    discard(keys)
-    give_back()
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         sums = coded.select("symbols").mapInArrow(released(_expect(shared)), "block int, sums binary")
