@@ -3,7 +3,7 @@
 Sequences are cut into blocks. The product of a block's transfer matrices is the same whatever stands before it,
 so all blocks are multiplied out side by side; a short pass over each sequence's blocks gives the state at the
 blocks' borders, and a second pass inside all blocks gives every position. Vectors are scaled at each step, matrices
-every few steps."""
+every few steps. Positions are put in order of their step in the block, so that a step's lie side by side."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ class Chain:
     """potential: n x K, positive; first: where each sequence starts, and n at the end; trans: K x K, positive."""
 
     def __init__(self, potential: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray, length: int = LENGTH):
-        self.e, self.a, self.start = potential, trans.astype(potential.dtype), start.astype(potential.dtype)
+        self.a, self.start = trans.astype(potential.dtype), start.astype(potential.dtype)
         sizes = np.diff(first)
         self.n_seq = len(sizes)
         blocks = -(-sizes // length)
@@ -28,21 +28,25 @@ class Chain:
         # longest first: at step t only a head of the blocks is left
         self.order = np.argsort(-self.size, kind="stable")
         self.left = np.searchsorted(-self.size[self.order], -np.arange(1, length + 1), side="right")
+        self.step = np.cumsum(self.left) - self.left
+        head = self.at[self.order]
+        self.place = np.concatenate([head[:left] + t for t, left in enumerate(self.left)]) if len(head) else np.zeros(0, np.int64)
+        self.e = potential[self.place]
         self._borders()
 
     def _borders(self) -> None:
         nb, k = len(self.seq), len(self.a)
         m = np.broadcast_to(np.eye(k, dtype=self.e.dtype), (nb, k, k)).copy()
         scale = np.zeros(nb)
-        at = self.at[self.order]
+        flat = np.ones(k * k, self.e.dtype)
         every = 8 if self.e.itemsize == 8 else 2  # steps that can't underflow
         for t, left in enumerate(self.left):
             if not left:
                 break
             new = (m[:left].reshape(-1, k) @ self.a).reshape(left, k, k)
-            new *= self.e[at[:left] + t][:, None, :]
+            new *= self.e[self.step[t] : self.step[t] + left][:, None, :]
             if t % every == every - 1:
-                top = new.max((1, 2))
+                top = new.reshape(left, -1) @ flat
                 new /= top[:, None, None]
                 scale[:left] += np.log(top)
             m[:left] = new
@@ -77,32 +81,36 @@ class Chain:
 
         The transition into a sequence's first position, from the start vector, counts as one."""
         k = len(self.a)
+        ones = np.ones(k, self.e.dtype)
         alpha = np.empty_like(self.e)
-        now = self.before[self.order]
-        at = self.at[self.order]
+        now = before = self.before[self.order]
         for t, left in enumerate(self.left):
             if not left:
                 break
-            here = at[:left] + t
-            new = (now[:left] @ self.a) * self.e[here]
-            new /= new.sum(1)[:, None]
-            now[:left] = alpha[here] = new
+            here = slice(self.step[t], self.step[t] + left)
+            new = now[:left] @ self.a
+            new *= self.e[here]
+            new /= (new @ ones)[:, None]
+            now = alpha[here] = new
         sums = np.zeros((k, k))
         gamma = np.empty_like(self.e)
         back = self.after[self.order]
-        before = self.before[self.order]
         for t in range(len(self.left) - 1, -1, -1):
             left = self.left[t]
             if not left:
                 continue
-            here = at[:left] + t
+            here = slice(self.step[t], self.step[t] + left)
             g = alpha[here] * back[:left]
-            gamma[here] = g / g.sum(1)[:, None]
+            g /= (g @ ones)[:, None]
+            gamma[here] = g
             carried = self.e[here] * back[:left]
             new = carried @ self.a.T
             if pairs:
-                last = alpha[here - 1] if t else before[:left]
-                norm = (last * new).sum(1)
+                last = alpha[self.step[t - 1] : self.step[t - 1] + left] if t else before
+                norm = (last * new) @ ones
                 sums += (last / norm[:, None]).T @ carried * self.a
-            back[:left] = new / new.sum(1)[:, None]
-        return gamma, sums
+            new /= (new @ ones)[:, None]
+            back[:left] = new
+        out = np.empty_like(gamma)
+        out[self.place] = gamma
+        return out, sums

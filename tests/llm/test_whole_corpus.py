@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cinderlake.llm import hmm_lm
+from cinderlake.llm.chain import Chain
 
 
 def test_baum_welch_is_plain_rounds_over_all_texts(spark):
@@ -33,3 +34,14 @@ def test_states_part_in_the_rounds_given(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     gain = hmm_lm.score(docs).where("held_out").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
     assert gain > 0.15
+
+
+def test_steps_of_blocks_lie_side_by_side():
+    rng = np.random.default_rng(7)
+    sizes = [64, 1, 130, 63, 128]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    e = rng.uniform(0.1, 1, (first[-1], 2))
+    chain = Chain(e, first, np.full(2, 0.5), rng.dirichlet(np.ones(2), 2))
+    assert sorted(chain.place) == list(range(first[-1])) and np.array_equal(chain.e, e[chain.place])
+    for t, left in enumerate(chain.left):
+        assert np.array_equal(chain.place[chain.step[t] : chain.step[t] + left], chain.at[chain.order][:left] + t)
