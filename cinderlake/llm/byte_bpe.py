@@ -16,7 +16,8 @@ folded whole. Time is in proportion to the word's length.
 Edge cases: null text is the empty text; repeated rows are encoded each; special tokens are ordinary text; very long texts
 and words are encoded whole; an empty table gives an empty one; an input column named like a result column is replaced,
 others stay as they are whatever their names. Words are counted with the Java runtime's Unicode tables and
-encoded with those of the `regex` library; where these differ, only the codebook's choice of words does.
+encoded with those of the `regex` library; where these differ, only the codebook's choice of words does. Texts of characters
+below 256 are split by the `re` module, which is faster there, with the `regex` library's classes spelled out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -71,6 +73,42 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
 
 
+def narrow_pattern(pattern: str) -> str | None:
+    r"""The pattern for the re module, the same on texts of characters below 256; none if it holds more than literals, groups
+    and the classes \p{L}, \p{N}, \s and, outside of brackets, \S."""
+    latin = "".join(map(chr, range(256)))
+    members = {c: "".join(f"\\x{ord(x):02x}" for x in regex.findall(c, latin)) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    known = r"\\p\{[LN]\}|\\s"
+    if not re.fullmatch(rf"(?:\[\^?(?:{known}|[A-Za-z0-9 '])+\]|{known}|\\S|\((?:\?[:=!]|(?!\?))|[)|?+*]|[A-Za-z0-9 '])*", pattern):
+        return None
+
+    def spelled(m: re.Match) -> str:
+        inner = re.sub(known, lambda c: members[c.group()], m.group())
+        if m.group() == r"\S":
+            return f"[^{members[r'\s']}]"
+        return inner if m.group()[0] == "[" else f"[{inner}]"
+
+    return re.sub(rf"\[[^\]]*\]|{known}|\\S", spelled, pattern)
+
+
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """What lists a text's words."""
+    wide, spelled = regex.compile(pattern).findall, narrow_pattern(pattern)
+    if spelled is None:
+        return wide
+    narrow = re.compile(spelled).findall
+
+    def find(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return wide(text)
+        return narrow(text)
+
+    return find
+
+
 def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
@@ -200,9 +238,9 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, pattern: str, size: int = CODEBOOK) -> DataFrame:
-    """The most frequent words of LONGEST bytes at most, as a table: so plans with the rank map stay of one stage."""
+    """The most frequent words of LONGEST bytes at most and their counts, as a table: so plans with the rank map stay of one stage."""
     counts = staged(word_counts(docs, pattern).where(F.octet_length("word") <= LONGEST), "counts")
-    top = most_frequent(counts, size).select("word")
+    top = most_frequent(counts, size)
     return staged(top.repartition(docs.sparkSession.sparkContext.defaultParallelism * 4), "words")
 
 
@@ -215,8 +253,11 @@ def _stream(column: pa.ChunkedArray) -> bytes:
 
 
 def codebook(words: DataFrame, ranks: RankMap) -> tuple[bytes, bytes]:
-    """Words and their ids as Arrow streams; bounded by the number of words and by LONGEST bytes of each."""
-    book = ranks.encode(words.select("word", F.array("word").alias("alone")), "alone", "ids").select("word", F.get("ids", F.lit(0)).alias("ids")).toArrow()
+    """Words and their ids as Arrow streams; bounded by the number of words and by LONGEST bytes of each.
+
+    The most frequent words come first, so that what most look-ups touch lies close together in memory."""
+    book = ranks.encode(words.select("word", "n", F.array("word").alias("alone")), "alone", "ids").select("word", "n", F.get("ids", F.lit(0)).alias("ids")).toArrow()
+    book = book.take(np.argsort(-book.column("n").to_numpy(), kind="stable"))
     return _stream(book.column("word")), _stream(book.column("ids"))
 
 
@@ -245,7 +286,7 @@ def _look_up(shared, others: list[str], pattern: str, made: list[str]):
             if not state:
                 words = pa.ipc.open_stream(shared.value[0]).read_all().column("x").to_pylist()
                 state["place"] = dict(zip(words, range(len(words)), strict=True)).get
-                state["find"] = regex.compile(pattern).findall
+                state["find"] = finder(pattern)
             place, find = state["place"], state["find"]
             for b in slices(whole, "text", SLICE):
                 flat, size, rare, n_rare = [], [0], [], [0]
