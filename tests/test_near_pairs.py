@@ -40,3 +40,15 @@ def test_a_detection_is_sent_to_few_cells(spark):
     plain = df.select("ordinal", "latitude", "longitude", F.unix_micros("acquired_at").alias("us"))
     sent = points._sent(plain, ["ordinal"], 3000.0, 48 * 3_600_000_000, "us", "us")[0].count()
     assert 2000 < sent < 6 * 2000
+
+
+def test_files_of_near_pairs_are_small(spark, tmp_path):
+    """Ids that don't follow time: pairs one by one took 1.5 bytes each."""
+    rng = random.Random(6)
+    start = dt.datetime(2026, 9, 1, tzinfo=dt.timezone.utc)
+    rows = [(k, 55.0 + k % 2 * 0.012, 90.0 + k % 3 * 0.02, start + dt.timedelta(hours=rng.uniform(0, 200))) for k in range(6000)]
+    points.near_pairs(spark.createDataFrame(rows, SCHEMA), 3000.0, 48.0).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    n = pairs.count()
+    assert n == pairs.where("u < v").distinct().count() > 5_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.9 * n
